@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,8 +80,10 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return got[:n]
 
 
-def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column (null: empty) and its n + 1 offsets."""
+def text_buffer(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column (null: empty), in lower case if asked, and its n + 1 offsets."""
+    if lower:
+        column = pc.utf8_lower(column.cast(pa.large_string()))
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
@@ -110,6 +113,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_MARK = np.zeros(256, bool)
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def without_marks(data: np.ndarray) -> np.ndarray:
+    """ASCII punctuation turned to spaces."""
+    return np.where(_MARK[data], np.uint8(32), data)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, from prefix sums of a polynomial over bytes: no Python step per word."""
     sums = np.zeros(len(data) + 1, np.uint64)

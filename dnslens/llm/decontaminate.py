@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words (lower case, punctuation at their edges dropped) are hashed; a mask of ones and zeros slides over them, and the
+Words (lower case, split at white space and punctuation) are hashed; a mask of ones and zeros slides over them, and the
 words under its ones make a hash. Benchmark items are indexed by these hashes, in blocks of bounded size; every document
 looks up all of its own against each block. As masks ignore some places, a passage with words replaced still meets the
 item under some mask. Around each hit the two word rows are compared along the diagonal: a region of at least
@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import keep_ids, mix, slices, text_buffer, texts_of, word_hashes, word_spans
-from dnslens.llm.toxicity import _lower
+from dnslens.llm.common import keep_ids, mix, slices, text_buffer, texts_of, without_marks, word_hashes, word_spans
 
 #: Fixed masks: each of weight 6 in a span of 9 or 10.
 MASKS = ("111010111", "110110111", "1101100111", "1110110011")
@@ -27,9 +26,8 @@ BLOCK_ITEMS = 20_000
 
 
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and each text's first. ASCII punctuation separates like white space."""
-    soft = _lower(data)
-    soft[((soft >= 33) & (soft <= 47)) | ((soft >= 58) & (soft <= 64)) | ((soft >= 91) & (soft <= 96)) | ((soft >= 123) & (soft <= 126))] = 32
+    """Hashes of all words of lower-case texts and each text's first. ASCII punctuation separates like white space."""
+    soft = without_marks(data)
     starts, ends, first = word_spans(soft, offsets)
     return word_hashes(soft, starts, ends), first
 
@@ -52,10 +50,8 @@ class ItemIndex:
     def __init__(self, items: list[tuple], least_words: int = LEAST_WORDS, similarity: float = SIMILARITY):
         self.least, self.similarity = least_words, similarity
         self.ids = [i for i, _ in items]
-        self.words = []
-        for _, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            self.words.append(plain_words(raw, np.array([0, len(raw)]))[0])
+        words, first = plain_words(*text_buffer(pa.array([t for _, t in items], pa.string()), lower=True))
+        self.words = [words[lo:hi] for lo, hi in zip(first[:-1], first[1:], strict=True)]
         span = max(map(len, MASKS))
         short = sorted({len(w) for w in self.words if 0 < len(w) < span})
         self.seeds = []
@@ -136,7 +132,7 @@ def leaks(docs: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS, sim
         def run(batches, shared=shared):
             index = ItemIndex(shared.value, least_words, similarity)
             for b in batches:
-                data, offsets = text_buffer(b.column("text"))
+                data, offsets = text_buffer(b.column("text"), lower=True)
                 ids, rows = b.column("doc_id"), []
                 for lo, hi in slices(offsets):
                     words, first = plain_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])

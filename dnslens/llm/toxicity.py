@@ -3,8 +3,8 @@
 Words are hashed to rows of an embedding table; filters of widths 1, 2 and 3 slide over them; the largest value of each
 filter goes through a linear layer. Training uses a bounded sample of labelled documents (`per_class` of each class);
 every text is scored as a whole, in pieces that overlap by the widest filter less one. For each language - as found in
-the text by `language_id`, never as given - the threshold with the best balanced accuracy on a part of the sample that
-training doesn't see becomes score 0.5.
+the text by `language_id`, never as given - the threshold with the best F1 on a part of the sample that training doesn't see
+becomes score 0.5.
 
 Null and empty texts are scored like a text without any feature. With no labelled rows every score is 0. A null label
 isn't learned from; a doc_id with several labels counts by each. Extra columns don't matter.
@@ -20,23 +20,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnslens.llm import language_id
-from dnslens.llm.common import slices, text_buffer, texts_of, word_hashes, word_spans
+from dnslens.llm.common import slices, text_buffer, texts_of, without_marks, word_hashes, word_spans
 
 ROWS, WIDTH, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 12
+#: Words in fewer training documents than this stand for nothing.
+LEAST_DOCS = 4
+SMOOTH = 4.0
+#: A language's own threshold counts as much as the common one from so many toxic held-out rows on.
+STEADY = 40
 PIECE = 1 << 15
 
 
-def _lower(data: np.ndarray) -> np.ndarray:
-    return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-
-
 def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Table rows of all words in a buffer, and each document's first word. ASCII case and edge punctuation don't count."""
-    data = _lower(data)
-    soft = data.copy()
-    soft[((data >= 33) & (data <= 47)) | ((data >= 58) & (data <= 64)) | ((data >= 91) & (data <= 96)) | ((data >= 123) & (data <= 126))] = 32
+    """Table rows of all words of lower-case texts in a buffer, and each text's first. Punctuation doesn't count. Row 0 is for rare words."""
+    soft = without_marks(data)
     starts, ends, first = word_spans(soft, offsets)
-    return (word_hashes(soft, starts, ends) >> np.uint64(48)).astype(np.int32), first
+    return ((word_hashes(soft, starts, ends) >> np.uint64(40)) % np.uint64(ROWS - 1) + np.uint64(1)).astype(np.int32), first
 
 
 @dataclass
@@ -78,19 +77,35 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(docs: list[np.ndarray], labels: list[int], languages: list[str], epochs: int = 8, rate: float = 0.08, seed: int = 1) -> ToxicityModel | None:
-    """Fits the network by Adagrad on single documents, then a threshold for each language."""
+def train(docs: list[np.ndarray], labels: list[int], languages: list[str], prevalence: float = 0.5, epochs: int = 6, rate: float = 0.03, seed: int = 1) -> ToxicityModel | None:
+    """Fits the network by Adagrad on single documents, keeps the best epoch by held-out rows, then sets a threshold for each language.
+
+    prevalence: the share of toxic rows outside the sample, by which thresholds weigh errors.
+    """
     if len(set(labels)) < 2:
         return None
     rng = np.random.default_rng(seed)
-    n = len(WIDTHS) * FILTERS
-    m = ToxicityModel(rng.normal(0, 0.3, (ROWS, WIDTH)).astype(np.float32), [rng.normal(0, 0.3, (w * WIDTH, FILTERS)).astype(np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.3, n).astype(np.float32), 0.0)
-    seen = [np.full_like(x, 1e-2) for x in (m.table, *m.filters, *m.offsets, m.out)]
-    k = len(WIDTHS)
+    n, k = len(WIDTHS) * FILTERS, len(WIDTHS)
     order = rng.permutation(len(docs))
     held, learned = order[: len(docs) // 5], order[len(docs) // 5 :]
+    with_word = np.zeros((2, ROWS))
+    for i in learned:
+        with_word[labels[i], np.unique(docs[i])] += 1
+    common = with_word.sum(0)
+    share = np.array([sum(1 for i in learned if labels[i] == c) for c in (0, 1)]) / max(1, len(learned))
+    odds = np.log((with_word[1] / max(share[1], 1e-6) + 2 * SMOOTH) / (with_word[0] / max(share[0], 1e-6) + 2 * SMOOTH))
+    table = rng.normal(0, 0.05, (ROWS, WIDTH)).astype(np.float32)
+    table[:, 0] = odds  # embeddings start from how often their words are toxic, which filters start by looking at
+    table[common < LEAST_DOCS] = 0
+    m = ToxicityModel(table, [rng.normal(0, 0.1, (w * WIDTH, FILTERS)).astype(np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.02, n).astype(np.float32), 0.0)
+    for f in m.filters:
+        f[::WIDTH] += 0.5 / (len(f) // WIDTH)
+    m.out += 2.0 / n
+    seen = [np.full_like(x, 1e-1) for x in (m.table, *m.filters, *m.offsets, m.out)]
     weight = {1: 0.5 * len(labels) / max(1, sum(labels)), 0: 0.5 * len(labels) / max(1, len(labels) - sum(labels))}
     bias_seen = 1e-2
+    y, lang = np.array([labels[i] for i in held]), np.array([languages[i] for i in held])
+    best_loss, best_model, z = np.inf, None, np.zeros(len(held))
 
     def step(x: np.ndarray, s: np.ndarray, at, g: np.ndarray) -> None:
         s[at] += g * g
@@ -100,45 +115,47 @@ def train(docs: list[np.ndarray], labels: list[int], languages: list[str], epoch
         for i in rng.permutation(learned):
             best, place, rows = m.features(docs[i], True)
             g = np.float32(weight[labels[i]] * (1 / (1 + np.exp(-np.clip(best @ m.out + m.bias, -30, 30))) - labels[i]))
-            if abs(g) < 1e-3:
+            if abs(g) < 1e-2:
                 continue
             back = g * m.out
             step(m.out, seen[-1], slice(None), g * best)
             bias_seen += g * g
             m.bias -= float(rate * g / np.sqrt(bias_seen))
             for c, w in enumerate(WIDTHS):
-                for f in range(FILTERS):
-                    p, d = place[c * FILTERS + f], back[c * FILTERS + f]
-                    if p < 0 or abs(d) < 1e-6:
-                        continue
-                    at = rows[p : p + w]
+                for f in np.flatnonzero((place[c * FILTERS : (c + 1) * FILTERS] >= 0) & (np.abs(back[c * FILTERS : (c + 1) * FILTERS]) > 1e-4)).tolist():
+                    d = back[c * FILTERS + f]
+                    at = rows[place[c * FILTERS + f] :][:w]
                     window = m.table[at].reshape(-1)
-                    down = (d * m.filters[c][:, f]).reshape(w, WIDTH)
+                    down = (d * m.filters[c][:, f]).reshape(w, WIDTH) * (common[at] >= LEAST_DOCS)[:, None].astype(np.float32)
                     step(m.filters[c], seen[1 + c], (slice(None), f), d * window)
                     step(m.offsets[c], seen[1 + k + c], f, d)
                     step(m.table, seen[0], at, down)
-    z = np.array([m.logit(docs[i]) for i in held])
-    y, lang = np.array([labels[i] for i in held]), np.array([languages[i] for i in held])
+        now = np.array([m.logit(docs[i]) for i in held])
+        if len(held) and (loss := float(np.mean([weight[c] * np.logaddexp(0, -v if c else v) for v, c in zip(now, y, strict=True)]))) < best_loss:
+            best_loss, z, best_model = loss, now, ([m.table.copy(), [x.copy() for x in m.filters], [x.copy() for x in m.offsets], m.out.copy(), m.bias])
+    if best_model:
+        m.table, m.filters, m.offsets, m.out, m.bias = best_model
     for name in ["", *sorted(set(languages))]:
         at = (lang == name) if name else np.ones(len(z), bool)
-        if len(set(y[at])) == 2 and at.sum() >= 20:
-            m.shifts[name] = _threshold(z[at], y[at])
+        if len(set(y[at])) == 2:
+            toxic, own = int(y[at].sum()), _threshold(z[at], y[at], prevalence)
+            m.shifts[name] = (own * toxic + m.shifts[""] * STEADY) / (toxic + STEADY) if name else own
     return m
 
 
-def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the cut with the best balanced accuracy."""
+def _threshold(z: np.ndarray, y: np.ndarray, prevalence: float) -> float:
+    """The middle of the cuts with the best F1 at the given prevalence."""
     by = np.argsort(z)
     z, y = z[by], y[by]
-    below = np.cumsum(1 - y) / max(1, (1 - y).sum())
-    above = 1 - np.cumsum(y) / max(1, y.sum())
-    gain = below[:-1] + above[:-1]
-    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    hit = (1 - np.cumsum(y) / max(1, y.sum())) * prevalence
+    wrong = (1 - np.cumsum(1 - y) / max(1, (1 - y).sum())) * (1 - prevalence)
+    f1 = (2 * hit / (hit + wrong + prevalence))[:-1]
+    best = np.flatnonzero(f1 >= f1.max() - 1e-9)
     i = best[len(best) // 2]
     return float((z[i] + z[i + 1]) / 2)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, where: Column | None = None) -> tuple[list[str], list[int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, where: Column | None = None) -> tuple[list[str], list[int], float]:
     """A bounded sample of labelled texts: of each class a share of its rows, by a hash, that makes about per_class.
 
     The chosen ids (bounded as well) are what the documents are read by.
@@ -147,19 +164,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, where: C
     known = known if where is None else known.where(where)
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if len(counts) < 2:
-        return [], []
+        return [], [], 0.5
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 11) / F.lit(float(1 << 53))
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))))
     got = texts_of(docs).join(F.broadcast(known.where(u < share[F.col("toxic")])), "doc_id").select("text", "toxic").where("text is not null").toArrow()
     order = sorted(zip(got.column("text").to_pylist(), got.column("toxic").to_pylist(), strict=True))
-    return [x[0] for x in order], [x[1] for x in order]
+    return [x[0] for x in order], [x[1] for x in order], counts[1] / (counts[0] + counts[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, languages: language_id.LanguageModel, per_class: int = 2500, where: Column | None = None) -> ToxicityModel | None:
-    texts, toxic = labelled_sample(docs, labels, per_class, where)
-    rows = [word_rows(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in texts]
+def fit(docs: DataFrame, labels: DataFrame, languages: language_id.LanguageModel, per_class: int = 2000, where: Column | None = None) -> ToxicityModel | None:
+    texts, toxic, prevalence = labelled_sample(docs, labels, per_class, where)
+    words, first = word_rows(*text_buffer(pa.array(texts, pa.string()), lower=True))
+    rows = [words[lo:hi] for lo, hi in zip(first[:-1], first[1:], strict=True)]
     found = [_language(languages, t) for t in texts]
-    model = train(rows, toxic, found)
+    model = train(rows, toxic, found, prevalence)
     if model:
         model.languages = languages
     return model
@@ -177,13 +195,12 @@ def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     def run(batches):
         m = shared.value
         for b in batches:
-            data, offsets = text_buffer(b.column("text"))
+            data, offsets = text_buffer(b.column("text"), lower=True)
             scores, found = [], []
             for lo, hi in slices(offsets) if m else []:
                 rows, first = word_rows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 for k in range(hi - lo):
-                    text = bytes(data[offsets[lo + k] : offsets[lo + k + 1]]).decode("utf-8", "replace")
-                    found.append(_language(m.languages, text))
+                    found.append(_language(m.languages, b.column("text")[lo + k].as_py()))
                     scores.append(m.score(rows[first[k] : first[k + 1]], found[-1]))
             scores, found = (scores, found) if m else ([0.0] * b.num_rows, [None] * b.num_rows)
             yield pa.record_batch([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array(found, pa.string())], names=["doc_id", "score", "language"])
