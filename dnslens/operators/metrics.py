@@ -13,7 +13,7 @@ _NAMED = {"stream_id": "identity", "resolver": "response_ip"}
 
 def label_columns(labels: list[str | Column]) -> list[Column]:
     """Dimensions by name (stream_id, resolver, stream_global) or as Columns of your own."""
-    return [F.lit("global").alias("stream_global") if x == "stream_global" else F.col(_NAMED[x]).alias(x) if isinstance(x, str) else x for x in labels]
+    return [x if not isinstance(x, str) else F.lit("global").alias(x) if x == "stream_global" else F.col(_NAMED[x]).alias(x) for x in labels]
 
 
 def _named(labels: list) -> list[Column]:
@@ -71,7 +71,7 @@ def top_n(df: DataFrame, column: str, n: int = 10, labels: list | None = None, w
     """The n most frequent values by labels; ties by value. Ranks are of counts, not of rows; without labels a sort with limit."""
     rows = df if where is None else df.where(where)
     key = F.make_valid_utf8(F.col(column))
-    if labels == []:
+    if labels is not None and not labels:
         return hits(rows.withColumn(column, key), column).orderBy(F.desc("hit"), "key").limit(n)
     named = _named(labels)
     counts = rows.groupBy(*named, key.alias("key")).agg(F.count("*").alias("hit"))

@@ -83,11 +83,19 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select("msg_id", flat_map(df).alias("flat"))
 
 
+def _like(pattern: str):
+    return lambda k: k.rlike(pattern)
+
+
+def _unlike(pattern: str, name: str | None = None):
+    return lambda k, v: ~k.rlike(pattern) & (F.lit(True) if name is None else k != name)
+
+
 def relabel_remove(flat: DataFrame, patterns: list[str]) -> DataFrame:
     """Keys that a pattern finds (anywhere in them) go."""
     out = flat
     for p in patterns:
-        out = out.withColumn("flat", F.map_filter("flat", lambda k, v, p=p: ~k.rlike(p)))
+        out = out.withColumn("flat", F.map_filter("flat", _unlike(p)))
     return out
 
 
@@ -98,12 +106,11 @@ def relabel_rename(flat: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """
     out = flat
     for pattern, name in rules:
-        keys = F.array_sort(F.map_keys("flat"))
-        hit = F.filter(keys, lambda k, p=pattern: k.rlike(p))
-        values = F.transform(hit, lambda k: F.element_at("flat", k))
-        joined = F.when(F.size(values) == 1, F.get(values, 0)).otherwise(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")))
-        rest = F.map_filter("flat", lambda k, v, p=pattern, n=name: ~k.rlike(p) & (k != n))
-        out = out.withColumn("flat", F.when(F.size(hit) > 0, F.map_concat(rest, F.create_map(F.lit(name), joined))).otherwise(F.col("flat")))
+        keys = F.filter(F.array_sort(F.map_keys("flat")), _like(pattern))
+        out = out.withColumn("__hit", keys).withColumn("__values", F.transform("__hit", lambda k: F.element_at("flat", k)))
+        joined = F.when(F.size("__values") == 1, F.get("__values", 0)).otherwise(F.concat(F.lit("["), F.array_join("__values", ","), F.lit("]")))
+        renamed = F.map_concat(F.map_filter("flat", _unlike(pattern, name)), F.create_map(F.lit(name), joined))
+        out = out.withColumn("flat", F.when(F.size("__hit") > 0, renamed).otherwise(F.col("flat"))).drop("__hit", "__values")
     return out
 
 

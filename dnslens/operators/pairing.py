@@ -48,7 +48,7 @@ def trace_spans(df: DataFrame, max_span: float = 120.0) -> DataFrame:
     q = df.where(F.col("operation").endswith("_QUERY")).select("identity", "message_id", "initial_request_id", "operation", "qname", F.col("ts_ns").alias("start_ns"))
     r = df.where(F.col("operation").endswith("_RESPONSE")).groupBy("identity", "message_id").agg(F.min(F.struct("ts_ns", "rcode")).alias("r"))
     spans = q.join(r, ["identity", "message_id"], "left").withColumn("r", F.when((F.col("r.ts_ns") >= F.col("start_ns")) & (F.col("r.ts_ns") - F.col("start_ns") < int(max_span * 1e9)), F.col("r")))
-    parents = q.where("operation = 'CLIENT_QUERY'").select("identity", F.col("message_id").alias("__parent")).distinct()
-    spans = spans.join(parents, (spans["identity"] == parents["identity"]) & (F.col("initial_request_id") == F.col("__parent")) & (F.col("operation") != "CLIENT_QUERY"), "left").drop(parents["identity"])
+    parents = q.where("operation = 'CLIENT_QUERY'").select(F.col("identity").alias("__stream"), F.col("message_id").alias("__parent")).distinct()
+    spans = spans.join(parents, (F.col("identity") == F.col("__stream")) & (F.col("initial_request_id") == F.col("__parent")) & (F.col("operation") != "CLIENT_QUERY"), "left")
     error = F.when(F.col("r").isNull(), F.lit("timeout")).when(F.col("r.rcode") != "NOERROR", F.col("r.rcode")).otherwise("")
     return spans.select("identity", F.sha1(F.coalesce("__parent", "message_id").cast("binary")).alias("trace_id"), F.col("message_id").alias("span_id"), F.col("__parent").alias("parent_id"), "operation", "qname", "start_ns", F.col("r.ts_ns").alias("end_ns"), error.alias("error"))

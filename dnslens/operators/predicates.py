@@ -39,7 +39,7 @@ def path(schema: T.StructType, dotted: str) -> tuple[Column, T.DataType, bool]:
         if column is None:
             column = F.col(f"`{name}`")
         elif listed:
-            column = F.transform(column, lambda x, n=name: x.getField(n))
+            column = F.transform(column, _getter(name))
         else:
             column = column.getField(name)
     if isinstance(kind, T.ArrayType) and not listed:
@@ -47,6 +47,10 @@ def path(schema: T.StructType, dotted: str) -> tuple[Column, T.DataType, bool]:
     return column, kind, listed
 
 
+def _getter(name: str):
+    return lambda x: x.getField(name)
+
+
 def _holds(column: Column, listed: bool, test) -> Column:
     return F.coalesce(F.exists(column, test) if listed else test(column), F.lit(False))
 
@@ -87,13 +91,17 @@ def rule(schema: T.StructType, dotted: str, want: Any, spark: SparkSession | Non
             bound = want[name]
             if isinstance(bound, bool) or not isinstance(bound, (int, float)) or not number:
                 raise ValueError(f"{dotted}: {name} compares numbers")
-            now = holds(lambda x, t=test, b=bound: t(x, F.lit(b)))
+            now = holds(_bound(test, bound))
             out = now if out is None else out & now
     if out is None or set(want) - {"greater-than", "lower-than"}:
         raise ValueError(f"{dotted}: unknown operators {sorted(want)}")
     return out
 
 
+def _bound(test, bound):
+    return lambda x: test(x, F.lit(bound))
+
+
 def _lines(spark: SparkSession | None, source: str | list[str]) -> list[str]:
     """A list's lines: given, or read from a path. Lists are configuration: they become literals of the plan."""
     if isinstance(source, list):

@@ -38,7 +38,7 @@ _BY = {
     "answers": f"answers AS ({X.ANSWERS_SQL})",
     "geo": "geo AS (SELECT * FROM (VALUES " + ", ".join(f"({_net(c)[0]}, {_net(c)[1]}, {_net(c)[2]}, '{a}', '{b}', '{d}', '{e}', '{f}', '{c}')" for c, a, b, d, e, f in X.GEO) + ") t(lo, hi, bits, country, continent, city, asn, as_owner, cidr))",
     "lines": f"lines AS (SELECT msg_id, ts_ns, identity, query_ip, qname, rcode, {_LINE} AS line FROM dns_log)",
-    "reduced": "reduced AS (SELECT identity, operation, query_ip, response_ip, qname, qtype, min(struct_pack(ts_ns := ts_ns, msg_id := msg_id)) AS f, count(*) AS occurrences, CAST(sum(length) AS BIGINT) AS cumulative_length FROM dns_log GROUP BY ALL, ts_ns // 2000000000)",
+    "reduced": "reduced AS (SELECT identity, operation, query_ip, response_ip, qname, qtype, min(struct_pack(ts_ns := ts_ns, msg_id := msg_id)) AS f, count(*) AS occurrences, CAST(sum(length) AS BIGINT) AS cumulative_length FROM dns_log GROUP BY identity, operation, query_ip, response_ip, qname, qtype, ts_ns // 2000000000)",
 }
 _NEEDS = {"clean": ["psl"], "tld": ["clean"], "susp": ["lat"], "scored": ["susp"]}
 
@@ -116,7 +116,7 @@ _add("explode_records", lambda d: normalize.explode_records(X.with_answers(d)),
 
 
 def _pcap(d: DataFrame) -> DataFrame:
-    """path, content: the log's packets as one capture file per stream and minute."""
+    """path, content: the log's packets as one capture file per stream and day."""
     import struct
 
     import pandas as pd
@@ -138,17 +138,17 @@ def _pcap(d: DataFrame) -> DataFrame:
             packet = struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(segment), 0, 0, 64, 6 if r.protocol == "TCP" else 17, 0) + ends[0] + ends[1] + segment
             frame = b"\0" * 12 + b"\x08\x00" + packet
             out.append(struct.pack("<IIII", r.ts_ns // 10**9, r.ts_ns % 10**9, len(frame), len(frame)) + frame)
-        return pd.DataFrame({"path": [f"{t['identity'].iloc[0]}-{t['minute'].iloc[0]}.pcap"], "content": [b"".join(out)]})
+        return pd.DataFrame({"path": [f"{t['identity'].iloc[0]}-{t['day'].iloc[0]}.pcap"], "content": [b"".join(out)]})
 
-    rows = _ends(d).join(d.select("msg_id", "identity", "ts_ns", "protocol", F.expr("ts_ns div 60000000000").alias("minute")), "msg_id")
-    return rows.groupBy("identity", "minute").applyInPandas(whole, "path string, content binary")
+    rows = _ends(d).join(d.select("msg_id", "identity", "ts_ns", "protocol", F.expr("ts_ns div 86400000000000").alias("day")), "msg_id")
+    return rows.groupBy("identity", "day").applyInPandas(whole, "path string, content binary")
 
 
 _add("capture_files", lambda d: decode.decode_payload(capture.messages(capture.packets(_pcap(d))).withColumn("msg_id", F.col("ts_ns")).select("msg_id", "payload")).groupBy("qr", "qname", "qtype", "malformed").agg(F.count("*").alias("n")), "SELECT dns_type = 'REPLY' AS qr, CASE WHEN malformed THEN '-' ELSE qname END AS qname, CASE WHEN malformed THEN '-' ELSE qtype END AS qtype, malformed, count(*) AS n FROM dns_log GROUP BY ALL")
 
 
 def _frames(d: DataFrame) -> DataFrame:
-    """path, content: the log as frame-stream files of dnstap messages, one per stream and minute."""
+    """path, content: the log as frame-stream files of dnstap messages, one per stream and day."""
     import pandas as pd
 
     def varint(n: int) -> bytes:
@@ -169,10 +169,10 @@ def _frames(d: DataFrame) -> DataFrame:
             top = field(1, r.identity.encode()) + field(14, m) + field(15, 1)
             out.append(len(top).to_bytes(4) + top)
         out.append(b"\0\0\0\0\0\0\0\x04\0\0\0\x03")
-        return pd.DataFrame({"path": [f"{t['identity'].iloc[0]}-{t['minute'].iloc[0]}.fstrm"], "content": [b"".join(out)]})
+        return pd.DataFrame({"path": [f"{t['identity'].iloc[0]}-{t['day'].iloc[0]}.fstrm"], "content": [b"".join(out)]})
 
-    rows = X.payloads(d).join(d.select("msg_id", "identity", "ts_ns", "dns_type", "query_ip", "query_port", F.expr("ts_ns div 60000000000").alias("minute")), "msg_id")
-    return rows.groupBy("identity", "minute").applyInPandas(whole, "path string, content binary")
+    rows = X.payloads(d).join(d.select("msg_id", "identity", "ts_ns", "dns_type", "query_ip", "query_port", F.expr("ts_ns div 86400000000000").alias("day")), "msg_id")
+    return rows.groupBy("identity", "day").applyInPandas(whole, "path string, content binary")
 
 
 _add("fstrm_files", lambda d: capture.frames(_frames(d)).select("identity", F.col("query_address").alias("query_ip"), F.col("query_port").cast("string").alias("query_port"), F.when(F.col("type") == 5, F.col("query_time_sec") * 1_000_000_000 + F.col("query_time_nsec")).otherwise(F.col("response_time_sec") * 1_000_000_000 + F.col("response_time_nsec")).alias("ts_ns"), F.conv(F.hex(F.substring("payload", 1, 2)), 16, 10).cast("long").alias("dns_id")), "SELECT identity, query_ip, query_port, ts_ns, dns_id FROM dns_log")
@@ -242,8 +242,8 @@ _spec = r".\-_="
 _rest = f"({_n} - {_cnt('0-9')} - {_cnt('a-z')} - {_cnt('A-Z')} - {_cnt(_spec)})"
 _pair = lambda test: f"CAST(len(list_filter(range(1, length(qname)), lambda i: {test})) AS BIGINT)"
 _a, _b = "substr(lower(qname), i, 1)", "substr(lower(qname), i + 1, 1)"
-_ml = lambda name, cols, sql: _add(name, lambda d: score.ml_features(d).select("msg_id", *cols), f"SELECT msg_id, {sql} FROM dns_log")
-_ml("ml_entropy", [F.round("ml_entropy", 9).alias("ml_entropy")], f"round(list_sum(list_transform(list_distinct(string_split(qname, '')), lambda c: -(len(list_filter(string_split(qname, ''), lambda x: x = c)) / {_n}) * log2(len(list_filter(string_split(qname, ''), lambda x: x = c)) / {_n}))), 9) AS ml_entropy")
+_ml = lambda name, cols, sql: _add(name, lambda d: score.ml_features(d).withColumn("ml_entropy", F.round("ml_entropy", 9)).select("msg_id", *cols), f"SELECT msg_id, {sql} FROM dns_log")
+_ml("ml_entropy", ["ml_entropy"], f"round(list_sum(list_transform(list_distinct(string_split(qname, '')), lambda c: -(len(list_filter(string_split(qname, ''), lambda x: x = c)) / {_n}) * log2(len(list_filter(string_split(qname, ''), lambda x: x = c)) / {_n}))), 9) AS ml_entropy")
 _ml("ml_char_counts", ["ml_length", "ml_digits", "ml_lowers", "ml_uppers", "ml_specials", "ml_others", "ml_labels"], f"CAST({_n} AS BIGINT) AS ml_length, {_cnt('0-9')} AS ml_digits, {_cnt('a-z')} AS ml_lowers, {_cnt('A-Z')} AS ml_uppers, {_cnt(_spec)} AS ml_specials, CAST({_rest} AS BIGINT) AS ml_others, CAST(len(string_split(qname, '.')) AS BIGINT) AS ml_labels")
 _ml("ml_ratios", ["ml_ratio_digits", "ml_ratio_letters", "ml_ratio_specials", "ml_ratio_others"], f"{_cnt('0-9')} / {_n} AS ml_ratio_digits, ({_cnt('a-z')} + {_cnt('A-Z')}) / {_n} AS ml_ratio_letters, {_cnt(_spec)} / {_n} AS ml_ratio_specials, {_rest} / {_n} AS ml_ratio_others")
 _vowels, _cons = "('a', 'e', 'i', 'o', 'u', 'y')", "'^[b-df-hj-np-tv-xz]{2}$'"
@@ -372,7 +372,7 @@ _add("rotate_output", _rotated, f"SELECT {_ALL} FROM dns_log")
 
 # formats, payloads, sinks
 _add("to_text", formats.to_text, "SELECT msg_id, line FROM lines", "lines")
-_add("to_text_sections", lambda d: formats.to_text(score.ml_features(score.suspicious(normalize.add_tags(lookup.add_tld(pairing.measure_latency(d), _psl(d)), ["edge", "v4"]))), "id qname publixsuffix-tld atags atags:1 atags:7 suspicious-score ml-labels ml-ratio-digits geoip-city reducer-occurrences latency"), f"SELECT s.msg_id, concat_ws(' ', s.dns_id, {_QNAME.replace('qname', 's.qname')}, tld, 'edge,v4', 'v4', '-', CAST(suspicious_score AS INT), len(string_split(s.qname, '.')), printf('%.3f', {_cnt('0-9').replace('qname', 's.qname')} / strlen(s.qname)), '-', '-', printf('%.9f', latency)) AS line FROM scored s JOIN tld t ON s.msg_id = t.msg_id", "scored", "tld")
+_add("to_text_sections", lambda d: formats.to_text(score.ml_features(score.suspicious(normalize.add_tags(lookup.add_tld(pairing.measure_latency(d), _psl(d)), ["edge", "v4"]))), "id qname publixsuffix-tld atags atags:1 atags:7 suspicious-score ml-labels ml-ratio-digits geoip-city reducer-occurrences latency"), f"SELECT s.msg_id, concat_ws(' ', s.dns_id, {_QNAME.replace('qname', 's.qname')}, tld, 'edge,v4', 'v4', '-', CAST(suspicious_score AS INT), len(string_split(s.qname, '.')), printf('%.3f', round({_cnt('0-9').replace('qname', 's.qname')} / strlen(s.qname), 3)), '-', '-', printf('%.9f', latency)) AS line FROM scored s JOIN tld t ON s.msg_id = t.msg_id", "scored", "tld")
 _add("to_text_raw", lambda d: formats.to_text(d, "{dns} qname {->} rcode timestamp-unixms"), f"SELECT msg_id, concat_ws(' ', 'dns', {_QNAME}, '->', rcode, ts_ns // 1000000) AS line FROM dns_log")
 _JSON = f"""SELECT l.msg_id, CAST(to_json(struct_pack(network := struct_pack(family := family, protocol := protocol, "query-ip" := query_ip, "query-port" := query_port, "response-ip" := response_ip, "response-port" := response_port),
 dns := struct_pack(length := length, id := dns_id, opcode := 0, rcode := rcode, qname := qname, qtype := qtype, flags := struct_pack(qr := dns_type = 'REPLY', aa := flag_aa, rd := flag_rd), "resource-records" := struct_pack(an := CASE WHEN a.msg_id IS NULL THEN [] ELSE [struct_pack(name := a.name, rdatatype := a.rdatatype, class := a.class, ttl := a.ttl, rdata := a.rdata)] END, ns := [], ar := []), "malformed-packet" := malformed),

@@ -9,7 +9,6 @@ from __future__ import annotations
 import ipaddress
 import struct
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,23 +68,34 @@ def packets(files: DataFrame, port: int = 53) -> DataFrame:
 
 
 def messages(rows: DataFrame) -> DataFrame:
-    """Packets as DNS messages: ts_ns, protocol, the ends, payload, tcp_reassembled. A TCP flow is one group."""
+    """Packets as DNS messages: ts_ns, protocol, the ends, payload, tcp_reassembled. Each TCP flow is read in sequence order."""
     keep = ["path", "ts_ns", "protocol", "src_ip", "src_port", "dst_ip", "dst_port"]
     udp = rows.where("protocol = 'UDP'").select(*keep, F.col("body").alias("payload"), F.lit(False).alias("tcp_reassembled"))
 
-    def flow(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["seq", "ts_ns"]).drop_duplicates("seq")
-        data, out = b"", []
-        for r in t.itertuples():
-            whole = not data
-            data += bytes(r.body)
-            while len(data) >= 2 and len(data) >= 2 + int.from_bytes(data[:2]):
-                n = int.from_bytes(data[:2])
-                out.append((r.path, r.ts_ns, "TCP", r.src_ip, r.src_port, r.dst_ip, r.dst_port, data[2 : 2 + n], not whole))
-                data = data[2 + n :]
-        return pd.DataFrame(out, columns=[*keep, "payload", "tcp_reassembled"])
-
-    tcp = rows.where("protocol = 'TCP'").groupBy("path", "src_ip", "src_port", "dst_ip", "dst_port").applyInPandas(flow, udp.schema)
+    ends = ["path", "src_ip", "src_port", "dst_ip", "dst_port"]
+    names = [x.split()[0] for x in PACKETS.split(", ")]
+
+    def flows(batches):
+        # packets in flow and sequence order: a task holds one message at a time
+        at, seen, data, whole = None, -1, b"", True
+        for b in batches:
+            out = []
+            for r in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                path, ts, _, src, sport, dst, dport, seq, body = r
+                if (path, src, sport, dst, dport) != at:
+                    at, seen, data = (path, src, sport, dst, dport), -1, b""
+                if seq == seen:  # sent again
+                    continue
+                seen, whole, data = seq, not data, data + body
+                while len(data) >= 2 and len(data) >= 2 + int.from_bytes(data[:2]):
+                    n = int.from_bytes(data[:2])
+                    out.append((path, ts, "TCP", src, sport, dst, dport, data[2 : 2 + n], not whole))
+                    data = data[2 + n :]
+            cols = list(zip(*out, strict=True)) or [[]] * 9
+            kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.binary(), pa.bool_()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[*keep, "payload", "tcp_reassembled"])
+
+    tcp = rows.where("protocol = 'TCP'").repartition(*ends).sortWithinPartitions(*ends, "seq", "ts_ns").mapInArrow(flows, udp.schema)
     return udp.unionByName(tcp)
 
 

@@ -25,15 +25,22 @@ def tail_parse(lines: DataFrame, pattern_query: str = PATTERN_QUERY, pattern_rep
     value = F.col("value")
     is_query, is_reply = value.rlike(_java(pattern_query)), value.rlike(_java(pattern_reply))
 
+    def groups(p: str) -> Column:  # all groups by one run of the pattern
+        n = re.compile(p).groups
+        return F.split(F.regexp_replace(value, _java(p), "\x01".join(f"${i + 1}" for i in range(n))), "\x01")
+
+    lines = lines.where(is_query | is_reply).select("value", F.when(is_query, groups(pattern_query)).otherwise(groups(pattern_reply)).alias("__g"), is_query.alias("__q"))
+    is_query = F.col("__q")
+
     def field(name: str, default: str | None) -> Column:
         def of(p: str) -> Column:
             index = re.compile(p).groupindex.get(name)
-            return F.nullif(F.regexp_extract(value, _java(p), index), F.lit("")) if index else F.lit(None).cast("string")
+            return F.nullif(F.get("__g", index - 1), F.lit("")) if index else F.lit(None).cast("string")
 
         return F.coalesce(F.when(is_query, of(pattern_query)).otherwise(of(pattern_reply)), F.lit(default))
 
     ts = F.try_to_timestamp(field("timestamp", None), F.lit(time_layout)) if time_layout else F.try_to_timestamp(field("timestamp", None))
-    rows = lines.where(is_query | is_reply).select(
+    rows = lines.select(
         F.unix_micros(ts).alias("__us"), field("identity", "-").alias("identity"), field("qr", "-").alias("operation"), F.when(is_query, "QUERY").otherwise("REPLY").alias("dns_type"), field("rcode", "-").alias("rcode"),
         field("queryip", "-").alias("query_ip"), field("queryport", "0").alias("query_port"), field("responseip", "-").alias("response_ip"), field("responseport", "0").alias("response_port"),
         field("family", "IPv4").alias("family"), field("protocol", "UDP").alias("protocol"), field("domain", "-").alias("qname"), field("qtype", "-").alias("qtype"), F.coalesce(field("length", "0").try_cast("long"), F.lit(0)).alias("length"),
