@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from dnslens.llm.common import mix, slices, text_buffer, texts_of, word_hashes, word_spans
-from dnslens.llm.tokens import Encoder, default_path
+from dnslens.llm.tokens import default_path, encoder
 
 SIZE, DIMS, DEPTH = 1024, 4, 12
 
@@ -131,10 +131,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, size: i
 
     def run(batches):
         packer = _Packer(TaskContext.get().partitionId() << 36, size)
-        encoder = Encoder(path, drop_space=False)
+        words = encoder(path, drop_space=False)
         for b in batches:
-            for doc_id, text, key in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("key").to_pylist(), strict=True):
-                packer.add(doc_id, np.append(encoder.encode(text.as_py() or ""), np.uint32(end_id)), key)
+            for doc_id, ids, key in zip(b.column("doc_id").to_pylist(), words.encode_column(b.column("text")), b.column("key").to_pylist(), strict=True):
+                packer.add(doc_id, np.append(ids, np.uint32(end_id)), key)
             yield packer.batch()
         packer.finish()
         yield packer.batch()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dnslens.llm.common import new_folder, store, texts_of
-from dnslens.llm.tokens import Encoder, default_path
+from dnslens.llm.tokens import default_path, encoder
 
 MAGIC, TAIL = b"DLTP1\0\0\0", b"DLTP1END"
 BLOCK = 1 << 16
@@ -136,12 +136,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
     def run(batches):
         writer, shard, n_docs, n_ids = None, TaskContext.get().partitionId(), 0, 0
-        encoder = Encoder(path, drop_space=True)
+        words = encoder(path, drop_space=True)
         name = f"{folder}/shard-{shard:08d}.dltp"
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), words.encode_column(b.column("text")), strict=True):
                 writer = writer or ShardWriter(name, planes)
-                ids = np.append(encoder.encode(text.as_py() or ""), np.uint32(end_id))
+                ids = np.append(ids, np.uint32(end_id))
                 writer.add(doc_id, ids)
                 n_docs, n_ids = n_docs + 1, n_ids + len(ids)
         if writer:

@@ -6,14 +6,17 @@ Both vocabularies cut at every border of a word and the white space before it, s
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Pieces remembered per task.
+#: Pieces remembered by a worker process.
 MEMORY = 600_000
 
 
@@ -48,12 +51,18 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def _forget(self) -> None:
+        """Keeps the half that was learned first: frequent pieces come early."""
+        kept = _Known(itertools.islice(self.known.items(), MEMORY // 2))
+        self.used = int(self.first[len(kept)])
+        self.known, self.done = kept, len(kept)
+
     def _learn(self) -> None:
         """Encodes the pieces that have come in since."""
-        new = self._tail(len(self.known) - self.done)
+        new = list(itertools.islice(reversed(self.known), len(self.known) - self.done))[::-1]
         got = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum()))
         for name, need in (("ids", self.used + len(flat)), ("first", len(self.known)), ("size", len(self.known))):
             old = getattr(self, name)
             if len(old) < need:
@@ -63,31 +72,46 @@ class Encoder:
         self.first[self.done : len(self.known)] = self.used + np.cumsum(size) - size
         self.used, self.done = self.used + len(flat), len(self.known)
 
-    def _tail(self, n: int) -> list[str]:
-        out = []
-        for piece in reversed(self.known):
-            if len(out) == n:
-                break
-            out.append(piece)
-        return out[::-1]
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text, uint32."""
-        if _ODD.search(text):
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
+    def _pieces(self, text: str) -> list[str]:
         if self.drop_space:
-            pieces = text.split()
-        elif "  " in text or "\n" in text or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text:
-            pieces = _PIECE.findall(text)
-        else:
-            head, *rest = text.split(" ")
-            pieces = [head, *map(" ".__add__, rest)] if head else list(map(" ".__add__, rest)) if rest else []
+            return text.split()
+        if "  " in text or any(c in text for c in "\n\t\r\x0b\x0c"):
+            return _PIECE.findall(text)
+        head, *rest = text.split(" ")
+        return ([head] if head else []) + list(map(" ".__add__, rest))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids (uint32) of each whole text. Unknown pieces of all texts are encoded together."""
         if len(self.known) > MEMORY:
-            self._reset()
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            self._forget()
+        at = [None if _ODD.search(t) else np.fromiter(map(self.known.__getitem__, p := self._pieces(t)), np.int64, len(p)) for t in texts]
         if len(self.known) > self.done:
             self._learn()
+        return [np.array(self.model.encode(t, add_special_tokens=False).ids, np.uint32) if x is None else self._ids(x) for t, x in zip(texts, at, strict=True)]
+
+    def _ids(self, at: np.ndarray) -> np.ndarray:
         size = self.size[at]
-        total = int(size.sum())
         ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.repeat(self.first[at] - (ends - size), size) + np.arange(total)]
+
+    def encode_column(self, column: pa.Array, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
+        """The ids of each text of a string column (null: empty), about `chunk` characters at a time."""
+        held, n = [], 0
+        for t in column:
+            held.append(t.as_py() or "")
+            n += len(held[-1])
+            if n > chunk:
+                yield from self.encode(held)
+                held, n = [], 0
+        yield from self.encode(held)
+
+
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, drop_space: bool) -> Encoder:
+    """The process's encoder of a file: what it has learned serves the next task of a reused worker."""
+    if (path, drop_space) not in _ENCODERS:
+        _ENCODERS[path, drop_space] = Encoder(path, drop_space)
+    return _ENCODERS[path, drop_space]
