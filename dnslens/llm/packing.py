@@ -1,8 +1,8 @@
 """Packing along a space-filling curve.
 
 A document's hashed word vector is projected to four dimensions; the place on a Hilbert curve through them is its sort
-key. Documents are range-partitioned by that key (doc_id breaks ties, so a large group of copies spreads over
-partitions), and each partition's ids are cut, in curve order, into sequences of `size`; what is left at its end goes to
+key. Documents are range-partitioned by that key (a hash of doc_id breaks ties, so a large group of copies spreads
+over partitions), and each partition's ids are cut, in curve order, into sequences of `size`; what is left at its end goes to
 sequences whose lengths are powers of two, so nothing is padded.
 
 Null text counts as empty (its only id is the end id). Repeated rows are separate documents. A document of any length is
@@ -23,6 +23,8 @@ from dnslens.llm.common import mix, slices, text_buffer, texts_of, word_hashes,
 from dnslens.llm.tokens import default_path, encoder
 
 SIZE, DIMS, DEPTH = 1024, 4, 12
+#: One document in so many places the cuts between partitions.
+SAMPLE = 16
 
 
 def hilbert_keys(points: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -66,15 +68,30 @@ def document_points(data: np.ndarray, offsets: np.ndarray, dims: int = DIMS, dep
     return np.clip(((np.tanh(6 * out) + 1) / 2 * (1 << depth)).astype(np.int64), 0, (1 << depth) - 1)
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, text, key: the place on the curve."""
+def _orders(ids: pa.Array, texts: pa.Array) -> np.ndarray:
+    """What documents are sorted by: the place on the curve (48 bits), then 15 bits of the id's hash, which spread copies."""
+    keys = hilbert_keys(document_points(*text_buffer(texts)))
+    spread = mix(np.asarray(ids.fill_null(-1).to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)) >> np.uint64(49)
+    return keys << 15 | spread.view(np.int64)
+
+
+def with_orders(docs: DataFrame, bounds: np.ndarray | None = None) -> DataFrame:
+    """doc_id, text, key, part: the number of the range (between bounds) that the key falls in."""
+    cuts = np.zeros(0, np.int64) if bounds is None else bounds
 
     def run(batches):
         for b in batches:
-            data, offsets = text_buffer(b.column("text"))
-            yield pa.record_batch([b.column("doc_id"), b.column("text"), pa.array(hilbert_keys(document_points(data, offsets)), pa.int64())], names=["doc_id", "text", "key"])
+            keys = _orders(b.column("doc_id"), b.column("text"))
+            yield pa.record_batch([b.column("doc_id"), b.column("text"), pa.array(keys), pa.array(np.searchsorted(cuts, keys, "right").astype(np.int32))], names=["doc_id", "text", "key", "part"])
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, text string, key long, part int")
+
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, text string, key long")
+def range_bounds(docs: DataFrame, parts: int, share: int = SAMPLE) -> np.ndarray:
+    """parts - 1 cuts of the curve from the keys of one document in `share`: only the balance depends on the sample."""
+    some = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(9)), F.lit(share)) == 0)
+    found = with_orders(some).agg(F.percentile_approx("key", [(i + 1) / parts for i in range(parts - 1)], 10 * parts)).first()[0] if parts > 1 else []
+    return np.array(sorted(found or []), np.int64)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, key long"
@@ -140,5 +157,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, size: i
         yield packer.batch()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = with_keys(docs).repartitionByRange(n, "key", F.col("doc_id")).sortWithinPartitions("key", "doc_id")
+    ordered = with_orders(docs, range_bounds(docs, n)).repartitionById(n, "part").sortWithinPartitions("key", "doc_id")
     return ordered.mapInArrow(run, PIECES)
