@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`; bytes.split() uses the same six bytes.
 SPACE = b" \t\n\x0b\f\r"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

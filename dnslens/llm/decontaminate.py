@@ -6,7 +6,8 @@ looks up all of its own against each block. As masks ignore some places, a passa
 item under some mask. Around each hit the two word rows are compared along the diagonal: a region of at least
 `least_words` words (or the whole item, if shorter) of which at least `similarity` agree, is a leak.
 
-Items shorter than the masks' span are met by all of their words. Items and documents without words never match. Null
+Items shorter than the masks' span are met by all of their words, or all but one where the
+similarity lets one differ. Items and documents without words never match. Null
 texts count as empty; a null id is kept as is; repeated items are reported each; an empty table gives no rows.
 """
 
@@ -44,6 +45,13 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(h)
 
 
+def short_masks(n: int, similarity: float) -> list[str]:
+    """Masks for items of n words: all of them, or all but one if the similarity lets one differ."""
+    if n - 1 < similarity * n:
+        return ["1" * n]
+    return ["1" * k + "0" + "1" * (n - k - 1) for k in range(n)]
+
+
 class ItemIndex:
     """The seeds of a block of items: for each mask sorted hashes with item and place."""
 
@@ -55,7 +63,7 @@ class ItemIndex:
         span = max(map(len, MASKS))
         short = sorted({len(w) for w in self.words if 0 < len(w) < span})
         self.seeds = []
-        for mask, fits in [*((m, lambda n: n >= span) for m in MASKS), *(("1" * k, lambda n, k=k: n == k) for k in short)]:
+        for mask, fits in [*((m, lambda n: n >= span) for m in MASKS), *((m, lambda n, k=k: n == k) for k in short for m in short_masks(k, similarity))]:
             h, item, place = [], [], []
             for i, w in enumerate(self.words):
                 if fits(len(w)):

@@ -3,7 +3,7 @@
 A text is the mean of the embeddings of its character 2-, 3- and 4-grams (lower case, white space runs as one space),
 hashed to a fixed number of rows. Training rows are a bounded sample, at most about `per_language` of each language;
 every text is scored as a whole. A temperature, fitted on a part of the sample that training doesn't see, calibrates the
-scores, and the rejection threshold is the score that all but `reject_share` of that part reach.
+scores, and the rejection threshold is SLACK times the score that all but `reject_share` of that part reach.
 
 `und` (score 0) if the text is null or has no letter. With no labelled rows every text is `und`. Repeated rows are
 separate rows; extra columns don't matter.
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from dnslens.llm.common import texts_of
 
 BUCKETS, WIDTH, UNKNOWN = 1 << 15, 16, "und"
+#: A text is rejected under this share of the score that nearly all calibration texts reach.
+SLACK = 0.6
 _MULTIPLIERS = tuple(np.uint32(m) for m in (2654435761, 2246822519, 3266489917, 668265263))
 
 
@@ -101,7 +103,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
     temperature = float(min(losses)[1])
     right = _softmax(z / temperature) if len(y) else np.zeros((0, len(languages)))
     best = right.max(1)[(right.argmax(1) == y) & np.array([r[3] for r in held], bool)] if len(y) else np.zeros(0)
-    threshold = float(min(0.5, np.quantile(best, reject_share))) if len(best) else 0.0
+    threshold = float(min(0.5, SLACK * np.quantile(best, reject_share))) if len(best) else 0.0
     return LanguageModel(languages, weights.astype(np.float32), bias, temperature, threshold)
 
 

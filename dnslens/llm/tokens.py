@@ -17,7 +17,7 @@ import pyarrow as pa
 _PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Pieces remembered by a worker process.
-MEMORY = 800_000
+MEMORY = 400_000
 
 
 def default_path(name: str) -> str:
