@@ -83,8 +83,8 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select("msg_id", flat_map(df).alias("flat"))
 
 
-def _like(pattern: str):
-    return lambda k: k.rlike(pattern)
+def _key_like(pattern: str):
+    return lambda e: e["key"].rlike(pattern)
 
 
 def _unlike(pattern: str, name: str | None = None):
@@ -106,11 +106,11 @@ def relabel_rename(flat: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """
     out = flat
     for pattern, name in rules:
-        keys = F.filter(F.array_sort(F.map_keys("flat")), _like(pattern))
-        out = out.withColumn("__hit", keys).withColumn("__values", F.transform("__hit", lambda k: F.element_at("flat", k)))
+        hit = F.filter(F.array_sort(F.map_entries("flat")), _key_like(pattern))
+        out = out.withColumn("__values", F.transform(hit, lambda e: e["value"]))
         joined = F.when(F.size("__values") == 1, F.get("__values", 0)).otherwise(F.concat(F.lit("["), F.array_join("__values", ","), F.lit("]")))
         renamed = F.map_concat(F.map_filter("flat", _unlike(pattern, name)), F.create_map(F.lit(name), joined))
-        out = out.withColumn("flat", F.when(F.size("__hit") > 0, renamed).otherwise(F.col("flat"))).drop("__hit", "__values")
+        out = out.withColumn("flat", F.when(F.size("__values") > 0, renamed).otherwise(F.col("flat"))).drop("__values")
     return out
 
 
