@@ -34,12 +34,12 @@ BLOCK = 1 << 16
 
 def to_planes(ids: np.ndarray, planes: str = "bit") -> list[bytes]:
     """The planes of a block of ids, lowest first; planes above the highest bit that is set are left out."""
-    raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
+    ids = ids.astype("<u4")
     if planes == "byte":
+        raw = ids.view(np.uint8).reshape(-1, 4)
         top = max(1, (int(ids.max(initial=0)).bit_length() + 7) // 8)
         return [raw[:, k].tobytes() for k in range(top)]
-    bits = np.unpackbits(raw, axis=1, bitorder="little")
-    return [np.packbits(bits[:, k]).tobytes() for k in range(max(1, int(ids.max(initial=0)).bit_length()))]
+    return [np.packbits((ids >> np.uint32(k)).astype(np.uint8) & 1).tobytes() for k in range(max(1, int(ids.max(initial=0)).bit_length()))]
 
 
 def from_planes(parts: list[bytes], n: int, planes: str = "bit") -> np.ndarray:

@@ -18,6 +18,8 @@ _PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Pieces remembered by a worker process.
 MEMORY = 400_000
+#: New words that are encoded as one text.
+JOINED = 64
 
 
 def default_path(name: str) -> str:
@@ -44,6 +46,7 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.drop_space = drop_space
+        self.mark, self.mark_id = self._find_mark() if drop_space else ("", -1)
         self._reset()
 
     def _reset(self) -> None:
@@ -57,12 +60,39 @@ class Encoder:
         self.used = int(self.first[len(kept)])
         self.known, self.done = kept, len(kept)
 
+    def _find_mark(self) -> tuple[str, int]:
+        """A rare word that is one id: it separates words that are encoded as one text."""
+        for i in range(self.model.get_vocab_size() - 1, 0, -1):
+            word = (self.model.id_to_token(i) or "").removesuffix("</w>")
+            if word.isascii() and word.isalpha() and self.model.encode(word, add_special_tokens=False).ids == [i]:
+                return word, i
+        return "", -1
+
+    def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has."""
+        got = [e.ids for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum())), size
+
+    def _ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words, JOINED at a time with the mark between them; one by one where a word holds the mark."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        flat, size = [], []
+        for group, e in zip(groups, self.model.encode_batch_fast([f" {self.mark} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark_id)
+            if len(at) == len(group) - 1:
+                flat.append(np.delete(ids, at))
+                size.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
+            else:
+                for out, x in zip((flat, size), self._ids_of(group), strict=True):
+                    out.append(x)
+        return np.concatenate(flat), np.concatenate(size)
+
     def _learn(self) -> None:
         """Encodes the pieces that have come in since."""
         new = list(itertools.islice(reversed(self.known), len(self.known) - self.done))[::-1]
-        got = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum()))
+        flat, size = self._ids_of_words(new) if self.mark else self._ids_of(new)
         for name, need in (("ids", self.used + len(flat)), ("first", len(self.known)), ("size", len(self.known))):
             old = getattr(self, name)
             if len(old) < need:
