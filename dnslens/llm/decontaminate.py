@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from dnslens.llm.common import keep_ids, mix, slices, text_buffer, texts_of, without_marks, word_hashes, word_spans
 
-#: Fixed masks: each of weight 6 in a span of 9 or 10.
-MASKS = ("111010111", "110110111", "1101100111", "1110110011")
+#: Masks of weight 6 of which one fits any 12 words of which two differ, wherever these are.
+MASKS = ("11101011", "11010111", "1110010011")
 LEAST_WORDS, SIMILARITY = 12, 0.8
 BLOCK_ITEMS = 20_000
 
