@@ -119,7 +119,7 @@ def labelled_sample(docs: DataFrame, per_language: int = 1500, where: Column | N
         return [], []
     u = F.shiftrightunsigned(F.xxhash64("text", F.lit(3)), 11) / F.lit(float(1 << 53))
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))))
-    got = rows.where(u < share[F.col("lang")]).toArrow()
+    got = rows.where(u < share[F.col("lang")]).distinct().toArrow()  # all copies of a text are chosen or none: once is enough
     order = sorted(zip(got.column("text").to_pylist(), got.column("lang").to_pylist(), strict=True))
     return [x[0] for x in order], [x[1] for x in order]
 

@@ -167,7 +167,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, where: C
         return [], [], 0.5
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 11) / F.lit(float(1 << 53))
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))))
-    got = texts_of(docs).join(F.broadcast(known.where(u < share[F.col("toxic")])), "doc_id").select("text", "toxic").where("text is not null").toArrow()
+    chosen = known.where(u < share[F.col("toxic")]).distinct()
+    got = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic").where("text is not null").distinct().toArrow()
     order = sorted(zip(got.column("text").to_pylist(), got.column("toxic").to_pylist(), strict=True))
     return [x[0] for x in order], [x[1] for x in order], counts[1] / (counts[0] + counts[1])
 

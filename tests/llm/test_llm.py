@@ -256,6 +256,25 @@ def brute_leak(doc, item, least=12, similarity=0.8):
     return False
 
 
+def test_masks_fit_any_twelve_words_of_which_two_differ():
+    for gone in itertools.combinations(range(12), 2):
+        assert any(all(m[i - p] == "0" for i in gone if p <= i < p + len(m)) for m in decontaminate.MASKS for p in range(13 - len(m))), gone
+
+
+def test_every_fifth_word_changed(spark):
+    item = [f"w{i}" for i in range(40)]
+    text = " ".join("x" if i % 5 == 4 else w for i, w in enumerate(item))
+    df = spark.createDataFrame([(1, f"before {text} after"), (2, "quite other words")], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.leaks(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()] == [1]
+
+
+def test_samples_take_a_copied_text_once(spark):
+    docs = spark.createDataFrame([(i, "same words", "en") for i in range(50)] + [(100, "other words", "en")], "doc_id long, text string, lang string")
+    assert sorted(language_id.labelled_sample(docs)[0]) == ["other words", "same words"]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(docs, labels, 100)[:2] == (["same words", "same words"], [0, 1])
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(3)
     word = lambda: "w" + str(rng.integers(10_000))
