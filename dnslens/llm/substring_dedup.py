@@ -1,6 +1,7 @@
 """Substring dedup by relative Lempel-Ziv parsing of every document against the indexed blocks of the whole corpus.
 
-1. Documents are cut into reference blocks (whole documents, zstd-compressed, one row each) in the shared folder.
+1. Documents are cut into reference blocks (whole documents, zstd-compressed, one row each) in the shared folder,
+   bucketed by block, so that only the answers about them are shuffled later.
 2. Each block indexes its phrases: the 8-word gram that is least by hash in each 35-word window. Equal windows have equal
    phrases at equal places, so a window that occurs twice always has a phrase that occurs twice.
 3. Phrases meet by hash across all blocks. A document's factors are its greedy runs of windows whose phrases occur
@@ -15,6 +16,7 @@ from the corpus. Null and empty texts have no words; repeated rows count as othe
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import gram_hashes, store, texts_of, word_hashes, word_spans
+from dnslens.llm.common import gram_hashes, new_folder, store, texts_of, word_hashes, word_spans
 
 WINDOW, PHRASE = 35, 8
 BLOCK_BYTES = 2 << 20
 HASHES_PER_BUCKET = 2_000_000
+BLOCKS_PER_FILE = 64
 BLOCKS = "block long, doc_ids array<long>, n_words array<int>, body binary"
 
 
@@ -179,9 +182,22 @@ def _exchange(blocks: DataFrame, hashes, buckets: int, tag: str) -> DataFrame:
     return met.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(tag))
 
 
+def _store_blocks(blocks: DataFrame, n_bytes: int) -> DataFrame:
+    """Writes blocks bucketed by block: joins on it move the other side alone. n_bytes: of all texts."""
+    spark = blocks.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // (BLOCKS_PER_FILE * BLOCK_BYTES))
+    n = min(n, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    name = f"dnslens_blocks_{uuid.uuid4().hex}"
+    blocks.repartition(n, "block").write.bucketBy(n, "block").format("parquet").option("path", f"{new_folder(spark, 'blocks')}/t").saveAsTable(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the entry in the catalog alone: the files stay until the application ends
+    return stored
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, spans (start, end, ... of removed words), kept_sha256."""
-    blocks = store(reference_blocks(docs), "blocks")
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    blocks = _store_blocks(reference_blocks(docs), n_bytes)
     words = blocks.agg(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = int(max(512, words // HASHES_PER_BUCKET))
 
