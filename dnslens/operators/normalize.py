@@ -99,18 +99,23 @@ def relabel_remove(flat: DataFrame, patterns: list[str]) -> DataFrame:
     return out
 
 
+def _rename(pattern: str, name: str):
+    def rule(m: Column) -> Column:
+        values = F.transform(F.filter(F.array_sort(F.map_entries(m)), _key_like(pattern)), lambda e: e["value"])
+        joined = F.when(F.size(values) == 1, F.get(values, 0)).otherwise(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")))
+        return F.when(F.size(values) > 0, F.map_concat(F.map_filter(m, _unlike(pattern, name)), F.create_map(F.lit(name), joined))).otherwise(m)
+
+    return rule
+
+
 def relabel_rename(flat: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """Keys that a pattern finds get a new name; values that meet under one name are joined in key order as a list.
 
-    Works inside the row's map: no shuffle.
+    Works inside the row's map: no shuffle. Each rule names the map in a lambda, so that it is made once.
     """
     out = flat
     for pattern, name in rules:
-        hit = F.filter(F.array_sort(F.map_entries("flat")), _key_like(pattern))
-        out = out.withColumn("__values", F.transform(hit, lambda e: e["value"]))
-        joined = F.when(F.size("__values") == 1, F.get("__values", 0)).otherwise(F.concat(F.lit("["), F.array_join("__values", ","), F.lit("]")))
-        renamed = F.map_concat(F.map_filter("flat", _unlike(pattern, name)), F.create_map(F.lit(name), joined))
-        out = out.withColumn("flat", F.when(F.size("__values") > 0, renamed).otherwise(F.col("flat"))).drop("__values")
+        out = out.withColumn("flat", F.get(F.transform(F.array("flat"), _rename(pattern, name)), 0))
     return out
 
 
