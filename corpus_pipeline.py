@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dnslens.llm import decontaminate, exact_dedup, language_id, packing, simhash
+from dnslens.llm import decontaminate, exact_dedup, language_id, near_copies, packing
 from dnslens.llm.common import new_folder
 
 
@@ -19,8 +19,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component one document stays."""
-    return simhash.keep_one(docs)
+    """Of documents linked by a five-word shingle similarity of 0.8 or more one stays."""
+    return near_copies.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from dnslens.llm import decontaminate, exact_dedup, html_wrapper, language_id, packing, queries, ring_shards, simhash, substring_dedup, token_planes, tokens, toxicity
+from dnslens.llm import decontaminate, exact_dedup, html_wrapper, language_id, near_copies, packing, queries, ring_shards, simhash, substring_dedup, token_planes, tokens, toxicity
 from dnslens.llm.common import keep_ids
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -121,6 +121,67 @@ def test_near_pairs_of_large_buckets():
     assert len({find(i) for i in range(len(fps))}) == len(set(brute.values()))
 
 
+def jaccard_heads(texts, similarity=0.8):
+    """Of each component of five-word Jaccard similarity the smallest id, by brute force."""
+    words = {i: (t or "").lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in words.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(texts, 2):
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return {i for i in texts if root[i] == i}
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for at in rng.choice(len(words), n, replace=False).tolist():
+        out[at] = f"x{rng.integers(1 << 40)}"
+    return " ".join(out)
+
+
+def test_near_copies_at_four_fifths(spark):
+    """Pairs on both sides of 0.8, a chain, and a group large enough for turns; near copies differ in more than 3 bits."""
+    rng = np.random.default_rng(5)
+    texts = {}
+    for k in range(40):
+        base = [f"k{k}w{i}" for i in range(150)]
+        for c in range(3):
+            texts[10 * k + c] = edited(rng, base, int(rng.integers(0, 5)))
+    base = [f"g{i}" for i in range(300)]
+    for c in range(120):
+        texts[1000 + c] = edited(rng, base, int(rng.integers(0, 7)))
+    texts |= {2000: "a b c", 2001: "A  b c", 2002: "", 2003: " ", 2004: "a b d"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = jaccard_heads(texts)
+    assert {r.doc_id for r in near_copies.keep_one(df).collect()} == want
+    by_bits = components({i: fingerprint(t) for i, t in texts.items()})
+    assert len(want) < len(set(by_bits.values()))
+
+
+def test_near_dedup_stage_drops_pairs_at_four_fifths(spark, sf, docs):
+    import corpus_pipeline as P
+
+    known = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id for r in dict(P.STAGES)["near_dedup"](spark, known, sf).collect()}
+    assert got == jaccard_heads({i: r.text for i, r in docs.items()})
+
+
+def test_near_copies_with_one_id_or_none(spark, none):
+    words = [f"w{i}" for i in range(100)]
+    text = " ".join(words)
+    rows = [(1, text), (1, text + " end"), (None, text + " other end"), (2, "quite other words that stand alone"), (None, "and yet other words that stand alone")]
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 1, 2]
+    assert near_copies.keep_one(none).count() == 0
+
+
 def test_chain_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     assert {r.root for r in simhash.components(edges).collect()} == {0, 500}
