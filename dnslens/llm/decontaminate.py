@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from dnslens.llm.common import keep_ids, mix, slices, text_buffer, texts_of, without_marks, word_hashes, word_spans
 
-#: Masks of weight 6 of which one fits any 12 words of which two differ, wherever these are.
-MASKS = ("11101011", "11010111", "1110010011")
+#: Masks of weight 6 of which one fits any 12 to 23 words of which a fifth differ, wherever these are, and any 10 or 11 of
+#: which two inner ones differ. A longer region splits into parts of 12 to 23, one of which is as similar as the whole.
+MASKS = ("1101111", "1100010111", "11111001", "1110001011", "1010011101", "10110111")
 LEAST_WORDS, SIMILARITY = 12, 0.8
 BLOCK_ITEMS = 20_000
 

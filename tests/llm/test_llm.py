@@ -322,6 +322,27 @@ def test_masks_fit_any_twelve_words_of_which_two_differ():
         assert any(all(m[i - p] == "0" for i in gone if p <= i < p + len(m)) for m in decontaminate.MASKS for p in range(13 - len(m))), gone
 
 
+@pytest.mark.parametrize("n", range(10, 25))
+def test_masks_fit_every_length(n):
+    """Whole items of 10 and 11 words begin and end with equal words; a region of 12 or more may be part of a longer one."""
+    ones = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
+    fits = [sum(1 << p + i for i in m) for m, mask in zip(ones, decontaminate.MASKS, strict=True) for p in range(n - len(mask) + 1)]
+    for gone in itertools.combinations(range(n) if n > 11 else range(1, n - 1), n // 5):
+        bits = sum(1 << i for i in gone)
+        assert any(not f & bits for f in fits), gone
+
+
+def test_leaks_with_every_change_allowed(spark):
+    """Every placement of changes in items of 10, 11 and 15 words is found."""
+    docs, items = [], []
+    for n in (10, 11, 15):
+        item = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        docs += [(n * 1000 + k, "a b " + " ".join("x" if i in gone else w for i, w in enumerate(item)) + " c") for k, gone in enumerate(itertools.combinations(range(1, n - 1), n // 5))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(df, bench).collect()} == {d for d, _ in docs}
+
+
 def test_every_fifth_word_changed(spark):
     item = [f"w{i}" for i in range(40)]
     text = " ".join("x" if i % 5 == 4 else w for i, w in enumerate(item))
