@@ -6,8 +6,9 @@ and a group meets its own repetition. Every page of a host goes into its wrapper
 one wrapper per host, so a host of any size reaches its merging task as a few short expressions.
 
 A text slot of a wrapper is known by the containers around it, and is content or not by these rules, in this order: slots
-in menus, headers, footers, sidebars, notices, adverts, forms and comments are not; if the wrapper has an article or main
-container, the slots in it are and others are not; else slots are that are no mostly constant, short or linked text.
+in menus, headers, footers, sidebars, notices, adverts, forms and comments are not; if the page has text in an article or
+main container, the slots in it are and others are not; else slots are that over the host's pages are no mostly constant,
+short or linked text. The expression itself decides no row: it is shown, and these rules by container path choose the text.
 
 Null html gives an empty text; pages without a url share one wrapper; repeated rows are separate rows; broken and cut-off
 markup is read as far as it goes. An empty table gives an empty result.
@@ -241,9 +242,8 @@ class Wrapper:
         return cls(_frozen(items), slots)
 
     def content(self) -> dict[str, bool]:
-        """By path whether the slots there are content."""
-        main = any(_place(p) == "main" for p in self.slots)
-        return {p: _place(p) == "main" or not main and _place(p) == "" and self._prose(x) for p, x in self.slots.items()}
+        """By path whether the slots there are content on pages without an article or main container."""
+        return {p: _place(p) == "" and self._prose(x) for p, x in self.slots.items()}
 
     @staticmethod
     def _prose(x: list) -> bool:
@@ -267,13 +267,16 @@ def _place(path: str) -> str:
 def main_text(page: str | None, content: dict[str, bool]) -> str:
     """The content blocks of a page, joined by line feeds."""
     blocks, held, places = [], [], {}
-    for kind, x, path in events(page or ""):
+    found = list(events(page or ""))
+    main = {p: _place(p) == "main" for p in {path for kind, x, path in found if kind == "text" and x.strip()}}
+    content = main if any(main.values()) else content
+    for kind, x, path in found:
         if kind == "tag":
             blocks.append(held)
             held = []
         elif kind == "text":
             if path not in places:
-                places[path] = content.get(path, _place(path) == "main")
+                places[path] = content.get(path, False)
             if places[path]:
                 held.append(entities.unescape(x))
     blocks.append(held)

@@ -423,6 +423,14 @@ def test_html(spark):
     assert ")?" in wrapper and "( li # )+" in wrapper
 
 
+def test_html_host_of_two_templates(spark):
+    """An article on one page doesn't empty the pages of its host that have none."""
+    plain = "<div class=menu>Home</div><div><p>Number {} has plain prose without any container around it.</div>"
+    pages = [(1, "http://a.example/1", PAGE.format(ad="", more="")), *((i, f"http://a.example/{i}", plain.format(i)) for i in range(2, 6))]
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Head & line\nFirst bold text.\nSecond é x"} | {i: f"Number {i} has plain prose without any container around it." for i in range(2, 6)}
+
+
 def test_wrappers_merge():
     a, b = html_wrapper.fold(["p", "#", "p", "#", "hr"]), html_wrapper.fold(["p", "#", "div", "#", "hr"])
     assert html_wrapper.show(html_wrapper.merge(a, b)) == "( p # )+ ( div # )? hr"
