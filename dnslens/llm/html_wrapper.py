@@ -16,12 +16,14 @@ markup is read as far as it goes. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import json
 import re
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ BOILER_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article content entry main post story".split())
 LONGEST_PERIOD = 16
+#: A text that is the same on so many different pages is constant.
+DISTINCT = 3
 TEXT = "#"
 
 
@@ -192,7 +196,10 @@ def _frozen(x):
 
 
 class Wrapper:
-    """items: the expression. slots: by path of text slots pages, texts, words, linked words, and whether the text never changes."""
+    """items: the expression. slots: by path of text slots hashes of up to DISTINCT different pages, texts, words, linked words, and the hash of the text if it never changes.
+
+    Pages are different if their texts outside of menus, adverts and the like are: copies of an article count once.
+    """
 
     def __init__(self, items: tuple = (), slots: dict | None = None):
         self.items, self.slots = items, slots or {}
@@ -209,10 +216,15 @@ class Wrapper:
             elif text := x.strip():
                 if not row or row[-1] != TEXT:
                     row.append(TEXT)
-                got = mine.setdefault(path, [1, 0, 0, 0, ""])
+                got = mine.setdefault(path, [[], 0, 0, 0, xxhash.xxh64()])
                 n = text.count(" ") + 1
                 got[1], got[2], got[3] = got[1] + 1, got[2] + n, got[3] + n * linked
-                got[4] = (got[4] + text)[:64] if len(got[4]) < 64 else got[4]
+                got[4].update(text.encode("utf-8", "surrogatepass") + b"\0")
+        for x in mine.values():
+            x[4] = x[4].intdigest()
+        page_hash = xxhash.xxh64_intdigest(json.dumps(sorted((p, x[4]) for p, x in mine.items() if _place(p) != "boiler")))
+        for x in mine.values():
+            x[0] = [page_hash]
         skeleton = fold(row)
         if skeleton not in self.known:
             if len(self.known) > 10_000:
@@ -225,7 +237,7 @@ class Wrapper:
         for path, x in slots.items():
             if path in self.slots:
                 a = self.slots[path]
-                self.slots[path] = [*(p + q for p, q in zip(a[:4], x[:4], strict=True)), a[4] if a[4] == x[4] else None]
+                self.slots[path] = [sorted({*a[0], *x[0]})[:DISTINCT], *(p + q for p, q in zip(a[1:4], x[1:4], strict=True)), a[4] if a[4] == x[4] else None]
             else:
                 self.slots[path] = list(x)
 
@@ -248,9 +260,10 @@ class Wrapper:
     @staticmethod
     def _prose(x: list) -> bool:
         pages, texts, words, linked, same = x
-        return words >= 5 * texts and linked < 0.5 * words and not (pages >= 3 and same is not None)
+        return words >= 5 * texts and linked < 0.5 * words and not (len(pages) >= DISTINCT and same is not None)
 
 
+@functools.lru_cache(maxsize=100_000)
 def _place(path: str) -> str:
     """boiler, main, or nothing that its containers tell."""
     found = ""

@@ -431,6 +431,17 @@ def test_html_host_of_two_templates(spark):
     assert got == {1: "Head & line\nFirst bold text.\nSecond é x"} | {i: f"Number {i} has plain prose without any container around it." for i in range(2, 6)}
 
 
+def test_html_bodies_that_open_alike_or_are_copies(spark):
+    """A long common opening doesn't make a body constant, nor do copies of one page; a notice on different pages is."""
+    opening = "Our own correspondent reports from the capital, where on this day as on any other"
+    page = "<div class=menu>Home</div><div id=x><p>{}</div><div id=y><p>One and the same standing line on every page.</div>"
+    bodies = [f"{opening} story number {i} was told." for i in range(6)]
+    pages = [(i, f"http://a.example/{i}", page.format(b)) for i, b in enumerate(bodies)]
+    pages += [(10 + i, "http://b.example/1", page.format(bodies[0]).replace("Home", f"Home {i}")) for i in range(5)]
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert {i: got[i] for i in range(6)} == dict(enumerate(bodies)) and all(got[10 + i].startswith(bodies[0]) for i in range(5))
+
+
 def test_wrappers_merge():
     a, b = html_wrapper.fold(["p", "#", "p", "#", "hr"]), html_wrapper.fold(["p", "#", "div", "#", "hr"])
     assert html_wrapper.show(html_wrapper.merge(a, b)) == "( p # )+ ( div # )? hr"
