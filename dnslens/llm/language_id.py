@@ -110,16 +110,13 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
 def labelled_sample(docs: DataFrame, per_language: int = 1500, where: Column | None = None) -> tuple[list[str], list[str]]:
     """A bounded sample of labelled texts: of each language a share of its rows, by a hash of the text, that makes about per_language.
 
-    Only the `languages` (64) most frequent values are learned.
+    Every value that labelled rows hold is learned; the sample grows with their number.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = (rows if where is None else rows.where(where)).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
-    if not counts:
-        return [], []
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share"))
     u = F.shiftrightunsigned(F.xxhash64("text", F.lit(3)), 11) / F.lit(float(1 << 53))
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))))
-    got = rows.where(u < share[F.col("lang")]).distinct().toArrow()  # all copies of a text are chosen or none: once is enough
+    got = rows.join(F.broadcast(share), "lang").where(u < F.col("share")).select("lang", "text").distinct().toArrow()  # all copies of a text are chosen or none: once is enough
     order = sorted(zip(got.column("text").to_pylist(), got.column("lang").to_pylist(), strict=True))
     return [x[0] for x in order], [x[1] for x in order]
 
@@ -130,7 +127,7 @@ def fit(docs: DataFrame, per_language: int = 1500, where: Column | None = None)
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """One row per document: doc_id, lang_pred, score, rejected (no letters, or a score under the threshold)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x at most 64 languages: 8 MB at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages: 128 KB each
 
     def run(batches):
         m = shared.value

@@ -394,6 +394,20 @@ def test_language_id_of_odd_rows(spark, odd, none):
     assert language_id.keep_known(odd).columns == odd.columns
 
 
+def test_every_language_is_learned(spark):
+    """More than 64 languages, each of words of its own."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(80):
+        words = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6)) for _ in range(5)]
+        rows += [(100 * k + i, " ".join(rng.choice(words, 8)), f"l{k}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert model.languages == sorted({r[2] for r in rows})
+    lang = {r[0]: r[2] for r in rows}
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in language_id.predict(df, model).collect()]) > 0.9
+
+
 def test_toxicity(spark, sf):
     sf = sf.replace("0.001", "0.1")
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
