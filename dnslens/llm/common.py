@@ -18,13 +18,21 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set to a temporary one only where the session names none (local tests)."""
+    """The folder that driver and executors share. Only a session on one machine may leave it unset; it gets a temporary one."""
     if not (d := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="dnslens-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
+def parts_for(docs: DataFrame, bytes_each: int = 128 << 20) -> int:
+    """How many partitions keep about `bytes_each` of text in a task: the session's number at least."""
+    n = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // bytes_each))
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/dnslens-{tag}-{uuid.uuid4().hex}"
@@ -33,7 +41,7 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(p)
     fs.deleteOnExit(p)
-    return path
+    return fs.makeQualified(p).toString()
 
 
 def store(df: DataFrame, tag: str) -> DataFrame:

@@ -6,7 +6,7 @@ over partitions), and each partition's ids are cut, in curve order, into sequenc
 sequences whose lengths are powers of two, so nothing is padded.
 
 Null text counts as empty (its only id is the end id). Repeated rows are separate documents. A document of any length is
-cut over as many sequences as it needs. An empty table gives an empty result.
+cut over as many sequences as it needs. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyspark.sql.functions as F
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from dnslens.llm.common import mix, slices, text_buffer, texts_of, word_hashes, word_spans
+from dnslens.llm.common import mix, parts_for, slices, text_buffer, texts_of, word_hashes, word_spans
 from dnslens.llm.tokens import default_path, encoder
 
 SIZE, DIMS, DEPTH = 1024, 4, 12
@@ -156,6 +156,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, size: i
         packer.finish()
         yield packer.batch()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts_for(docs)
     ordered = with_orders(docs, range_bounds(docs, n)).repartitionById(n, "part").sortWithinPartitions("key", "doc_id")
     return ordered.mapInArrow(run, PIECES)

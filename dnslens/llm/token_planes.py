@@ -7,12 +7,14 @@ zstandard. The chunk index at the end has each block's place and plane sizes, an
     "DLTP1\\0\\0\\0" | planes of block 0, 1, ... | index (zstandard JSON) | u64 size of the index | "DLTP1END"
 
 Files are written under a temporary name and moved into place, so a task that runs twice leaves one whole file.
-Null text counts as empty; every document ends with `end_id`; null doc_ids come first; repeated rows are separate
-documents; an empty table gives no files and no rows.
+Null text counts as empty; every document ends with `end_id`; null doc_ids come first; rows of one doc_id are separate
+documents, in the order of their texts' hashes; an empty table gives no files and no rows; other columns are not read. A text
+of any length is encoded in parts and lies over as many blocks as it needs. A shard holds about 128 MB of text.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 import zlib
@@ -25,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import new_folder, store, texts_of
+from dnslens.llm.common import new_folder, parts_for, store, texts_of
 from dnslens.llm.tokens import default_path, encoder
 
 MAGIC, TAIL = b"DLTP1\0\0\0", b"DLTP1END"
 BLOCK = 1 << 16
+#: Documents read back in one batch.
+ROWS = 10_000
 
 
 def to_planes(ids: np.ndarray, planes: str = "bit") -> list[bytes]:
@@ -52,7 +56,17 @@ def from_planes(parts: list[bytes], n: int, planes: str = "bit") -> np.ndarray:
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """path: with its scheme, as new_folder gives it (one without is a folder of this machine)."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def crc_of(pieces: list[np.ndarray]) -> int:
+    crc = 0
+    for p in pieces:
+        crc = zlib.crc32(p.astype("<u4").tobytes(), crc)
+    return crc
 
 
 class ShardWriter:
@@ -148,8 +162,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             writer.close()
             yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["shard", "path", "n_docs", "n_ids"])
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts_of(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = texts_of(docs).repartitionByRange(parts_for(docs), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     manifest = store(ordered.mapInArrow(run, "shard long, path string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard file: few
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -161,14 +174,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for m in b.to_pylist():
-                rows: list = [[], [], [], []]
-                for doc_id, start, n, pieces in ShardReader(m["path"]).documents():
-                    crc = 0
-                    for p in pieces:
-                        crc = zlib.crc32(p.astype("<u4").tobytes(), crc)
-                    for col, x in zip(rows, (doc_id, m["start"] + start, n, crc), strict=True):
-                        col.append(x)
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                documents = ShardReader(m["path"]).documents()
+                while rows := [(doc_id, m["start"] + start, n, crc_of(pieces)) for doc_id, start, n, pieces in itertools.islice(documents, ROWS)]:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.repartition(n, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -223,18 +223,27 @@ def test_remove_repeats_cuts_text(spark):
 def encoder_of(name):
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(tokens.default_path(name))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(tokens.default_path(name))
 
 
 @pytest.mark.parametrize(("name", "drop"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
-def test_word_by_word_encoding(docs, name, drop):
+def test_piece_by_piece_encoding(docs, monkeypatch, name, drop):
+    """As the library encodes whole texts, with little memory too, and where two pieces have one hash."""
     whole, own = encoder_of(name), tokens.Encoder(tokens.default_path(name), drop)
-    odd = ["", " ", "a  b", "a   b\n\n c ", "\n\n x", "it's  a\tb", "a   b", "x <|endoftext|> y", "é é É", "\x1c a", " lead"]
+    odd = ["", " ", "a  b", "a\u00a0 b\n\n c ", "\n\n x", "it's  a\tb", "a   b", "x <|endoftext|> y", "<|startoftext|>a", "é é É", "\x1c a", " lead", "'S 's x's 'd've", "Σ İ", "12 3²", "日本 🙂!!"]
+    odd.append(("word " * 30_000 + "é" * 70_000 + " ") * 2)
+    rng, marks = np.random.default_rng(8), ["a", "B", "'", "'s", "'re", "'LL", " ", "  ", "\n", "\t", "1", "23", ".", "!!", "é", "e\u0301", "\u00a0", "<|", "🙂", "ß", "_"]
+    odd += ["".join(rng.choice(marks, rng.integers(0, 25))) for _ in range(2000)]
     texts = odd + [r.text or "" for r in docs.values()][:80]
     for text, ids in zip(texts, own.encode(texts), strict=True):
         assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text[:60]
+    monkeypatch.setattr(tokens, "MEMORY", 500)
+    for text in texts[:900]:
+        assert own.encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids, text[:60]
+    monkeypatch.setattr(tokens, "mix", lambda h: h & np.uint64(255))
+    own._reset()
+    for text, ids in zip(texts[-80:], own.encode(texts[-80:]), strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text[:60]
 
 
 @pytest.mark.parametrize("planes", ["bit", "byte"])
