@@ -146,7 +146,14 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * powers(_GRAM_INV, len(words))[: len(words) - k + 1])
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of docs whose doc_id is (left_semi) or isn't (left_anti) in ids; null matches null."""
-    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), how)
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, in the shared folder, and the name of that column: the same rows for every later read."""
+    name = "row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return store(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def without_rows(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """Numbered rows without those in gone (row_id), and without their numbers."""
+    return rows.join(gone.select(F.col("row_id").alias(row)), row, "left_anti").select(*(rows[c] for c in rows.columns if c != row))
