@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import keep_ids, mix, slices, text_buffer, texts_of, without_marks, word_hashes, word_spans
+from dnslens.llm.common import mix, numbered, slices, text_buffer, texts_of, without_marks, without_rows, word_hashes, word_spans
 
 #: Masks of weight 6 of which one fits any 12 to 23 words of which a fifth differ, wherever these are, and any 10 or 11 of
 #: which two inner ones differ. A longer region splits into parts of 12 to 23, one of which is as similar as the whole.
@@ -155,5 +155,7 @@ def leaks(docs: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS, sim
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that share a passage with the benchmark; all columns stay."""
-    return keep_ids(docs, leaks(docs, items), "left_anti")
+    """docs without the rows that share a passage with the benchmark; all columns stay. Rows of one doc_id are told apart."""
+    rows, row = numbered(docs)
+    found = leaks(rows.select(F.col(row).alias("doc_id"), "text"), items)
+    return without_rows(rows, row, found.select(F.col("doc_id").alias("row_id")).distinct())

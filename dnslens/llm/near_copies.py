@@ -1,14 +1,19 @@
-"""Near-dedup by shingle similarity: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Candidates are found by MinHash: BANDS keys of ROWS least values each, so that a pair at 0.8 exactly meets in no band with a
-chance of (1 - 0.8^4)^20 = 3 in 100,000, and a closer pair with less. Every candidate link is checked on the whole sets.
-
-Documents with one set are one node. Where buckets are large, nodes are compared with one changing member of their bucket
-a turn, and only those that are still in different components go on; what few pairs are left are compared one by one. So a
-large group of near copies isn't compared pair by pair, and no candidate pair stays unchecked unless its ends are linked.
-
-Lower case, words split at white space; a text under five words is one shingle, texts without words are one set. Two sets
-or shingles with one 64-bit hash would be taken as equal. Rows of one doc_id and one text are kept or dropped together.
+"""The near-dedup stage of the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Candidates meet in the covering tables of `simhash`, over a SimHash of the five-word shingles, which lose no pair within
+RADIUS bits. Pairs at 0.8 differ in about ten bits of 64, for which covering masks would need thousands of tables; so the same
+buckets also take MinHash keys: BANDS of ROWS least values, in none of which a pair at 0.8 exactly meets with a chance of
+(1 - 0.8^4)^20 = 3 in 100,000, and a closer pair with less. Every candidate link is checked on the whole sets.
+
+Documents with one set are one node. Where buckets hold many pairs, nodes are compared with one changing member of their
+bucket a turn, and only those that are still in different components go on; when no more than MANY pairs a member are left,
+they are compared one by one. So a large group of near copies isn't compared pair by pair, and no candidate pair stays
+unchecked unless its ends are linked.
+
+Lower case, words split at white space; a text under five words is one shingle, null and empty texts are one set. Two sets
+or shingles with one 64-bit hash would be taken as equal. Rows are told apart by number, so repeated and null doc_ids, and
+repeated rows, are like any others; of a component the row with the smallest doc_id stays (null last, then as read). A very
+long text is one set. An empty table gives an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -18,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import gram_hashes, mix, slices, store, text_buffer, texts_of, word_hashes, word_spans
-from dnslens.llm.simhash import components
+from dnslens.llm.common import gram_hashes, mix, numbered, slices, store, text_buffer, without_rows, word_hashes, word_spans
+from dnslens.llm.simhash import components, covering_masks
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
-TURNS = 8
+TURNS, MANY = 8, 16
+_MASKS = np.array(covering_masks(), np.uint64)
+KEYS = BANDS + len(_MASKS)
 _FACTORS = np.random.default_rng(11).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -38,15 +45,23 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE):
             yield np.unique(grams[a : b - shingle + 1] if b - a >= shingle else gram_hashes(words[a:b], b - a) if b > a else grams[:0])
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: equal where two sets have the same ROWS least values."""
+def simhash(hashes: np.ndarray) -> np.uint64:
+    """Bit i is 1 if set in over half of a set's hashes."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def bucket_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each MinHash band, equal where two sets have the same ROWS least values, and for each covering table."""
     least = np.full(BANDS * ROWS, ~np.uint64(0))
     for lo in range(0, len(hashes), 4096):
         np.minimum(least, np.multiply.outer(_FACTORS, hashes[lo : lo + 4096]).min(1), out=least)
     key = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T:
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
-    return key
+    return np.concatenate([key, mix(np.arange(BANDS, KEYS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (simhash(hashes) & _MASKS))])
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -57,32 +72,32 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, said (hash of the text), node (hash of the set), bands."""
+def prints(rows: DataFrame, row: str) -> DataFrame:
+    """doc_id, row_id, node (hash of the set), keys of its buckets."""
 
     def run(batches):
         for b in batches:
-            nodes, bands = [], []
+            nodes, keys = [], []
             for h in shingle_sets(b.column("text")):
                 nodes.append(mix(np.array([h.sum(dtype=np.uint64) + np.uint64(len(h))])))
-                bands.append(band_keys(h))
+                keys.append(bucket_keys(h))
             join = lambda x: (np.concatenate(x) if x else np.zeros(0, np.uint64)).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(bands) + 1, BANDS, dtype=np.int32)), pa.array(join(bands)))
-            yield pa.record_batch([b.column("doc_id"), b.column("said"), pa.array(join(nodes)), lists], names=["doc_id", "said", "node", "bands"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, KEYS * len(keys) + 1, KEYS, dtype=np.int32)), pa.array(join(keys)))
+            yield pa.record_batch([b.column("doc_id"), b.column("row_id"), pa.array(join(nodes)), lists], names=["doc_id", "row_id", "node", "keys"])
 
-    return texts_of(docs).withColumn("said", F.xxhash64("text")).mapInArrow(run, "doc_id long, said long, node long, bands array<long>")
+    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, row_id long, node long, keys array<long>")
 
 
-def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """node, hashes (bytes) of the chosen rows: doc_id, said, node."""
+def _sets(rows: DataFrame, row: str, chosen: DataFrame) -> DataFrame:
+    """node, hashes (bytes) of the chosen rows: row_id, node."""
 
     def run(batches):
         for b in batches:
             yield pa.record_batch([b.column("node"), pa.array([h.tobytes() for h in shingle_sets(b.column("text"))], pa.large_binary()).cast(pa.binary())], names=["node", "hashes"])
 
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("said").alias("__said"), "node")
-    rows = texts_of(docs).join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__said")))
-    return rows.select("node", "text").mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
+    texts = rows.select(F.col(row).alias("row_id"), F.col("text").cast("string").alias("text")).join(chosen, "row_id")
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -98,13 +113,13 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, said (hash of the text), component (a node)."""
-    rows = store(prints(docs), "shingles")
-    nodes = rows.groupBy("node").agg(F.min_by(F.struct("doc_id", "said", "bands"), "said").alias("r")).select("node", "r.*")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
+def near_groups(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per numbered row: doc_id, row_id, component (a node)."""
+    found = store(prints(rows, row), "shingles")
+    nodes = found.groupBy("node").agg(F.min_by(F.struct("row_id", "keys"), "row_id").alias("r")).select("node", "r.*")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     member = store(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi").select("node", "key", F.col("node").alias("root")), "buckets")
-    sets = store(_sets(docs, nodes.join(member.select("node").distinct(), "node", "left_semi")), "sets")
+    sets = store(_sets(rows, row, nodes.select("node", "row_id").join(member.select("node").distinct(), "node", "left_semi")), "sets")
     links = tested = None
     fresh = True
     for turn in range(TURNS):
@@ -113,7 +128,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         left, size = kinds.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if not left:
             break
-        whole = left <= 2 * size or not fresh or turn == TURNS - 1
+        whole = left <= MANY * size or not fresh or turn == TURNS - 1
         if whole:
             one, other = (member.select("key", F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "p"), ("b", "q")))
             pairs = one.join(other, "key").where("a < b and p <> q").select("a", "b")
@@ -122,23 +137,24 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             pairs = member.join(heads, "key").where("root <> h.root").select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"))
         pairs = pairs.distinct()
         pairs = store(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = store(_checked(pairs, sets, similarity), "links")
-        fresh = bool(found.take(1))
+        good = store(_checked(pairs, sets, similarity), "links")
+        fresh = bool(good.take(1))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
+        links = good if links is None else links.unionByName(good)
         if whole:
             break
         if fresh:
             member = store(member.drop("root").join(components(links).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "key", F.coalesce("root", "node").alias("root")), "buckets")
-    rows = rows.drop("bands")
+    found = found.drop("keys")
     if links is None:
-        return rows.withColumnRenamed("node", "component")
+        return found.withColumnRenamed("node", "component")
     roots = components(links).withColumnRenamed("node", "n")
-    return rows.join(roots, F.col("node") == F.col("n"), "left").select("doc_id", "said", F.coalesce("root", "node").alias("component"))
+    return found.join(roots, F.col("node") == F.col("n"), "left").select("doc_id", "row_id", F.coalesce("root", "node").alias("component"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without all but the first (smallest doc_id, null last) of each component; all columns stay."""
-    first = near_groups(docs, similarity).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "said")).alias("r"))
-    first = first.select(F.col("r.doc_id").alias("__id"), F.col("r.said").alias("__said")).distinct()
-    return docs.join(first, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__said")), "left_semi")
+    """docs without all but the first of each component; all columns stay."""
+    rows, row = numbered(docs)
+    groups = store(near_groups(rows, row, similarity), "components")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("r")).select(F.col("r.row_id").alias("row_id"))
+    return without_rows(rows, row, groups.join(first, "row_id", "left_anti").select("row_id"))

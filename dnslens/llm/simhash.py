@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import keep_ids, store, texts_of
+from dnslens.llm.common import store, texts_of
 
 RADIUS, BITS, SHINGLE, SEED = 3, 64, 3, 42
 
@@ -182,9 +182,3 @@ def near_groups(docs: DataFrame) -> DataFrame:
     least = named.groupBy("root").agg(F.min("head").alias("component_id"))
     classes = store(named.join(least, "root").join(ends, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id", "n_links")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but the first (smallest doc_id) of each component; all columns stay."""
-    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return keep_ids(docs, kept)

@@ -7,12 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from dnslens.llm import decontaminate, exact_dedup, html_wrapper, language_id, near_copies, packing, queries, ring_shards, simhash, substring_dedup, token_planes, tokens, toxicity
-from dnslens.llm.common import keep_ids
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string"
@@ -40,27 +40,42 @@ def norm(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
 
-@pytest.mark.parametrize("bits", [64, 2])
-def test_exact_dedup(spark, odd, docs, bits):
-    """Two key bits force chains of different texts under one key."""
+@pytest.mark.parametrize(("bits", "held"), [(64, 1 << 20), (2, 1 << 20), (64, 1)])
+def test_exact_dedup(spark, odd, docs, bits, held):
+    """Two key bits force chains of different texts under one key; with one byte held, no text is combined in its task."""
     rows = odd.select("doc_id", "text", "key").unionByName(spark.createDataFrame([(100 + r.doc_id, r.text, "x") for r in docs.values()], "doc_id long, text string, key string"))
     want = defaultdict(list)
     for r in rows.collect():
         want[norm(r.text)].append(r.doc_id)
-    got = exact_dedup.exact_groups(rows, capacity=8, key_bits=bits).collect()
+    got = exact_dedup.exact_groups(rows, capacity=8192, key_bits=bits, held=held).collect()
     sha = {hashlib.sha256(k.encode()).digest(): v for k, v in want.items()}
-    assert len(got) == rows.count()
+    assert len(got) == rows.count() == len({r.row_id for r in got})
     for r in got:
         ids = sha[bytes(r.sha)]
         assert r.group_size == len(ids) and r.keep_id == min(i for i in ids if i is not None)
     assert sum(r.kept for r in got) == len(want)
+    assert (max(r.slot for r in got) > 20) == (bits == 2) and len({r.bucket for r in got}) >= (20 if bits == 64 else 4)
     kept = exact_dedup.keep_first(rows)
     assert kept.columns == rows.columns and kept.count() == len(want)
 
 
-def test_directory_doubles_only_where_needed():
-    depth, directory = exact_dedup.build_directory({0: 10, 1: 10, 60000: 3}, 10)
-    assert depth == 16 and directory[0] != directory[1] and len(set(directory[1 << 15 :].tolist())) == 1
+def test_equal_digests_chain(spark, monkeypatch):
+    """Texts are told apart by their bytes, whatever their keys and digests."""
+    rows = [(doc, key, n, doc, 10 + doc, text) for doc, key, n, text in [(1, 5, 2, b"a"), (2, 5, 1, b"b"), (3, 5, 4, b"a")]]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("group_id", "key", "n", "doc_id", "row_id", "norm"), r, strict=True)) | {"bucket": 0} for r in rows])
+    monkeypatch.setattr(exact_dedup.hashlib, "sha256", lambda b: hashlib.md5(b""))
+    got = pa.Table.from_batches(list(exact_dedup._owner([batch]))).to_pylist()
+    assert [(r["slot"], r["keep_id"], r["group_size"], r["groups"]) for r in got] == [(0, 1, 6, [1, 3]), (1, 2, 1, [2])]
+
+
+def test_directory_doubles_only_where_needed(spark):
+    keys = [(i << 58, 10) for i in range(4)] + [(-1, 3), (-1, 30), (-(1 << 62), 3)]
+    directory = exact_dedup.build_directory(spark.createDataFrame(keys, "key long, n_bytes long"), 10)
+    found = directory.find(np.array([k for k, _ in keys], np.int64)).tolist()
+    assert directory.depth == 6 and len(set(found[:4])) == 4 and found[4] == found[5] and found[4] != found[0]
+    assert len(set(directory.entries[16:32].tolist())) == 1 and len(directory.entries) == 64
+    far = exact_dedup.build_directory(spark.createDataFrame([(0, 8), (1, 8)], "key long, n_bytes long"), 10)
+    assert far.depth == exact_dedup.DEEPEST
 
 
 def fingerprint(text):
@@ -176,9 +191,10 @@ def test_near_dedup_stage_drops_pairs_at_four_fifths(spark, sf, docs):
 def test_near_copies_with_one_id_or_none(spark, none):
     words = [f"w{i}" for i in range(100)]
     text = " ".join(words)
-    rows = [(1, text), (1, text + " end"), (None, text + " other end"), (2, "quite other words that stand alone"), (None, "and yet other words that stand alone")]
-    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(r.doc_id or 0 for r in got) == [0, 1, 2]
+    rows = [(1, text), (1, text + " end"), (None, text + " other end"), (5, text), (2, "quite other words that stand alone"), (5, "five has words of its own as well"), (None, "and yet other words that stand alone")]
+    rows += [(3, "a row that is there twice")] * 2
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x"))).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((i or 0, t) for i, t in [rows[0], *rows[4:8]])
     assert near_copies.keep_one(none).count() == 0
 
 
@@ -482,9 +498,20 @@ def test_odd_rows_everywhere(spark, odd):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.leaks(odd, bench).collect()} == {1, 2, None}
     assert simhash.near_groups(odd).count() == len(ROWS)
-    assert simhash.keep_one(odd).columns == odd.columns
     assert packing.pack(odd).agg(F.sum("length")).first()[0] > 30_000
-    assert keep_ids(odd, odd.where("doc_id is null")).count() == 1
+
+
+def test_stages_tell_rows_of_one_id_apart(spark):
+    """Null and repeated ids, columns with odd names: only the rows that are copies or leaks go."""
+    item = " ".join(f"b{i}" for i in range(20))
+    rows = [(None, item), (None, "one clean text"), (5, item), (5, "another clean text"), (7, "one  clean text"), (7, "one clean text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("row", "row_", "__id", "__d", "row_id", "sha", "key")})
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = decontaminate.drop_leaks(df, bench)
+    assert clean.columns == df.columns and sorted(((r.doc_id or 0, r.text) for r in clean.collect())) == sorted((i or 0, t) for i, t in rows if t != item)
+    kept = exact_dedup.keep_first(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(5, "another clean text"), (5, item), (7, "one  clean text")]
+    assert near_copies.keep_one(df).columns == df.columns
 
 
 def test_pipeline(spark, sf, docs):
@@ -501,8 +528,7 @@ def test_pipeline(spark, sf, docs):
         first.setdefault(norm(r.text), r.doc_id)
     assert set(left) == set(first.values()) and plain.columns == table.columns
     near = stages["near_dedup"](spark, plain, sf)
-    roots = components({i: fingerprint(t) for i, t in left.items()})
-    kept = {i for i in left if roots[i] == i}
+    kept = jaccard_heads(left)
     assert {r.doc_id for r in near.collect()} == kept
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = {r.doc_id for r in stages["decontamination"](spark, near, sf).collect()}
