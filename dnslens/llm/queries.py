@@ -44,7 +44,7 @@ def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without words under repeated windows of 35."""
-    return substring_dedup.repeated_spans(_read(spark, sf_dir, "documents")).drop("spans")
+    return substring_dedup.repeated_spans(_read(spark, sf_dir, "documents")).drop("spans", "factors")
 
 
 def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

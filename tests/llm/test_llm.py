@@ -226,8 +226,34 @@ def test_substring_dedup(spark, odd, window):
         at, size = int(rng.integers(0, 80)), int(rng.integers(0, 60))
         rows.append((100 + i, " ".join([*w[:at], *shared[:size], *w[at:]])))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeated_spans(df, window).collect()), key=repr)
+    blocks, found = substring_dedup.parse(df, window)
+    found = found.collect()
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found), key=repr)
     assert got == brute_repeats(rows, window)
+    made = {b.block: substring_dedup.Block(b.block, b.doc_ids, b.n_words, bytes(b.body), window, 8) for b in blocks.collect()}
+    texts = {i: WORD.findall((t or "").encode()) for i, t in rows if i is not None}
+    for r in found:  # factors are what their references hold, and cover what goes
+        covered, done = 0, 0
+        for start, length, block, place in zip(*(r.factors[k::4] for k in range(4)), strict=True):
+            assert start >= done and made[block].words(place, length).split() == texts[r.doc_id][start : start + length]
+            covered, done = covered + length, start + length
+        assert covered == r.n_removed
+
+
+def test_words_under_one_hash_are_compared(spark):
+    """A request whose words aren't those of its reference is noticed."""
+    text = " ".join(f"a{i}" for i in range(50))
+    blocks = substring_dedup._store_blocks(substring_dedup.reference_blocks(spark.createDataFrame([(1, text)], "doc_id long, text string")), 100)
+    number = blocks.first().block
+    for words, want in ((b"a3 a4", 0), (b"a3 x4", 1)):
+        asked = spark.createDataFrame([(number, 3, 2, words)], "block long, place long, length long, words binary")
+        assert substring_dedup._differing(blocks, asked) == want
+
+
+def test_other_seeds_hash_otherwise():
+    packed = substring_dedup.zstandard.ZstdCompressor().compress(b"a b c d e f g h i j k l")
+    a, b = (substring_dedup.Block(0, [1], [12], packed, 9, 4, seed) for seed in (0, 1))
+    assert not set(a.window_hashes.tolist()) & set(b.window_hashes.tolist()) and a.words(1, 3) == b.words(1, 3) == b"b c d"
 
 
 def test_remove_repeats_cuts_text(spark):
