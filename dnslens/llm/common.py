@@ -9,12 +9,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`; bytes.split() uses the same six bytes.
 SPACE = b" \t\n\x0b\f\r"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -147,11 +148,20 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number for each row, in the shared folder, and the name of that column: the same rows for every later read."""
+    """docs with a number for each row, the same in every later read, and the name of that column.
+
+    Rows that come straight from files are numbered as they are read (only such tables know their row's place in a file);
+    others could change when a lost task runs again, so they are written to the shared folder first.
+    """
     name = "row"
     while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
-    return store(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    try:
+        docs.select("_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return store(rows, "rows"), name
+    return rows, name
 
 
 def without_rows(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -32,7 +31,7 @@ from dnslens.llm.common import SPACE, numbered, store, without_rows
 #: has some 2 million entries for 100 TB.
 CAPACITY = 64 << 20
 #: Bytes of different texts that a task combines at once.
-HELD = 32 << 20
+HELD = 16 << 20
 #: Directory bits that are looked at in one pass over the keys, and the most counts (as a power of two) that it gives.
 STEP, COUNTS = 12, 20
 #: Directory bits at which a bucket overflows instead of splitting: 64 MB of entries, and full buckets of 1 PB.
@@ -100,11 +99,12 @@ def _members(rows: DataFrame, row: str, key_bits: int, held: int) -> DataFrame:
     return _texts(rows, row).mapInArrow(run, "doc_id long, row_id long, group_id long, key long, n_bytes long")
 
 
-GROUP = "group_id long, key long, n long, doc_id long, row_id long, norm binary"
+GROUP = "group_id long, key long, n long, doc_id long, row_id long, bucket int, norm binary"
 
 
-def _groups(rows: DataFrame, row: str, key_bits: int, held: int) -> DataFrame:
-    """The combined groups: GROUP. doc_id and row_id are the first row's."""
+def _groups(rows: DataFrame, row: str, key_bits: int, held: int, directory: Directory) -> DataFrame:
+    """The combined groups with their buckets: GROUP. doc_id and row_id are the first row's."""
+    shared, depth = rows.sparkSession.sparkContext.broadcast(directory.entries), directory.depth
 
     def run(batches):
         found = _Combiner(held)
@@ -115,8 +115,9 @@ def _groups(rows: DataFrame, row: str, key_bits: int, held: int) -> DataFrame:
             for lo in range(0, len(items), 2000):
                 part = items[lo : lo + 2000]
                 docs = [None if g[2][0] == NONE else g[2][0] for _, g in part]
-                cols = [[g[0] for _, g in part], [_key(t, key_bits) for t, _ in part], [g[1] for _, g in part], docs, [g[2][1] for _, g in part]]
-                yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols), pa.array([t for t, _ in part], pa.binary())], names=names)
+                keys = np.array([_key(t, key_bits) for t, _ in part], np.int64)
+                cols = [[g[0] for _, g in part], keys, [g[1] for _, g in part], docs, [g[2][1] for _, g in part]]
+                yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols), pa.array(find(keys, depth, shared.value)), pa.array([t for t, _ in part], pa.binary())], names=names)
 
         for b in batches:
             for doc, r, norm in zip(b.column("doc_id").to_pylist(), b.column("row_id").to_pylist(), _normal(b.column("text")), strict=True):
@@ -134,6 +135,11 @@ def _texts(rows: DataFrame, row: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row_id"), F.col("text").cast("string").alias("text"))
 
 
+def find(keys: np.ndarray, depth: int, entries: np.ndarray) -> np.ndarray:
+    """The bucket of each key."""
+    return entries[(keys.view(np.uint64) >> np.uint64(64 - depth)).astype(np.int64)] if depth else np.zeros(len(keys), np.int32)
+
+
 class Directory:
     """Which bucket a key is in. Entry i of 2 ** depth has the bucket of the keys whose leading bits are i."""
 
@@ -174,9 +180,6 @@ class Directory:
                 todo += [(b, bits + 1, low), (new, bits + 1, high)]
         return left
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        return self.entries[(keys.view(np.uint64) >> np.uint64(64 - self.depth)).astype(np.int64)] if self.depth else np.zeros(len(keys), np.int32)
-
 
 def build_directory(sizes: DataFrame, capacity: int, key_bits: int = 64) -> Directory:
     """The directory over sizes (key, n_bytes): passes over the keys of overfull buckets until none can split."""
@@ -240,18 +243,8 @@ def build_index(rows: DataFrame, row: str, members: DataFrame, capacity: int | N
     if capacity is None:
         capacity = min(CAPACITY, (sizes.agg(F.sum("n_bytes")).first()[0] or 0) // (8 * parts) + 1)
     directory = build_directory(sizes, capacity, key_bits)
-    shared = rows.sparkSession.sparkContext.broadcast(directory.entries)
-    depth = directory.depth
-
-    @F.pandas_udf("int")
-    def bucket(key: pd.Series) -> pd.Series:
-        d = Directory()
-        d.depth, d.entries = depth, shared.value
-        return pd.Series(d.find(key.to_numpy(np.int64)))
-
     n = max(parts, len(directory.locals) // 8)
-    groups = _groups(rows, row, key_bits, held).withColumn("bucket", bucket("key"))
-    owned = groups.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket", "key", "group_id")
+    owned = _groups(rows, row, key_bits, held, directory).repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket", "key", "group_id")
     return store(owned.mapInArrow(_owner, INDEX), "index")
 
 

@@ -64,14 +64,6 @@ def bucket_keys(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([key, mix(np.arange(BANDS, KEYS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (simhash(hashes) & _MASKS))])
 
 
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sorted sets have this Jaccard similarity at least."""
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both) - 1e-9
-
-
 def prints(rows: DataFrame, row: str) -> DataFrame:
     """doc_id, row_id, node (hash of the set), keys of its buckets."""
 
@@ -90,27 +82,25 @@ def prints(rows: DataFrame, row: str) -> DataFrame:
 
 
 def _sets(rows: DataFrame, row: str, chosen: DataFrame) -> DataFrame:
-    """node, hashes (bytes) of the chosen rows: row_id, node."""
+    """node, hashes (its set) of the chosen rows: row_id, node."""
 
     def run(batches):
         for b in batches:
-            yield pa.record_batch([b.column("node"), pa.array([h.tobytes() for h in shingle_sets(b.column("text"))], pa.large_binary()).cast(pa.binary())], names=["node", "hashes"])
+            sets = list(shingle_sets(b.column("text")))
+            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int64))
+            values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.record_batch([b.column("node"), pa.LargeListArray.from_arrays(ends, pa.array(values.view(np.int64))).cast(pa.list_(pa.int64()))], names=["node", "hashes"])
 
     texts = rows.select(F.col(row).alias("row_id"), F.col("text").cast("string").alias("text")).join(chosen, "row_id")
-    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """a, b: the pairs that are similar enough."""
-
-    def run(batches):
-        for b in batches:
-            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in b.column(k)] for k in ("x", "y"))
-            keep = pa.array([similar(p, q, similarity) for p, q in zip(x, y, strict=True)], pa.bool_())
-            yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(keep)
-
-    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    x, y = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("a", "x"), ("b", "y")))
+    both, n = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    near = F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")) - 1e-9
+    return pairs.join(x, "a").join(y, "b").where(near).where(both >= similarity * (n - both) - 1e-9).select("a", "b")
 
 
 def near_groups(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> DataFrame:

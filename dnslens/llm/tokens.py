@@ -26,7 +26,7 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 SPACE, LETTER, DIGIT, MARK, ODD, UNKNOWN = range(6)
 _SHORT = tuple(np.array([ord(c) for c in s], np.uint32) for s in ("s", "t", "m", "d", "re", "ve", "ll"))
 #: Pieces remembered by a worker process.
-MEMORY = 600_000
+MEMORY = 300_000
 #: New pieces that are encoded as one text.
 JOINED = 64
 #: Bytes of text in work at once, and bytes from which a text is cut into parts (between a word and the space after it).
@@ -44,7 +44,7 @@ def default_path(name: str) -> str:
 class _Table:
     """From 64-bit hashes to numbers, by open addressing in numpy."""
 
-    def __init__(self, slots: int = 1 << 21):
+    def __init__(self, slots: int = 1 << 20):
         self.hashes, self.numbers, self.mask = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.uint64(slots - 1)
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -80,7 +80,7 @@ def _grown(x: np.ndarray, need: int) -> np.ndarray:
 
 def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... of size[0] numbers, then those of the next."""
-    ends = np.cumsum(size)
+    ends = np.cumsum(size, dtype=np.int64)
     return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
@@ -104,8 +104,8 @@ class Encoder:
     def _reset(self) -> None:
         self.table, self.known = _Table(), 0
         self.hashes, self.uses = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
-        self.ids, self.first, self.size = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.codes, self.begin, self.length = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids, self.first, self.size = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.codes, self.begin, self.length = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.n_ids = self.n_codes = 0
 
     def _ask(self, codes: np.ndarray) -> None:

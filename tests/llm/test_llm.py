@@ -71,7 +71,7 @@ def test_equal_digests_chain(spark, monkeypatch):
 def test_directory_doubles_only_where_needed(spark):
     keys = [(i << 58, 10) for i in range(4)] + [(-1, 3), (-1, 30), (-(1 << 62), 3)]
     directory = exact_dedup.build_directory(spark.createDataFrame(keys, "key long, n_bytes long"), 10)
-    found = directory.find(np.array([k for k, _ in keys], np.int64)).tolist()
+    found = exact_dedup.find(np.array([k for k, _ in keys], np.int64), directory.depth, directory.entries).tolist()
     assert directory.depth == 6 and len(set(found[:4])) == 4 and found[4] == found[5] and found[4] != found[0]
     assert len(set(directory.entries[16:32].tolist())) == 1 and len(directory.entries) == 64
     far = exact_dedup.build_directory(spark.createDataFrame([(0, 8), (1, 8)], "key long, n_bytes long"), 10)
