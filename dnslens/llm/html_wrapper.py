@@ -3,23 +3,28 @@
 A page is a stream of block tags and text slots. Runs that repeat fold into `( ... )+`. The streams of a host are aligned
 one after another with the wrapper so far: what both have stays, what only one has becomes an optional group `( ... )?`,
 and a group meets its own repetition. Every page of a host goes into its wrapper: tasks fold their pages first and send
-one wrapper per host, so a host of any size reaches its merging task as a few short expressions.
+one wrapper per host, which are merged in two steps, so a host of any size reaches a task as a few short expressions.
 
-A text slot of a wrapper is known by the containers around it, and is content or not by these rules, in this order: slots
-in menus, headers, footers, sidebars, notices, adverts, forms and comments are not; if the page has text in an article or
-main container, the slots in it are and others are not; else slots are that over the host's pages are no mostly constant,
-short or linked text. The expression itself decides no row: it is shown, and these rules by container path choose the text.
+The wrapper's text slots decide what is content. A slot is met in the expression below its open containers, after a leaf
+tag (its address); a page's text belongs to the slot of its address, and text without a slot isn't content. Slots in menus,
+headers, footers, sidebars, notices, adverts, forms and comments aren't content, slots in an article or main container are.
+Of the others those are template whose text is the same on DISTINCT different pages, and content those that are mostly
+neither short nor linked (in a repeated group less length is asked for). Where a page has content in an article or main
+container, only that is taken.
 
 Null html gives an empty text; pages without a url share one wrapper; repeated rows are separate rows; broken and cut-off
-markup is read as far as it goes. An empty table gives an empty result.
+markup is read as far as it goes; a page of any length is read whole. An empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as entities
 import json
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -27,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dnslens.llm.common import store
+
 RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|title"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|(?P<text>[^<]+|<)",
@@ -42,9 +49,13 @@ BOILER_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted reader related replies reply respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget".split()
 )
 MAIN_WORDS = frozenset("article content entry main post story".split())
-LONGEST_PERIOD = 16
+#: Pairs of items that are aligned by comparing all; longer rows are first cut where both have an item once.
+PAIRS = 250_000
+#: Tasks' wrappers of one host are merged in so many groups first.
+GROUPS = 256
 #: A text that is the same on so many different pages is constant.
 DISTINCT = 3
+#: A text slot in a row: this and its address.
 TEXT = "#"
 
 
@@ -63,54 +74,76 @@ def tokens(page: str):
 
 
 def events(page: str):
-    """("tag", symbol, path), ("text", text, path), ("link", 1 or 0, path): path is the row of open containers.
+    """("tag", symbol, address), ("text", text, address), ("link", 1 or 0, address).
 
-    Containers that a page never closes stay open to its end; closing tags without an opening one are ignored.
+    An address is the row of open containers and, behind `>`, the last leaf since one of them opened or closed. Containers
+    that a page never closes stay open to its end; closing tags without an opening one are ignored.
     """
     stack: list[tuple[str, str]] = []
-    path = ""
+    path, address = "", ">"
     for kind, name, symbol in tokens(page):
         if kind == "text":
-            yield "text", name, path
+            yield "text", name, address
         elif name == "a":
-            yield "link", int(kind == "open"), path
+            yield "link", int(kind == "open"), address
         elif name == "br":
-            yield "text", " ", path
+            yield "text", " ", address
         elif name in INLINE:
             continue
         elif name in LEAF or name in VOID:
-            yield "tag", (symbol if kind == "open" else ""), path
+            if kind == "open":
+                address = f"{path}>{symbol}"
+            yield "tag", (symbol if kind == "open" else ""), address
         elif kind == "open":
             stack.append((name, symbol))
             path = "/".join(s for _, s in stack)
-            yield "tag", symbol, path
+            address = f"{path}>"
+            yield "tag", symbol, address
         else:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if at is not None:
                 del stack[at:]
                 path = "/".join(s for _, s in stack)
-                yield "tag", f"/{name}", path
+                address = f"{path}>"
+                yield "tag", f"/{name}", address
             else:
-                yield "tag", "", path
+                yield "tag", "", address
+
+
+def text_slots(items: tuple, repeated: bool = False) -> dict[str, bool]:
+    """The addresses of an expression's text slots, and whether one is in a repeated group."""
+    found: dict[str, bool] = {}
+    for x in items:
+        if not isinstance(x, str):
+            for address, again in text_slots(x[1], repeated or x[0] == "+").items():
+                found[address] = found.get(address, False) or again
+        elif x[0] == TEXT:
+            found[x[1:]] = found.get(x[1:], False) or repeated
+    return found
 
 
 def fold(row: list) -> tuple:
-    """Folds runs that repeat; a leaf with its text is a run of one."""
+    """Folds runs that repeat, of any length; a leaf with its text is a run of one."""
     out: list = []
     for x in row:
         out.append(x)
+        if x[0] == TEXT and len(out) > 1 and isinstance(out[-2], str) and out[-2].split(".")[0] in LEAF:
+            out[-2:] = [("+", (out[-2], x))]
         changed = True
         while changed:
             changed = False
-            for n in range(1, min(LONGEST_PERIOD, len(out) - 1) + 1):
-                last = tuple(out[-n:])
+            last, size = out[-1], len(out)
+            for n in range(1, size):
                 before = out[-n - 1]
-                if before == ("+", last):
+                if before == last:
+                    if n == 1 and last[0] == "+":
+                        del out[-1:]
+                    elif size >= 2 * n and out[-2 * n : -n] == out[-n:]:
+                        out[-2 * n :] = [("+", tuple(out[-n:]))]
+                    else:
+                        continue
+                elif before[0] == "+" and len(before[1]) == n and before[1][-1] == last and before[1] == tuple(out[-n:]):
                     del out[-n:]
-                elif len(out) >= 2 * n and tuple(out[-2 * n : -n]) == last:
-                    out[-2 * n :] = [last[0] if n == 1 and last[0][0] == "+" else ("+", last)]
-                elif n == 2 and isinstance(last[0], str) and last[0].split(".")[0] in LEAF and last[1] == TEXT:
-                    out[-2:] = [("+", last)]
                 else:
                     continue
                 changed = True
@@ -118,15 +151,65 @@ def fold(row: list) -> tuple:
     return tuple(out)
 
 
+def _optional(run) -> list:
+    """A run that may be left out; what is optional in it stays so by itself."""
+    out: list = []
+    held: list = []
+    for x in [*run, None]:
+        if x is None or x[0] == "?" and not isinstance(x, str):
+            out += [("?", tuple(held))] if held else []
+            out += [x] if x else []
+            held = []
+        else:
+            held.append(x)
+    return out
+
+
 def merge(w: tuple, s: tuple) -> tuple:
     """The wrapper that covers both: aligned so that as much as possible matches, the rest optional."""
     if w == s or not s:
         return w
     if not w:
         return s
+    lo = 0
+    while lo < min(len(w), len(s)) and w[lo] == s[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(w), len(s)) - lo and w[-hi - 1] == s[-hi - 1]:
+        hi += 1
+    middle, other = w[lo : len(w) - hi], s[lo : len(s) - hi]
+    between = _align(middle, other) if middle and other else _optional(middle or other)
+    return (*w[:lo], *between, *w[len(w) - hi :])
+
+
+def _anchors(w: tuple, s: tuple) -> list[tuple[int, int]]:
+    """Places of items that both have once, as many as come in the same order in both."""
+    once = [{x: i for i, x in enumerate(r) if r.count(x) == 1} if len(r) < 2000 else {x: r.index(x) for x, n in Counter(r).items() if n == 1} for r in (w, s)]
+    tails: list[int] = []
+    best: list[tuple] = []
+    for x, i in once[0].items():  # the longest ascending row of places in s
+        if (j := once[1].get(x)) is not None:
+            k = bisect.bisect_left(tails, j)
+            tails[k:], best[k:] = [j, *tails[k + 1 :]], [(i, j, best[k - 1] if k else None), *best[k + 1 :]]
+    out, at = [], best[-1] if best else None
+    while at:
+        out.append(at[:2])
+        at = at[2]
+    return out[::-1]
+
+
+def _align(w: tuple, s: tuple) -> list:
     n, m = len(w), len(s)
-    if n * m > 1_000_000:
-        return w
+    if n * m > PAIRS:
+        if not (cuts := _anchors(w, s)):
+            return [*_optional(w), *_optional(s)]
+        out: list = []
+        i = j = 0
+        for a, b in [*cuts, (n, m)]:
+            out += merge(w[i:a], s[j:b]) if w[i:a] and s[j:b] else _optional(w[i:a] or s[j:b])
+            out += w[a : a + 1]
+            i, j = a + 1, b + 1
+        return out
     group = lambda x, k: x[0] == k and not isinstance(x, str)
     score = [[0.0] * (m + 1) for _ in range(n + 1)]
     move: list[list] = [[None] * (m + 1) for _ in range(n + 1)]
@@ -152,21 +235,13 @@ def merge(w: tuple, s: tuple) -> tuple:
                         if k + score[i + di][j + dj] > best:
                             best, how = k + score[i + di][j + dj], (x, di, dj)
             score[i][j], move[i][j] = max(best, 0.0), how
-    out: list = []
+    out = []
     i = j = 0
     alone: dict[str, list] = {"w": [], "s": []}
 
     def settle() -> None:
         for side in ("w", "s"):
-            run: list = []
-            for x in alone[side]:
-                if group(x, "?"):
-                    out.extend([("?", tuple(run))] if run else [])
-                    run = []
-                    out.append(x)
-                else:
-                    run.append(x)
-            out.extend([("?", tuple(run))] if run else [])
+            out.extend(_optional(alone[side]))
             alone[side] = []
 
     while i < n or j < m:
@@ -183,12 +258,12 @@ def merge(w: tuple, s: tuple) -> tuple:
                 out.append(how)
         i, j = i + di, j + dj
     settle()
-    return tuple(out)
+    return out
 
 
 def show(w: tuple) -> str:
     """The wrapper as a regular expression over tags and text slots."""
-    return " ".join(x if isinstance(x, str) else f"( {show(x[1])} ){x[0]}" for x in w)
+    return " ".join(f"( {show(x[1])} ){x[0]}" if not isinstance(x, str) else TEXT if x[0] == TEXT else x for x in w)
 
 
 def _frozen(x):
@@ -196,7 +271,7 @@ def _frozen(x):
 
 
 class Wrapper:
-    """items: the expression. slots: by path of text slots hashes of up to DISTINCT different pages, texts, words, linked words, and the hash of the text if it never changes.
+    """items: the expression. slots: by address of text slots hashes of up to DISTINCT different pages, texts, words, linked words, and the hash of the text if it never changes.
 
     Pages are different if their texts outside of menus, adverts and the like are: copies of an article count once.
     """
@@ -214,8 +289,8 @@ class Wrapper:
             elif kind == "link":
                 linked = x
             elif text := x.strip():
-                if not row or row[-1] != TEXT:
-                    row.append(TEXT)
+                if not row or row[-1] != TEXT + path:
+                    row.append(TEXT + path)
                 got = mine.setdefault(path, [[], 0, 0, 0, xxhash.xxh64()])
                 n = text.count(" ") + 1
                 got[1], got[2], got[3] = got[1] + 1, got[2] + n, got[3] + n * linked
@@ -253,21 +328,23 @@ class Wrapper:
         items, slots = json.loads(text)
         return cls(_frozen(items), slots)
 
-    def content(self) -> dict[str, bool]:
-        """By path whether the slots there are content on pages without an article or main container."""
-        return {p: _place(p) == "" and self._prose(x) for p, x in self.slots.items()}
+    def content(self) -> list[str]:
+        """The addresses of the expression's slots that are content."""
+        return [a for a, repeated in text_slots(self.items).items() if a in self.slots and self._is_content(_place(a), repeated, self.slots[a])]
 
     @staticmethod
-    def _prose(x: list) -> bool:
+    def _is_content(place: str, repeated: bool, x: list) -> bool:
         pages, texts, words, linked, same = x
-        return words >= 5 * texts and linked < 0.5 * words and not (len(pages) >= DISTINCT and same is not None)
+        if place or len(pages) >= DISTINCT and same is not None:
+            return place == "main"
+        return linked < 0.5 * words and (words >= 5 * texts or repeated and words >= 3 * texts)
 
 
 @functools.lru_cache(maxsize=100_000)
-def _place(path: str) -> str:
+def _place(address: str) -> str:
     """boiler, main, or nothing that its containers tell."""
     found = ""
-    for symbol in path.split("/"):
+    for symbol in address.replace(">", "/").split("/"):
         name, *marks = symbol.split(".")
         words = {w for mark in marks for w in re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", mark).lower())}
         if name in BOILER_TAGS or words & BOILER_WORDS or name == "header" and not found:
@@ -277,21 +354,18 @@ def _place(path: str) -> str:
     return found
 
 
-def main_text(page: str | None, content: dict[str, bool]) -> str:
-    """The content blocks of a page, joined by line feeds."""
-    blocks, held, places = [], [], {}
+def main_text(page: str | None, content: frozenset) -> str:
+    """The blocks of a page at content slots, joined by line feeds."""
+    blocks, held = [], []
     found = list(events(page or ""))
-    main = {p: _place(p) == "main" for p in {path for kind, x, path in found if kind == "text" and x.strip()}}
-    content = main if any(main.values()) else content
-    for kind, x, path in found:
+    main = {a for kind, x, a in found if kind == "text" and x.strip() and a in content and _place(a) == "main"}
+    taken = main or content
+    for kind, x, address in found:
         if kind == "tag":
             blocks.append(held)
             held = []
-        elif kind == "text":
-            if path not in places:
-                places[path] = content.get(path, False)
-            if places[path]:
-                held.append(entities.unescape(x))
+        elif kind == "text" and address in taken:
+            held.append(entities.unescape(x))
     blocks.append(held)
     return "\n".join(t for b in blocks if b and (t := " ".join("".join(b).split())))
 
@@ -302,7 +376,7 @@ def _with_host(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (its expression), state (for Wrapper.load), n_pages."""
+    """host, wrapper (its expression), content (addresses of its content slots), n_pages."""
 
     def local(batches):
         def rows(found: dict):
@@ -319,30 +393,38 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 found = {}
         yield rows(found)
 
-    def whole(t: pd.DataFrame) -> pd.DataFrame:
+    def joined(t: pd.DataFrame) -> Wrapper:
         w = Wrapper()
         for state in sorted(t["state"]):
             w.join(Wrapper.load(state))
-        return pd.DataFrame({"host": [t["host"].iloc[0]], "wrapper": [show(w.items)], "state": [w.dump()], "n_pages": [int(t["n_pages"].sum())]})
+        return w
+
+    def some(t: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [t["host"].iloc[0]], "state": [joined(t).dump()], "n_pages": [int(t["n_pages"].sum())]})
+
+    def whole(t: pd.DataFrame) -> pd.DataFrame:
+        w = joined(t)
+        return pd.DataFrame({"host": [t["host"].iloc[0]], "wrapper": [show(w.items)], "content": [w.content()], "n_pages": [int(t["n_pages"].sum())]})
 
-    parts = _with_host(pages).select("host", "html").mapInArrow(local, "host string, state string, n_pages long")
-    return parts.groupBy("host").applyInPandas(whole, "host string, wrapper string, state string, n_pages long")
+    parts = _with_host(pages).select("host", "html").mapInArrow(local, "host string, state string, n_pages long").withColumn("part", F.spark_partition_id() % GROUPS)
+    fewer = parts.groupBy("host", "part").applyInPandas(some, "host string, state string, n_pages long")
+    return fewer.groupBy("host").applyInPandas(whole, "host string, wrapper string, content array<string>, n_pages long")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars, host."""
-    found = wrappers(pages).select("host", "state")
+    """One row per page: page_id, url, text, n_chars, host. Wrappers go to the pages where Spark finds them small enough to."""
+    found = store(wrappers(pages).select("host", "content"), "wrappers")
 
     def run(batches):
-        known: dict[str, dict] = {}
+        known: dict[str, frozenset] = {}
         for b in batches:
             texts = []
-            for page, host, state in zip(b.column("html"), b.column("host").to_pylist(), b.column("state"), strict=True):
+            for page, host, content in zip(b.column("html"), b.column("host").to_pylist(), b.column("content"), strict=True):
                 if host not in known:
                     if len(known) > 5000:
                         known.clear()
-                    known[host] = Wrapper.load(state.as_py()).content() if state.is_valid else {}
+                    known[host] = frozenset(content.as_py() or ())
                 texts.append(main_text(page.as_py(), known[host]))
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), b.column("host")], names=["page_id", "url", "text", "n_chars", "host"])
 
-    return _with_host(pages).join(found, "host", "left").select("page_id", "url", "html", "host", "state").mapInArrow(run, "page_id long, url string, text string, n_chars long, host string")
+    return _with_host(pages).join(found, "host", "left").select("page_id", "url", "html", "host", "content").mapInArrow(run, "page_id long, url string, text string, n_chars long, host string")

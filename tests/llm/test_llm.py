@@ -507,6 +507,84 @@ def test_html_bodies_that_open_alike_or_are_copies(spark):
     assert {i: got[i] for i in range(6)} == dict(enumerate(bodies)) and all(got[10 + i].startswith(bodies[0]) for i in range(5))
 
 
+def brute_main(page):
+    """The article's blocks of a page of the test tables, by the library's own parser."""
+    import html.parser
+
+    class Reader(html.parser.HTMLParser):
+        blocks, depth, skip = None, 0, 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style", "title"):
+                self.skip += 1
+            elif tag == "article":
+                self.depth += 1
+            if tag not in ("b", "i", "a", "br", "em", "strong", "span"):
+                self.blocks.append([])
+            if tag == "br":
+                self.blocks[-1].append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style", "title"):
+                self.skip -= 1
+            elif tag == "article":
+                self.depth -= 1
+            if tag not in ("b", "i", "a", "br", "em", "strong", "span"):
+                self.blocks.append([])
+
+        def handle_data(self, data):
+            if self.depth and not self.skip:
+                self.blocks[-1].append(data)
+
+    reader = Reader(convert_charrefs=True)
+    reader.blocks = [[]]
+    reader.feed(page or "")
+    reader.close()
+    return "\n".join(t for b in reader.blocks if (t := " ".join("".join(b).split())))
+
+
+def test_html_of_all_pages(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r.page_id: r for r in queries.op2_html_wrapper(spark, sf).collect()}
+    assert set(got) == set(pages) and all(r.n_chars == len(r.text) for r in got.values())
+    assert {i: r.text for i, r in got.items()} == {i: brute_main(h) for i, h in pages.items()}
+
+
+def test_only_slots_of_the_expression_are_content(monkeypatch):
+    page = "<div class=menu>Home</div><div><p>Number {} has plain prose without any container around it.</div>"
+    made = []
+    for stub in (False, True):
+        if stub:
+            monkeypatch.setattr(html_wrapper, "merge", lambda w, s: w)
+        w = html_wrapper.Wrapper()
+        for i in range(3):
+            w.add(page.format(i))
+        made.append(html_wrapper.main_text(page.format(1), frozenset(w.content())))
+    assert made == ["Number 1 has plain prose without any container around it.", ""]
+
+
+def test_every_page_is_in_its_wrapper():
+    """Random, unbalanced and long pages: each of their texts has a slot, whichever way rows are aligned."""
+    rng = np.random.default_rng(4)
+    parts = ["<div>", "</div>", "<div class=x>", "<p>", "</p>", "text ", "<ul>", "<li>", "</ul>", "<hr>", "<td>", "<section>", "</section>", "<h1>"]
+    for most, pairs in ((12, html_wrapper.PAIRS), (60, 50), (600, 1000)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(html_wrapper, "PAIRS", pairs)
+            pages = ["".join(rng.choice(parts, rng.integers(1, most))) for _ in range(25 if most < 1000 else 3)]
+            w = html_wrapper.Wrapper()
+            for page in pages:
+                w.add(page)
+            slots = html_wrapper.text_slots(w.items)
+            for page in pages:
+                assert {a for kind, x, a in html_wrapper.events(page) if kind == "text" and x.strip()} <= set(slots)
+
+
+def test_long_runs_fold():
+    row = [f"t{i}" for i in range(40)]
+    assert html_wrapper.fold(row * 3) == (("+", tuple(row)),)
+
+
 def test_wrappers_merge():
     a, b = html_wrapper.fold(["p", "#", "p", "#", "hr"]), html_wrapper.fold(["p", "#", "div", "#", "hr"])
     assert html_wrapper.show(html_wrapper.merge(a, b)) == "( p # )+ ( div # )? hr"
