@@ -8,11 +8,15 @@ item under some mask. Around each hit the two word rows are compared along the d
 
 Items shorter than the masks' span are met by all of their words, or all but one where the
 similarity lets one differ. Items and documents without words never match. Null
-texts count as empty; a null id is kept as is; repeated items are reported each; an empty table gives no rows.
+texts count as empty; a null id is kept as is; repeated rows and items are reported each; of equally long regions the first
+counts; an empty table gives no rows; a very long text is looked up in bounded steps; other columns are not read by `leaks`,
+and stay in `drop_leaks`.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +28,19 @@ from dnslens.llm.common import mix, numbered, slices, text_buffer, texts_of, wit
 #: which two inner ones differ. A longer region splits into parts of 12 to 23, one of which is as similar as the whole.
 MASKS = ("1101111", "1100010111", "11111001", "1110001011", "1010011101", "10110111")
 LEAST_WORDS, SIMILARITY = 12, 0.8
-BLOCK_ITEMS = 20_000
+#: Items and bytes of a block of the benchmark, and hits that are looked at in one step.
+BLOCK_ITEMS, BLOCK_BYTES, STEP = 20_000, 32 << 20, 1 << 18
+
+_INDEXES: dict[tuple, ItemIndex] = {}
+
+
+def _index_of(key: tuple, items: list[tuple]) -> ItemIndex:
+    """A worker's index of a block, made once for all of its tasks. key: the call and block, least words and similarity."""
+    if key not in _INDEXES:
+        if len(_INDEXES) >= 2:
+            _INDEXES.clear()
+        _INDEXES[key] = ItemIndex(items, *key[2:])
+    return _INDEXES[key]
 
 
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,11 +103,14 @@ class ItemIndex:
             if not len(at):
                 continue
             n = np.searchsorted(hashes, h[at], "right") - lo[at]
-            where = np.repeat(at, n)
-            k = np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            doc = np.searchsorted(first, where, "right") - 1
-            inside = where + len(mask) <= first[doc + 1]
-            found.update(zip(doc[inside].tolist(), item[k][inside].tolist(), (where - place[k])[inside].tolist(), strict=True))
+            steps = np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), STEP), "left")
+            for p, q in zip(steps, [*steps[1:], len(at)], strict=True):
+                some = at[p:q]
+                where = np.repeat(some, n[p:q])
+                k = np.repeat(lo[some], n[p:q]) + np.arange(len(where)) - np.repeat(np.cumsum(n[p:q]) - n[p:q], n[p:q])
+                doc = np.searchsorted(first, where, "right") - 1
+                inside = where + len(mask) <= first[doc + 1]
+                found.update(zip(doc[inside].tolist(), item[k][inside].tolist(), (where - place[k])[inside].tolist(), strict=True))
         best: dict = {}
         for doc, i, diagonal in found:
             if (r := self._region(words[first[doc] : first[doc + 1]], self.words[i], diagonal - int(first[doc]))) and r[1] > best.get((doc, i), (0, 0, 0))[1]:
@@ -127,19 +146,19 @@ LEAKS = "doc_id long, item_id long, start int, n_words int, similarity double"
 def leaks(docs: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row for each document and benchmark item that share a passage: doc_id, item_id, start (word), n_words, similarity.
 
-    Items go to the tasks in blocks of block_items at most, each against all documents, so what is broadcast is bounded.
+    Items go to the tasks in blocks of about block_items and BLOCK_BYTES, each against all documents, so what is broadcast is bounded.
     """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = items.count()
-    blocks = max(1, -(-n // block_items))
-    out = None
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_items), -(-size // BLOCK_BYTES))
+    out, call = None, uuid.uuid4().hex
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         shared = spark.sparkContext.broadcast(sorted(((r[0], r[1]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
-        def run(batches, shared=shared):
-            index = ItemIndex(shared.value, least_words, similarity)
+        def run(batches, shared=shared, key=(call, k, least_words, similarity)):
+            index = _index_of(key, shared.value)
             for b in batches:
                 data, offsets = text_buffer(b.column("text"), lower=True)
                 ids, rows = b.column("doc_id"), []

@@ -5,12 +5,14 @@ hashed to a fixed number of rows. Training rows are a bounded sample, at most ab
 every text is scored as a whole. A temperature, fitted on a part of the sample that training doesn't see, calibrates the
 scores, and the rejection threshold is SLACK times the score that all but `reject_share` of that part reach.
 
-`und` (score 0) if the text is null or has no letter. With no labelled rows every text is `und`. Repeated rows are
-separate rows; extra columns don't matter.
+`und` (score 0) if the text is null or has no letter. With no labelled rows every text is `und`. Of equal scores the language
+that sorts first is predicted. Repeated rows are separate rows (a copied text is learned once); an empty table gives an empty
+result; very long texts are read in parts that overlap, so none of their subwords is lost; other columns don't matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,19 +23,29 @@ from pyspark.sql import functions as F
 from dnslens.llm.common import texts_of
 
 BUCKETS, WIDTH, UNKNOWN = 1 << 15, 16, "und"
+#: Characters in work at once.
+PART = 1 << 18
 #: A text is rejected under this share of the score that nearly all calibration texts reach.
 SLACK = 0.6
 _MULTIPLIERS = tuple(np.uint32(m) for m in (2654435761, 2246822519, 3266489917, 668265263))
 
 
+def subword_parts(text: str) -> Iterator[np.ndarray]:
+    """Bucket numbers of the character 2-, 3- and 4-grams of a text, of those that begin in each PART characters."""
+    whole = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    for lo in range(0, len(whole), PART):
+        code = whole[lo : lo + PART + 3]
+        out, mixed = [], code * _MULTIPLIERS[0]
+        for n in (1, 2, 3):
+            mixed = (mixed[:-1] ^ (mixed[:-1] >> np.uint32(15))) * _MULTIPLIERS[1] + code[n:] * _MULTIPLIERS[n]
+            gram = mixed[:PART]
+            out.append((gram ^ (gram >> np.uint32(13))) * _MULTIPLIERS[2] >> np.uint32(17))
+        yield np.concatenate(out)
+
+
 def subwords(text: str) -> np.ndarray:
-    """Bucket numbers of the character 2-, 3- and 4-grams of a text."""
-    code = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    out, mixed = [], code * _MULTIPLIERS[0]
-    for n in (1, 2, 3):
-        mixed = (mixed[:-1] ^ (mixed[:-1] >> np.uint32(15))) * _MULTIPLIERS[1] + code[n:] * _MULTIPLIERS[n]
-        out.append((mixed ^ (mixed >> np.uint32(13))) * _MULTIPLIERS[2] >> np.uint32(17))
-    return np.concatenate(out)
+    """All of them."""
+    return np.concatenate(list(subword_parts(text)))
 
 
 @dataclass
@@ -49,8 +61,7 @@ class LanguageModel:
         if text is None or not self.languages or not any(map(str.isalpha, text)):
             return None
         total, n = np.zeros(len(self.languages)), 0
-        for lo in range(0, len(text), 1 << 18):
-            b = subwords(text[lo : lo + (1 << 18)])
+        for b in subword_parts(text):
             total, n = total + self.weights[b].sum(0, dtype=np.float64), n + len(b)
         z = (total / n + self.bias) / self.temperature
         z = np.exp(z - z.max())

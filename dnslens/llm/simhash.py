@@ -6,7 +6,8 @@ the radius has equal masked values in some table: nothing is missed.
 
 Copies of one fingerprint are one node. A bucket links its fingerprints by a local forest (never all pairs); links then
 become components by rounds of large-star and small-star. Empty and null texts have fingerprint zero and link like any
-other. A null doc_id never names a component unless all of its rows have none. Empty tables give empty results.
+other. A null doc_id never names a component unless all of its rows have none; repeated rows and ties share a fingerprint and
+so a component. A text of any length has one fingerprint. Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -152,7 +153,10 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node of its component) of the links a, b; alternating large-star and small-star until stable."""
+    """node, root (the smallest node of its component) of the links a, b; alternating large-star and small-star until stable.
+
+    These settle in O(log^2 n) rounds at worst and about log n in practice, so most_rounds is enough for 2^50 nodes.
+    """
     edges = store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     for _ in range(most_rounds):

@@ -7,7 +7,9 @@ the text by `language_id`, never as given - the threshold with the best F1 on a
 becomes score 0.5.
 
 Null and empty texts are scored like a text without any feature. With no labelled rows every score is 0. A null label
-isn't learned from; a doc_id with several labels counts by each. Extra columns don't matter.
+isn't learned from; a doc_id with several labels counts by each. Repeated rows are scored alike, each as a row of its own; an
+empty table gives an empty result; where a filter's largest value occurs twice, training moves the first place. Other
+columns don't matter.
 """
 
 from __future__ import annotations

@@ -408,6 +408,16 @@ def test_samples_take_a_copied_text_once(spark):
     assert toxicity.labelled_sample(docs, labels, 100)[:2] == (["same words", "same words"], [0, 1])
 
 
+def test_repeated_words_and_items(spark, monkeypatch):
+    """A text of one word over and over, in small steps; the same item twice."""
+    monkeypatch.setattr(decontaminate, "STEP", 64)
+    index = decontaminate.ItemIndex([(1, "x x x x"), (2, "x " * 30), (3, "y")])
+    words, first = decontaminate.plain_words(*decontaminate.text_buffer(pa.array(["x " * 500, "y"]), lower=True))
+    assert {(d, i) for d, i, *_ in index.hits(words, first)} == {(0, 0), (0, 1), (1, 2)}
+    df = spark.createDataFrame([(1, "a b c d")] * 2, "doc_id long, text string")
+    assert [tuple(r)[:2] for r in decontaminate.leaks(df, spark.createDataFrame([(7, "a b c"), (7, "a b c")], "item_id long, text string")).collect()] == [(1, 7)] * 4
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(3)
     word = lambda: "w" + str(rng.integers(10_000))
@@ -445,6 +455,13 @@ def test_language_id_of_odd_rows(spark, odd, none):
     assert language_id.keep_known(odd).columns == odd.columns
 
 
+def test_long_texts_lose_no_subwords(monkeypatch):
+    text = " ".join(f"w{i}x" for i in range(3000))
+    whole = np.bincount(language_id.subwords(text), minlength=1 << 15)
+    monkeypatch.setattr(language_id, "PART", 100)
+    assert (np.bincount(language_id.subwords(text), minlength=1 << 15) == whole).all()
+
+
 def test_every_language_is_learned(spark):
     """More than 64 languages, each of words of its own."""
     rng = np.random.default_rng(6)
@@ -469,6 +486,18 @@ def test_toxicity(spark, sf):
     assert auc > 0.9 and ((s >= 0.5) == y).mean() > 0.93
 
 
+def test_toxicity_of_odd_rows(spark, sf, odd, none):
+    """A real model on nulls, empty, long and repeated texts, and on an empty table."""
+    sf = sf.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels, language_id.fit(docs, 200), per_class=60)
+    got = sorted(((r.doc_id or 0, r.score) for r in toxicity.score(odd, model).collect()))
+    assert len(got) == len(ROWS) and all(0 <= s <= 1 for _, s in got)
+    by = dict(got)
+    assert by[3] == by[4] == by[5] and len([1 for i, s in got if i == 6 and s == by[6]]) == 2
+    assert toxicity.score(none, model).count() == 0
+
+
 def test_toxicity_without_labels(spark, odd):
     none = spark.createDataFrame([(1, 1, None)], "doc_id long, quality long, toxic long")
     model = toxicity.fit(odd, none, language_id.fit(odd))
