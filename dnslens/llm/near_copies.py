@@ -5,10 +5,12 @@ RADIUS bits. Pairs at 0.8 differ in about ten bits of 64, for which covering mas
 buckets also take MinHash keys: BANDS of ROWS least values, in none of which a pair at 0.8 exactly meets with a chance of
 (1 - 0.8^4)^20 = 3 in 100,000, and a closer pair with less. Every candidate link is checked on the whole sets.
 
-Documents with one set are one node. Where buckets hold many pairs, nodes are compared with one changing member of their
-bucket a turn, and only those that are still in different components go on; when no more than MANY pairs a member are left,
-they are compared one by one. So a large group of near copies isn't compared pair by pair, and no candidate pair stays
-unchecked unless its ends are linked.
+Documents with one set are one node. In each turn every node is compared with a head of each of its buckets that isn't yet in
+its component; heads change from turn to turn and by kinds of keys (HEADS, then four times as many a turn). A turn's work grows
+with the entries of buckets, not with their square: a large group of near copies is a few stars, joined by later turns. When no
+more pairs of different components are left than there are entries, or after TURNS, those that are left are compared one by
+one. So no candidate pair stays unchecked unless its ends are linked; only a large bucket of nodes that are all unlike each
+other costs more than in proportion.
 
 Lower case, words split at white space; a text under five words is one shingle, null and empty texts are one set. Two sets
 or shingles with one 64-bit hash would be taken as equal. Rows are told apart by number, so repeated and null doc_ids, and
@@ -27,7 +29,7 @@ from dnslens.llm.common import gram_hashes, mix, numbered, slices, store, text_b
 from dnslens.llm.simhash import components, covering_masks
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
-TURNS, MANY = 8, 16
+TURNS, HEADS = 6, 4
 _MASKS = np.array(covering_masks(), np.uint64)
 KEYS = BANDS + len(_MASKS)
 _FACTORS = np.random.default_rng(11).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,40 +108,37 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def near_groups(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> DataFrame:
     """One row per numbered row: doc_id, row_id, component (a node)."""
     found = store(prints(rows, row), "shingles")
-    nodes = found.groupBy("node").agg(F.min_by(F.struct("row_id", "keys"), "row_id").alias("r")).select("node", "r.*")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    member = store(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi").select("node", "key", F.col("node").alias("root")), "buckets")
-    sets = store(_sets(rows, row, nodes.select("node", "row_id").join(member.select("node").distinct(), "node", "left_semi")), "sets")
-    links = tested = None
-    fresh = True
-    for turn in range(TURNS):
-        kinds = member.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("k")).where("k > 1")
-        member = store(member.join(kinds.select("key"), "key", "left_semi"), "buckets")
-        left, size = kinds.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if not left:
-            break
-        whole = left <= MANY * size or not fresh or turn == TURNS - 1
-        if whole:
-            one, other = (member.select("key", F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "p"), ("b", "q")))
-            pairs = one.join(other, "key").where("a < b and p <> q").select("a", "b")
+    nodes = store(found.groupBy("node").agg(F.min_by(F.struct("row_id", "keys"), "row_id").alias("r")).select("node", "r.*"), "nodes")
+    entries = nodes.select("node", F.explode("keys").alias("key"))
+    links = roots = None
+    last = False
+    for turn in range(TURNS + 1):
+        known = entries.withColumn("root", F.col("node")) if roots is None else entries.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+        if turn:
+            kinds = known.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
+            left, n = kinds.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
+            last = turn == TURNS or (left or 0) <= (n or 0)
+        if last:
+            mixed = known.join(kinds.where(F.col("n") * F.col("n") > F.col("own")).select("key"), "key", "left_semi")
+            one, other = (mixed.select("key", F.col("node").alias(x), F.col("root").alias(r)) for x, r in (("a", "p"), ("b", "q")))
+            pairs = one.join(other, "key").where("a < b and p <> q").select("a", "b").distinct()
         else:
-            heads = member.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("h"))
-            pairs = member.join(heads, "key").where("root <> h.root").select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"))
-        pairs = pairs.distinct()
-        pairs = store(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            heads = known.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.pmod("key", F.lit(HEADS << 2 * min(turn, 2))), F.lit(turn))).alias("h"))
+            met = known.join(heads, "key").groupBy(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).agg(F.first("root").alias("p"), F.first("h.root").alias("q"))
+            pairs = met.where("p <> q").select("a", "b")
+        pairs = store(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = _sets(rows, row, nodes.select("node", "row_id").join(ends, "node", "left_semi"))
         good = store(_checked(pairs, sets, similarity), "links")
-        fresh = bool(good.take(1))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = good if links is None else links.unionByName(good)
-        if whole:
+        if good.take(1):
+            links = good if links is None else links.unionByName(good)
+            roots = components(links)
+        if last:
             break
-        if fresh:
-            member = store(member.drop("root").join(components(links).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "key", F.coalesce("root", "node").alias("root")), "buckets")
     found = found.drop("keys")
-    if links is None:
+    if roots is None:
         return found.withColumnRenamed("node", "component")
-    roots = components(links).withColumnRenamed("node", "n")
-    return found.join(roots, F.col("node") == F.col("n"), "left").select("doc_id", "row_id", F.coalesce("root", "node").alias("component"))
+    return found.join(roots, "node", "left").select("doc_id", "row_id", F.coalesce("root", "node").alias("component"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
