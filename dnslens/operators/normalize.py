@@ -101,9 +101,10 @@ def relabel_remove(flat: DataFrame, patterns: list[str]) -> DataFrame:
 
 def _rename(pattern: str, name: str):
     def rule(m: Column) -> Column:
-        values = F.transform(F.filter(F.array_sort(F.map_entries(m)), _key_like(pattern)), lambda e: e["value"])
-        joined = F.when(F.size(values) == 1, F.get(values, 0)).otherwise(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")))
-        return F.when(F.size(values) > 0, F.map_concat(F.map_filter(m, _unlike(pattern, name)), F.create_map(F.lit(name), joined))).otherwise(m)
+        hits = F.transform(F.array_sort(F.filter(F.map_entries(m), _key_like(pattern))), lambda e: e["value"])
+        joined = lambda v: F.when(F.size(v) == 1, F.get(v, 0)).otherwise(F.concat(F.lit("["), F.array_join(v, ","), F.lit("]")))
+        renamed = lambda v: F.when(F.size(v) > 0, F.map_concat(F.map_filter(m, _unlike(pattern, name)), F.create_map(F.lit(name), joined(v)))).otherwise(m)
+        return F.get(F.transform(F.array(hits), renamed), 0)
 
     return rule
 
@@ -111,7 +112,7 @@ def _rename(pattern: str, name: str):
 def relabel_rename(flat: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """Keys that a pattern finds get a new name; values that meet under one name are joined in key order as a list.
 
-    Works inside the row's map: no shuffle. Each rule names the map in a lambda, so that it is made once.
+    Works inside the row's map: no shuffle. Each rule names the map in a lambda, and its hits, so that both are made once.
     """
     out = flat
     for pattern, name in rules:

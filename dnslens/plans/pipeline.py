@@ -15,6 +15,7 @@ Step = Callable[[DataFrame], DataFrame]
 #: The order in which a chain runs its steps unless told otherwise: latency before scoring, places before masking.
 ORDER = ("normalize", "filtering", "reducer", "atags", "relabel", "latency", "suspicious", "geoip", "privacy", "extract", "ml", "rewrite", "new_domain", "reorder")
 #: The order of the message pipeline that this library's steps are modelled on.
+# The order in which stages ran classically.
 CLASSIC_ORDER = ("normalize", "filtering", "reducer", "atags", "relabel", "privacy", "extract", "suspicious", "ml", "latency", "geoip", "rewrite", "new_domain", "reorder")
 
 
@@ -64,7 +65,10 @@ def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path in the folder that executors share, removed when the application ends."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dnslens-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="dnslens-")
     path = f"{base.rstrip('/')}/dnslens-{tag}-{uuid.uuid4().hex}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -251,7 +251,7 @@ _ml("ml_consecutive", ["ml_consecutive_chars", "ml_consecutive_vowels", "ml_cons
 _add("ml_traffic", lambda d: score.ml_features(state.reduce_traffic(d)).select("msg_id", "ml_size", "ml_occurrences", "ml_uncommon_qtype"), "SELECT f.msg_id AS msg_id, cumulative_length AS ml_size, occurrences AS ml_occurrences, CASE WHEN qtype IN ('A', 'AAAA', 'HTTPS', 'SRV', 'PTR', 'SOA', 'NS') THEN CAST(0 AS BIGINT) ELSE 1 END AS ml_uncommon_qtype FROM reduced", "reduced")
 _pairs = "unnest([" + ", ".join(f"struct_pack(key := '{k}', value := CAST({v} AS VARCHAR))" for k, v in sorted((_flat | {"dnstap.latency": "'0'"}).items())) + "], recursive := true)"
 _an = "SELECT msg_id, 'dns.resource-records.an.0.' || key AS key, value FROM (SELECT msg_id, unnest([struct_pack(key := 'name', value := name), struct_pack(key := 'rdatatype', value := rdatatype), struct_pack(key := 'class', value := class), struct_pack(key := 'ttl', value := CAST(ttl AS VARCHAR)), struct_pack(key := 'rdata', value := rdata)], recursive := true) FROM answers) UNION ALL SELECT msg_id, 'dns.resource-records.an', '-' FROM dns_log WHERE msg_id NOT IN (SELECT msg_id FROM answers)"
-_pairs_of = lambda flat: flat.select("msg_id", F.explode("flat").alias("key", "value"))
+_pairs_of = lambda flat: flat.select("msg_id", F.explode_outer("flat").alias("key", "value"))  # noqa: E731; explode would have the optimizer ask for the size of a second map
 _add("flatten", lambda d: _pairs_of(normalize.flatten(X.with_answers(d))), f"SELECT msg_id, {_pairs} FROM dns_log UNION ALL {_an}", "answers")
 _FLAT_AN = f"SELECT msg_id, {_pairs} FROM dns_log UNION ALL {_an}"
 _add("relabel_rename", lambda d: _pairs_of(normalize.relabel_rename(normalize.flatten(X.with_answers(d)), [(r"^dns\.q(name|type)$", "question"), (r"^dns\.rcode$", "code")])), f"SELECT msg_id, CASE key WHEN 'dns.rcode' THEN 'code' ELSE key END AS key, value FROM ({_FLAT_AN}) WHERE key NOT IN ('dns.qname', 'dns.qtype') UNION ALL SELECT msg_id, 'question', '[' || qname || ',' || qtype || ']' FROM dns_log", "answers")
@@ -350,15 +350,15 @@ for _k, _where, _args in (("new_domains", _WHITE, {"whitelist": [r"shop\.example
 
 
 def _stream(d: DataFrame) -> DataFrame:
-    """The log as a stream: files in time order, then read as they are."""
+    """The log as a stream of several micro-batches: files in time order, one a batch."""
     path = pipeline.scratch(d.sparkSession, "log")
-    d.write.parquet(path)
-    return stateful.with_time(d.sparkSession.readStream.schema(d.schema).parquet(path))
+    stateful.in_time_order(d, path)
+    return stateful.with_time(d.sparkSession.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path))
 
 
 _once = lambda d, f, mode="append": stateful.run_once(f(_stream(d)), pipeline.scratch(d.sparkSession, "stream"), mode)
 _add("latency_stream", lambda d: _once(d, stateful.measure_latency).withColumn("latency", F.round("latency", 9)), "SELECT msg_id, round(latency, 9) AS latency FROM lat WHERE latency > 0", "lat")
-_add("unanswered_stream", lambda d: _once(d, stateful.unanswered))
+_add("unanswered_stream", lambda d: _once(d.unionByName(stateful.closing_row(d)), stateful.unanswered).where("msg_id >= 0"), "SELECT msg_id FROM full_log WHERE rcode = 'TIMEOUT'", "full")
 _add("metrics_stream", lambda d: _once(d, stateful.metrics, "complete"), "SELECT ts_ns // 60000000000 * 60 AS start, identity, count(*) AS messages, CAST(sum(length) AS BIGINT) AS bytes FROM dns_log GROUP BY ALL")
 
 

@@ -47,7 +47,25 @@ EXTENDED_ERRORS = (
     "Filtered", "Prohibited", "Stale NXDOMAIN Answer", "Not Authoritative", "Not Supported", "No Reachable Authority",
     "Network Error", "Invalid Data",
 )
-OPERATION_CODES = {f"{who}_{what}": f"{who[0]}{code}" for who in ("AUTH", "RESOLVER", "CLIENT", "FORWARDER", "STUB", "TOOL", "UPDATE") for what, code in (("QUERY", "Q"), ("RESPONSE", "R"))} | {"DNSQueryType": "Q", "DNSResponseType": "R"}
+# Short names of operations.
+OPERATION_CODES = {
+    "AUTH_QUERY": "AQ",
+    "AUTH_RESPONSE": "AR",
+    "RESOLVER_QUERY": "RQ",
+    "RESOLVER_RESPONSE": "RR",
+    "CLIENT_QUERY": "CQ",
+    "CLIENT_RESPONSE": "CR",
+    "FORWARDER_QUERY": "FQ",
+    "FORWARDER_RESPONSE": "FR",
+    "STUB_QUERY": "SQ",
+    "STUB_RESPONSE": "SR",
+    "TOOL_QUERY": "TQ",
+    "TOOL_RESPONSE": "TR",
+    "UPDATE_QUERY": "UQ",
+    "UPDATE_RESPONSE": "UR",
+    "DNSQueryType": "Q",
+    "DNSResponseType": "R",
+}
 TYPE_CODES = {"QUERY": "Q", "REPLY": "R"}
 FAMILY_CODES = {"INET6": "6", "INET": "4", "IPv6": "6", "IPv4": "4"}
 #: Short response codes; NOTIMP and its other spelling both mean 4.
@@ -62,6 +80,7 @@ def lookup(table: dict, key: Column, default: Column | str = "UNKNOWN") -> Colum
 
 
 #: Keys of the flat view that come from flat columns, and the others' values while unset.
+# Keys of the flat view, and what they hold where nothing is known.
 FLAT_KEYS = {
     "dns.flags.aa": "flag_aa", "dns.flags.rd": "flag_rd", "dns.id": "dns_id", "dns.length": "length",
     "dns.malformed-packet": "malformed", "dns.qname": "qname", "dns.qtype": "qtype", "dns.rcode": "rcode",

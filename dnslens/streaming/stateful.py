@@ -72,6 +72,23 @@ def reordered(stream: DataFrame, write) -> object:
     return stream.writeStream.foreachBatch(lambda df, k: write(df.orderBy("ts_ns", "msg_id"), k))
 
 
+def in_time_order(log: DataFrame, path: str, files: int = 6) -> None:
+    """Writes a log as files that a stream reads in the order of their rows' times, whichever task wrote them first."""
+    log.repartitionByRange(files, "ts_ns").sortWithinPartitions("ts_ns", "msg_id").write.parquet(path)
+    jvm = log.sparkSession._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(log.sparkSession._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for k, part in enumerate(parts):  # a source takes files by the time they were changed
+        fs.setTimes(part, 1_000_000_000_000 + 1000 * k, -1)
+
+
+def closing_row(log: DataFrame, after_ns: int = 3_600_000_000_000) -> DataFrame:
+    """A row well after the log's last, with msg_id -1: its time lets a watermark pass all rows before it."""
+    last = log.agg(F.max_by(F.struct("*"), "ts_ns").alias("r")).where("r is not null").select("r.*")
+    return last.withColumns({"msg_id": F.lit(-1).cast("long"), "ts_ns": F.col("ts_ns") + F.lit(after_ns), "dns_type": F.lit("QUERY"), "malformed": F.lit(False), "query_port": F.lit("0")})
+
+
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what its source has now, into Parquet below folder, and reads it."""
     spark = stream.sparkSession

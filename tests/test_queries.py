@@ -28,7 +28,18 @@ def test_query(spark, sf, con, name):
     assert a == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
-def test_unanswered_stream_is_part_of_the_batch(spark, sf):
+def test_unanswered_stream_equals_the_batch(spark, sf):
     batch = {r.msg_id for r in Q.QUERIES["unanswered_queries"](spark, sf).where("rcode = 'TIMEOUT'").collect()}
-    stream = {r.msg_id for r in Q.QUERIES["unanswered_stream"](spark, sf).collect()}
-    assert stream and stream <= batch
+    assert batch == {r.msg_id for r in Q.QUERIES["unanswered_stream"](spark, sf).collect()}
+
+
+def test_streams_take_files_in_time_order(spark, sf, tmp_path):
+    from dnslens import fixtures
+    from dnslens.streaming import stateful
+
+    log, path, seen = fixtures.dns_log(spark, sf), str(tmp_path / "log"), []
+    stateful.in_time_order(log, path)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    reader = stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+    reader.foreachBatch(lambda df, k: seen.append(tuple(df.selectExpr("min(ts_ns)", "max(ts_ns)").first()))).start().awaitTermination()
+    assert len(seen) == 6 and all(a[1] <= b[0] for a, b in zip(seen, seen[1:], strict=False))
