@@ -8,7 +8,7 @@ buckets also take MinHash keys: BANDS of ROWS least values, in none of which a p
 Documents with one set are one node. In each turn every node is compared with a head of each of its buckets that isn't yet in
 its component; heads change from turn to turn and by kinds of keys (HEADS, then four times as many a turn). A turn's work grows
 with the entries of buckets, not with their square: a large group of near copies is a few stars, joined by later turns. When no
-more pairs of different components are left than there are entries, or after TURNS, those that are left are compared one by
+more than MANY pairs of different components an entry are left, or after TURNS, those that are left are compared one by
 one. So no candidate pair stays unchecked unless its ends are linked; only a large bucket of nodes that are all unlike each
 other costs more than in proportion.
 
@@ -29,7 +29,7 @@ from dnslens.llm.common import gram_hashes, mix, numbered, slices, store, text_b
 from dnslens.llm.simhash import components, covering_masks
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
-TURNS, HEADS = 6, 4
+TURNS, HEADS, MANY = 3, 4, 4
 _MASKS = np.array(covering_masks(), np.uint64)
 KEYS = BANDS + len(_MASKS)
 _FACTORS = np.random.default_rng(11).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,6 +110,7 @@ def near_groups(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> Da
     found = store(prints(rows, row), "shingles")
     nodes = store(found.groupBy("node").agg(F.min_by(F.struct("row_id", "keys"), "row_id").alias("r")).select("node", "r.*"), "nodes")
     entries = nodes.select("node", F.explode("keys").alias("key"))
+    entries = store(entries.join(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"), "entries")
     links = roots = None
     last = False
     for turn in range(TURNS + 1):
@@ -117,7 +118,7 @@ def near_groups(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> Da
         if turn:
             kinds = known.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
             left, n = kinds.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
-            last = turn == TURNS or (left or 0) <= (n or 0)
+            last = turn == TURNS or (left or 0) <= MANY * (n or 0)
         if last:
             mixed = known.join(kinds.where(F.col("n") * F.col("n") > F.col("own")).select("key"), "key", "left_semi")
             one, other = (mixed.select("key", F.col("node").alias(x), F.col("root").alias(r)) for x, r in (("a", "p"), ("b", "q")))
