@@ -8,9 +8,9 @@ buckets also take MinHash keys: BANDS of ROWS least values, in none of which a p
 Documents with one set are one node. In each turn every node is compared with a head of each of its buckets that isn't yet in
 its component; heads change from turn to turn and by kinds of keys (HEADS, then four times as many a turn). A turn's work grows
 with the entries of buckets, not with their square: a large group of near copies is a few stars, joined by later turns. When no
-more than MANY pairs of different components an entry are left, or after TURNS, those that are left are compared one by
-one. So no candidate pair stays unchecked unless its ends are linked; only a large bucket of nodes that are all unlike each
-other costs more than in proportion.
+more than MANY pairs of different components an entry are left, or after TURNS, pairs of different components meet once more:
+in buckets with up to MANY such pairs an entry directly, all nodes of larger buckets by `_prefix_pairs`, which loses none. So no
+candidate pair stays unchecked unless its ends are linked.
 
 Lower case, words split at white space; a text under five words is one shingle, null and empty texts are one set. Two sets
 or shingles with one 64-bit hash would be taken as equal. Rows are told apart by number, so repeated and null doc_ids, and
@@ -30,6 +30,9 @@ from dnslens.llm.simhash import components, covering_masks
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 TURNS, HEADS, MANY = 3, 4, 4
+#: Of the nodes that _prefix_pairs takes, so many with about SAMPLED shingles tell which shingles are common: in COMMON of them
+#: or more. This decides an order and so the work, never a result.
+SAMPLED, COMMON = 1 << 22, 8
 _MASKS = np.array(covering_masks(), np.uint64)
 KEYS = BANDS + len(_MASKS)
 _FACTORS = np.random.default_rng(11).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,20 +70,21 @@ def bucket_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def prints(rows: DataFrame, row: str) -> DataFrame:
-    """doc_id, row_id, node (hash of the set), keys of its buckets."""
+    """doc_id, row_id, node (hash of the set), size of the set, keys of its buckets."""
 
     def run(batches):
         for b in batches:
-            nodes, keys = [], []
+            nodes, sizes, keys = [], [], []
             for h in shingle_sets(b.column("text")):
                 nodes.append(mix(np.array([h.sum(dtype=np.uint64) + np.uint64(len(h))])))
+                sizes.append(len(h))
                 keys.append(bucket_keys(h))
             join = lambda x: (np.concatenate(x) if x else np.zeros(0, np.uint64)).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, KEYS * len(keys) + 1, KEYS, dtype=np.int32)), pa.array(join(keys)))
-            yield pa.record_batch([b.column("doc_id"), b.column("row_id"), pa.array(join(nodes)), lists], names=["doc_id", "row_id", "node", "keys"])
+            yield pa.record_batch([b.column("doc_id"), b.column("row_id"), pa.array(join(nodes)), pa.array(sizes, pa.int64()), lists], names=["doc_id", "row_id", "node", "size", "keys"])
 
     texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, row_id long, node long, keys array<long>")
+    return texts.mapInArrow(run, "doc_id long, row_id long, node long, size long, keys array<long>")
 
 
 def _sets(rows: DataFrame, row: str, chosen: DataFrame) -> DataFrame:
@@ -105,10 +109,47 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(near).where(both >= similarity * (n - both) - 1e-9).select("a", "b")
 
 
+def _prefix_pairs(rows: DataFrame, row: str, chosen: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs of different components among the chosen nodes (node, root, row_id, size), all that are similar among them.
+
+    Sets are put in one order, common shingles last. Similar sets of n and m shingles share similarity / (1 + similarity) of
+    n + m, so the first one that they share leaves at least as many from there on in both: only leading shingles can be it, and
+    nodes that have nothing but common shingles in common never meet.
+    """
+    spark = rows.sparkSession
+    total = chosen.agg(F.sum("size")).first()[0] or 0
+    sample = chosen.where(F.pmod(F.xxhash64("node"), F.lit(-(-total // SAMPLED) or 1)) == 0).select("row_id", "node")
+    seen = _sets(rows, row, sample).select(F.explode("hashes").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).toArrow()
+    known, counts = seen["shingle"].to_numpy().view(np.uint64), seen["n"].to_numpy()
+    table = spark.sparkContext.broadcast((np.append(known[np.argsort(known)], ~np.uint64(0)), np.append(counts[np.argsort(known)], 0)))
+
+    def run(batches):
+        known, counts = table.value
+        for b in batches:
+            leading = []
+            for h in shingle_sets(b.column("text")):
+                at = np.searchsorted(known[:-1], h)
+                order = np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")
+                leading.append(h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]])
+            ends = np.cumsum([0, *map(len, leading)]).astype(np.int32)
+            values = np.concatenate(leading) if leading else np.zeros(0, np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+            yield pa.record_batch([*(b.column(c) for c in ("node", "root", "size")), lists], names=["node", "root", "size", "leading"])
+
+    texts = rows.select(F.col(row).alias("row_id"), F.col("text").cast("string").alias("text")).join(chosen, "row_id")
+    heads = texts.select("node", "root", "size", "text").mapInArrow(run, "node long, root long, size long, leading array<long>")
+    heads = store(heads.select("node", "root", "size", F.posexplode("leading").alias("at", "shingle")), "leading")
+    shared = heads.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
+    heads = heads.join(shared, "shingle", "left_semi").withColumn("rest", F.col("size") - F.col("at"))
+    one, other = (heads.select("shingle", F.col("node").alias(x), F.col("root").alias(r), F.col("size").alias(n), F.col("rest").alias(k)) for x, r, n, k in (("a", "p", "n", "i"), ("b", "q", "m", "j")))
+    enough = F.least("i", "j") >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6
+    return one.join(other, "shingle").where("a < b and p <> q").where(enough).select("a", "b")
+
+
 def near_groups(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> DataFrame:
     """One row per numbered row: doc_id, row_id, component (a node)."""
     found = store(prints(rows, row), "shingles")
-    nodes = store(found.groupBy("node").agg(F.min_by(F.struct("row_id", "keys"), "row_id").alias("r")).select("node", "r.*"), "nodes")
+    nodes = store(found.groupBy("node").agg(F.min_by(F.struct("row_id", "size", "keys"), "row_id").alias("r")).select("node", "r.*"), "nodes")
     entries = nodes.select("node", F.explode("keys").alias("key"))
     entries = store(entries.join(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"), "entries")
     links = roots = None
@@ -120,9 +161,12 @@ def near_groups(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> Da
             left, n = kinds.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
             last = turn == TURNS or (left or 0) <= MANY * (n or 0)
         if last:
-            mixed = known.join(kinds.where(F.col("n") * F.col("n") > F.col("own")).select("key"), "key", "left_semi")
-            one, other = (mixed.select("key", F.col("node").alias(x), F.col("root").alias(r)) for x, r in (("a", "p"), ("b", "q")))
-            pairs = one.join(other, "key").where("a < b and p <> q").select("a", "b").distinct()
+            apart = (F.col("n") * F.col("n") - F.col("own")) / 2
+            mixed = known.join(kinds.where(apart > 0).select("key", (apart > MANY * F.col("n")).alias("large")), "key")
+            one, other = (mixed.where("not large").select("key", F.col("node").alias(x), F.col("root").alias(r)) for x, r in (("a", "p"), ("b", "q")))
+            pairs = one.join(other, "key").where("a < b and p <> q").select("a", "b")
+            large = store(mixed.where("large").select("node", "root").distinct().join(nodes.select("node", "row_id", "size"), "node"), "large")
+            pairs = pairs.unionByName(_prefix_pairs(rows, row, large, similarity)).distinct()
         else:
             heads = known.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.pmod("key", F.lit(HEADS << 2 * min(turn, 2))), F.lit(turn))).alias("h"))
             met = known.join(heads, "key").groupBy(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).agg(F.first("root").alias("p"), F.first("h.root").alias("q"))
@@ -136,7 +180,7 @@ def near_groups(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> Da
             roots = components(links)
         if last:
             break
-    found = found.drop("keys")
+    found = found.drop("keys", "size")
     if roots is None:
         return found.withColumnRenamed("node", "component")
     return found.join(roots, "node", "left").select("doc_id", "row_id", F.coalesce("root", "node").alias("component"))
