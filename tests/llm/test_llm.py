@@ -669,3 +669,23 @@ def test_pipeline(spark, sf, docs):
     leaked = set().union(*map(grams, items))
     assert all(not grams(left[i]) & leaked for i in clean) and len(clean) > 0.9 * len(kept)
     check_packing(stages["packing"](spark, near.where(F.col("doc_id").isin(*list(clean))), sf).collect(), {i: left[i] for i in clean})
+
+
+def test_prefix_pairs_find_every_similar_pair(spark):
+    from dnslens.llm import near_copies as N
+
+    rng = np.random.default_rng(3)
+    base, texts = [f"w{i}" for i in range(90)], []
+    for k in range(120):
+        words = list(base)
+        for i in rng.choice(len(words), k % 7, replace=False):
+            words[i] = f"x{k}-{i}"
+        texts.append(" ".join(words + [f"own{k}"] * (k % 3) + [f"long{k}-{i}" for i in range(40 * (k % 5 == 0))]))
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(["", "a b", *texts])], "row long, doc_id long, text string")
+    sets = [set(s.view(np.int64).tolist()) for s in N.shingle_sets(pa.array(["", "a b", *texts]))]
+    chosen = spark.createDataFrame([(i, i % 11, i, len(s)) for i, s in enumerate(sets)], "node long, root long, row_id long, size long")
+    similar = {(a, b) for b in range(len(sets)) for a in range(b) if a % 11 != b % 11 and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    found = {(r.a, r.b) for r in N._prefix_pairs(rows, "row", chosen, 0.8).collect()}
+    assert len(similar) > 100 and similar <= found and all(a % 11 != b % 11 for a, b in found)
+    assert len(found) < len(sets) ** 2 / 4
+    assert N._prefix_pairs(rows, "row", chosen.where("false"), 0.8).count() == 0
