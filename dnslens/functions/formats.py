@@ -107,10 +107,11 @@ def to_json(nested: DataFrame) -> DataFrame:
 
 
 def flat_struct(df: DataFrame) -> Column:
-    """The flat view with typed values."""
+    """The flat view with typed values. A struct has no numbered keys: tags stay a list."""
     cols = {k: F.lit(v) for k, v in S.FLAT_UNSET.items() if v is not None and k != "dnstap.latency"}
     cols |= {"dns.flags.qr": F.col("dns_type") == "REPLY", "dnstap.timestamp-rfc3339ns": rfc3339(F.col("ts_ns")), "dns.resource-records.an": F.lit("-")}
     cols |= {k: F.col(c) for k, c in S.FLAT_KEYS.items()}
+    cols |= {f"{name}.{k}": F.col(c) for name, fields in S.sections(df).items() for k, c in fields.items()}
     return F.struct(*(v.alias(k) for k, v in sorted(cols.items())))
 
 

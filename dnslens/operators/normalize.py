@@ -62,14 +62,21 @@ def _text(c: Column) -> Column:
 
 
 def flat_map(df: DataFrame) -> Column:
-    """The record of a flat row as a map of dotted keys to text; records of `answers` get numbered keys."""
+    """The record of a flat row as a map of dotted keys to text; records of `answers` and tags get numbered keys."""
     from dnslens.functions.text import number_text, rfc3339
 
     unset = {k: F.lit(v if not isinstance(v, bool) else str(v).lower()).cast("string") for k, v in S.FLAT_UNSET.items()}
     unset["dnstap.latency"] = number_text(F.col("latency")) if "latency" in df.columns else F.lit("0")
     unset["dns.flags.qr"] = (F.col("dns_type") == "REPLY").cast("string")
     pairs = {**unset, **{k: _text(F.col(c)) for k, c in S.FLAT_KEYS.items()}, "dnstap.timestamp-rfc3339ns": rfc3339(F.col("ts_ns"))}
+    more = S.sections(df)
+    tags = more.pop("atags", None)
+    pairs |= {f"{name}.{k}": _text(F.col(c)) for name, fields in more.items() for k, c in fields.items()}
     out = F.create_map(*(x for k, v in sorted(pairs.items()) for x in (F.lit(k), v)))
+    if tags:
+        tag = lambda t, i: F.struct(F.concat(F.lit("atags.tags."), i.cast("string")).alias("key"), t.alias("value"))
+        none = F.create_map(F.lit("atags.tags"), F.lit("-"))
+        out = F.map_concat(out, F.when(F.coalesce(F.size("tags"), F.lit(0)) > 0, F.map_from_entries(F.transform("tags", tag))).otherwise(none))
     if "answers" not in df.columns:
         return F.map_concat(out, F.create_map(F.lit("dns.resource-records.an"), F.lit("-")))
     fields = ("name", "rdatatype", "class", "ttl", "rdata")

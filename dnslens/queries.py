@@ -256,6 +256,19 @@ _add("flatten", lambda d: _pairs_of(normalize.flatten(X.with_answers(d))), f"SEL
 _FLAT_AN = f"SELECT msg_id, {_pairs} FROM dns_log UNION ALL {_an}"
 _add("relabel_rename", lambda d: _pairs_of(normalize.relabel_rename(normalize.flatten(X.with_answers(d)), [(r"^dns\.q(name|type)$", "question"), (r"^dns\.rcode$", "code")])), f"SELECT msg_id, CASE key WHEN 'dns.rcode' THEN 'code' ELSE key END AS key, value FROM ({_FLAT_AN}) WHERE key NOT IN ('dns.qname', 'dns.qtype') UNION ALL SELECT msg_id, 'question', '[' || qname || ',' || qtype || ']' FROM dns_log", "answers")
 _add("relabel_remove", lambda d: _pairs_of(normalize.relabel_remove(normalize.flatten(X.with_answers(d)), [r"^dns\.", "policy"])), f"SELECT msg_id, key, value FROM ({_FLAT_AN}) WHERE NOT regexp_matches(key, '^dns\\.|policy')", "answers")
+_GEO_KEYS = ", ".join(f"struct_pack(key := 'geoip.{k}', value := {c})" for k, c in S.SECTIONS["geoip"].items())
+_add(
+    "flatten_sections",
+    lambda d: _pairs_of(normalize.flatten(lookup.geoip(d, X.geo_ranges(d.sparkSession)))).where("key LIKE 'geoip.%'"),
+    f"SELECT msg_id, unnest([{_GEO_KEYS}], recursive := true) FROM (" + _GEO.format(ip=f"({_v4('query_ip')})") + ")",
+    "geo",
+)
+_add(
+    "match_sections",
+    lambda d: predicates.match(S.nest(lookup.geoip(d, X.geo_ranges(d.sparkSession))), {"geoip.country-isocode": "^(DE|US)$"}).select("msg_id"),
+    "SELECT msg_id FROM (" + _GEO.format(ip=f"({_v4('query_ip')})") + ") WHERE geo_country IN ('DE', 'US')",
+    "geo",
+)
 
 # joins
 _add("latency_pairs", lambda d: pairing.measure_latency(d).select("msg_id", F.round("latency", 9).alias("latency")), "SELECT msg_id, round(latency, 9) AS latency FROM lat", "lat")

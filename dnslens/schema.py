@@ -22,7 +22,7 @@ DNS_LOG = T.StructType(
 )
 
 # Names of classes, record types, response codes and EDNS options as the DNS registries give them.
-CLASSES = {1: "IN", 3: "CH", 4: "HS", 254: "NONE", 255: "ANY"}
+CLASSES = {1: "IN", 2: "CS", 3: "CH", 4: "HS", 254: "NONE", 255: "ANY"}
 RDATATYPES = {
     0: "NONE", 1: "A", 2: "NS", 3: "MD", 4: "MF", 5: "CNAME", 6: "SOA", 7: "MB", 8: "MG", 9: "MR", 10: "NULL", 11: "WKS",
     12: "PTR", 13: "HINFO", 14: "MINFO", 15: "MX", 16: "TXT", 17: "RP", 18: "AFSDB", 19: "X25", 20: "ISDN", 21: "RT",
@@ -97,10 +97,41 @@ FLAT_UNSET = {
     "edns.dnssec-ok": 0, "edns.options": "-", "edns.rcode": 0, "edns.udp-size": 0, "edns.version": 0,
     "network.ip-defragmented": False, "network.tcp-reassembled": False,
 }
+# Optional sections, their fields, and the flat columns that hold them.
+SECTIONS = {
+    "geoip": {"as-number": "geo_asn", "as-owner": "geo_owner", "city": "geo_city", "continent": "geo_continent", "country-isocode": "geo_country"},
+    "suspicious": {
+        "score": "suspicious_score", "malformed-pkt": "suspicious_malformed", "large-pkt": "suspicious_large_packet",
+        "long-domain": "suspicious_long_domain", "slow-domain": "suspicious_slow", "unallowed-chars": "suspicious_chars",
+        "uncommon-qtypes": "suspicious_uncommon_qtype", "excessive-number-labels": "suspicious_labels",
+    },
+    "publicsuffix": {"tld": "tld", "etld+1": "etld_plus_one", "managed-icann": "managed_icann"},
+    "extracted": {"dns_payload": "dns_payload"},
+    "reducer": {"occurrences": "occurrences", "cumulative-length": "cumulative_length"},
+    "filtering": {"sample-rate": "sample_rate"},
+    "ml": {
+        "entropy": "ml_entropy", "length": "ml_length", "labels": "ml_labels", "digits": "ml_digits", "lowers": "ml_lowers",
+        "uppers": "ml_uppers", "specials": "ml_specials", "others": "ml_others", "ratio-digits": "ml_ratio_digits",
+        "ratio-letters": "ml_ratio_letters", "ratio-specials": "ml_ratio_specials", "ratio-others": "ml_ratio_others",
+        "consecutive-chars": "ml_consecutive_chars", "consecutive-vowels": "ml_consecutive_vowels",
+        "consecutive-digits": "ml_consecutive_digits", "consecutive-consonants": "ml_consecutive_consonants",
+        "size": "ml_size", "occurrences": "ml_occurrences", "uncommon-qtypes": "ml_uncommon_qtype",
+    },
+    "atags": {"tags": "tags"},
+}
+
+
+def sections(df: DataFrame) -> dict[str, dict[str, str]]:
+    """The optional sections of which df has columns, with those fields alone."""
+    have = {name: {k: c for k, c in fields.items() if c in df.columns} for name, fields in SECTIONS.items()}
+    return {name: fields for name, fields in have.items() if fields}
 
 
 def nest(df: DataFrame) -> DataFrame:
-    """The flat log as nested sections (msg_id, network, dns, edns, dnstap) under the names that rules and JSON use."""
+    """The flat log as nested sections under the names that rules and JSON use: msg_id, network, dns, edns, dnstap.
+
+    Columns that enrichments add become sections of their own (SECTIONS); without them there is no such section.
+    """
     from dnslens.functions.text import rfc3339
 
     c = lambda name, alias: F.col(name).alias(alias)
@@ -115,4 +146,5 @@ def nest(df: DataFrame) -> DataFrame:
         F.struct("length", c("dns_id", "id"), F.lit(0).cast("long").alias("opcode"), "rcode", "qname", "qtype", flags.alias("flags"), records.alias("resource-records"), c("malformed", "malformed-packet")).alias("dns"),
         F.struct(F.lit(0).cast("long").alias("udp-size"), F.array().cast(T.ArrayType(OPTION)).alias("options")).alias("edns"),
         F.struct("operation", "identity", rfc3339(F.col("ts_ns")).alias("timestamp-rfc3339ns"), latency.alias("latency")).alias("dnstap"),
+        *(F.struct(*(c(column, k) for k, column in fields.items())).alias(name) for name, fields in sections(df).items()),
     )

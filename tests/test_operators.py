@@ -175,3 +175,19 @@ def test_rdata_and_options():
     out = decode.decode(head[:6] + b"\0\2" + head[8:10] + b"\0\0" + body[: len(body)] + mx + txt)
     assert [(r["rdatatype"], r["rdata"]) for r in out["an"]] == [("MX", "10 mx.a.example"), ("TXT", "abc")] and not out["malformed"]
     assert decode.option_text(15, b"\0\x12no") == "18 Prohibited no" and decode.option_text(8, b"\0\2\x20\0\x20\1\x0d\xb8") == "[2001:db8::]/32"
+
+
+def test_optional_sections_are_there_with_their_columns_only(spark):
+    import json
+
+    plain = log(spark, {"qname": "www.example.com"})
+    rich = normalize.add_tags(score.suspicious(lookup.geoip(plain, X.geo_ranges(spark))), ["edge", "v4"])
+    flat = normalize.flatten(rich).first().flat
+    assert (flat["geoip.city"], flat["suspicious.score"], flat["atags.tags.0"], flat["atags.tags.1"]) == ("Berlin", "0.0", "edge", "v4")
+    assert normalize.flatten(normalize.add_tags(plain, [])).first().flat["atags.tags"] == "-"
+    assert not [k for k in normalize.flatten(plain).first().flat if k.split(".")[0] in S.SECTIONS]
+    nested = json.loads(formats.to_json(S.nest(rich)).first().line)
+    assert nested["geoip"]["country-isocode"] == "DE" and nested["atags"] == {"tags": ["edge", "v4"]} and nested["suspicious"]["long-domain"] is False
+    assert not S.SECTIONS.keys() & json.loads(formats.to_json(S.nest(plain)).first().line).keys()
+    assert json.loads(formats.to_flat_json(rich).first().line)["geoip.as-owner"] == "Example Mid"
+    assert ids(predicates.match(S.nest(rich), {"atags.tags": "v4"})) == [0] and ids(predicates.match(S.nest(rich), {"suspicious.score": {"greater-than": 1}})) == []
