@@ -10,7 +10,7 @@ import ipaddress
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnslens.functions.ip import v4_number
+from dnslens.functions.ip import ip_bytes, v4_number
 
 
 def suffixes(df: DataFrame, psl: DataFrame, name: Column, icann_only: bool = False) -> DataFrame:
@@ -56,22 +56,11 @@ def add_tld_plus_one(df: DataFrame, psl: DataFrame) -> DataFrame:
     return registrable(df, psl, _clean(F.col("qname")), "etld_plus_one").fillna("-", ["etld_plus_one"])
 
 
-def flat_ranges(ranges: DataFrame) -> DataFrame:
-    """IPv4 networks of a reference table as disjoint pieces (lo, hi, cidr), each with its most specific network.
-
-    Range tables are reference data read on the driver; the log never is.
-    """
-    nets = []
-    for (cidr,) in ranges.select("cidr").distinct().collect():
-        try:
-            net = ipaddress.ip_network(cidr, strict=False)
-        except ValueError:
-            continue
-        if net.version == 4:
-            nets.append((int(net.network_address), int(net.broadcast_address), net.prefixlen, cidr))
+def _pieces(nets: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
+    """Disjoint (lo, hi, cidr) of networks (lo, hi, size, cidr) of one family, each with the smallest network that covers it."""
     edges = sorted({x for lo, hi, _, _ in nets for x in (lo, hi + 1)})
     opened: list = []
-    nets.sort(key=lambda x: (x[0], x[2]))
+    nets = sorted(nets, key=lambda x: (x[0], -x[2]))
     out, k = [], 0
     for lo, nxt in zip(edges, edges[1:], strict=False):
         while k < len(nets) and nets[k][0] <= lo:
@@ -79,20 +68,47 @@ def flat_ranges(ranges: DataFrame) -> DataFrame:
             k += 1
         opened = [n for n in opened if n[1] >= lo]
         if opened:
-            out.append((lo, nxt - 1, max(opened, key=lambda n: n[2])[3]))
-    return ranges.sparkSession.createDataFrame(out, "lo long, hi long, cidr string")
+            out.append((lo, nxt - 1, min(opened, key=lambda n: n[2])[3]))
+    return out
+
+
+def flat_ranges(ranges: DataFrame) -> DataFrame:
+    """Networks of a reference table as disjoint pieces (lo, hi, cidr), each with its most specific network.
+
+    lo and hi are the 16 bytes of addresses, IPv4 in its mapped form; a network covers addresses of its own family only. Lines
+    that are no network are skipped. Range tables are reference data read on the driver; the log never is.
+    """
+    nets: dict[int, list] = {4: [], 6: []}
+    for (cidr,) in ranges.select("cidr").distinct().collect():
+        try:
+            net = ipaddress.ip_network(cidr, strict=False)
+        except ValueError:
+            continue
+        mapped = 0xFFFF << 32 if net.version == 4 else 0
+        nets[net.version].append((mapped + int(net.network_address), mapped + int(net.broadcast_address), net.num_addresses, cidr))
+    out = [(lo.to_bytes(16), hi.to_bytes(16), cidr) for family in nets.values() for lo, hi, cidr in _pieces(family)]
+    return ranges.sparkSession.createDataFrame(out, "lo binary, hi binary, cidr string")
+
+
+def _number(bytes16: Column, at: int, n: int) -> Column:
+    return F.conv(F.hex(F.substring(bytes16, at, n)), 16, 10).cast("long")
 
 
 def ip_range_lookup(df: DataFrame, column: str, ranges: DataFrame) -> DataFrame:
-    """The most specific network of each address, with the range's columns (null if none).
+    """The most specific network of each address of either family, with the range's columns (null if none).
 
-    An equi-join on the leading 16 bits carries the range condition, so no nested loop is needed for large range tables;
-    only different addresses are looked up.
+    An equi-join on leading 16 bits (of the 32 of IPv4, of the 128 of IPv6) carries the range condition, so no nested loop is
+    needed for large range tables; only different addresses are looked up, and only IPv6 texts are read in Python.
     """
     flat = flat_ranges(ranges)
-    cells = flat.withColumn("__cell", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
+    four = F.hex(F.substring("lo", 1, 12)) == "0" * 20 + "FFFF"
+    v4 = flat.where(four).select(_number(F.col("lo"), 13, 4).alias("lo"), _number(F.col("hi"), 13, 4).alias("hi"), "cidr")
+    v4 = v4.withColumn("__cell", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
+    v6 = flat.where(~four).withColumn("__cell", F.explode(F.sequence(_number(F.col("lo"), 1, 2), _number(F.col("hi"), 1, 2))))
     ips = df.select(F.col(column).alias("__ip")).distinct().withColumn("__n", v4_number(F.col("__ip")))
-    found = ips.join(cells, (F.shiftright("__n", 16) == F.col("__cell")) & F.col("__n").between(F.col("lo"), F.col("hi"))).select("__ip", "cidr")
+    found = ips.join(v4, (F.shiftright("__n", 16) == F.col("__cell")) & F.col("__n").between(F.col("lo"), F.col("hi"))).select("__ip", "cidr")
+    long = ips.where(F.col("__ip").contains(":")).select("__ip", ip_bytes(F.col("__ip")).alias("__b"))
+    found = found.unionByName(long.join(v6, (_number(F.col("__b"), 1, 2) == F.col("__cell")) & F.col("__b").between(F.col("lo"), F.col("hi"))).select("__ip", "cidr"))
     return df.join(found.join(ranges, "cidr"), F.col(column) == F.col("__ip"), "left").drop("__ip")
 
 

@@ -191,3 +191,12 @@ def test_optional_sections_are_there_with_their_columns_only(spark):
     assert not S.SECTIONS.keys() & json.loads(formats.to_json(S.nest(plain)).first().line).keys()
     assert json.loads(formats.to_flat_json(rich).first().line)["geoip.as-owner"] == "Example Mid"
     assert ids(predicates.match(S.nest(rich), {"atags.tags": "v4"})) == [0] and ids(predicates.match(S.nest(rich), {"suspicious.score": {"greater-than": 1}})) == []
+
+
+def test_range_lookup_of_both_families(spark):
+    cidrs = ["192.0.2.0/24", "192.0.0.0/16", "2001:db8::/32", "2001:db8:1::/48", "::/0", "nonsense"]
+    ranges = spark.createDataFrame([(c,) for c in cidrs], "cidr string")
+    ips = ["192.0.2.7", "192.0.9.1", "10.0.0.1", "2001:db8::5", "2001:0db8:1::5", "2001:db9::1", "::", "x", None]
+    df = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "msg_id long, ip string")
+    got = [r.cidr for r in lookup.ip_range_lookup(df, "ip", ranges).orderBy("msg_id").collect()]
+    assert got == ["192.0.2.0/24", "192.0.0.0/16", None, "2001:db8::/32", "2001:db8:1::/48", "::/0", "::/0", None, None]
