@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnslens import schema as S
-from dnslens.functions.text import number_text, quoted, rfc3339
+from dnslens.functions.templates import template_line
+from dnslens.functions.text import quoted, rfc3339
 
 #: Fixed value: the default line.
 TEXT_FORMAT = "timestamp identity operation rcode queryip queryport family protocol length-unit qname qtype latency"
@@ -120,19 +121,9 @@ def to_flat_json(df: DataFrame) -> DataFrame:
     return df.select("msg_id", F.to_json(flat_struct(df)).alias("line"))
 
 
-def to_template(nested: DataFrame, template: str) -> DataFrame:
-    """Text with `{{ path }}` replaced by fields of the nested record."""
-    from dnslens.operators.predicates import path
-
-    parts = []
-    for k, piece in enumerate(re.split(r"\{\{\s*([\w.*-]+)\s*\}\}", template)):
-        if k % 2:
-            column, kind, listed = path(nested.schema, piece)
-            text = F.array_join(column.cast("array<string>"), ",") if listed else number_text(column) if kind.typeName() == "double" else column.cast("string")
-            parts.append(F.coalesce(text, F.lit("")))
-        elif piece:
-            parts.append(F.lit(piece))
-    return nested.select("msg_id", F.concat(*parts).alias("line"))
+def to_template(nested: DataFrame, template: str, autoescape: bool = True) -> DataFrame:
+    """Text by a template with values, filters, conditions and loops; see dnslens.functions.templates."""
+    return nested.select("msg_id", template_line(nested, template, autoescape).alias("line"))
 
 
 def replace_nul(df: DataFrame, column: str = "line", by: str = "�") -> DataFrame:

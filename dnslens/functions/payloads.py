@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dnslens.functions.formats import flat_struct, text_line
 from dnslens.functions.text import go_quoted
+from dnslens.operators.normalize import flat_map
 
 
 def line(df: DataFrame, mode: str = "text") -> Column:
@@ -41,26 +47,114 @@ def _hour() -> Column:
     return F.expr("ts_ns div 3600000000000").alias("hour")
 
 
-def _batches(by: list[str], size: Column, most: int, order: list[str]) -> Column:
+def batches(by: list[str], size: Column, most: int, order: list[str]) -> Column:
     """The number of a row's batch: a running sum of sizes by stream and hour over the bound."""
     running = F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return F.floor((running - size) / F.lit(most).cast("decimal(20,0)")).cast("long")
 
 
-def es_bulk(df: DataFrame, bulk_bytes: int = 5 << 20) -> DataFrame:
-    """identity, hour, bulk, body: newline-delimited create actions, cut where the running size passes bulk_bytes."""
+@F.pandas_udf(T.BinaryType())
+def gzipped(bodies: pd.Series) -> pd.Series:
+    """Request bodies as gzip; the same bytes for the same text."""
+    return bodies.map(lambda x: gzip.compress(x.encode(), mtime=0), na_action="ignore")
+
+
+def es_bulk(df: DataFrame, bulk_bytes: int = 5 << 20, compression: str = "none") -> DataFrame:
+    """identity, hour, bulk, body: newline-delimited create actions, cut where the running size passes bulk_bytes.
+
+    With compression="gzip", body is binary.
+    """
     rows = df.select("identity", _hour(), "ts_ns", "msg_id", F.concat(F.lit('{"create":{}}\n'), F.to_json(flat_struct(df)), F.lit("\n")).alias("item"))
-    rows = rows.withColumn("bulk", _batches(["identity", "hour"], F.octet_length("item").cast("long"), bulk_bytes, ["ts_ns", "msg_id"]))
+    rows = rows.withColumn("bulk", batches(["identity", "hour"], F.octet_length("item").cast("long"), bulk_bytes, ["ts_ns", "msg_id"]))
     items = F.array_sort(F.collect_list(F.struct("ts_ns", "msg_id", "item")))
-    return rows.groupBy("identity", "hour", "bulk").agg(F.array_join(F.transform(items, lambda x: x["item"]), "").alias("body"), F.count("*").alias("n"))
+    out = rows.groupBy("identity", "hour", "bulk").agg(F.array_join(F.transform(items, lambda x: x["item"]), "").alias("body"), F.count("*").alias("n"))
+    return out.withColumn("body", gzipped("body")) if compression == "gzip" else out
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    return text.rlike(rf"^(?s:{pattern})\z")
+
+
+def _replaced(text: Column, pattern: str, by: str) -> Column:
+    return F.regexp_replace(text, rf"^(?s:{pattern})\z", re.sub(r"\$\{(\d+)\}", r"$\1", by))
+
+
+def _with_label(labels: Column, name: Column, value: Column) -> Column:
+    """The map with a label set; an empty value takes the label away."""
+    others = F.map_filter(labels, lambda k, v: k != name)
+    return F.when(value == "", others).otherwise(F.map_concat(others, F.create_map(name, value)))
+
+
+def _rule(labels: Column, rule: dict) -> Column:
+    """The labels after one rule; null if it drops the row."""
+    action, pattern = rule.get("action", "replace"), rule.get("regex", "(.*)")
+    by, target = rule.get("replacement", "$1"), rule.get("target_label", "")
+    sources = [F.coalesce(F.try_element_at(labels, F.lit(x)), F.lit("")) for x in rule.get("source_labels", [])]
+    value = F.concat_ws(rule.get("separator", ";"), *sources)
+    if action == "replace":
+        name = _replaced(value, pattern, target) if "$" in target else F.lit(target)
+        return F.when(_matches(value, pattern), _with_label(labels, name, _replaced(value, pattern, by))).otherwise(labels)
+    if action in ("keep", "drop"):
+        return F.when(_matches(value, pattern) if action == "keep" else ~_matches(value, pattern), labels)
+    if action in ("keepequal", "dropequal"):
+        own = F.coalesce(F.try_element_at(labels, F.lit(target)), F.lit(""))
+        return F.when(value == own if action == "keepequal" else value != own, labels)
+    if action in ("lowercase", "uppercase"):
+        return _with_label(labels, F.lit(target), F.lower(value) if action == "lowercase" else F.upper(value))
+    if action == "hashmod":  # the last eight bytes of the MD5, unsigned
+        number = F.conv(F.substring(F.md5(value.cast("binary")), 17, 16), 16, 10).cast("decimal(20,0)")
+        return _with_label(labels, F.lit(target), (number % F.lit(rule["modulus"])).cast("long").cast("string"))
+    if action == "labelmap":
+        found = F.array_sort(F.map_entries(F.map_filter(labels, _named(pattern, True))))
+        return F.aggregate(found, labels, _copied(pattern, by))
+    if action in ("labeldrop", "labelkeep"):
+        return F.map_filter(labels, _named(pattern, action == "labelkeep"))
+    raise ValueError(f"unknown action {action}")
+
+
+def _step(rule: dict):
+    return lambda labels: _rule(labels, rule)
+
+
+def relabel(labels: Column, rules: list[dict]) -> Column:
+    """Rules on a map of labels, one after another, as Prometheus has them; null where a rule drops the row.
+
+    A rule has action (replace), source_labels, separator (;), regex ((.*)), target_label, replacement ($1) and modulus.
+    Actions: replace, keep, drop, keepequal, dropequal, lowercase, uppercase, hashmod, labelmap, labeldrop, labelkeep. A regex
+    must match the whole value. Each rule is a lambda over the map before it, so that no map is computed twice.
+    """
+    for rule in rules:
+        labels = F.get(F.transform(F.array(labels), _step(rule)), 0)
+    return labels
+
+
+def _named(pattern: str, wanted: bool):
+    return lambda k, v: _matches(k, pattern) if wanted else ~_matches(k, pattern)
+
+
+def _copied(pattern: str, by: str):
+    return lambda labels, e: _with_label(labels, _replaced(e["key"], pattern, by), e["value"])
+
 
+def loki_streams(df: DataFrame, job: str = "dnslens", batch_bytes: int = 1 << 20, labels: dict[str, str] | None = None, rules: list[dict] | None = None, mode: str = "text") -> DataFrame:
+    """labels, hour, batch, entries: lines by label set; labels: from label name to column. Rows with no label are dropped.
 
-def loki_streams(df: DataFrame, job: str = "dnslens", batch_bytes: int = 1 << 20, labels: dict[str, str] | None = None) -> DataFrame:
-    """labels, hour, batch, entries: lines by label set; labels: from label name to column. Rows with no label are dropped."""
+    With rules, every field of the flat view is a label too (`__` and its key with _ for dots) while the rules run; labels
+    that begin with __ go afterwards.
+    """
     named = labels or {"identity": "identity"}
-    text = F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit(f'{k}="'), F.col(c), F.lit('"')) for k, c in sorted(named.items())), F.lit(f'job="{job}"')), F.lit("}"))
-    rows = df.where(" and ".join(f"{c} is not null and {c} <> ''" for c in named.values())).select(text.alias("labels"), _hour(), "ts_ns", "msg_id", text_line(df).alias("line"))
-    rows = rows.withColumn("batch", _batches(["labels", "hour"], F.octet_length("line").cast("long"), batch_bytes, ["ts_ns", "msg_id"]))
+    rows = df.where(" and ".join(f"{c} is not null and {c} <> ''" for c in named.values()))
+    given = F.create_map(*(x for k, c in sorted({**named, "job": None}.items()) for x in (F.lit(k), F.col(c).cast("string") if c else F.lit(job))))
+    columns = [_hour(), "ts_ns", "msg_id", line(df, mode).alias("line")]
+    if rules:
+        hidden = F.transform_keys(flat_map(df), lambda k, v: F.concat(F.lit("__"), F.replace(k, F.lit("."), F.lit("_"))))
+        shown = F.map_filter(relabel(F.map_concat(given, hidden), rules), lambda k, v: ~k.startswith("__"))
+        rows = rows.select(shown.alias("labels"), *columns).where(F.size("labels") > 0)
+    else:
+        rows = rows.select(given.alias("labels"), *columns)
+    pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"')))
+    rows = rows.withColumn("labels", F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")))
+    rows = rows.withColumn("batch", batches(["labels", "hour"], F.octet_length("line").cast("long"), batch_bytes, ["ts_ns", "msg_id"]))
     entries = F.array_sort(F.collect_list(F.struct("ts_ns", "msg_id", "line")))
     return rows.groupBy("labels", "hour", "batch").agg(F.count("*").alias("n"), F.array_join(F.transform(entries, lambda x: F.concat(x["ts_ns"].cast("string"), F.lit(" "), x["line"])), "\n").alias("entries"))
 

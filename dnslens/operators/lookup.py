@@ -94,29 +94,39 @@ def _number(bytes16: Column, at: int, n: int) -> Column:
     return F.conv(F.hex(F.substring(bytes16, at, n)), 16, 10).cast("long")
 
 
-def ip_range_lookup(df: DataFrame, column: str, ranges: DataFrame) -> DataFrame:
-    """The most specific network of each address of either family, with the range's columns (null if none).
+def _places(ips: DataFrame, ranges: DataFrame) -> DataFrame:
+    """__ip, cidr: the most specific network of each address of ips (one column, __ip) that is in one.
 
     An equi-join on leading 16 bits (of the 32 of IPv4, of the 128 of IPv6) carries the range condition, so no nested loop is
-    needed for large range tables; only different addresses are looked up, and only IPv6 texts are read in Python.
+    needed for large range tables; only IPv6 texts are read in Python.
     """
     flat = flat_ranges(ranges)
     four = F.hex(F.substring("lo", 1, 12)) == "0" * 20 + "FFFF"
     v4 = flat.where(four).select(_number(F.col("lo"), 13, 4).alias("lo"), _number(F.col("hi"), 13, 4).alias("hi"), "cidr")
     v4 = v4.withColumn("__cell", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
     v6 = flat.where(~four).withColumn("__cell", F.explode(F.sequence(_number(F.col("lo"), 1, 2), _number(F.col("hi"), 1, 2))))
-    ips = df.select(F.col(column).alias("__ip")).distinct().withColumn("__n", v4_number(F.col("__ip")))
-    found = ips.join(v4, (F.shiftright("__n", 16) == F.col("__cell")) & F.col("__n").between(F.col("lo"), F.col("hi"))).select("__ip", "cidr")
+    short = ips.withColumn("__n", v4_number(F.col("__ip")))
+    found = short.join(v4, (F.shiftright("__n", 16) == F.col("__cell")) & F.col("__n").between(F.col("lo"), F.col("hi"))).select("__ip", "cidr")
     long = ips.where(F.col("__ip").contains(":")).select("__ip", ip_bytes(F.col("__ip")).alias("__b"))
-    found = found.unionByName(long.join(v6, (_number(F.col("__b"), 1, 2) == F.col("__cell")) & F.col("__b").between(F.col("lo"), F.col("hi"))).select("__ip", "cidr"))
+    return found.unionByName(long.join(v6, (_number(F.col("__b"), 1, 2) == F.col("__cell")) & F.col("__b").between(F.col("lo"), F.col("hi"))).select("__ip", "cidr"))
+
+
+def ip_range_lookup(df: DataFrame, column: str, ranges: DataFrame) -> DataFrame:
+    """The most specific network of each address of either family, with the range's columns (null if none).
+
+    Only different addresses are looked up.
+    """
+    found = _places(df.select(F.col(column).alias("__ip")).distinct(), ranges)
     return df.join(found.join(ranges, "cidr"), F.col(column) == F.col("__ip"), "left").drop("__ip")
 
 
 def ip_in_set(df: DataFrame, column: str, networks: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows whose address is (left_semi) or isn't (left_anti) in a table of networks lo, hi; an invalid one is in none."""
-    cells = networks.withColumn("__cell", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
-    n = v4_number(F.col(column))
-    return df.withColumn("__n", n).join(cells, (F.shiftright("__n", 16) == F.col("__cell")) & F.col("__n").between(F.col("lo"), F.col("hi")), how).drop("__n")
+    """Rows whose address is (left_semi) or isn't (left_anti) in a table of networks (cidr) of either family.
+
+    An invalid or null address is in none. Different addresses are looked up once; each has one most specific network.
+    """
+    found = _places(df.select(F.col(column).alias("__ip")).distinct(), networks).select("__ip")
+    return df.join(found, F.col(column) == F.col("__ip"), how)
 
 
 def geoip(df: DataFrame, ranges: DataFrame, lookup_ecs: bool = False) -> DataFrame:

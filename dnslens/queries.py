@@ -274,6 +274,17 @@ _add(
 _add("latency_pairs", lambda d: pairing.measure_latency(d).select("msg_id", F.round("latency", 9).alias("latency")), "SELECT msg_id, round(latency, 9) AS latency FROM lat", "lat")
 _add("unanswered_queries", pairing.unanswered, f"SELECT {_ALL} FROM full_log", "full")
 _add("ip_in_set", lambda d: lookup.ip_in_set(d, "query_ip", networks(d.sparkSession, X.NETWORKS)).select("msg_id", "query_ip"), f"SELECT msg_id, query_ip FROM dns_log WHERE {_IN}")
+_octet = lambda i: F.split("query_ip", r"\.")[i]
+_add(
+    "ip_in_set_v6",
+    lambda d: lookup.ip_in_set(
+        d.select("msg_id", F.when(F.expr("msg_id % 3 = 0"), F.col("query_ip")).otherwise(F.concat(F.lit("2001:db8:"), _octet(2), F.lit("::"), _octet(3))).alias("query_ip")),
+        "query_ip", networks(d.sparkSession, ["2001:db8:13::/48", "2001:db8:2::4/126", "192.0.2.0/24", "nonsense"]),
+    ),
+    """SELECT msg_id, CASE WHEN msg_id % 3 = 0 THEN query_ip ELSE '2001:db8:' || split_part(query_ip, '.', 3) || '::' || split_part(query_ip, '.', 4) END AS query_ip
+       FROM dns_log WHERE CASE WHEN msg_id % 3 = 0 THEN query_ip LIKE '192.0.2.%'
+         ELSE split_part(query_ip, '.', 3) = '13' OR (split_part(query_ip, '.', 3) = '2' AND split_part(query_ip, '.', 4) IN ('4', '5', '6', '7')) END""",
+)
 _add("ip_range_lookup", lambda d: lookup.ip_range_lookup(d, "query_ip", X.geo_ranges(d.sparkSession)).select("msg_id", "cidr"), f"SELECT msg_id, arg_max(cidr, bits) AS cidr FROM dns_log LEFT JOIN geo ON ({_v4('query_ip')}) BETWEEN lo AND hi GROUP BY msg_id", "geo")
 _add("list_semi_join", lambda d: filters.keep_fqdn(d, d.sparkSession.createDataFrame([(n,) for n in _NAMES], "name string")).select("msg_id", "qname"), f"SELECT msg_id, qname FROM dns_log WHERE qname IN {_NAMES_SQL}")
 _add("regex_list_join", lambda d: filters.regex_list_join(d, d.sparkSession.createDataFrame([(p,) for p in _PATTERNS], "pattern string")).select("msg_id", "qname"), f"SELECT msg_id, qname FROM dns_log WHERE {_PATTERN_SQL}")
@@ -383,6 +394,23 @@ def _rotated(d: DataFrame) -> DataFrame:
 
 _add("rotate_output", _rotated, f"SELECT {_ALL} FROM dns_log")
 
+
+
+def _rotated_by_size(d: DataFrame) -> DataFrame:
+    path = pipeline.scratch(d.sparkSession, "rotated")
+    sinks.write_rotated(d.select("msg_id", "ts_ns", "qname"), path, bytes_per_file=1 << 12, keep=20)
+    return d.sparkSession.read.schema("msg_id long, ts_ns long, qname string, hour long, file long").json(path).select("msg_id", "ts_ns", "qname", "hour", "file")
+
+
+_add(
+    "rotate_by_size",
+    _rotated_by_size,
+    """SELECT * FROM (WITH sized AS (SELECT msg_id, ts_ns, qname, ts_ns // 3600000000000 AS hour,
+                strlen('{"msg_id":' || msg_id || ',"ts_ns":' || ts_ns || ',"qname":"' || qname || '"}') + 1 AS size FROM dns_log),
+              filed AS (SELECT msg_id, ts_ns, qname, hour, CAST(sum(size) OVER (PARTITION BY hour ORDER BY ts_ns, msg_id ROWS UNBOUNDED PRECEDING) - size AS BIGINT) // 4096 AS file FROM sized),
+              kept AS (SELECT DISTINCT hour, file FROM filed ORDER BY hour DESC, file DESC LIMIT 20)
+       SELECT msg_id, ts_ns, qname, hour, file FROM filed JOIN kept USING (hour, file))""",
+)
 # formats, payloads, sinks
 _add("to_text", formats.to_text, "SELECT msg_id, line FROM lines", "lines")
 _add("to_text_sections", lambda d: formats.to_text(score.ml_features(score.suspicious(normalize.add_tags(lookup.add_tld(pairing.measure_latency(d), _psl(d)), ["edge", "v4"]))), "id qname publixsuffix-tld atags atags:1 atags:7 suspicious-score ml-labels ml-ratio-digits geoip-city reducer-occurrences latency"), f"SELECT s.msg_id, concat_ws(' ', s.dns_id, {_QNAME.replace('qname', 's.qname')}, tld, 'edge,v4', 'v4', '-', CAST(suspicious_score AS INT), len(string_split(s.qname, '.')), printf('%.3f', round({_cnt('0-9').replace('qname', 's.qname')} / strlen(s.qname), 3)), '-', '-', printf('%.9f', latency)) AS line FROM scored s JOIN tld t ON s.msg_id = t.msg_id", "scored", "tld")
@@ -393,6 +421,18 @@ edns := struct_pack("udp-size" := 0, options := []), dnstap := struct_pack(opera
 _add("to_json", lambda d: formats.to_json(S.nest(X.with_answers(d))), _JSON, "answers")
 _add("to_flat_json", formats.to_flat_json, f"SELECT msg_id, {_FLAT_JSON} AS line FROM dns_log")
 _add("to_template", lambda d: formats.to_template(S.nest(X.with_answers(d)), "{{ dns.qname }} asked by {{ network.query-ip }}: {{ dns.rcode }} [{{ dns.resource-records.an.*.rdata }}]"), "SELECT l.msg_id, l.qname || ' asked by ' || query_ip || ': ' || rcode || ' [' || coalesce(rdata, '') || ']' AS line FROM dns_log l LEFT JOIN answers a ON l.msg_id = a.msg_id", "answers")
+_BLOCKS = """{% if dm.DNS.Type == "QUERY" %}query{% elif dns.rcode == "NOERROR" and dns.length > 100 %}long answer{% else %}answer{% endif %} \
+{{ dm.NetworkInfo.QueryIP }} {{ dm.DNS.Flags.RD | yesno:"rd ,-" }} {{ dns.qname | upper }} {{ dm.DNS.DNSRRs.AnCount }}\
+{% for rr in dm.DNS.DNSRRs.Answers %} {{ forloop.Counter }}={{ rr.Name }}/{{ rr.TTL }}/{{ rr.Rdata }}{% endfor %}"""
+_add(
+    "to_template_blocks",
+    lambda d: formats.to_template(S.nest(X.with_answers(d)), _BLOCKS),
+    """SELECT l.msg_id, CASE WHEN dns_type = 'QUERY' THEN 'query' WHEN rcode = 'NOERROR' AND length > 100 THEN 'long answer' ELSE 'answer' END
+         || ' ' || query_ip || ' ' || CASE WHEN flag_rd THEN 'rd ' ELSE '-' END || ' ' || upper(l.qname) || ' '
+         || CASE WHEN rdata IS NULL THEN '0' ELSE '1 1=' || a.name || '/' || a.ttl || '/' || rdata END AS line
+       FROM dns_log l LEFT JOIN answers a ON l.msg_id = a.msg_id""",
+    "answers",
+)
 _add("text_clean_null", lambda d: formats.replace_nul(d.select("msg_id", F.concat("qname", F.lit("\0"), "rcode").alias("line")), by="?"), "SELECT msg_id, qname || '?' || rcode AS line FROM dns_log")
 
 
@@ -424,6 +464,27 @@ _add("influx_points", payloads.influx_points, r"""SELECT msg_id, 'dns,Identity='
 _HOUR = "ts_ns // 3600000000000"
 _add("es_bulk", lambda d: payloads.es_bulk(d, 1 << 18).select("identity", "hour", "bulk", "n", F.sha1(F.col("body").cast("binary")).alias("body_sha1")), f"SELECT identity, hour, bulk, count(*) AS n, sha1(string_agg(item, '' ORDER BY ts_ns, msg_id)) AS body_sha1 FROM (SELECT *, CAST((sum(strlen(item)) OVER (PARTITION BY identity, hour ORDER BY ts_ns, msg_id ROWS UNBOUNDED PRECEDING) - strlen(item)) AS BIGINT) // 262144 AS bulk FROM (SELECT identity, ts_ns, msg_id, {_HOUR} AS hour, '{{\"create\":{{}}}}' || chr(10) || {_FLAT_JSON} || chr(10) AS item FROM dns_log)) GROUP BY 1, 2, 3")
 _add("loki_streams", lambda d: payloads.loki_streams(d, batch_bytes=1 << 16).select("labels", "hour", "batch", "n", F.sha1(F.col("entries").cast("binary")).alias("entries_sha1")), f"""SELECT labels, hour, batch, count(*) AS n, sha1(string_agg(ts_ns || ' ' || line, chr(10) ORDER BY ts_ns, msg_id)) AS entries_sha1 FROM (SELECT *, CAST((sum(strlen(line)) OVER (PARTITION BY labels, hour ORDER BY ts_ns, msg_id ROWS UNBOUNDED PRECEDING) - strlen(line)) AS BIGINT) // 65536 AS batch FROM (SELECT '{{identity="' || identity || '", job="dnslens"}}' AS labels, {_HOUR} AS hour, ts_ns, msg_id, line FROM lines)) GROUP BY 1, 2, 3""", "lines")
+_RULES = [
+    {"source_labels": ["__dns_rcode"], "target_label": "rcode"},
+    {"source_labels": ["__dns_rcode"], "target_label": "__rcode"},
+    {"action": "lowercase", "source_labels": ["__network_protocol"], "target_label": "protocol"},
+    {"action": "drop", "source_labels": ["__dns_qtype", "__network_protocol"], "regex": "(PTR|MX);UDP"},
+    {"action": "labeldrop", "regex": "job"},
+]
+_add(
+    "loki_relabel",
+    lambda d: payloads.loki_streams(d, batch_bytes=1 << 16, rules=_RULES).select("labels", "hour", "batch", "n", F.sha1(F.col("entries").cast("binary")).alias("entries_sha1")),
+    f"""SELECT * FROM (WITH labelled AS (
+          SELECT '{{identity="' || d.identity || '", protocol="' || lower(d.protocol) || '", rcode="' || d.rcode || '"}}' AS labels,
+                 d.ts_ns // 3600000000000 AS hour, d.ts_ns, d.msg_id, l.line
+          FROM dns_log d JOIN lines l ON d.msg_id = l.msg_id
+          WHERE NOT (d.qtype IN ('PTR', 'MX') AND d.protocol = 'UDP')),
+        sized AS (SELECT *, sum(strlen(line)) OVER (PARTITION BY labels, hour ORDER BY ts_ns, msg_id ROWS UNBOUNDED PRECEDING) - strlen(line) AS before FROM labelled)
+        SELECT labels, hour, CAST(before AS BIGINT) // 65536 AS batch, count(*) AS n,
+               sha1(string_agg(ts_ns || ' ' || line, chr(10) ORDER BY ts_ns, msg_id)) AS entries_sha1
+        FROM sized GROUP BY 1, 2, 3)""",
+    "lines",
+)
 _add("scalyr_events", payloads.scalyr_events, f"SELECT msg_id, identity, {_HOUR} AS hour, (row_number() OVER (PARTITION BY identity, {_HOUR} ORDER BY ts_ns, msg_id) - 1) // 400 AS request, CAST(ts_ns AS VARCHAR) AS ts, 3 AS sev, CAST(to_json(struct_pack(parser := 'dns', message := line)) AS VARCHAR) AS attrs FROM lines", "lines")
 _add("fluentd_records", payloads.fluentd_records, f"SELECT msg_id, 'dns.message' AS tag, ts_ns // 1000000000 AS time, {_FLAT_JSON} AS record FROM dns_log")
 _add("redis_publish", payloads.redis_publish, """SELECT msg_id, 'PUBLISH "dns" "' || replace(line, '"', '\\"') || '"' AS command FROM lines""", "lines")

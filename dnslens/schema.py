@@ -137,7 +137,8 @@ def nest(df: DataFrame) -> DataFrame:
     c = lambda name, alias: F.col(name).alias(alias)
     answers = F.col("answers") if "answers" in df.columns else F.lit(None).cast(T.ArrayType(RECORD))
     none = F.array().cast(T.ArrayType(RECORD))
-    flags = F.struct((F.col("dns_type") == "REPLY").alias("qr"), c("flag_aa", "aa"), c("flag_rd", "rd"))
+    more = [c(f"flag_{x}", x) for x in ("tc", "ra", "ad", "cd") if f"flag_{x}" in df.columns]
+    flags = F.struct((F.col("dns_type") == "REPLY").alias("qr"), c("flag_aa", "aa"), c("flag_rd", "rd"), *more)
     records = F.struct(F.coalesce(answers, none).alias("an"), none.alias("ns"), none.alias("ar"))
     latency = F.col("latency") if "latency" in df.columns else F.lit(0.0)
     return df.select(

@@ -1,7 +1,7 @@
 """Capture files: packets of pcap files and messages of frame-stream files, file by file.
 
 Whole files come as rows (path, content) from Spark's binaryFile source, in batch or as a stream; each file is split in
-the task that reads it. TCP payloads that span packets are put together by flow, in sequence order.
+the task that reads it. IP fragments are put together there; TCP payloads that span packets by flow, in sequence order.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKETS = "path string, ts_ns long, protocol string, src_ip string, src_port string, dst_ip string, dst_port string, seq long, body binary"
+PACKETS = "path string, ts_ns long, protocol string, src_ip string, src_port string, dst_ip string, dst_port string, seq long, body binary, ip_defragmented boolean"
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*", stream: bool = False) -> DataFrame:
@@ -24,39 +24,92 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*", stream: boo
     return spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", pattern).load(folder).select("path", "content")
 
 
+#: IPv6 extension headers before the payload, and the one of fragments.
+_EXTENSIONS, _FRAGMENT = {0, 43, 60}, 44
+#: Fragments that are older by the capture's clock wait no longer.
+FRAGMENT_NS = 30_000_000_000
+
+
+def _datagram(frame: bytes):
+    """(protocol, src, dst, payload, fragment) of an Ethernet frame; fragment: None or (id, offset, more follow)."""
+    kind = frame[12:14]
+    if kind == b"\x08\x00" and len(frame) >= 34:
+        head, size, ident, part = (frame[14] & 15) * 4, *struct.unpack_from(">HHH", frame, 16)
+        fragment = (ident, (part & 0x1FFF) * 8, bool(part & 0x2000)) if part & 0x3FFF else None
+        return frame[23], frame[26:30], frame[30:34], frame[14 + head : 14 + size], fragment
+    if kind == b"\x86\xdd" and len(frame) >= 54:
+        proto, rest, fragment = frame[20], frame[54 : 54 + int.from_bytes(frame[18:20])], None
+        while (proto in _EXTENSIONS or proto == _FRAGMENT) and len(rest) >= 8:
+            if proto == _FRAGMENT:
+                part, ident = struct.unpack_from(">HI", rest, 2)
+                fragment = (ident, part & 0xFFF8, bool(part & 1))
+                proto, rest = rest[0], rest[8:]
+                break
+            proto, rest = rest[0], rest[(rest[1] + 1) * 8 :]
+        return proto, frame[22:38], frame[38:54], rest, fragment
+    return None
+
+
+class Fragments:
+    """Datagrams whose parts are still missing, by ends, protocol and id; the oldest go first."""
+
+    def __init__(self):
+        self.open: dict[tuple, tuple[int, dict[int, bytes], list[int]]] = {}
+
+    def add(self, key: tuple, at: int, more: bool, part: bytes, ts: int) -> bytes | None:
+        """The whole datagram, if this part completes it. Of parts that overlap, the first bytes count."""
+        while self.open and ts - (oldest := next(iter(self.open.items())))[1][0] > FRAGMENT_NS:
+            del self.open[oldest[0]]
+        _, parts, end = self.open.setdefault(key, (ts, {}, []))
+        parts.setdefault(at, part)
+        if not more:
+            end.append(at + len(part))
+        whole = b""
+        for offset in sorted(parts):
+            if offset > len(whole):
+                return None
+            whole += parts[offset][len(whole) - offset :]
+        if not end or len(whole) < end[0]:
+            return None
+        del self.open[key]
+        return whole[: end[0]]
+
+
 def split_packets(content: bytes, port: int):
-    """(ts_ns, protocol, src, sport, dst, dport, seq, body) of UDP and TCP packets of a port, from Ethernet frames."""
+    """(ts_ns, protocol, src, sport, dst, dport, seq, body, ip_defragmented) of UDP and TCP packets of a port, from Ethernet frames."""
     order = {b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\xa1\xb2\xc3\xd4": (">", 1000), b"\x4d\x3c\xb2\xa1": ("<", 1), b"\xa1\xb2\x3c\x4d": (">", 1)}.get(content[:4])
     if order is None:
         return
     end, scale = order
-    at = 24
+    at, fragments = 24, Fragments()
     while at + 16 <= len(content):
         sec, frac, size, _ = struct.unpack_from(f"{end}IIII", content, at)
         frame, at = content[at + 16 : at + 16 + size], at + 16 + size
-        kind = frame[12:14]
-        if kind == b"\x08\x00" and len(frame) >= 34:
-            head = (frame[14] & 15) * 4
-            proto, src, dst, rest = frame[23], frame[26:30], frame[30:34], frame[14 + head : 14 + int.from_bytes(frame[16:18])]
-        elif kind == b"\x86\xdd" and len(frame) >= 54:
-            proto, src, dst, rest = frame[20], frame[22:38], frame[38:54], frame[54:]
-        else:
+        ts = sec * 1_000_000_000 + frac * scale
+        found = _datagram(frame)
+        if found is None:
             continue
+        proto, src, dst, rest, fragment = found
+        if fragment is not None:
+            ident, offset, more = fragment
+            rest = fragments.add((src, dst, proto, ident), offset, more, rest, ts)
+            if rest is None:
+                continue
         ends = lambda a, b: (str(ipaddress.ip_address(src)), str(a), str(ipaddress.ip_address(dst)), str(b))
         if proto == 17 and len(rest) >= 8:
             sport, dport = struct.unpack_from(">HH", rest)
             if port in (sport, dport):
-                yield sec * 1_000_000_000 + frac * scale, "UDP", *ends(sport, dport), 0, rest[8:]
+                yield ts, "UDP", *ends(sport, dport), 0, rest[8:], fragment is not None
         elif proto == 6 and len(rest) >= 20:
             sport, dport, seq = struct.unpack_from(">HHI", rest)
             body = rest[(rest[12] >> 4) * 4 :]
             if port in (sport, dport) and body:
-                yield sec * 1_000_000_000 + frac * scale, "TCP", *ends(sport, dport), seq, body
+                yield ts, "TCP", *ends(sport, dport), seq, body, fragment is not None
 
 
 def packets(files: DataFrame, port: int = 53) -> DataFrame:
     names = [x.split()[0] for x in PACKETS.split(", ")]
-    kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary(), pa.bool_()]
 
     def run(batches):
         for b in batches:
@@ -68,32 +121,42 @@ def packets(files: DataFrame, port: int = 53) -> DataFrame:
 
 
 def messages(rows: DataFrame) -> DataFrame:
-    """Packets as DNS messages: ts_ns, protocol, the ends, payload, tcp_reassembled. Each TCP flow is read in sequence order."""
+    """Packets as DNS messages: ts_ns, protocol, the ends, payload, tcp_reassembled, ip_defragmented.
+
+    Each TCP flow is read in sequence order. Bytes that were sent before are cut; after a gap the message that it broke is
+    given up, and the next segment is taken as the start of a message.
+    """
     keep = ["path", "ts_ns", "protocol", "src_ip", "src_port", "dst_ip", "dst_port"]
-    udp = rows.where("protocol = 'UDP'").select(*keep, F.col("body").alias("payload"), F.lit(False).alias("tcp_reassembled"))
+    udp = rows.where("protocol = 'UDP'").select(*keep, F.col("body").alias("payload"), F.lit(False).alias("tcp_reassembled"), "ip_defragmented")
 
     ends = ["path", "src_ip", "src_port", "dst_ip", "dst_port"]
     names = [x.split()[0] for x in PACKETS.split(", ")]
 
     def flows(batches):
         # packets in flow and sequence order: a task holds one message at a time
-        at, seen, data, whole = None, -1, b"", True
+        at, expected, data, parts = None, 0, b"", False
         for b in batches:
             out = []
             for r in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-                path, ts, _, src, sport, dst, dport, seq, body = r
+                path, ts, _, src, sport, dst, dport, seq, body, fragmented = r
                 if (path, src, sport, dst, dport) != at:
-                    at, seen, data = (path, src, sport, dst, dport), -1, b""
-                if seq == seen:  # sent again
+                    at, expected, data, parts = (path, src, sport, dst, dport), seq, b"", False
+                if seq + len(body) <= expected:  # sent again
                     continue
-                seen, whole, data = seq, not data, data + body
+                if seq > expected:
+                    data, parts = b"", False
+                else:
+                    body = body[expected - seq :]
+                expected = max(expected, seq) + len(body)
+                whole, data, parts = not data, data + body, parts or fragmented
                 while len(data) >= 2 and len(data) >= 2 + int.from_bytes(data[:2]):
                     n = int.from_bytes(data[:2])
-                    out.append((path, ts, "TCP", src, sport, dst, dport, data[2 : 2 + n], not whole))
-                    data = data[2 + n :]
-            cols = list(zip(*out, strict=True)) or [[]] * 9
-            kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.binary(), pa.bool_()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[*keep, "payload", "tcp_reassembled"])
+                    out.append((path, ts, "TCP", src, sport, dst, dport, data[2 : 2 + n], not whole, parts))
+                    whole, data = True, data[2 + n :]
+                parts = parts and bool(data)
+            cols = list(zip(*out, strict=True)) or [[]] * 10
+            kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.binary(), pa.bool_(), pa.bool_()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[*keep, "payload", "tcp_reassembled", "ip_defragmented"])
 
     tcp = rows.where("protocol = 'TCP'").repartition(*ends).sortWithinPartitions(*ends, "seq", "ts_ns").mapInArrow(flows, udp.schema)
     return udp.unionByName(tcp)

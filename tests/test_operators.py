@@ -200,3 +200,134 @@ def test_range_lookup_of_both_families(spark):
     df = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "msg_id long, ip string")
     got = [r.cidr for r in lookup.ip_range_lookup(df, "ip", ranges).orderBy("msg_id").collect()]
     assert got == ["192.0.2.0/24", "192.0.0.0/16", None, "2001:db8::/32", "2001:db8:1::/48", "::/0", "::/0", None, None]
+
+
+def test_template_blocks(spark):
+    from dnslens.functions import templates
+
+    d = log(spark, {"qname": "a<b>.example.com"}, {"dns_type": "REPLY", "rcode": "NOERROR"})
+    record = "array(named_struct('name', 'n', 'rdatatype', 'A', 'class', 'IN', 'ttl', 60L, 'rdata', '192.0.2.1'), named_struct('name', 'm', 'rdatatype', 'A', 'class', 'IN', 'ttl', 5L, 'rdata', '192.0.2.2'))"
+    d = d.withColumn("answers", F.expr(f"if(dns_type = 'REPLY', {record}, null)"))
+
+    def lines(template, **how):
+        return [r.line for r in formats.to_template(S.nest(d), template, **how).orderBy("msg_id").collect()]
+
+    assert lines("{{ dns.qname }}")[0] == "a&lt;b&gt;.example.com"
+    assert lines("{{ dns.qname }}", autoescape=False)[0] == lines("{{ dns.qname | safe }}")[0] == "a<b>.example.com"
+    assert lines("{% for r in dm.DNS.DNSRRs.Answers %}{{ forloop.Counter }}{{ r.Name }}{{ r.TTL }};{% endfor %}") == ["", "1n60;2m5;"]
+    assert lines("{% for r in no.list %}{{ r }}{% endfor %}x{# not shown #}") == ["x", "x"]
+    assert lines("{% for r in dns.resource-records.an %}{% if r.ttl < 10 or not r.name %}{{ r.rdata }}{% endif %}{% endfor %}") == ["", "192.0.2.2"]
+    assert lines('{% if dm.DNS.Type == "QUERY" %}q{% elif dns.length >= 40 and dns.flags.rd %}r{% else %}-{% endif %}') == ["q", "r"]
+    assert lines('{{ dns.flags.qr | yesno:"r,q" }}{{ no.field }}{{ no.field | default:"none" | upper }}{{ dns.resource-records.an.*.rdata | join:"+" }}') == ["qNONE", "rNONE192.0.2.1+192.0.2.2"]
+    assert lines("{{ dm.DNS.DNSRRs.AnCount }} {{ dns.qname | length }} {{ dns.length | add:2 }} {{ dnstap.latency }} {{ dns.flags.qr }}")[1] == "2 15 42 0.000000 True"
+    for wrong in ("{% if dns.id %}", "{{ dns.id | nothing }}", "{% jump %}"):
+        with pytest.raises(ValueError):
+            templates.template_line(S.nest(d), wrong)
+
+
+def test_relabelling_of_streams(spark):
+    from dnslens.functions import payloads
+
+    d = log(spark, {"rcode": "NOERROR"})
+
+    def labels(*rules, mode="text"):
+        return [r.labels for r in payloads.loki_streams(d, rules=list(rules), mode=mode).collect()]
+
+    rcode = {"source_labels": ["__dns_rcode"], "target_label": "rcode"}
+    for mode in ("text", "json", "flat-json"):
+        assert labels(rcode, mode=mode) == ['{identity="ns0", job="dnslens", rcode="NOERROR"}']
+    assert labels(rcode | {"target_label": "__rcode"}) == ['{identity="ns0", job="dnslens"}']
+    assert labels({"action": "labeldrop", "regex": "job"}) == ['{identity="ns0"}']
+    assert labels({"action": "labelkeep", "regex": "__.*"}) == []
+    assert labels(rcode | {"action": "keep", "regex": "NO"}) == labels(rcode | {"action": "drop", "regex": "NO.*"}) == []
+    assert labels({"action": "labelmap", "regex": "__network_(fam|proto).*"}, {"action": "labelkeep", "regex": "fam|proto"}) == ['{fam="IPv4", proto="UDP"}']
+    assert labels({"source_labels": ["job", "identity"], "regex": "(.*);(.*)", "target_label": "$2", "replacement": "${1}!"})[0] == '{identity="ns0", job="dnslens", ns0="dnslens!"}'
+    assert labels(rcode | {"replacement": ""}, rcode | {"target_label": "job", "replacement": ""}) == ['{identity="ns0"}']
+    import hashlib
+
+    want = int.from_bytes(hashlib.md5(b"ns0").digest()[8:]) % 7
+    assert labels({"action": "hashmod", "source_labels": ["identity"], "target_label": "part", "modulus": 7}) == [f'{{identity="ns0", job="dnslens", part="{want}"}}']
+
+
+def test_bulk_bodies_as_gzip(spark):
+    import gzip
+
+    from dnslens.functions import payloads
+
+    d = log(spark, {}, {"qname": "é.example.com"})
+    plain, packed = payloads.es_bulk(d).collect(), payloads.es_bulk(d, compression="gzip").collect()
+    assert [gzip.decompress(bytes(r.body)).decode() for r in packed] == [r.body for r in plain]
+
+
+def test_rotation_by_size_keeps_the_last_files(spark, tmp_path):
+    from dnslens.plans import sinks
+
+    d = log(spark, *({"ts_ns": i * 10**9} for i in range(40)))
+    sinks.write_rotated(d, str(tmp_path / "all"), bytes_per_file=2000)
+    sinks.write_rotated(d, str(tmp_path / "last"), bytes_per_file=2000, keep=2)
+    files = sorted(int(p.parent.name.split("=")[1]) for p in (tmp_path / "all").rglob("*.gz"))
+    assert len(files) > 3 and files == list(range(len(files)))
+    assert sorted(int(p.parent.name.split("=")[1]) for p in (tmp_path / "last").rglob("*.gz")) == files[-2:]
+    assert ids(spark.read.json(str(tmp_path / "all"))) == list(range(40))
+
+
+def test_sets_of_both_families(spark):
+    from dnslens.functions.ip import networks
+
+    ips = ["192.0.2.9", "192.0.3.9", "2001:db8::7", "2001:DB8:0:0::7", "2001:db9::7", "x", None]
+    d = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "msg_id long, ip string")
+    nets = networks(spark, ["192.0.2.0/24", "192.0.2.8/29", "2001:db8::/64", "nonsense"])
+    assert ids(lookup.ip_in_set(d, "ip", nets)) == [0, 2, 3]
+    assert ids(lookup.ip_in_set(d, "ip", nets, "left_anti")) == [1, 4, 5, 6]
+    assert lookup.ip_in_set(d, "ip", nets).columns == d.columns
+
+
+def _pcap(*frames):
+    import struct
+
+    out = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    return out + b"".join(struct.pack("<IIII", k, 0, len(f), len(f)) + f for k, f in enumerate(frames))
+
+
+def _v4(ident, part, payload, proto=17):
+    import struct
+
+    return b"\0" * 12 + b"\x08\x00" + struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(payload), ident, part, 64, proto, 0) + bytes([192, 0, 2, 1, 192, 0, 2, 2]) + payload
+
+
+def _messages(spark, *frames):
+    from dnslens.sources import capture
+
+    files = spark.createDataFrame([("f", bytearray(_pcap(*frames)))], "path string, content binary")
+    rows = capture.messages(capture.packets(files)).select("payload", "tcp_reassembled", "ip_defragmented").collect()
+    return sorted((bytes(r.payload), r.tcp_reassembled, r.ip_defragmented) for r in rows)
+
+
+def test_fragments_are_put_together(spark):
+    import struct
+
+    body = bytes(range(60))
+    udp = struct.pack(">HHHH", 4000, 53, 68, 0) + body
+    first, second, last = _v4(7, 0x2000, udp[:24]), _v4(7, 0x2000 | 3, udp[24:48]), _v4(7, 6, udp[48:])
+    assert _messages(spark, first, second, last) == [(body, False, True)]
+    assert _messages(spark, last, first, _v4(8, 0x2000, udp[:24]), second, second) == [(body, False, True)]  # any order; id 8 never ends
+    assert _messages(spark, first, last) == []
+    assert _messages(spark, _v4(9, 0, udp)) == [(body, False, False)]
+    head = lambda part: struct.pack(">BBHI", 17, 0, part, 5)
+    six = lambda part, payload: b"\0" * 12 + b"\x86\xdd" + struct.pack(">IHBB", 6 << 28, 8 + len(payload), 44, 64) + bytes(32) + head(part) + payload
+    assert _messages(spark, six(1, udp[:24]), six(24, udp[24:])) == [(body, False, True)]
+
+
+def test_flows_with_gaps_and_repeats(spark):
+    import struct
+
+    def segment(seq, body):
+        return _v4(0, 0, struct.pack(">HHIIBBHHH", 4000, 53, seq, 0, 5 << 4, 16, 1024, 0, 0) + body, 6)
+
+    one, two, three = (len(b).to_bytes(2) + b for b in (b"a" * 20, b"b" * 30, b"c" * 10))
+    stream = one + two
+    assert _messages(spark, segment(1, stream[:10]), segment(11, stream[10:])) == [(b"a" * 20, True, False), (b"b" * 30, False, False)]
+    overlap = [segment(1, stream[:30]), segment(20, stream[19:]), segment(1, stream[:30])]
+    assert _messages(spark, *overlap) == [(b"a" * 20, False, False), (b"b" * 30, True, False)]
+    lost = [segment(1, one), segment(1 + len(one), two[:5]), segment(1 + len(stream), three)]
+    assert _messages(spark, *lost) == [(b"a" * 20, False, False), (b"c" * 10, False, False)]
