@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dnslens.llm import decontaminate, exact_dedup, html_wrapper, language_id, packing, ring_shards, simhash, substring_dedup, token_planes, toxicity
+from dnslens.llm import byte_bpe, decontaminate, exact_dedup, html_wrapper, language_id, packing, ring_shards, simhash, substring_dedup, token_alignment, token_planes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,7 +73,19 @@ def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents")).drop("key")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_wrapper, op3_spaced_seeds, op4_toxicity_cnn, op5_relative_lz, op6_covering_simhash, op7_bit_planes, op8_ring_shards, op9_extendible_hash, op10_hilbert_packing)}
+def op11_interval_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's alignment of two tokenizers, with the corpus-wide counts of its links' id pairs."""
+    found = token_alignment.align(_read(spark, sf_dir, "documents"), groups=lambda c: F.sha2(c.cast("binary"), 256))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_mapped_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and what they decode to, as digests."""
+    found = byte_bpe.encode(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_wrapper, op3_spaced_seeds, op4_toxicity_cnn, op5_relative_lz, op6_covering_simhash, op7_bit_planes, op8_ring_shards, op9_extendible_hash, op10_hilbert_packing, op11_interval_coalescing, op12_mapped_bpe)}
 
 ORACLE_SQL = {
     "op5_relative_lz": r"""

@@ -35,6 +35,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
 def default_path(name: str) -> str:
     import public_tokenizers
 
@@ -85,15 +89,20 @@ def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """path: of a tokenizer file. drop_space: white space never makes ids, text is lowered and digits stand alone."""
+    """path: of a tokenizer file. drop_space: white space never makes ids, text is lowered and digits stand alone. plain:
+    special tokens' strings inside texts are plain text."""
+
+    #: Which bytes, after a visible ASCII character, may begin a new part of a long text.
+    cuts = _IS_SPACE
 
-    def __init__(self, path: str, drop_space: bool):
+    def __init__(self, path: str, drop_space: bool, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.drop_space = drop_space
-        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.model.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.kind = np.full(0x110000, UNKNOWN, np.uint8)
         self.low = np.arange(0x110000, dtype=np.uint32)
         self._ask(np.array([c for c in range(128) if chr(c) not in " \t\n\r\x0b\x0c"]))
@@ -280,7 +289,7 @@ class Encoder:
         """The ids (uint32) of each whole text of a string column (null: empty)."""
         data, offsets = text_buffer(column)
         held: list[np.ndarray] = []
-        for parts, docs in _chunks(data, offsets):
+        for parts, docs in _chunks(data, offsets, self.cuts):
             lo = parts[0]
             got = self._encode(data[lo : parts[-1]], parts - lo)
             for ids, last in zip(got, docs, strict=True):
@@ -295,11 +304,7 @@ class Encoder:
         return list(self.encode_column(pa.array(texts, pa.large_string())))
 
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _chunks(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray = _IS_SPACE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Byte offsets of parts, some CHUNK at a time, and for each part whether it ends its document."""
     parts, last = [int(offsets[0])], []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -308,7 +313,7 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
             after = np.zeros(0, np.int64)
             for lo in range(0, len(text) - 1, PART):  # a space after a visible ASCII character
                 x = text[lo : lo + PART + 1]
-                after = np.flatnonzero(_IS_SPACE[x[1:]] & (x[:-1] > 32) & (x[:-1] < 127))
+                after = np.flatnonzero(cuts[x[1:]] & (x[:-1] > 32) & (x[:-1] < 127))
                 if len(after):
                     a = a + PART + lo + int(after[0]) + 1
                     break
@@ -328,11 +333,16 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield np.array(parts), np.array(last)
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, drop_space: bool) -> Encoder:
+def encoder(path: str, drop_space: bool, plain: bool = False) -> Encoder:
     """The process's encoder of a file: what it has learned serves the next task of a reused worker."""
-    if (path, drop_space) not in _ENCODERS:
-        _ENCODERS[path, drop_space] = Encoder(path, drop_space)
-    return _ENCODERS[path, drop_space]
+    return remembered(Encoder, path, drop_space, plain)
+
+
+def remembered(kind: type[Encoder], *args) -> Encoder:
+    """The process's only instance of an encoder."""
+    if (kind, *args) not in _ENCODERS:
+        _ENCODERS[kind, *args] = kind(*args)
+    return _ENCODERS[kind, *args]
