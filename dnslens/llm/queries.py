@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dnslens.llm import byte_bpe, decontaminate, exact_dedup, html_wrapper, language_id, packing, ring_shards, simhash, substring_dedup, token_alignment, token_planes, toxicity
+from dnslens.llm import byte_bpe, decontaminate, document_fp_tree, exact_dedup, html_wrapper, language_id, packing, ring_shards, simhash, substring_dedup, token_alignment, token_planes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -85,7 +85,12 @@ def op12_mapped_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_wrapper, op3_spaced_seeds, op4_toxicity_cnn, op5_relative_lz, op6_covering_simhash, op7_bit_planes, op8_ring_shards, op9_extendible_hash, op10_hilbert_packing, op11_interval_coalescing, op12_mapped_bpe)}
+def op13_fp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return document_fp_tree.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_wrapper, op3_spaced_seeds, op4_toxicity_cnn, op5_relative_lz, op6_covering_simhash, op7_bit_planes, op8_ring_shards, op9_extendible_hash, op10_hilbert_packing, op11_interval_coalescing, op12_mapped_bpe, op13_fp_tree)}
 
 ORACLE_SQL = {
     "op5_relative_lz": r"""
@@ -101,4 +106,17 @@ FROM t LEFT JOIN k ON t.rid = k.rid""",
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
   doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM n""",
+    "op13_fp_tree": r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+d AS (SELECT rid, doc_id, CAST(len(ws) AS BIGINT) AS n FROM t WHERE len(ws) > 0),
+s AS (SELECT count(*) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM d),
+m AS (SELECT rid, doc_id, 100 - 25 + (25 * n * all_docs) // all_terms AS m FROM d, s),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ws) AS term FROM t) GROUP BY ALL),
+i AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+q AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(ws) AS term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * all_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+h AS (SELECT item, item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (rid) GROUP BY item, item_id, rid, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM h WHERE score > 0) WHERE rank <= 20""",
 }
