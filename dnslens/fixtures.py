@@ -51,6 +51,18 @@ def dns_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_LOG.format(us="unix_micros(CAST(ts AS TIMESTAMP))", events="{events}"), events=events)
 
 
+_REPEATED = """SELECT * REPLACE (msg_id * 8 + i AS msg_id, ts_ns + i * 800000000 AS ts_ns) FROM (
+  SELECT *, unnest(range(msg_id % 7)) AS i FROM dns_log)"""
+#: The log of `repeated` as DuckDB SQL; needs dns_log.
+REPEATED_SQL = f"SELECT * EXCLUDE (i) FROM ({_REPEATED})"
+
+
+def repeated(log: DataFrame) -> DataFrame:
+    """Each row up to six times, 0.8 s apart, so that repeats cross the ticks of any interval."""
+    rows = log.where("msg_id % 7 > 0").withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("msg_id") % 7 - 1)))
+    return rows.withColumns({"msg_id": F.col("msg_id") * 8 + F.col("__i"), "ts_ns": F.col("ts_ns") + F.col("__i") * 800_000_000}).drop("__i")
+
+
 def with_answers(log: DataFrame) -> DataFrame:
     """The log with a column answers: one A record on each NOERROR reply (ttl and address follow the name's number)."""
     k = F.regexp_extract("qname", r"(\d+)\.", 1).cast("long")

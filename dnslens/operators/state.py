@@ -3,26 +3,90 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dnslens.operators.filters import any_of
 from dnslens.operators.lookup import add_tld_plus_one
+from dnslens.plans.shared import scratch
 
 #: The default key of repeats.
 REDUCE_KEYS = ("identity", "operation", "query_ip", "response_ip", "qname", "qtype")
 
 
+def _stored(df: DataFrame, tag: str) -> DataFrame:
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _beside(ticks: DataFrame) -> DataFrame:
+    """Ticks of a key whose next or last tick has rows too."""
+    near = ticks.select("__k", "__tick", F.lit(0).alias("__by"))
+    for by in (-1, 1):
+        near = near.unionByName(ticks.select("__k", (F.col("__tick") + by).alias("__tick"), F.lit(1).alias("__by")))
+    return near.groupBy("__k", "__tick").agg(F.min("__by").alias("__own"), F.max("__by").alias("__near")).where("__own = 0 AND __near = 1").select("__k", "__tick")
+
+
+def _anchors(times: DataFrame, step: int) -> DataFrame:
+    """__k, __tick, __anchor: the times at which intervals of `step` begin, among the different times (__k, __tick, __ts) of keys.
+
+    A time that no row of the last tick precedes begins one. Each time points to the first time at or past its own plus
+    step, which lies in the next tick or begins the one after (unless the next one is empty, as that begins an interval anyway);
+    pointers are doubled until none is left, and each turn adds the times that those already found reach. No step groups more than a key's times of one tick.
+    """
+    first = times.groupBy("__k", "__tick").agg(F.min("__ts").alias("__ts"))
+    before = first.select("__k", (F.col("__tick") + 1).alias("__tick"))
+    roots = first.join(before, ["__k", "__tick"], "left_anti").select("__k", F.col("__ts").alias("__anchor"))
+    probes = times.select("__k", (F.col("__tick") + 1).alias("__tick"), (F.col("__ts") + step).alias("__at"), F.lit(None).cast("long").alias("__hit"), F.col("__ts").alias("__of"))
+    rows = times.select("__k", "__tick", F.col("__ts").alias("__at"), F.col("__ts").alias("__hit"), F.lit(None).cast("long").alias("__of"))
+    ahead = Window.partitionBy("__k", "__tick").orderBy("__at").rangeBetween(0, Window.unboundedFollowing)
+    found = rows.unionByName(probes).withColumn("__next", F.min("__hit").over(ahead)).where("__of IS NOT NULL")
+    later = first.join(before, ["__k", "__tick"], "left_semi").select("__k", (F.col("__tick") - 1).alias("__tick"), F.col("__ts").alias("__later"))
+    links = found.join(later, ["__k", "__tick"], "left").select("__k", F.col("__of").alias("__ts"), F.coalesce("__next", "__later").alias("__next"))
+    links = _stored(links.where("__next IS NOT NULL"), "links")
+    begun = _stored(roots, "anchors")
+    while not links.isEmpty():
+        reached = begun.join(links, (begun["__k"] == links["__k"]) & (begun["__anchor"] == links["__ts"])).select(begun["__k"], F.col("__next").alias("__anchor"))
+        begun = _stored(begun.unionByName(reached), "anchors")
+        onward = links.select(F.col("__k").alias("__k2"), F.col("__ts").alias("__mid"), F.col("__next").alias("__far"))
+        links = _stored(links.join(onward, (F.col("__k") == F.col("__k2")) & (F.col("__next") == F.col("__mid"))).select("__k", "__ts", F.col("__far").alias("__next")), "links")
+    return begun.select("__k", _tick("__anchor", step).alias("__tick"), "__anchor")
+
+
+def _tick(column: str, step: int) -> Column:
+    return F.floor(F.col(column) / F.lit(step).cast("decimal(20,0)")).cast("long")
+
+
 def reduce_traffic(df: DataFrame, keys: tuple[str, ...] = REDUCE_KEYS, interval: float = 2.0, psl: DataFrame | None = None) -> DataFrame:
-    """The first row of each key and interval with occurrences and cumulative_length; with psl, names first become registrable domains."""
+    """The first row of each key and interval with occurrences and cumulative_length; with psl, names first become registrable domains.
+
+    An interval begins at the first row of a key that lies outside the one before, and holds the rows of the key before its
+    begin + interval. Null keys equal each other; rows without a time are one interval of their key; of rows at one time the
+    least msg_id is first. Only keys with rows in neighbouring ticks of `interval` seconds are followed from interval to
+    interval, by pointer doubling (see `_anchors`).
+    """
     rows = df
     if psl is not None:
         rows = add_tld_plus_one(df, psl).withColumn("qname", F.when(F.col("etld_plus_one") == "-", F.col("qname")).otherwise(F.col("etld_plus_one"))).drop("etld_plus_one")
-    tick = F.floor(F.col("ts_ns") / F.lit(int(interval * 1e9)).cast("decimal(20,0)")).cast("long")
+    step = int(interval * 1e9)
     rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct("ts_ns", "msg_id"))
-    out = rows.groupBy(*keys, tick.alias("__tick")).agg(first.alias("__first"), F.count("*").alias("occurrences"), F.sum("length").alias("cumulative_length"))
-    return out.select(*(F.col(f"__first.{c}").alias(c) if c in rest else F.col(c) for c in df.columns), "occurrences", "cumulative_length")
+    rows = rows.withColumns({"__k": F.struct(*keys), "__tick": _tick("ts_ns", step)})
+
+    def folded(part: DataFrame, begin: str) -> DataFrame:
+        first = F.min_by(F.struct(*rest), F.struct("ts_ns", "msg_id"))
+        out = part.groupBy("__k", begin).agg(first.alias("__first"), F.count("*").alias("occurrences"), F.sum("length").alias("cumulative_length"))
+        return out.select(*(F.col(f"__first.{c}" if c in rest else f"__k.{c}").alias(c) for c in df.columns), "occurrences", "cumulative_length")
+
+    beside = _stored(_beside(rows.where("ts_ns IS NOT NULL").select("__k", "__tick").distinct()), "ticks")
+    if beside.isEmpty():
+        return folded(rows, "__tick")
+    near = rows.join(beside, ["__k", "__tick"], "left_semi")
+    anchors = _anchors(near.select("__k", "__tick", F.col("ts_ns").alias("__ts")).distinct(), step)
+    own = near.join(anchors, ["__k", "__tick"], "left")
+    last = anchors.select("__k", (F.col("__tick") + 1).alias("__tick"), F.col("__anchor").alias("__last"))
+    placed = own.join(last, ["__k", "__tick"], "left").withColumn("__begin", F.when(F.col("__anchor") <= F.col("ts_ns"), F.col("__anchor")).otherwise(F.col("__last")))
+    return folded(rows.join(beside, ["__k", "__tick"], "left_anti"), "__tick").unionByName(folded(placed, "__begin"))
 
 
 def new_domains(df: DataFrame, ttl: float = 3600.0, whitelist: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
@@ -59,3 +123,20 @@ def with_position(df: DataFrame, by: str = "identity", buffer: float = 30.0) ->
     """position: of each row in its stream's flush interval (buffer seconds) by time."""
     tick = F.floor(F.col("ts_ns") / F.lit(int(buffer * 1e9)).cast("decimal(20,0)")).cast("long")
     return df.withColumn("flush", tick).withColumn("position", F.row_number().over(Window.partitionBy(by, "flush").orderBy("ts_ns", "msg_id")).cast("long"))
+
+
+def flushed(df: DataFrame, by: str = "identity", buffer: float = 30.0, rows: int = 100) -> DataFrame:
+    """Each stream's rows in flushes of a buffer: flush (its tick of `buffer` seconds), part (so many times it was full), position.
+
+    Rows arrive in the order of ts_ns and msg_id. A flush is sorted by `timestamp`; a row whose timestamp is null (its text
+    can't be read) keeps its place, the others fill the other places in time order, earlier arrivals first among equals.
+    """
+    tick, arrival = Window.partitionBy(by, "flush"), ("ts_ns", "msg_id")
+    out = df.withColumn("flush", _tick("ts_ns", int(buffer * 1e9)))
+    out = out.withColumn("__at", F.row_number().over(tick.orderBy(*arrival)).cast("long"))
+    out = out.withColumns({"part": F.expr(f"(__at - 1) div {rows}"), "__at": (F.col("__at") - 1) % rows + 1, "__good": F.col("timestamp").isNotNull()})
+    full = Window.partitionBy(by, "flush", "part")
+    places = F.array_sort(F.collect_list(F.when(F.col("__good"), F.col("__at"))).over(full))  # at most `rows`
+    order = F.row_number().over(Window.partitionBy(by, "flush", "part", "__good").orderBy("timestamp", "__at"))
+    out = out.withColumns({"__places": places, "__order": order})
+    return out.withColumn("position", F.when(F.col("__good"), F.get("__places", F.col("__order") - 1)).otherwise(F.col("__at"))).drop("__at", "__good", "__places", "__order")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnslens.operators.filters import split
+from dnslens.plans.shared import scratch
+
+__all__ = ["accounting", "chain", "fan_in", "fan_out", "observed", "routes", "scratch", "slow_and_errors"]
 
 Step = Callable[[DataFrame], DataFrame]
 #: The order in which a chain runs its steps unless told otherwise: latency before scoring, places before masking.
@@ -61,22 +63,6 @@ def accounting(df: DataFrame, stages: Iterable[tuple[str, Column]]) -> DataFrame
     return counts.select(F.inline("s"))
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that executors share, removed when the application ends."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = base or tempfile.mkdtemp(prefix="dnslens-")
-    path = f"{base.rstrip('/')}/dnslens-{tag}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(p)
-    fs.deleteOnExit(p)
-    return f"{path}/t"
-
-
 def slow_and_errors(log: DataFrame, slow: float = 0.2) -> DataFrame:
     """Slow replies and failed replies: lower-case names, latency, two matched branches, one output with its branch."""
     from dnslens.operators.normalize import qname_lowercase, replace_nonprintable

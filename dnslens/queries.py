@@ -15,7 +15,7 @@ from dnslens.functions.ip import networks
 from dnslens.operators import filters, lookup, metrics, normalize, pairing, predicates, privacy, score, state
 from dnslens.plans import pipeline, sinks
 from dnslens.sources import capture, decode, records
-from dnslens.streaming import stateful
+from dnslens.streaming import stateful, tracking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,6 +27,26 @@ _QNAME = "CASE WHEN contains(qname, ' ') THEN '\"' || qname || '\"' ELSE qname E
 _LINE = f"concat_ws(' ', {_RFC}, identity, operation, rcode, query_ip, query_port, family, protocol, CAST(length AS VARCHAR) || 'b', {_QNAME}, qtype, '0.000000000')"
 _flat = {k: str(v).lower() if isinstance(v, (bool, int)) else f"'{v}'" for k, v in S.FLAT_UNSET.items() if v is not None and k != "dnstap.latency"} | {"dns.flags.qr": "dns_type = 'REPLY'", "dnstap.timestamp-rfc3339ns": _RFC} | S.FLAT_KEYS
 _FLAT_JSON = "CAST(to_json(struct_pack(" + ", ".join(f'"{k}" := {v}' for k, v in sorted((_flat | {"dns.resource-records.an": "'-'"}).items())) + ")) AS VARCHAR)"
+
+
+def _reduced(name: str, log: str, interval_ns: int = 2_000_000_000) -> str:
+    """Repeats of a log folded into intervals that begin at the first row outside the one before, by recursion over each key's times."""
+    keys = "identity, operation, query_ip, response_ip, qname, qtype"
+    return f"""{name}_rows AS MATERIALIZED (SELECT *, concat_ws('|', {keys}) AS k FROM {log}),
+{name}_times AS MATERIALIZED (SELECT DISTINCT k, ts_ns FROM {name}_rows),
+{name}_next AS MATERIALIZED (
+  SELECT a.k, a.ts_ns, b.ts_ns AS nxt
+  FROM (SELECT k, ts_ns, ts_ns + {interval_ns} AS until FROM {name}_times) a
+  ASOF JOIN {name}_times b ON a.k = b.k AND a.until <= b.ts_ns),
+{name}_begin AS (
+  SELECT k, min(ts_ns) AS ts_ns FROM {name}_times GROUP BY k
+  UNION ALL SELECT n.k, n.nxt FROM {name}_begin b JOIN {name}_next n ON n.k = b.k AND n.ts_ns = b.ts_ns),
+{name} AS (
+  SELECT {keys}, min(struct_pack(ts_ns := r.ts_ns, msg_id := msg_id)) AS f, count(*) AS occurrences,
+    CAST(sum(length) AS BIGINT) AS cumulative_length
+  FROM {name}_rows r ASOF JOIN {name}_begin b ON r.k = b.k AND r.ts_ns >= b.ts_ns GROUP BY {keys}, b.ts_ns)"""
+
+
 _BY = {
     "lat": "lat AS (SELECT * EXCLUDE (ok), CASE WHEN ok AND dns_type = 'REPLY' AND lag(dns_type) OVER w = 'QUERY' AND ts_ns - lag(ts_ns) OVER w < 2000000000 THEN (ts_ns - lag(ts_ns) OVER w) / 1e9 ELSE 0.0 END AS latency FROM (SELECT *, NOT malformed AND query_port <> '-' AS ok FROM dns_log) WINDOW w AS (PARTITION BY query_ip, query_port, dns_id, ok ORDER BY ts_ns, msg_id))",
     "full": "full_log AS (SELECT * FROM dns_log UNION ALL SELECT * REPLACE ('TIMEOUT' AS rcode) FROM dns_log q WHERE dns_type = 'QUERY' AND NOT malformed AND query_port <> '-' AND NOT EXISTS (SELECT 1 FROM dns_log r WHERE r.dns_type = 'REPLY' AND NOT r.malformed AND r.query_ip = q.query_ip AND r.query_port = q.query_port AND r.dns_id = q.dns_id AND r.ts_ns >= q.ts_ns AND r.ts_ns < q.ts_ns + 2000000000))",
@@ -38,9 +58,13 @@ _BY = {
     "answers": f"answers AS ({X.ANSWERS_SQL})",
     "geo": "geo AS (SELECT * FROM (VALUES " + ", ".join(f"({_net(c)[0]}, {_net(c)[1]}, {_net(c)[2]}, '{a}', '{b}', '{d}', '{e}', '{f}', '{c}')" for c, a, b, d, e, f in X.GEO) + ") t(lo, hi, bits, country, continent, city, asn, as_owner, cidr))",
     "lines": f"lines AS (SELECT msg_id, ts_ns, identity, query_ip, qname, rcode, {_LINE} AS line FROM dns_log)",
-    "reduced": "reduced AS (SELECT identity, operation, query_ip, response_ip, qname, qtype, min(struct_pack(ts_ns := ts_ns, msg_id := msg_id)) AS f, count(*) AS occurrences, CAST(sum(length) AS BIGINT) AS cumulative_length FROM dns_log GROUP BY identity, operation, query_ip, response_ip, qname, qtype, ts_ns // 2000000000)",
+    "reduced": _reduced("reduced", "dns_log"),
+    "repeated": f"repeated AS ({X.REPEATED_SQL})",
+    "reduced_repeats": _reduced("reduced_repeats", "repeated"),
+    "domains": "domains AS (SELECT * REPLACE (CASE WHEN etld_plus_one = '-' THEN qname ELSE etld_plus_one END AS qname) FROM tld)",
+    "reduced_domains": _reduced("reduced_domains", "domains"),
 }
-_NEEDS = {"clean": ["psl"], "tld": ["clean"], "susp": ["lat"], "scored": ["susp"]}
+_NEEDS = {"reduced_repeats": ["repeated"], "reduced_domains": ["domains"], "domains": ["tld"], "clean": ["psl"], "tld": ["clean"], "susp": ["lat"], "scored": ["susp"]}
 
 
 def _sql(text: str, *ctes: str) -> str:
@@ -54,7 +78,7 @@ def _sql(text: str, *ctes: str) -> str:
 
     for c in ctes:
         add(c)
-    return f"WITH dns_log AS MATERIALIZED ({X.LOG_SQL}){''.join(', ' + _BY[n] for n in names)} {text}"
+    return f"WITH RECURSIVE dns_log AS MATERIALIZED ({X.LOG_SQL}){''.join(', ' + _BY[n] for n in names)} {text}"
 
 
 def _add(name: str, make: Callable[[DataFrame], DataFrame], sql: str | None = None, *ctes: str) -> None:
@@ -359,18 +383,36 @@ for _k, _col, _cond in (("noerror", "qname", "rcode = 'NOERROR'"), ("nxdomain",
     _add(f"dash_top_{_k}", lambda d, c=_col, w=_cond: metrics.top_n(records.tail_parse(formats.to_text(d).select(F.col("line").alias("value"))), c, 15, [], F.expr(w)), _top(_col, "dns_log", f"NOT contains(qname, ' ') AND {_cond}", 15))
 _add("reorder", lambda d: state.with_position(d).select("identity", "flush", "position", "msg_id"), "SELECT identity, ts_ns // 30000000000 AS flush, row_number() OVER (PARTITION BY identity, ts_ns // 30000000000 ORDER BY ts_ns, msg_id) AS position, msg_id FROM dns_log")
 
+_late = lambda d: d.withColumns({"timestamp": F.when(~F.col("malformed"), F.timestamp_micros(F.expr("ts_ns div 1000"))), "ts_ns": F.col("ts_ns") + F.col("msg_id") % 13 * 700_000_000_000})  # noqa: E731; rows arrive up to 2.3 hours late, and some have no time
+_add(
+    "reorder_flush",
+    lambda d: state.flushed(_late(d), buffer=14400.0, rows=20).select("identity", "flush", "part", "position", "msg_id"),
+    """
+SELECT identity, flush, part, CASE WHEN malformed THEN place ELSE list_sort(places)[ordinal] END AS position, msg_id
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY identity, flush, part, malformed ORDER BY us, place) AS ordinal,
+    list(CASE WHEN NOT malformed THEN place END) FILTER (NOT malformed) OVER (PARTITION BY identity, flush, part) AS places
+  FROM (
+    SELECT *, (n - 1) // 20 AS part, (n - 1) % 20 + 1 AS place
+    FROM (
+      SELECT identity, msg_id, malformed, us, arrived // 14400000000000 AS flush,
+        row_number() OVER (PARTITION BY identity, arrived // 14400000000000 ORDER BY arrived, msg_id) AS n
+      FROM (SELECT *, ts_ns // 1000 AS us, ts_ns + msg_id % 13 * 700000000000 AS arrived FROM dns_log))))""",
+)
+
 # state
 _REDUCED = "identity, operation, query_ip, response_ip, qname, qtype, f.msg_id AS msg_id, f.ts_ns AS ts_ns, occurrences, cumulative_length"
 _red = ("identity", "operation", "query_ip", "response_ip", "qname", "qtype", "msg_id", "ts_ns", "occurrences", "cumulative_length")
 _add("reduce_traffic", lambda d: state.reduce_traffic(d).select(*_red), f"SELECT {_REDUCED} FROM reduced", "reduced")
-_add("reduce_traffic_etld1", lambda d: state.reduce_traffic(d, psl=_psl(d)).select(*_red), f"SELECT {_REDUCED} FROM (SELECT identity, operation, query_ip, response_ip, CASE WHEN etld_plus_one = '-' THEN qname ELSE etld_plus_one END AS qname, qtype, min(struct_pack(ts_ns := ts_ns, msg_id := msg_id)) AS f, count(*) AS occurrences, CAST(sum(length) AS BIGINT) AS cumulative_length FROM tld t GROUP BY identity, operation, query_ip, response_ip, 5, qtype, ts_ns // 2000000000)", "tld")
+_add("reduce_traffic_etld1", lambda d: state.reduce_traffic(d, psl=_psl(d)).select(*_red), f"SELECT {_REDUCED} FROM reduced_domains", "reduced_domains")
+_add("reduce_repeats", lambda d: state.reduce_traffic(X.repeated(d)).select(*_red), f"SELECT {_REDUCED} FROM reduced_repeats", "reduced_repeats")
 _WHITE = r"NOT regexp_matches(qname, 'shop\.example\.org$')"
 _FOLD = """, n AS MATERIALIZED (SELECT qname, ts_ns, min(msg_id) AS msg_id FROM dns_log WHERE {where} GROUP BY 1, 2),
 a AS (SELECT qname, min(ts_ns) AS ts_ns FROM n GROUP BY 1 UNION ALL SELECT * FROM (SELECT a.qname, (SELECT min(n.ts_ns) FROM n WHERE n.qname = a.qname AND n.ts_ns >= a.ts_ns + 3600000000000) AS ts_ns FROM a) WHERE ts_ns IS NOT NULL)
 SELECT n.msg_id, n.qname, n.ts_ns FROM a JOIN n ON a.qname = n.qname AND a.ts_ns = n.ts_ns"""
 for _k, _where, _args in (("new_domains", _WHITE, {"whitelist": [r"shop\.example\.org$"]}), ("new_domains_seed", "qname NOT IN (SELECT qname FROM dns_log WHERE rcode = 'SERVFAIL')", None)):
     _add(_k, lambda d, a=_args: state.new_domains(d, **(a or {"known": d.where("rcode = 'SERVFAIL'")})).select("msg_id", "qname", "ts_ns"), _FOLD.format(where=_where))
-    ORACLE_SQL[_k] = ORACLE_SQL[_k].replace("WITH dns_log", "WITH RECURSIVE dns_log", 1).replace(") , n AS", "), n AS")
+    ORACLE_SQL[_k] = ORACLE_SQL[_k].replace(") , n AS", "), n AS")
 
 
 def _stream(d: DataFrame) -> DataFrame:
@@ -384,6 +426,21 @@ _once = lambda d, f, mode="append": stateful.run_once(f(_stream(d)), pipeline.sc
 _add("latency_stream", lambda d: _once(d, stateful.measure_latency).withColumn("latency", F.round("latency", 9)), "SELECT msg_id, round(latency, 9) AS latency FROM lat WHERE latency > 0", "lat")
 _add("unanswered_stream", lambda d: _once(d.unionByName(stateful.closing_row(d)), stateful.unanswered).where("msg_id >= 0"), "SELECT msg_id FROM full_log WHERE rcode = 'TIMEOUT'", "full")
 _add("metrics_stream", lambda d: _once(d, stateful.metrics, "complete"), "SELECT ts_ns // 60000000000 * 60 AS start, identity, count(*) AS messages, CAST(sum(length) AS BIGINT) AS bytes FROM dns_log GROUP BY ALL")
+_add("reduce_stream", lambda d: _once(X.repeated(d).unionByName(stateful.closing_row(X.repeated(d))), tracking.reduce_traffic).where("msg_id >= 0").select(*_red), f"SELECT {_REDUCED} FROM reduced_repeats", "reduced_repeats")
+
+
+def _two_runs(d: DataFrame) -> DataFrame:
+    """New names of the log in two runs; the second starts from what the first one knew."""
+    middle, spark = d.agg(F.percentile_approx("ts_ns", 0.5)).first()[0], d.sparkSession
+    folders = [pipeline.scratch(spark, "run") for _ in range(2)]
+    early = stateful.run_once(tracking.new_domains(_stream(d.where(F.col("ts_ns") < middle))), folders[0])
+    seed = tracking.known_names(spark, f"{folders[0]}/checkpoint")
+    late = stateful.run_once(tracking.new_domains(_stream(d.where(F.col("ts_ns") >= middle)), known=seed), folders[1])
+    return early.unionByName(late).select("msg_id", "qname", "ts_ns")
+
+
+_add("new_domains_stream", _two_runs, _FOLD.format(where="true"))
+ORACLE_SQL["new_domains_stream"] = ORACLE_SQL["new_domains_stream"].replace(") , n AS", "), n AS")
 
 
 def _rotated(d: DataFrame) -> DataFrame:
