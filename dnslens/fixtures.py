@@ -74,6 +74,56 @@ def with_answers(log: DataFrame) -> DataFrame:
 ANSWERS_SQL = r"SELECT msg_id, qname AS name, 'A' AS rdatatype, 'IN' AS class, 60 + CAST(regexp_extract(qname, '(\d+)\.', 1) AS BIGINT) AS ttl, concat('203.0.113.', CAST(regexp_extract(qname, '(\d+)\.', 1) AS BIGINT) + 1) AS rdata FROM dns_log WHERE dns_type = 'REPLY' AND rcode = 'NOERROR'"
 
 
+def with_records(log: DataFrame) -> DataFrame:
+    """The log with what a decoded packet holds: opcode, class, counts, flags, EDNS with options, latency, and lists of records.
+
+    Every fourth id's answers have a second record; NXDOMAIN replies have a name server's. RECORDS_SQL is the same.
+    """
+    k = F.regexp_extract("qname", r"(\d+)\.", 1).cast("long")
+    record = lambda kind, ttl, rdata: F.struct(F.col("qname").alias("name"), F.lit(kind).alias("rdatatype"), F.lit("IN").alias("class"), ttl.alias("ttl"), rdata.alias("rdata"))
+    first = record("A", 60 + k, F.concat(F.lit("203.0.113."), (k + 1).cast("string")))
+    second = record("TXT", F.lit(300).cast("long"), F.concat(F.lit('a "quoted" text '), k.cast("string")))
+    soa = record("SOA", F.lit(900).cast("long"), F.lit("ns.example. root.example. 1 2 3 4 5"))
+    query, none = F.col("dns_type") == "QUERY", F.array().cast("array<struct<name:string,rdatatype:string,class:string,ttl:bigint,rdata:string>>")
+    found = (F.col("dns_type") == "REPLY") & (F.col("rcode") == "NOERROR")
+    number = lambda n: F.lit(n).cast("long")
+    subnet = F.struct(number(8).alias("code"), F.lit("CSUBNET").alias("name"), F.lit("1.58.30.0/24").alias("data"))
+    return log.withColumns({
+        "opcode": F.when(F.col("dns_id") % 7 == 0, number(5)).otherwise(number(0)), "qclass": F.when(F.col("dns_id") % 13 == 0, "CH").otherwise("IN"),
+        "answers": F.when(found & (F.col("dns_id") % 4 == 0), F.array(first, second)).when(found, F.array(first)).otherwise(none),
+        "ns": F.when(F.col("rcode") == "NXDOMAIN", F.array(soa)).otherwise(none), "ar": none, "qdcount": number(1),
+        "flag_tc": F.col("dns_id") % 29 == 0, "flag_ra": ~query, "flag_ad": F.lit(False), "flag_cd": F.col("dns_id") % 31 == 0,
+        "edns_udp_size": F.when(query, number(1232)).otherwise(number(0)), "edns_rcode": number(0), "edns_version": number(0), "edns_do": F.when(query, number(1)).otherwise(number(0)),
+        "options": F.when(query, F.array(subnet)), "latency": F.when(query, F.lit(0.0)).otherwise(F.col("dns_id") % 1000 / 1000),
+    })
+
+
+_SQL_RECORD = "struct_pack(name := qname, rdatatype := '{}', class := 'IN', ttl := CAST({} AS BIGINT), rdata := {})"
+_SQL_K = r"CAST(regexp_extract(qname, '(\d+)\.', 1) AS BIGINT)"
+#: The log of `with_records` in DuckDB; needs dns_log.
+RECORDS_SQL = f"""SELECT *, CAST(CASE WHEN dns_id % 7 = 0 THEN 5 ELSE 0 END AS BIGINT) AS opcode, CASE WHEN dns_id % 13 = 0 THEN 'CH' ELSE 'IN' END AS qclass,
+  CASE WHEN rcode = 'NOERROR' AND dns_type = 'REPLY' THEN [{_SQL_RECORD.format('A', f'60 + {_SQL_K}', f"concat('203.0.113.', {_SQL_K} + 1)")}]
+    || CASE WHEN dns_id % 4 = 0 THEN [{_SQL_RECORD.format('TXT', 300, f"concat('a " + '"quoted"' + f" text ', {_SQL_K})")}] ELSE [] END ELSE [] END AS answers,
+  CASE WHEN rcode = 'NXDOMAIN' THEN [{_SQL_RECORD.format('SOA', 900, "'ns.example. root.example. 1 2 3 4 5'")}] ELSE [] END AS ns,
+  CASE WHEN false THEN [{_SQL_RECORD.format('A', 1, "''")}] ELSE [] END AS ar,
+  CAST(1 AS BIGINT) AS qdcount, dns_id % 29 = 0 AS flag_tc, dns_type = 'REPLY' AS flag_ra, false AS flag_ad, dns_id % 31 = 0 AS flag_cd,
+  CAST(CASE WHEN dns_type = 'QUERY' THEN 1232 ELSE 0 END AS BIGINT) AS edns_udp_size, CAST(0 AS BIGINT) AS edns_rcode, CAST(0 AS BIGINT) AS edns_version,
+  CAST(CASE WHEN dns_type = 'QUERY' THEN 1 ELSE 0 END AS BIGINT) AS edns_do,
+  CASE WHEN dns_type = 'QUERY' THEN [struct_pack(code := CAST(8 AS BIGINT), name := 'CSUBNET', data := '1.58.30.0/24')] ELSE [] END AS options,
+  CASE WHEN dns_type = 'QUERY' THEN 0.0 ELSE CAST(dns_id % 1000 AS DOUBLE) / 1000 END AS latency
+FROM dns_log"""
+
+
+#: What decoding `payloads` gives, with the log's other columns; needs dns_log. A malformed packet is cut in its question.
+PACKETS_SQL = f"""SELECT * REPLACE (
+  CASE WHEN malformed THEN '-' ELSE 'IN' END AS qclass, CAST(0 AS BIGINT) AS opcode, 0.0 AS latency, false AS flag_tc, false AS flag_ra, false AS flag_cd,
+  CASE WHEN malformed THEN [] ELSE answers[:1] END AS answers, ns[:0] AS ns,
+  CASE WHEN malformed THEN 0 ELSE edns_udp_size END AS edns_udp_size, CASE WHEN malformed THEN 0 ELSE edns_do END AS edns_do,
+  CASE WHEN malformed THEN options[:0] ELSE options END AS options),
+  CAST(dns_type = 'REPLY' AND rcode = 'NOERROR' AS BIGINT) AS ancount, CAST(dns_type = 'QUERY' AS BIGINT) AS arcount
+FROM ({RECORDS_SQL})"""
+
+
 def psl(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PSL, "rule string, kind string, icann boolean")
 

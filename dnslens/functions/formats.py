@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dnslens import schema as S
 from dnslens.functions.templates import template_line
-from dnslens.functions.text import quoted, rfc3339
+from dnslens.functions.text import number_text, quoted, rfc3339
 
 #: Fixed value: the default line.
 TEXT_FORMAT = "timestamp identity operation rcode queryip queryport family protocol length-unit qname qtype latency"
@@ -107,18 +107,55 @@ def to_json(nested: DataFrame) -> DataFrame:
     return nested.select("msg_id", F.to_json(F.struct(*(c for c in nested.columns if c != "msg_id"))).alias("line"))
 
 
-def flat_struct(df: DataFrame) -> Column:
-    """The flat view with typed values. A struct has no numbered keys: tags stay a list."""
-    cols = {k: F.lit(v) for k, v in S.FLAT_UNSET.items() if v is not None and k != "dnstap.latency"}
-    cols |= {"dns.flags.qr": F.col("dns_type") == "REPLY", "dnstap.timestamp-rfc3339ns": rfc3339(F.col("ts_ns")), "dns.resource-records.an": F.lit("-")}
-    cols |= {k: F.col(c) for k, c in S.FLAT_KEYS.items()}
-    cols |= {f"{name}.{k}": F.col(c) for name, fields in S.sections(df).items() for k, c in fields.items()}
-    return F.struct(*(v.alias(k) for k, v in sorted(cols.items())))
+def _json_value(c: Column) -> Column:
+    """A value as JSON: an array of it without its brackets."""
+    made = F.to_json(F.array(c))
+    return F.substring(made, F.lit(2), F.length(made) - 2)
+
+
+def _numbered(key: str, column: Column, fields: tuple[str, ...]) -> Column:
+    """The members `key.0.field` of a list of records; `key` is - if it has none. Numbers sort as text, as all keys do."""
+    member = lambda r, i, f: F.concat(F.lit(f'"{key}.'), i.cast("string"), F.lit(f'.{f}":'), _json_value(F.coalesce(r[f].cast("string"), F.lit("-")) if f not in ("ttl", "code") else r[f]))
+    one = lambda r, i: F.struct(F.concat(i.cast("string"), F.lit(".")).alias("at"), F.concat_ws(",", *(member(r, i, f) for f in fields)).alias("text"))
+    return _or_none(key, column, F.array_join(F.transform(F.array_sort(F.transform(column, one)), lambda e: e["text"]), ","))
+
+
+def _or_none(key: str, column: Column, text: Column) -> Column:
+    return F.when(F.coalesce(F.size(column), F.lit(0)) > 0, text).otherwise(F.lit(f'"{key}":"-"'))
+
+
+def flat_json(df: DataFrame) -> Column:
+    """The flat view with typed values as JSON, its keys in order; records, options and tags get numbered keys."""
+    plain = {k: S.value(df, k) for k in S.FLAT_UNSET if k not in S.LISTS and k != "dnstap.latency"}
+    plain |= {"dnstap.timestamp-rfc3339ns": rfc3339(F.col("ts_ns"))} | {k: F.col(c) for k, c in S.FLAT_KEYS.items()}
+    more = S.sections(df)
+    tags = more.pop("atags", None)
+    plain |= {f"{name}.{k}": F.col(c) for name, fields in more.items() for k, c in fields.items()}
+    made = {"dnstap.latency": F.concat(F.lit('"dnstap.latency":'), number_text(S.value(df, "dnstap.latency")))}
+    for key in S.LISTS:
+        column = S.list_column(df, key)
+        made[key] = _numbered(key, F.col(column), S.list_fields(key)) if column else F.lit(f'"{key}":"-"')
+    if tags:
+        tag = lambda t, i: F.struct(i.cast("string").alias("at"), F.concat(F.lit('"atags.tags.'), i.cast("string"), F.lit('":'), _json_value(t)).alias("text"))
+        made["atags.tags"] = _or_none("atags.tags", F.col("tags"), F.array_join(F.transform(F.array_sort(F.transform("tags", tag)), lambda e: e["text"]), ","))
+    parts: list[Column] = []
+    run: list[Column] = []
+    for key in [*sorted(plain | made), None]:  # each run of plain keys is one struct
+        if key in plain:
+            run.append(plain[key].alias(key))
+            continue
+        if run:
+            text = F.to_json(F.struct(*run))
+            parts.append(F.substring(text, F.lit(2), F.length(text) - 2))
+            run = []
+        if key is not None:
+            parts.append(made[key])
+    return F.concat(F.lit("{"), F.concat_ws(",", *(F.when(p != "", p) for p in parts)), F.lit("}"))
 
 
 def to_flat_json(df: DataFrame) -> DataFrame:
     """Dotted keys in order as JSON."""
-    return df.select("msg_id", F.to_json(flat_struct(df)).alias("line"))
+    return df.select("msg_id", flat_json(df).alias("line"))
 
 
 def to_template(nested: DataFrame, template: str, autoescape: bool = True) -> DataFrame:

@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnslens.functions.formats import flat_struct, text_line
+from dnslens.functions.formats import flat_json, text_line
 from dnslens.functions.text import go_quoted
 from dnslens.operators.normalize import flat_map
 
 
 def line(df: DataFrame, mode: str = "text") -> Column:
     """The row in a mode: text, json or flat-json."""
-    return text_line(df) if mode == "text" else F.to_json(F.struct(*df.columns)) if mode == "json" else F.to_json(flat_struct(df))
+    return text_line(df) if mode == "text" else F.to_json(F.struct(*df.columns)) if mode == "json" else flat_json(df)
 
 
 def kafka_records(df: DataFrame, mode: str = "text", partition: int | None = None) -> DataFrame:
@@ -64,7 +64,7 @@ def es_bulk(df: DataFrame, bulk_bytes: int = 5 << 20, compression: str = "none")
 
     With compression="gzip", body is binary.
     """
-    rows = df.select("identity", _hour(), "ts_ns", "msg_id", F.concat(F.lit('{"create":{}}\n'), F.to_json(flat_struct(df)), F.lit("\n")).alias("item"))
+    rows = df.select("identity", _hour(), "ts_ns", "msg_id", F.concat(F.lit('{"create":{}}\n'), flat_json(df), F.lit("\n")).alias("item"))
     rows = rows.withColumn("bulk", batches(["identity", "hour"], F.octet_length("item").cast("long"), bulk_bytes, ["ts_ns", "msg_id"]))
     items = F.array_sort(F.collect_list(F.struct("ts_ns", "msg_id", "item")))
     out = rows.groupBy("identity", "hour", "bulk").agg(F.array_join(F.transform(items, lambda x: x["item"]), "").alias("body"), F.count("*").alias("n"))
@@ -168,7 +168,7 @@ def scalyr_events(df: DataFrame, per_request: int = 400, attrs: dict[str, str] |
 
 
 def fluentd_records(df: DataFrame, tag: str = "dns.message") -> DataFrame:
-    return df.select("msg_id", F.lit(tag).alias("tag"), F.expr("ts_ns div 1000000000").alias("time"), F.to_json(flat_struct(df)).alias("record"))
+    return df.select("msg_id", F.lit(tag).alias("tag"), F.expr("ts_ns div 1000000000").alias("time"), flat_json(df).alias("record"))
 
 
 def redis_publish(df: DataFrame, channel: str = "dns") -> DataFrame:

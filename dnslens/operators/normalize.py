@@ -61,28 +61,31 @@ def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("-"))
 
 
+def _numbered(key: str, column: str, fields: tuple[str, ...]) -> Column:
+    """A map of `key.0.field` to text for a list of records; of `key` to - if it has none."""
+    entry = lambda r, i: F.array(*(F.struct(F.concat(F.lit(f"{key}."), i.cast("string"), F.lit(f".{f}")).alias("key"), _text(r[f]).alias("value")) for f in fields))
+    return F.when(F.coalesce(F.size(column), F.lit(0)) > 0, F.map_from_entries(F.flatten(F.transform(column, entry)))).otherwise(F.create_map(F.lit(key), F.lit("-")))
+
+
 def flat_map(df: DataFrame) -> Column:
-    """The record of a flat row as a map of dotted keys to text; records of `answers` and tags get numbered keys."""
+    """The record of a flat row as a map of dotted keys to text; records, options and tags get numbered keys."""
     from dnslens.functions.text import number_text, rfc3339
 
-    unset = {k: F.lit(v if not isinstance(v, bool) else str(v).lower()).cast("string") for k, v in S.FLAT_UNSET.items()}
-    unset["dnstap.latency"] = number_text(F.col("latency")) if "latency" in df.columns else F.lit("0")
-    unset["dns.flags.qr"] = (F.col("dns_type") == "REPLY").cast("string")
-    pairs = {**unset, **{k: _text(F.col(c)) for k, c in S.FLAT_KEYS.items()}, "dnstap.timestamp-rfc3339ns": rfc3339(F.col("ts_ns"))}
+    pairs = {k: _text(S.value(df, k)) for k in S.FLAT_UNSET if k not in S.LISTS}
+    pairs |= {k: _text(F.col(c)) for k, c in S.FLAT_KEYS.items()} | {"dnstap.timestamp-rfc3339ns": rfc3339(F.col("ts_ns"))}
+    pairs["dnstap.latency"] = number_text(S.value(df, "dnstap.latency")) if "latency" in df.columns else F.lit("0")
     more = S.sections(df)
     tags = more.pop("atags", None)
     pairs |= {f"{name}.{k}": _text(F.col(c)) for name, fields in more.items() for k, c in fields.items()}
-    out = F.create_map(*(x for k, v in sorted(pairs.items()) for x in (F.lit(k), v)))
+    lists = {key: S.list_column(df, key) for key in S.LISTS}
+    pairs |= {key: F.lit("-") for key, column in lists.items() if column is None}
+    maps = [F.create_map(*(x for k, v in sorted(pairs.items()) for x in (F.lit(k), v)))]
+    maps += [_numbered(key, column, S.list_fields(key)) for key, column in lists.items() if column]
     if tags:
         tag = lambda t, i: F.struct(F.concat(F.lit("atags.tags."), i.cast("string")).alias("key"), t.alias("value"))
         none = F.create_map(F.lit("atags.tags"), F.lit("-"))
-        out = F.map_concat(out, F.when(F.coalesce(F.size("tags"), F.lit(0)) > 0, F.map_from_entries(F.transform("tags", tag))).otherwise(none))
-    if "answers" not in df.columns:
-        return F.map_concat(out, F.create_map(F.lit("dns.resource-records.an"), F.lit("-")))
-    fields = ("name", "rdatatype", "class", "ttl", "rdata")
-    entry = lambda r, i: F.array(*(F.struct(F.concat(F.lit("dns.resource-records.an."), i.cast("string"), F.lit(f".{f}")).alias("key"), r[f].cast("string").alias("value")) for f in fields))
-    none = F.create_map(F.lit("dns.resource-records.an"), F.lit("-"))
-    return F.map_concat(out, F.when(F.coalesce(F.size("answers"), F.lit(0)) > 0, F.map_from_entries(F.flatten(F.transform("answers", entry)))).otherwise(none))
+        maps.append(F.when(F.coalesce(F.size("tags"), F.lit(0)) > 0, F.map_from_entries(F.transform("tags", tag))).otherwise(none))
+    return F.map_concat(*maps) if len(maps) > 1 else maps[0]
 
 
 def flatten(df: DataFrame) -> DataFrame:

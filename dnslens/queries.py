@@ -25,8 +25,34 @@ _net = lambda c: (int(ipaddress.ip_network(c, strict=False).network_address), in
 _RFC = "strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ts_ns % 1000000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(ts_ns % 1000000000 AS VARCHAR), 9, '0'), '0') END || 'Z'"
 _QNAME = "CASE WHEN contains(qname, ' ') THEN '\"' || qname || '\"' ELSE qname END"
 _LINE = f"concat_ws(' ', {_RFC}, identity, operation, rcode, query_ip, query_port, family, protocol, CAST(length AS VARCHAR) || 'b', {_QNAME}, qtype, '0.000000000')"
-_flat = {k: str(v).lower() if isinstance(v, (bool, int)) else f"'{v}'" for k, v in S.FLAT_UNSET.items() if v is not None and k != "dnstap.latency"} | {"dns.flags.qr": "dns_type = 'REPLY'", "dnstap.timestamp-rfc3339ns": _RFC} | S.FLAT_KEYS
-_FLAT_JSON = "CAST(to_json(struct_pack(" + ", ".join(f'"{k}" := {v}' for k, v in sorted((_flat | {"dns.resource-records.an": "'-'"}).items())) + ")) AS VARCHAR)"
+#: Columns of the decoded record (`rich`) by key; other keys of the flat view stay as they are while unset.
+_HELD = {
+    "dns.flags.ad": "flag_ad", "dns.flags.cd": "flag_cd", "dns.flags.ra": "flag_ra", "dns.flags.tc": "flag_tc",
+    "dns.ancount": "CAST(len(answers) AS BIGINT)", "dns.arcount": "CAST(len(ar) AS BIGINT)", "dns.nscount": "CAST(len(ns) AS BIGINT)",
+    "dns.opcode": "opcode", "dns.qclass": "qclass", "dns.qdcount": "qdcount",
+    "edns.dnssec-ok": "edns_do", "edns.rcode": "edns_rcode", "edns.udp-size": "edns_udp_size", "edns.version": "edns_version",
+    "dns.flags.qr": "dns_type = 'REPLY'", "dnstap.timestamp-rfc3339ns": _RFC,
+}
+_LATENCY = "CASE WHEN latency = 0 THEN '0' ELSE rtrim(rtrim(printf('%.9f', latency), '0'), '.') END"
+_LISTS = {"dns.resource-records.an": "answers", "dns.resource-records.ar": "ar", "dns.resource-records.ns": "ns", "edns.options": "options"}
+_UNSET = {k: "false" if v is False else f"'{v}'" for k, v in S.FLAT_UNSET.items() if k not in _LISTS and k not in _HELD and k != "dnstap.latency"}
+_flat = _UNSET | _HELD | S.FLAT_KEYS
+
+
+def _list_json(key: str, column: str) -> str:
+    """The members of a list in flat JSON (it has fewer than ten)."""
+    fields = " || ',' || ".join(f"""'"{key}.' || i || '.{f}":' || to_json({column}[i + 1]."{f}")""" for f in S.list_fields(key))
+    return f"""CASE WHEN len({column}) = 0 THEN '"{key}":"-"' ELSE array_to_string(list_transform(range(len({column})), lambda i: {fields}), ',') END"""
+
+
+def _flat_json(**counts: str) -> str:
+    """The SQL of a row's flat JSON. counts: columns of header counts, where they aren't those of the lists."""
+    members = {k: f"""'"{k}":' || to_json({v})""" for k, v in (_flat | {f"dns.{k}": v for k, v in counts.items()}).items()} | {k: _list_json(k, c) for k, c in _LISTS.items()}
+    members["dnstap.latency"] = f"""'"dnstap.latency":' || {_LATENCY}"""
+    return "'{' || concat_ws(',', " + ",\n".join(members[k] for k in sorted(members)) + ") || '}'"
+
+
+_FLAT_JSON = _flat_json()
 
 
 def _reduced(name: str, log: str, interval_ns: int = 2_000_000_000) -> str:
@@ -59,6 +85,8 @@ _BY = {
     "geo": "geo AS (SELECT * FROM (VALUES " + ", ".join(f"({_net(c)[0]}, {_net(c)[1]}, {_net(c)[2]}, '{a}', '{b}', '{d}', '{e}', '{f}', '{c}')" for c, a, b, d, e, f in X.GEO) + ") t(lo, hi, bits, country, continent, city, asn, as_owner, cidr))",
     "lines": f"lines AS (SELECT msg_id, ts_ns, identity, query_ip, qname, rcode, {_LINE} AS line FROM dns_log)",
     "reduced": _reduced("reduced", "dns_log"),
+    "rich": f"rich AS ({X.RECORDS_SQL})",
+    "packets": f"packets AS ({X.PACKETS_SQL})",
     "repeated": f"repeated AS ({X.REPEATED_SQL})",
     "reduced_repeats": _reduced("reduced_repeats", "repeated"),
     "domains": "domains AS (SELECT * REPLACE (CASE WHEN etld_plus_one = '-' THEN qname ELSE etld_plus_one END AS qname) FROM tld)",
@@ -273,13 +301,27 @@ _ml("ml_ratios", ["ml_ratio_digits", "ml_ratio_letters", "ml_ratio_specials", "m
 _vowels, _cons = "('a', 'e', 'i', 'o', 'u', 'y')", "'^[b-df-hj-np-tv-xz]{2}$'"
 _ml("ml_consecutive", ["ml_consecutive_chars", "ml_consecutive_vowels", "ml_consecutive_digits", "ml_consecutive_consonants"], f"{_pair(f'{_a} = {_b}')} AS ml_consecutive_chars, {_pair(f'{_a} = {_b} AND {_a} IN {_vowels}')} AS ml_consecutive_vowels, {_pair(f'regexp_matches({_a} || {_b}, {chr(39)}^[0-9]{{2}}${chr(39)})')} AS ml_consecutive_digits, {_pair(f'regexp_matches({_a} || {_b}, {_cons})')} AS ml_consecutive_consonants")
 _add("ml_traffic", lambda d: score.ml_features(state.reduce_traffic(d)).select("msg_id", "ml_size", "ml_occurrences", "ml_uncommon_qtype"), "SELECT f.msg_id AS msg_id, cumulative_length AS ml_size, occurrences AS ml_occurrences, CASE WHEN qtype IN ('A', 'AAAA', 'HTTPS', 'SRV', 'PTR', 'SOA', 'NS') THEN CAST(0 AS BIGINT) ELSE 1 END AS ml_uncommon_qtype FROM reduced", "reduced")
-_pairs = "unnest([" + ", ".join(f"struct_pack(key := '{k}', value := CAST({v} AS VARCHAR))" for k, v in sorted((_flat | {"dnstap.latency": "'0'"}).items())) + "], recursive := true)"
-_an = "SELECT msg_id, 'dns.resource-records.an.0.' || key AS key, value FROM (SELECT msg_id, unnest([struct_pack(key := 'name', value := name), struct_pack(key := 'rdatatype', value := rdatatype), struct_pack(key := 'class', value := class), struct_pack(key := 'ttl', value := CAST(ttl AS VARCHAR)), struct_pack(key := 'rdata', value := rdata)], recursive := true) FROM answers) UNION ALL SELECT msg_id, 'dns.resource-records.an', '-' FROM dns_log WHERE msg_id NOT IN (SELECT msg_id FROM answers)"
+_pairs = "unnest([" + ", ".join(f"struct_pack(key := '{k}', value := CAST({v} AS VARCHAR))" for k, v in sorted((_flat | {"dnstap.latency": _LATENCY}).items())) + "], recursive := true)"
+
+
+def _list_pairs(key: str, column: str) -> str:
+    """msg_id, key, value of a list of `rich`."""
+    fields = ", ".join(f"""struct_pack(key := '{key}.' || i || '.{f}', value := CAST({column}[i + 1]."{f}" AS VARCHAR))""" for f in S.list_fields(key))
+    return f"""SELECT msg_id, unnest([{fields}], recursive := true) FROM (SELECT *, unnest(range(len({column}))) AS i FROM rich)
+UNION ALL SELECT msg_id, '{key}', '-' FROM rich WHERE len({column}) = 0"""
+
+
 _pairs_of = lambda flat: flat.select("msg_id", F.explode_outer("flat").alias("key", "value"))  # noqa: E731; explode would have the optimizer ask for the size of a second map
-_add("flatten", lambda d: _pairs_of(normalize.flatten(X.with_answers(d))), f"SELECT msg_id, {_pairs} FROM dns_log UNION ALL {_an}", "answers")
-_FLAT_AN = f"SELECT msg_id, {_pairs} FROM dns_log UNION ALL {_an}"
-_add("relabel_rename", lambda d: _pairs_of(normalize.relabel_rename(normalize.flatten(X.with_answers(d)), [(r"^dns\.q(name|type)$", "question"), (r"^dns\.rcode$", "code")])), f"SELECT msg_id, CASE key WHEN 'dns.rcode' THEN 'code' ELSE key END AS key, value FROM ({_FLAT_AN}) WHERE key NOT IN ('dns.qname', 'dns.qtype') UNION ALL SELECT msg_id, 'question', '[' || qname || ',' || qtype || ']' FROM dns_log", "answers")
-_add("relabel_remove", lambda d: _pairs_of(normalize.relabel_remove(normalize.flatten(X.with_answers(d)), [r"^dns\.", "policy"])), f"SELECT msg_id, key, value FROM ({_FLAT_AN}) WHERE NOT regexp_matches(key, '^dns\\.|policy')", "answers")
+_FLAT_ALL = " UNION ALL ".join([f"SELECT msg_id, {_pairs} FROM rich", *(_list_pairs(k, c) for k, c in _LISTS.items())])
+_add("flatten", lambda d: _pairs_of(normalize.flatten(X.with_records(d))), _FLAT_ALL, "rich")
+_add(
+    "relabel_rename",
+    lambda d: _pairs_of(normalize.relabel_rename(normalize.flatten(X.with_records(d)), [(r"^dns\.q(name|type)$", "question"), (r"^dns\.rcode$", "code")])),
+    f"""SELECT msg_id, CASE key WHEN 'dns.rcode' THEN 'code' ELSE key END AS key, value FROM ({_FLAT_ALL}) WHERE key NOT IN ('dns.qname', 'dns.qtype')
+UNION ALL SELECT msg_id, 'question', '[' || qname || ',' || qtype || ']' FROM dns_log""",
+    "rich",
+)
+_add("relabel_remove", lambda d: _pairs_of(normalize.relabel_remove(normalize.flatten(X.with_records(d)), [r"^dns\.", "policy"])), f"SELECT msg_id, key, value FROM ({_FLAT_ALL}) WHERE NOT regexp_matches(key, '^dns\\.|policy')", "rich")
 _GEO_KEYS = ", ".join(f"struct_pack(key := 'geoip.{k}', value := {c})" for k, c in S.SECTIONS["geoip"].items())
 _add(
     "flatten_sections",
@@ -472,11 +514,28 @@ _add(
 _add("to_text", formats.to_text, "SELECT msg_id, line FROM lines", "lines")
 _add("to_text_sections", lambda d: formats.to_text(score.ml_features(score.suspicious(normalize.add_tags(lookup.add_tld(pairing.measure_latency(d), _psl(d)), ["edge", "v4"]))), "id qname publixsuffix-tld atags atags:1 atags:7 suspicious-score ml-labels ml-ratio-digits geoip-city reducer-occurrences latency"), f"SELECT s.msg_id, concat_ws(' ', s.dns_id, {_QNAME.replace('qname', 's.qname')}, tld, 'edge,v4', 'v4', '-', CAST(suspicious_score AS INT), len(string_split(s.qname, '.')), printf('%.3f', round({_cnt('0-9').replace('qname', 's.qname')} / strlen(s.qname), 3)), '-', '-', printf('%.9f', latency)) AS line FROM scored s JOIN tld t ON s.msg_id = t.msg_id", "scored", "tld")
 _add("to_text_raw", lambda d: formats.to_text(d, "{dns} qname {->} rcode timestamp-unixms"), f"SELECT msg_id, concat_ws(' ', 'dns', {_QNAME}, '->', rcode, ts_ns // 1000000) AS line FROM dns_log")
-_JSON = f"""SELECT l.msg_id, CAST(to_json(struct_pack(network := struct_pack(family := family, protocol := protocol, "query-ip" := query_ip, "query-port" := query_port, "response-ip" := response_ip, "response-port" := response_port),
-dns := struct_pack(length := length, id := dns_id, opcode := 0, rcode := rcode, qname := qname, qtype := qtype, flags := struct_pack(qr := dns_type = 'REPLY', aa := flag_aa, rd := flag_rd), "resource-records" := struct_pack(an := CASE WHEN a.msg_id IS NULL THEN [] ELSE [struct_pack(name := a.name, rdatatype := a.rdatatype, class := a.class, ttl := a.ttl, rdata := a.rdata)] END, ns := [], ar := []), "malformed-packet" := malformed),
-edns := struct_pack("udp-size" := 0, options := []), dnstap := struct_pack(operation := operation, identity := identity, "timestamp-rfc3339ns" := {_RFC}, latency := CAST(0.0 AS DOUBLE)))) AS VARCHAR) AS line FROM dns_log l LEFT JOIN answers a ON l.msg_id = a.msg_id"""
-_add("to_json", lambda d: formats.to_json(S.nest(X.with_answers(d))), _JSON, "answers")
-_add("to_flat_json", formats.to_flat_json, f"SELECT msg_id, {_FLAT_JSON} AS line FROM dns_log")
+_JSON = f"""SELECT msg_id, CAST(to_json(struct_pack(
+  network := struct_pack(family := family, protocol := protocol, "query-ip" := query_ip, "query-port" := query_port, "response-ip" := response_ip,
+    "response-port" := response_port, "ip-defragmented" := false, "tcp-reassembled" := false),
+  dns := struct_pack(length := length, id := dns_id, opcode := opcode, rcode := rcode, qname := qname, qclass := qclass, qdcount := qdcount,
+    ancount := len(answers), nscount := len(ns), arcount := len(ar), qtype := qtype,
+    flags := struct_pack(qr := dns_type = 'REPLY', tc := flag_tc, aa := flag_aa, ra := flag_ra, ad := flag_ad, rd := flag_rd, cd := flag_cd),
+    "resource-records" := struct_pack("an" := answers, ns := ns, ar := ar), "malformed-packet" := malformed),
+  edns := struct_pack("udp-size" := edns_udp_size, rcode := edns_rcode, version := edns_version, "dnssec-ok" := edns_do, options := options),
+  dnstap := struct_pack(operation := operation, identity := identity, version := '-', "timestamp-rfc3339ns" := {_RFC}, latency := latency, extra := '-',
+    "policy-rule" := '-', "policy-type" := '-', "policy-match" := '-', "policy-action" := '-', "policy-value" := '-', "peer-name" := '-', "query-zone" := '-')
+)) AS VARCHAR) AS line FROM rich"""
+_add("to_json", lambda d: formats.to_json(S.nest(X.with_records(d))), _JSON, "rich")
+_add("to_flat_json", lambda d: formats.to_flat_json(X.with_records(d)), f"SELECT msg_id, {_FLAT_JSON} AS line FROM rich", "rich")
+
+
+def _decoded(d: DataFrame) -> DataFrame:
+    """The log with everything that its packets say, by decoding them."""
+    found = decode.decode_payload(X.payloads(d)).drop("dns_id", "qr", "qname", "qtype", "rcode", "malformed", "flag_aa", "flag_rd")
+    return d.join(found, "msg_id")
+
+
+_add("decoded_flat_json", lambda d: formats.to_flat_json(_decoded(d)), f"SELECT msg_id, {_flat_json(ancount='ancount', arcount='arcount')} AS line FROM packets", "packets")
 _add("to_template", lambda d: formats.to_template(S.nest(X.with_answers(d)), "{{ dns.qname }} asked by {{ network.query-ip }}: {{ dns.rcode }} [{{ dns.resource-records.an.*.rdata }}]"), "SELECT l.msg_id, l.qname || ' asked by ' || query_ip || ': ' || rcode || ' [' || coalesce(rdata, '') || ']' AS line FROM dns_log l LEFT JOIN answers a ON l.msg_id = a.msg_id", "answers")
 _BLOCKS = """{% if dm.DNS.Type == "QUERY" %}query{% elif dns.rcode == "NOERROR" and dns.length > 100 %}long answer{% else %}answer{% endif %} \
 {{ dm.NetworkInfo.QueryIP }} {{ dm.DNS.Flags.RD | yesno:"rd ,-" }} {{ dns.qname | upper }} {{ dm.DNS.DNSRRs.AnCount }}\
@@ -504,7 +563,7 @@ def _written(mode: str) -> Callable[[DataFrame], DataFrame]:
 
 _add("sink_text", _written("text"), "SELECT line FROM lines", "lines")
 _add("sink_json", lambda d: _written("json")(d).select(F.from_json("line", d.schema).alias("r")).select("r.*"), f"SELECT {_ALL} FROM dns_log")
-_add("sink_flat_json", _written("flat-json"), f"SELECT {_FLAT_JSON} AS line FROM dns_log")
+_add("sink_flat_json", lambda d: _written("flat-json")(X.with_records(d)), f"SELECT {_FLAT_JSON} AS line FROM rich", "rich")
 
 
 def _noop(d: DataFrame) -> DataFrame:
@@ -519,7 +578,7 @@ _add("kafka_records", lambda d: payloads.kafka_records(d), "SELECT identity AS k
 _add("clickhouse_rows", payloads.clickhouse_rows, "SELECT identity, query_ip AS queryip, qname, operation, family, protocol, qtype, rcode, CAST(ts_ns AS VARCHAR) AS timensec, CAST(ts_ns // 1000000000 AS VARCHAR) AS timestamp FROM dns_log")
 _add("influx_points", payloads.influx_points, r"""SELECT msg_id, 'dns,Identity=' || identity || ',Qname=' || regexp_replace(qname, '([ ,=])', '\\\1', 'g') || ',QueryIP=' || query_ip || ' Family="' || family || '",Operation="' || operation || '",Protocol="' || protocol || '",Qtype="' || qtype || '",Rcode="' || rcode || '" ' || ts_ns AS point FROM dns_log""")
 _HOUR = "ts_ns // 3600000000000"
-_add("es_bulk", lambda d: payloads.es_bulk(d, 1 << 18).select("identity", "hour", "bulk", "n", F.sha1(F.col("body").cast("binary")).alias("body_sha1")), f"SELECT identity, hour, bulk, count(*) AS n, sha1(string_agg(item, '' ORDER BY ts_ns, msg_id)) AS body_sha1 FROM (SELECT *, CAST((sum(strlen(item)) OVER (PARTITION BY identity, hour ORDER BY ts_ns, msg_id ROWS UNBOUNDED PRECEDING) - strlen(item)) AS BIGINT) // 262144 AS bulk FROM (SELECT identity, ts_ns, msg_id, {_HOUR} AS hour, '{{\"create\":{{}}}}' || chr(10) || {_FLAT_JSON} || chr(10) AS item FROM dns_log)) GROUP BY 1, 2, 3")
+_add("es_bulk", lambda d: payloads.es_bulk(X.with_records(d), 1 << 18).select("identity", "hour", "bulk", "n", F.sha1(F.col("body").cast("binary")).alias("body_sha1")), f"SELECT identity, hour, bulk, count(*) AS n, sha1(string_agg(item, '' ORDER BY ts_ns, msg_id)) AS body_sha1 FROM (SELECT *, CAST((sum(strlen(item)) OVER (PARTITION BY identity, hour ORDER BY ts_ns, msg_id ROWS UNBOUNDED PRECEDING) - strlen(item)) AS BIGINT) // 262144 AS bulk FROM (SELECT identity, ts_ns, msg_id, {_HOUR} AS hour, '{{\"create\":{{}}}}' || chr(10) || {_FLAT_JSON} || chr(10) AS item FROM rich)) GROUP BY 1, 2, 3", "rich")
 _add("loki_streams", lambda d: payloads.loki_streams(d, batch_bytes=1 << 16).select("labels", "hour", "batch", "n", F.sha1(F.col("entries").cast("binary")).alias("entries_sha1")), f"""SELECT labels, hour, batch, count(*) AS n, sha1(string_agg(ts_ns || ' ' || line, chr(10) ORDER BY ts_ns, msg_id)) AS entries_sha1 FROM (SELECT *, CAST((sum(strlen(line)) OVER (PARTITION BY labels, hour ORDER BY ts_ns, msg_id ROWS UNBOUNDED PRECEDING) - strlen(line)) AS BIGINT) // 65536 AS batch FROM (SELECT '{{identity="' || identity || '", job="dnslens"}}' AS labels, {_HOUR} AS hour, ts_ns, msg_id, line FROM lines)) GROUP BY 1, 2, 3""", "lines")
 _RULES = [
     {"source_labels": ["__dns_rcode"], "target_label": "rcode"},
@@ -543,7 +602,7 @@ _add(
     "lines",
 )
 _add("scalyr_events", payloads.scalyr_events, f"SELECT msg_id, identity, {_HOUR} AS hour, (row_number() OVER (PARTITION BY identity, {_HOUR} ORDER BY ts_ns, msg_id) - 1) // 400 AS request, CAST(ts_ns AS VARCHAR) AS ts, 3 AS sev, CAST(to_json(struct_pack(parser := 'dns', message := line)) AS VARCHAR) AS attrs FROM lines", "lines")
-_add("fluentd_records", payloads.fluentd_records, f"SELECT msg_id, 'dns.message' AS tag, ts_ns // 1000000000 AS time, {_FLAT_JSON} AS record FROM dns_log")
+_add("fluentd_records", lambda d: payloads.fluentd_records(X.with_records(d)), f"SELECT msg_id, 'dns.message' AS tag, ts_ns // 1000000000 AS time, {_FLAT_JSON} AS record FROM rich", "rich")
 _add("redis_publish", payloads.redis_publish, """SELECT msg_id, 'PUBLISH "dns" "' || replace(line, '"', '\\"') || '"' AS command FROM lines""", "lines")
 _add("statsd_lines", lambda d: payloads.statsd_lines(metrics.statsd_stats(d)), f"SELECT 'dnslens_' || identity || '_' || metric || ':' || value || '|c' AS line FROM ({_STATSD})")
 _add("exposition_lines", lambda d: payloads.exposition_lines(metrics.metric_totals(d)), f"""SELECT 'dnslens_' || metric || '{{stream_id="' || stream_id || '"}} ' || value AS line FROM (UNPIVOT (SELECT identity AS stream_id, {_TOTALS} FROM dns_log GROUP BY ALL) ON COLUMNS(* EXCLUDE (stream_id)) INTO NAME metric VALUE value)""")

@@ -97,6 +97,19 @@ FLAT_UNSET = {
     "edns.dnssec-ok": 0, "edns.options": "-", "edns.rcode": 0, "edns.udp-size": 0, "edns.version": 0,
     "network.ip-defragmented": False, "network.tcp-reassembled": False,
 }
+#: The flat columns of those keys, and of the lists of records and options; a row without the column holds what is unset.
+FLAT_OPTIONAL = {
+    "dns.flags.ad": "flag_ad", "dns.flags.cd": "flag_cd", "dns.flags.ra": "flag_ra", "dns.flags.tc": "flag_tc",
+    "dns.ancount": "ancount", "dns.arcount": "arcount", "dns.nscount": "nscount", "dns.opcode": "opcode", "dns.qclass": "qclass", "dns.qdcount": "qdcount",
+    "dnstap.extra": "extra", "dnstap.latency": "latency", "dnstap.peer-name": "peer_name", "dnstap.policy-action": "policy_action",
+    "dnstap.policy-match": "policy_match", "dnstap.policy-rule": "policy_rule", "dnstap.policy-type": "policy_type", "dnstap.policy-value": "policy_value",
+    "dnstap.query-zone": "query_zone", "dnstap.version": "version",
+    "edns.dnssec-ok": "edns_do", "edns.rcode": "edns_rcode", "edns.udp-size": "edns_udp_size", "edns.version": "edns_version",
+    "network.ip-defragmented": "ip_defragmented", "network.tcp-reassembled": "tcp_reassembled",
+}
+LISTS = {"dns.resource-records.an": ("answers", "an"), "dns.resource-records.ar": ("ar",), "dns.resource-records.ns": ("ns",), "edns.options": ("options",)}
+#: Fields of the records and options in those lists, in the order of their keys.
+LIST_FIELDS = {"dns.resource-records": ("class", "name", "rdata", "rdatatype", "ttl"), "edns.options": ("code", "data", "name")}
 # Optional sections, their fields, and the flat columns that hold them.
 SECTIONS = {
     "geoip": {"as-number": "geo_asn", "as-owner": "geo_owner", "city": "geo_city", "continent": "geo_continent", "country-isocode": "geo_country"},
@@ -127,6 +140,30 @@ def sections(df: DataFrame) -> dict[str, dict[str, str]]:
     return {name: fields for name, fields in have.items() if fields}
 
 
+def list_column(df: DataFrame, key: str) -> str | None:
+    """The column that holds a list of the flat view, if df has one."""
+    return next((c for c in LISTS[key] if c in df.columns), None)
+
+
+def list_fields(key: str) -> tuple[str, ...]:
+    return LIST_FIELDS[key if key in LIST_FIELDS else key.rsplit(".", 1)[0]]
+
+
+def value(df: DataFrame, key: str) -> Column:
+    """The value of a key of FLAT_UNSET: its column's where there is one and it isn't null, a count of its list, or unset."""
+    if key == "dns.flags.qr":
+        return F.col("dns_type") == "REPLY"
+    unset = F.lit(FLAT_UNSET[key])
+    if isinstance(FLAT_UNSET[key], int) and not isinstance(FLAT_UNSET[key], bool):
+        unset = unset.cast("long")
+    if (column := FLAT_OPTIONAL.get(key)) in df.columns:
+        return F.coalesce(F.col(column), unset)
+    section = {"dns.ancount": "an", "dns.nscount": "ns", "dns.arcount": "ar"}.get(key)
+    if section and (held := list_column(df, f"dns.resource-records.{section}")):
+        return F.coalesce(F.size(held), F.lit(0)).cast("long")
+    return unset
+
+
 def nest(df: DataFrame) -> DataFrame:
     """The flat log as nested sections under the names that rules and JSON use: msg_id, network, dns, edns, dnstap.
 
@@ -135,17 +172,21 @@ def nest(df: DataFrame) -> DataFrame:
     from dnslens.functions.text import rfc3339
 
     c = lambda name, alias: F.col(name).alias(alias)
-    answers = F.col("answers") if "answers" in df.columns else F.lit(None).cast(T.ArrayType(RECORD))
-    none = F.array().cast(T.ArrayType(RECORD))
-    more = [c(f"flag_{x}", x) for x in ("tc", "ra", "ad", "cd") if f"flag_{x}" in df.columns]
-    flags = F.struct((F.col("dns_type") == "REPLY").alias("qr"), c("flag_aa", "aa"), c("flag_rd", "rd"), *more)
-    records = F.struct(F.coalesce(answers, none).alias("an"), none.alias("ns"), none.alias("ar"))
-    latency = F.col("latency") if "latency" in df.columns else F.lit(0.0)
+    v = lambda key: value(df, key).alias(key.rsplit(".", 1)[1])
+
+    def held(key: str, kind: T.StructType) -> Column:
+        none, column = F.array().cast(T.ArrayType(kind)), list_column(df, key)
+        return (F.coalesce(F.col(column), none) if column else none).alias(key.rsplit(".", 1)[1])
+
+    flags = F.struct(v("dns.flags.qr"), v("dns.flags.tc"), c("flag_aa", "aa"), v("dns.flags.ra"), v("dns.flags.ad"), c("flag_rd", "rd"), v("dns.flags.cd"))
+    records = F.struct(*(held(f"dns.resource-records.{k}", RECORD) for k in ("an", "ns", "ar")))
+    counts = [v(f"dns.{k}") for k in ("qdcount", "ancount", "nscount", "arcount")]
+    policy = [v(f"dnstap.policy-{k}") for k in ("rule", "type", "match", "action", "value")]
     return df.select(
         "msg_id",
-        F.struct("family", "protocol", c("query_ip", "query-ip"), c("query_port", "query-port"), c("response_ip", "response-ip"), c("response_port", "response-port")).alias("network"),
-        F.struct("length", c("dns_id", "id"), F.lit(0).cast("long").alias("opcode"), "rcode", "qname", "qtype", flags.alias("flags"), records.alias("resource-records"), c("malformed", "malformed-packet")).alias("dns"),
-        F.struct(F.lit(0).cast("long").alias("udp-size"), F.array().cast(T.ArrayType(OPTION)).alias("options")).alias("edns"),
-        F.struct("operation", "identity", rfc3339(F.col("ts_ns")).alias("timestamp-rfc3339ns"), latency.alias("latency")).alias("dnstap"),
+        F.struct("family", "protocol", c("query_ip", "query-ip"), c("query_port", "query-port"), c("response_ip", "response-ip"), c("response_port", "response-port"), v("network.ip-defragmented"), v("network.tcp-reassembled")).alias("network"),
+        F.struct("length", c("dns_id", "id"), v("dns.opcode"), "rcode", "qname", v("dns.qclass"), *counts, "qtype", flags.alias("flags"), records.alias("resource-records"), c("malformed", "malformed-packet")).alias("dns"),
+        F.struct(v("edns.udp-size"), v("edns.rcode"), v("edns.version"), v("edns.dnssec-ok"), held("edns.options", OPTION)).alias("edns"),
+        F.struct("operation", "identity", v("dnstap.version"), rfc3339(F.col("ts_ns")).alias("timestamp-rfc3339ns"), v("dnstap.latency"), v("dnstap.extra"), *policy, v("dnstap.peer-name"), v("dnstap.query-zone")).alias("dnstap"),
         *(F.struct(*(c(column, k) for k, column in fields.items())).alias(name) for name, fields in sections(df).items()),
     )

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from dnslens import schema as S
 
 RECORD = "struct<name:string,rdatatype:string,class:string,ttl:long,rdata:string>"
-DECODED = f"msg_id long, dns_id long, qr boolean, opcode long, rcode string, qname string, qtype string, qclass string, an array<{RECORD}>, ns array<{RECORD}>, ar array<{RECORD}>, edns_udp_size long, edns_rcode long, edns_version long, edns_do long, options array<struct<code:long,name:string,data:string>>, malformed boolean"
+DECODED = f"msg_id long, dns_id long, qr boolean, opcode long, rcode string, qname string, qtype string, qclass string, an array<{RECORD}>, ns array<{RECORD}>, ar array<{RECORD}>, edns_udp_size long, edns_rcode long, edns_version long, edns_do long, options array<struct<code:long,name:string,data:string>>, malformed boolean, flag_aa boolean, flag_tc boolean, flag_rd boolean, flag_ra boolean, flag_ad boolean, flag_cd boolean, qdcount long, ancount long, nscount long, arcount long"
+#: Header bits of the flags.
+_FLAG_BITS = {"flag_aa": 10, "flag_tc": 9, "flag_rd": 8, "flag_ra": 7, "flag_ad": 5, "flag_cd": 4}
 
 
 def _bits(at: int, n: int = 1) -> Column:
@@ -148,9 +150,11 @@ def option_text(code: int, v: bytes) -> str:
 def decode(p: bytes) -> dict:
     """All that a packet holds, as the columns of DECODED."""
     out: dict = {"dns_id": 0, "qr": False, "opcode": 0, "rcode": "-", "qname": "-", "qtype": "-", "qclass": "-", "an": [], "ns": [], "ar": [], "edns_udp_size": 0, "edns_rcode": 0, "edns_version": 0, "edns_do": 0, "options": [], "malformed": False}
+    out |= dict.fromkeys(_FLAG_BITS, False) | dict.fromkeys(("qdcount", "ancount", "nscount", "arcount"), 0)
     try:
         dns_id, flags, qd, an, ns, ar = _take(p, 0, ">HHHHHH")
         out |= {"dns_id": dns_id, "qr": bool(flags >> 15), "opcode": flags >> 11 & 15, "rcode": S.RCODES.get(flags & 15, "UNKNOWN")}
+        out |= {name: bool(flags >> bit & 1) for name, bit in _FLAG_BITS.items()} | {"qdcount": qd, "ancount": an, "nscount": ns, "arcount": ar}
         at = 12
         for _ in range(qd):
             name, at = read_name(p, at)

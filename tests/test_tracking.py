@@ -81,12 +81,12 @@ def flushes(rows, size):
 
 def test_reorder_in_batch_and_stream(spark, tmp_path):
     rng = random.Random(2)
-    rows = [(i, None if rng.random() < 0.2 else rng.randrange(1000), i * S // 10, "s") for i in range(57)]
+    rows = [(i, None if rng.random() < 0.2 else rng.randrange(1000), 990 * S + i * S // 10, "s") for i in range(57)]
     df = spark.createDataFrame(rows, "msg_id long, sec long, ts_ns long, identity string").withColumn("timestamp", F.timestamp_seconds("sec"))
     want = flushes(rows, 10)
     got = state.flushed(df, "identity", 30.0, 10)
     assert sorted((r.part, r.position, r.msg_id) for r in got.collect()) == want
-    end = df.limit(1).withColumns({"msg_id": F.lit(-1).cast("long"), "ts_ns": F.lit(900 * S), "identity": F.lit("end")})
+    end = df.limit(1).withColumns({"msg_id": F.lit(-1).cast("long"), "ts_ns": F.lit(2000 * S), "identity": F.lit("end")})
     stream = stream_of(spark, f"{tmp_path}/in", df.unionByName(end))
     out = stateful.run_once(tracking.reorder(stream, rows=10), f"{tmp_path}/run").where("msg_id >= 0")
     assert sorted((r.flush, r.position, r.msg_id) for r in out.collect()) == want
