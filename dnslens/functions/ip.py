@@ -39,6 +39,24 @@ def ip_bytes(ips: pd.Series) -> pd.Series:
     return ips.map(one, na_action="ignore")
 
 
+@F.pandas_udf(T.StructType([T.StructField("family", T.IntegerType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("bits", T.IntegerType())]))
+def network_bits(cidrs: pd.Series) -> pd.DataFrame:
+    """Family, the two signed halves of the network's 128 bits (IPv4 in the low 32) and its prefix length; null if it is no network."""
+
+    def one(x):
+        try:
+            net = ipaddress.ip_network(x, strict=False)
+        except ValueError:
+            return None, None, None, None
+        n = int(net.network_address)
+        signed = [h - (1 << 64) if h >> 63 else h for h in (n >> 64, n & (1 << 64) - 1)]
+        return net.version, *signed, net.prefixlen
+
+    columns = zip(*(one(x) for x in cidrs), strict=True) if len(cidrs) else [()] * 4
+    kinds = {"family": "Int32", "hi": "Int64", "lo": "Int64", "bits": "Int32"}  # not by way of floats, which would round
+    return pd.DataFrame({name: pd.array(list(c), kind) for (name, kind), c in zip(kinds.items(), columns, strict=True)})
+
+
 def mask_v6(prefix: int):
     """An Arrow function that clears what follows the prefix of an IPv6 text; other texts stay."""
 

@@ -5,12 +5,10 @@ Suffix rules and ranges are reference tables: they are small, but Spark decides
 
 from __future__ import annotations
 
-import ipaddress
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnslens.functions.ip import ip_bytes, v4_number
+from dnslens.functions.ip import ip_bytes, network_bits, v4_number
 
 
 def suffixes(df: DataFrame, psl: DataFrame, name: Column, icann_only: bool = False) -> DataFrame:
@@ -56,59 +54,51 @@ def add_tld_plus_one(df: DataFrame, psl: DataFrame) -> DataFrame:
     return registrable(df, psl, _clean(F.col("qname")), "etld_plus_one").fillna("-", ["etld_plus_one"])
 
 
-def _pieces(nets: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Disjoint (lo, hi, cidr) of networks (lo, hi, size, cidr) of one family, each with the smallest network that covers it."""
-    edges = sorted({x for lo, hi, _, _ in nets for x in (lo, hi + 1)})
-    opened: list = []
-    nets = sorted(nets, key=lambda x: (x[0], -x[2]))
-    out, k = [], 0
-    for lo, nxt in zip(edges, edges[1:], strict=False):
-        while k < len(nets) and nets[k][0] <= lo:
-            opened.append(nets[k])
-            k += 1
-        opened = [n for n in opened if n[1] >= lo]
-        if opened:
-            out.append((lo, nxt - 1, min(opened, key=lambda n: n[2])[3]))
-    return out
+def network_table(ranges: DataFrame) -> DataFrame:
+    """cidr, family, hi, lo, bits of the different networks of a table: the 128 bits of the network's address (IPv4 in the low 32).
 
+    Texts that are no network are skipped; host bits are cleared.
+    """
+    return ranges.select("cidr").distinct().withColumn("n", network_bits("cidr")).where("n IS NOT NULL").select("cidr", "n.*")
 
-def flat_ranges(ranges: DataFrame) -> DataFrame:
-    """Networks of a reference table as disjoint pieces (lo, hi, cidr), each with its most specific network.
 
-    lo and hi are the 16 bytes of addresses, IPv4 in its mapped form; a network covers addresses of its own family only. Lines
-    that are no network are skipped. Range tables are reference data read on the driver; the log never is.
-    """
-    nets: dict[int, list] = {4: [], 6: []}
-    for (cidr,) in ranges.select("cidr").distinct().collect():
-        try:
-            net = ipaddress.ip_network(cidr, strict=False)
-        except ValueError:
-            continue
-        mapped = 0xFFFF << 32 if net.version == 4 else 0
-        nets[net.version].append((mapped + int(net.network_address), mapped + int(net.broadcast_address), net.num_addresses, cidr))
-    out = [(lo.to_bytes(16), hi.to_bytes(16), cidr) for family in nets.values() for lo, hi, cidr in _pieces(family)]
-    return ranges.sparkSession.createDataFrame(out, "lo binary, hi binary, cidr string")
+def _masked(family: Column, hi: Column, lo: Column, bits: Column) -> Column:
+    """family, bits and the address without what follows its first `bits` bits, as one struct to join on."""
+    first = F.lit(64) - F.least(bits, F.lit(64))
+    last = F.when(family == 4, F.lit(32) - bits).otherwise(F.lit(128) - F.greatest(bits, F.lit(64)))
+    high = F.when(family == 4, F.lit(0)).otherwise(_cleared(hi, first))
+    return F.struct(family.alias("family"), bits.alias("bits"), high.cast("long").alias("hi"), _cleared(lo, last).alias("lo"))
 
 
-def _number(bytes16: Column, at: int, n: int) -> Column:
-    return F.conv(F.hex(F.substring(bytes16, at, n)), 16, 10).cast("long")
+def _cleared(x: Column, n: Column) -> Column:
+    """A 64-bit number whose n lowest bits are cleared, for n from 0 to 64."""
+    half = F.call_function("shiftleft", F.call_function("shiftright", x, F.least(n, F.lit(63))), F.least(n, F.lit(63)))
+    return F.when(n >= 64, F.lit(0).cast("long")).otherwise(half)
 
 
 def _places(ips: DataFrame, ranges: DataFrame) -> DataFrame:
-    """__ip, cidr: the most specific network of each address of ips (one column, __ip) that is in one.
+    """__ip, cidr: the network with the longest prefix of each address of ips (one column, __ip) that is in one.
 
-    An equi-join on leading 16 bits (of the 32 of IPv4, of the 128 of IPv6) carries the range condition, so no nested loop is
-    needed for large range tables; only IPv6 texts are read in Python.
+    Addresses are cut to each prefix length that the table has for their family (162 at most: one small row), and joined
+    with networks by equality of the cut address: a shuffled join where the table is large. Only IPv6 texts are read in Python.
+    Of two texts of one network the last in order counts.
     """
-    flat = flat_ranges(ranges)
-    four = F.hex(F.substring("lo", 1, 12)) == "0" * 20 + "FFFF"
-    v4 = flat.where(four).select(_number(F.col("lo"), 13, 4).alias("lo"), _number(F.col("hi"), 13, 4).alias("hi"), "cidr")
-    v4 = v4.withColumn("__cell", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
-    v6 = flat.where(~four).withColumn("__cell", F.explode(F.sequence(_number(F.col("lo"), 1, 2), _number(F.col("hi"), 1, 2))))
-    short = ips.withColumn("__n", v4_number(F.col("__ip")))
-    found = short.join(v4, (F.shiftright("__n", 16) == F.col("__cell")) & F.col("__n").between(F.col("lo"), F.col("hi"))).select("__ip", "cidr")
-    long = ips.where(F.col("__ip").contains(":")).select("__ip", ip_bytes(F.col("__ip")).alias("__b"))
-    return found.unionByName(long.join(v6, (_number(F.col("__b"), 1, 2) == F.col("__cell")) & F.col("__b").between(F.col("lo"), F.col("hi"))).select("__ip", "cidr"))
+    nets = network_table(ranges)
+    lengths = nets.groupBy("family").agg(F.collect_set("bits").alias("__lengths"))
+    keyed = nets.select("cidr", _masked(F.col("family"), F.col("hi"), F.col("lo"), F.col("bits")).alias("__key"))
+    four = ips.withColumn("__n", v4_number(F.col("__ip"))).where("__n IS NOT NULL").select("__ip", F.lit(4).alias("family"), F.lit(0).cast("long").alias("hi"), F.col("__n").alias("lo"))
+    bits = F.hex(ip_bytes(F.col("__ip")))
+    six = ips.where(F.col("__ip").contains(":")).withColumn("__h", bits).where("__h IS NOT NULL").select("__ip", F.lit(6).alias("family"), _half(F.col("__h"), 1).alias("hi"), _half(F.col("__h"), 17).alias("lo"))
+    cut = four.unionByName(six).join(F.broadcast(lengths), "family").withColumn("bits", F.explode("__lengths"))  # two rows
+    cut = cut.select("__ip", "bits", _masked(F.col("family"), F.col("hi"), F.col("lo"), F.col("bits")).alias("__key"))
+    found = cut.join(keyed, "__key")
+    return found.groupBy("__ip").agg(F.max_by("cidr", F.struct("bits", "cidr")).alias("cidr"))
+
+
+def _half(h: Column, at: int) -> Column:
+    """16 hexadecimal digits as a signed 64-bit number."""
+    part = lambda k: F.conv(F.substring(h, at + k, 8), 16, 10).cast("long")
+    return F.shiftleft(part(0), 32).bitwiseOR(part(8))
 
 
 def ip_range_lookup(df: DataFrame, column: str, ranges: DataFrame) -> DataFrame:
@@ -129,12 +119,25 @@ def ip_in_set(df: DataFrame, column: str, networks: DataFrame, how: str = "left_
     return df.join(found, F.col(column) == F.col("__ip"), how)
 
 
+#: An IPv6 address in groups of hexadecimal digits, with at most one `::`, or a last part in IPv4's form.
+_V6 = r"(?i)^(?!.*::.*::)(?!.*:::)(?!:[^:])(?!.*[^:]:$)(?:[0-9a-f]{0,4}:){2,8}(?:[0-9a-f]{0,4}|\d{1,3}(?:\.\d{1,3}){3})$"
+
+
+def client_subnet(options: Column) -> Column:
+    """The address of the first client subnet (option 8) that has a valid one, of either family and with or without brackets; else null."""
+    address = lambda o: F.regexp_replace(F.substring_index(o["data"], "/", 1), r"[\[\]]", "")
+    groups = lambda a: F.size(F.array_remove(F.split(a, ":"), "")) + F.when(a.contains("."), 1).otherwise(0)
+    whole = lambda a: F.when(a.contains("::"), groups(a) <= 7).otherwise(groups(a) == 8)
+    tail = lambda a: ~a.contains(".") | v4_number(F.substring_index(a, ":", -1)).isNotNull()
+    valid = lambda a: v4_number(a).isNotNull() | (a.rlike(_V6) & whole(a) & tail(a))
+    return F.get(F.filter(F.transform(F.filter(options, lambda o: o["code"] == 8), address), valid), 0)
+
+
 def geoip(df: DataFrame, ranges: DataFrame, lookup_ecs: bool = False) -> DataFrame:
     """geo_country, geo_continent, geo_city, geo_asn, geo_owner of the client (or of the first valid client subnet)."""
     ip = F.col("query_ip")
     if lookup_ecs:
-        valid = F.filter("options", lambda o: (o["code"] == 8) & v4_number(F.substring_index(o["data"], "/", 1)).isNotNull())
-        ip = F.coalesce(F.substring_index(F.get(valid, 0)["data"], "/", 1), ip)
+        ip = F.coalesce(client_subnet(F.col("options")), ip)
     out = ip_range_lookup(df.withColumn("__geo", ip), "__geo", ranges)
     for new, old in (("geo_country", "country"), ("geo_continent", "continent"), ("geo_city", "city"), ("geo_asn", "asn"), ("geo_owner", "as_owner")):
         out = out.withColumn(new, F.coalesce(F.col(old).cast("string"), F.lit("-")))

@@ -283,6 +283,18 @@ _add("rewrite", lambda d: normalize.rewrite(d, {"identity": "site-a", "length":
 _GEO = "SELECT msg_id, coalesce(arg_max(country, bits), '-') AS geo_country, coalesce(arg_max(continent, bits), '-') AS geo_continent, coalesce(arg_max(city, bits), '-') AS geo_city, coalesce(arg_max(asn, bits), '-') AS geo_asn, coalesce(arg_max(as_owner, bits), '-') AS geo_owner FROM dns_log LEFT JOIN geo ON {ip} BETWEEN lo AND hi GROUP BY msg_id"
 _geo_cols = ("msg_id", "geo_country", "geo_continent", "geo_city", "geo_asn", "geo_owner")
 _add("geoip", lambda d: lookup.geoip(d, X.geo_ranges(d.sparkSession)).select(*_geo_cols), _GEO.format(ip=f"({_v4('query_ip')})"), "geo")
+# networks of every kind of length inside one /16, nested and apart, and addresses spread over them
+_V6_NETS = [f"2001:db8:{g:x}::/{n}" for n in (34, 37, 41, 44, 48) for g in (0x8000, 0xA000, 0xA800, 0xA880, 0xA881)] + ["2000::/12", "2001:db8::/32", "2001:db8:a881:7::/64", "2001:db8:a881:7::40/122", "2001:db8:a881:7::41/128", "2001:db8:a881:7::42/127", "192.0.2.0/24", "no network"]
+_V6_GROUP = "CASE dns_id % 6 WHEN 0 THEN 32768 + dns_id % 64 WHEN 1 THEN 40960 + dns_id % 2048 WHEN 2 THEN 43008 + dns_id % 256 WHEN 3 THEN 43136 WHEN 4 THEN 43137 ELSE dns_id % 65536 END"
+_v6 = lambda d: d.withColumns({"g": F.expr(f"CAST({_V6_GROUP} AS BIGINT)"), "h": F.expr("CAST(CASE WHEN dns_id % 2 = 0 THEN 7 ELSE dns_id % 9 END AS BIGINT)")}).withColumn("query_ip", F.format_string("2001:db8:%x:%x::%x", "g", "h", F.col("dns_id") % 100)).drop("g", "h")
+_V6_NUMBER = f"(CAST(536939960 AS HUGEINT) * 79228162514264337593543950336 + CAST({_V6_GROUP} AS HUGEINT) * 1208925819614629174706176 + CAST(CASE WHEN dns_id % 2 = 0 THEN 7 ELSE dns_id % 9 END AS HUGEINT) * 18446744073709551616 + dns_id % 100)"
+_V6_VALUES = ", ".join(f"('{n}', CAST('{int(net.network_address)}' AS HUGEINT), CAST('{int(net.broadcast_address)}' AS HUGEINT), {net.prefixlen})" for n in _V6_NETS if ":" in n for net in [ipaddress.ip_network(n, strict=False)])
+_add(
+    "ip_range_lookup_v6",
+    lambda d: lookup.ip_range_lookup(_v6(d), "query_ip", networks(d.sparkSession, _V6_NETS)).select("msg_id", "cidr"),
+    f"""SELECT msg_id, arg_max(cidr, bits * 1000 + place) AS cidr FROM (SELECT msg_id, {_V6_NUMBER} AS n FROM dns_log)
+LEFT JOIN (SELECT *, row_number() OVER (ORDER BY cidr) AS place FROM (VALUES {_V6_VALUES}) t(cidr, lo, hi, bits)) ON n BETWEEN lo AND hi GROUP BY msg_id""",
+)
 _ecs = lambda d: d.withColumn("options", F.when(F.col("dns_type") == "QUERY", F.array(F.struct(F.lit(10).alias("code"), F.lit("-").alias("data")), F.struct(F.lit(8).alias("code"), F.lit("198.51.100.0/24").alias("data")))))
 _add("geoip_ecs", lambda d: lookup.geoip(_ecs(d), X.geo_ranges(d.sparkSession), lookup_ecs=True).select(*_geo_cols), _GEO.format(ip=f"(CASE WHEN dns_type = 'QUERY' THEN 3325256704 ELSE {_v4('query_ip')} END)"), "geo")
 for _f in score.FLAGS:

@@ -331,3 +331,50 @@ def test_flows_with_gaps_and_repeats(spark):
     assert _messages(spark, *overlap) == [(b"a" * 20, False, False), (b"b" * 30, True, False)]
     lost = [segment(1, one), segment(1 + len(one), two[:5]), segment(1 + len(stream), three)]
     assert _messages(spark, *lost) == [(b"a" * 20, False, False), (b"c" * 10, False, False)]
+
+
+def test_longest_prefix_against_brute_force(spark):
+    """Random networks of all lengths of both families, nested and apart, and addresses at their edges."""
+    import ipaddress
+    import random
+
+    rng = random.Random(4)
+    nets = ["0.0.0.0/0", "::/0", "::1/128", "255.255.255.255", "ffff::/16", "8000::/1", "1.2.3.0/255.255.255.0", "x", "1.2.3.4/33"]
+    for _ in range(150):
+        nets.append(f"10.{rng.choice([0, 128])}.{rng.choice([0, 1, 128])}.{rng.randrange(256)}/{rng.randrange(8, 33)}")
+        nets.append(f"2001:db8:{rng.choice(['0', '8000', 'ffff'])}:{rng.choice(['0', 'f000'])}::{rng.randrange(9)}/{rng.randrange(12, 129)}")
+    ips = ["x", None, "", "::ffff:10.0.0.1", "1.2.3.4", "1.2.3", "::1"]
+    for n in nets:
+        try:
+            net = ipaddress.ip_network(n, strict=False)
+        except ValueError:
+            continue
+        ips += [str(net.network_address), str(net.broadcast_address)]
+        ips += [str(type(net.network_address)(x)) for x in (int(net.network_address) - 1, int(net.broadcast_address) + 1) if 0 <= x < 2**net.max_prefixlen]
+
+    def best(ip):
+        try:
+            a = ipaddress.ip_address(ip)
+        except ValueError:
+            return None
+        hits = []
+        for n in nets:
+            try:
+                net = ipaddress.ip_network(n, strict=False)
+            except ValueError:
+                continue
+            if a.version == net.version and a in net:
+                hits.append((net.prefixlen, n))
+        return max(hits)[1] if hits else None
+
+    df = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "msg_id long, ip string")
+    ranges = spark.createDataFrame([(n,) for n in nets], "cidr string")
+    got = {r.msg_id: r.cidr for r in lookup.ip_range_lookup(df, "ip", ranges).dropDuplicates(["msg_id"]).collect()}
+    assert got == {i: best(ip) for i, ip in enumerate(ips)}
+
+
+def test_client_subnets_of_both_families(spark):
+    texts = ["[2001:db8::]/32", "2001:db8::1/48", "10.0.0.0/8", "[::ffff:1.2.3.4]/128", "1:2:3:4:5:6:7:8/128", "::/0", "1:2:3/48", ":::/1", "1::2::3/9", "1:2:3:4:5:6:7:8:9/1", "12345::/1", "1.2.3.400/8", "::1.2.3.400/8", "-", "g::/1"]
+    df = spark.createDataFrame([(i, [(10, "1.1.1.1/8"), (8, t), (8, "9.9.9.9/8")]) for i, t in enumerate(texts)], "i int, options array<struct<code:int,data:string>>")
+    got = [r[0] for r in df.orderBy("i").select(lookup.client_subnet(F.col("options"))).collect()]
+    assert got == ["2001:db8::", "2001:db8::1", "10.0.0.0", "::ffff:1.2.3.4", "1:2:3:4:5:6:7:8", "::", *["9.9.9.9"] * 9]
