@@ -6,13 +6,14 @@ import gzip
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dnslens.functions.formats import flat_json, text_line
 from dnslens.functions.text import go_quoted
 from dnslens.operators.normalize import flat_map
+from dnslens.operators.running import sums_before
 
 
 def line(df: DataFrame, mode: str = "text") -> Column:
@@ -43,14 +44,13 @@ def influx_points(df: DataFrame) -> DataFrame:
 
 
 def _hour() -> Column:
-    """Batches never span hours, so that no stream is one task's work."""
+    """Batches never span hours."""
     return F.expr("ts_ns div 3600000000000").alias("hour")
 
 
-def batches(by: list[str], size: Column, most: int, order: list[str]) -> Column:
-    """The number of a row's batch: a running sum of sizes by stream and hour over the bound."""
-    running = F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return F.floor((running - size) / F.lit(most).cast("decimal(20,0)")).cast("long")
+def with_batches(df: DataFrame, by: list[str], size: Column, most: int, name: str) -> DataFrame:
+    """df with the number of a row's batch: its group's running size in time order over the bound."""
+    return sums_before(df, by, ["ts_ns", "msg_id"], "__before", size).withColumn(name, F.floor(F.col("__before") / F.lit(most).cast("decimal(20,0)")).cast("long")).drop("__before")
 
 
 @F.pandas_udf(T.BinaryType())
@@ -65,7 +65,7 @@ def es_bulk(df: DataFrame, bulk_bytes: int = 5 << 20, compression: str = "none")
     With compression="gzip", body is binary.
     """
     rows = df.select("identity", _hour(), "ts_ns", "msg_id", F.concat(F.lit('{"create":{}}\n'), flat_json(df), F.lit("\n")).alias("item"))
-    rows = rows.withColumn("bulk", batches(["identity", "hour"], F.octet_length("item").cast("long"), bulk_bytes, ["ts_ns", "msg_id"]))
+    rows = with_batches(rows, ["identity", "hour"], F.octet_length("item"), bulk_bytes, "bulk")
     items = F.array_sort(F.collect_list(F.struct("ts_ns", "msg_id", "item")))
     out = rows.groupBy("identity", "hour", "bulk").agg(F.array_join(F.transform(items, lambda x: x["item"]), "").alias("body"), F.count("*").alias("n"))
     return out.withColumn("body", gzipped("body")) if compression == "gzip" else out
@@ -154,7 +154,7 @@ def loki_streams(df: DataFrame, job: str = "dnslens", batch_bytes: int = 1 << 20
         rows = rows.select(given.alias("labels"), *columns)
     pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"')))
     rows = rows.withColumn("labels", F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")))
-    rows = rows.withColumn("batch", batches(["labels", "hour"], F.octet_length("line").cast("long"), batch_bytes, ["ts_ns", "msg_id"]))
+    rows = with_batches(rows, ["labels", "hour"], F.octet_length("line"), batch_bytes, "batch")
     entries = F.array_sort(F.collect_list(F.struct("ts_ns", "msg_id", "line")))
     return rows.groupBy("labels", "hour", "batch").agg(F.count("*").alias("n"), F.array_join(F.transform(entries, lambda x: F.concat(x["ts_ns"].cast("string"), F.lit(" "), x["line"])), "\n").alias("entries"))
 
@@ -162,9 +162,10 @@ def loki_streams(df: DataFrame, job: str = "dnslens", batch_bytes: int = 1 << 20
 def scalyr_events(df: DataFrame, per_request: int = 400, attrs: dict[str, str] | None = None) -> DataFrame:
     """One row per event: identity, hour, request, ts, sev, attrs; the user's attributes don't override the message."""
     given = F.map_from_arrays(F.array(*map(F.lit, attrs or {"parser": "dns"})), F.array(*map(F.lit, (attrs or {"parser": "dns"}).values())))
-    request = F.floor((F.row_number().over(Window.partitionBy("identity", "hour").orderBy("ts_ns", "msg_id")) - 1) / per_request).cast("long")
     both = F.map_concat(F.map_filter(given, lambda k, v: k != "message"), F.create_map(F.lit("message"), text_line(df)))
-    return df.withColumn("hour", _hour()).select("msg_id", "identity", "hour", request.alias("request"), F.col("ts_ns").cast("string").alias("ts"), F.lit(3).alias("sev"), F.to_json(both).alias("attrs"))
+    rows = df.select("msg_id", "identity", _hour(), "ts_ns", F.lit(3).alias("sev"), F.to_json(both).alias("attrs"))
+    rows = with_batches(rows, ["identity", "hour"], F.lit(1), per_request, "request")
+    return rows.select("msg_id", "identity", "hour", "request", F.col("ts_ns").cast("string").alias("ts"), "sev", "attrs")
 
 
 def fluentd_records(df: DataFrame, tag: str = "dns.message") -> DataFrame:

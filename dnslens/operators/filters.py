@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dnslens.functions.ip import in_networks
+from dnslens.operators.running import sums_before
 
 
 def split(df: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
@@ -83,11 +84,12 @@ def regex_list_join(df: DataFrame, patterns: DataFrame) -> DataFrame:
 def downsample(df: DataFrame, n: int, mode: str = "drop_nth", by: tuple[str, ...] = ("identity",), order: tuple[str, ...] = ("ts_ns", "msg_id")) -> DataFrame:
     """Drops (or with keep_nth keeps) every n-th message of each stream and hour, in order, and stamps sample_rate.
 
-    Rows are numbered anew in each hour, so that a stream isn't one task's work; `hash_sample` needs no order and no shuffle.
+    Rows are numbered anew in each hour, in two passes (see `running`); `hash_sample` needs no order and no shuffle.
     """
-    nth = F.row_number().over(Window.partitionBy(*by, F.expr("ts_ns div 3600000000000")).orderBy(*order)) % n == 0
-    out = df.withColumn("__nth", nth).where(~F.col("__nth") if mode == "drop_nth" else F.col("__nth"))
-    return out.drop("__nth").withColumn("sample_rate", F.lit(n).cast("long"))
+    rows = sums_before(df.withColumn("__hour", F.expr("ts_ns div 3600000000000")), [*by, "__hour"], list(order), "__before")
+    nth = (F.col("__before") + 1) % n == 0
+    out = rows.where(~nth if mode == "drop_nth" else nth).drop("__before", "__hour")
+    return out.withColumn("sample_rate", F.lit(n).cast("long"))
 
 
 def hash_sample(df: DataFrame, n: int, key: str = "msg_id", mode: str = "drop_nth") -> DataFrame:

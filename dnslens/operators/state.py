@@ -8,18 +8,13 @@ from pyspark.sql import functions as F
 
 from dnslens.operators.filters import any_of
 from dnslens.operators.lookup import add_tld_plus_one
-from dnslens.plans.shared import scratch
+from dnslens.operators.running import sums_before
+from dnslens.plans.shared import stored
 
 #: The default key of repeats.
 REDUCE_KEYS = ("identity", "operation", "query_ip", "response_ip", "qname", "qtype")
 
 
-def _stored(df: DataFrame, tag: str) -> DataFrame:
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _beside(ticks: DataFrame) -> DataFrame:
     """Ticks of a key whose next or last tick has rows too."""
     near = ticks.select("__k", "__tick", F.lit(0).alias("__by"))
@@ -44,13 +39,13 @@ def _anchors(times: DataFrame, step: int) -> DataFrame:
     found = rows.unionByName(probes).withColumn("__next", F.min("__hit").over(ahead)).where("__of IS NOT NULL")
     later = first.join(before, ["__k", "__tick"], "left_semi").select("__k", (F.col("__tick") - 1).alias("__tick"), F.col("__ts").alias("__later"))
     links = found.join(later, ["__k", "__tick"], "left").select("__k", F.col("__of").alias("__ts"), F.coalesce("__next", "__later").alias("__next"))
-    links = _stored(links.where("__next IS NOT NULL"), "links")
-    begun = _stored(roots, "anchors")
+    links = stored(links.where("__next IS NOT NULL"), "links")
+    begun = stored(roots, "anchors")
     while not links.isEmpty():
         reached = begun.join(links, (begun["__k"] == links["__k"]) & (begun["__anchor"] == links["__ts"])).select(begun["__k"], F.col("__next").alias("__anchor"))
-        begun = _stored(begun.unionByName(reached), "anchors")
+        begun = stored(begun.unionByName(reached), "anchors")
         onward = links.select(F.col("__k").alias("__k2"), F.col("__ts").alias("__mid"), F.col("__next").alias("__far"))
-        links = _stored(links.join(onward, (F.col("__k") == F.col("__k2")) & (F.col("__next") == F.col("__mid"))).select("__k", "__ts", F.col("__far").alias("__next")), "links")
+        links = stored(links.join(onward, (F.col("__k") == F.col("__k2")) & (F.col("__next") == F.col("__mid"))).select("__k", "__ts", F.col("__far").alias("__next")), "links")
     return begun.select("__k", _tick("__anchor", step).alias("__tick"), "__anchor")
 
 
@@ -78,7 +73,7 @@ def reduce_traffic(df: DataFrame, keys: tuple[str, ...] = REDUCE_KEYS, interval:
         out = part.groupBy("__k", begin).agg(first.alias("__first"), F.count("*").alias("occurrences"), F.sum("length").alias("cumulative_length"))
         return out.select(*(F.col(f"__first.{c}" if c in rest else f"__k.{c}").alias(c) for c in df.columns), "occurrences", "cumulative_length")
 
-    beside = _stored(_beside(rows.where("ts_ns IS NOT NULL").select("__k", "__tick").distinct()), "ticks")
+    beside = stored(_beside(rows.where("ts_ns IS NOT NULL").select("__k", "__tick").distinct()), "ticks")
     if beside.isEmpty():
         return folded(rows, "__tick")
     near = rows.join(beside, ["__k", "__tick"], "left_semi")
@@ -121,8 +116,8 @@ def reorder(df: DataFrame) -> DataFrame:
 
 def with_position(df: DataFrame, by: str = "identity", buffer: float = 30.0) -> DataFrame:
     """position: of each row in its stream's flush interval (buffer seconds) by time."""
-    tick = F.floor(F.col("ts_ns") / F.lit(int(buffer * 1e9)).cast("decimal(20,0)")).cast("long")
-    return df.withColumn("flush", tick).withColumn("position", F.row_number().over(Window.partitionBy(by, "flush").orderBy("ts_ns", "msg_id")).cast("long"))
+    rows = sums_before(df.withColumn("flush", _tick("ts_ns", int(buffer * 1e9))), [by, "flush"], ["ts_ns", "msg_id"], "position")
+    return rows.withColumn("position", F.col("position") + 1)
 
 
 def flushed(df: DataFrame, by: str = "identity", buffer: float = 30.0, rows: int = 100) -> DataFrame:
@@ -131,9 +126,7 @@ def flushed(df: DataFrame, by: str = "identity", buffer: float = 30.0, rows: int
     Rows arrive in the order of ts_ns and msg_id. A flush is sorted by `timestamp`; a row whose timestamp is null (its text
     can't be read) keeps its place, the others fill the other places in time order, earlier arrivals first among equals.
     """
-    tick, arrival = Window.partitionBy(by, "flush"), ("ts_ns", "msg_id")
-    out = df.withColumn("flush", _tick("ts_ns", int(buffer * 1e9)))
-    out = out.withColumn("__at", F.row_number().over(tick.orderBy(*arrival)).cast("long"))
+    out = with_position(df, by, buffer).withColumnRenamed("position", "__at")
     out = out.withColumns({"part": F.expr(f"(__at - 1) div {rows}"), "__at": (F.col("__at") - 1) % rows + 1, "__good": F.col("timestamp").isNotNull()})
     full = Window.partitionBy(by, "flush", "part")
     places = F.array_sort(F.collect_list(F.when(F.col("__good"), F.col("__at"))).over(full))  # at most `rows`

@@ -1,11 +1,11 @@
-"""Paths in the folder that executors share."""
+"""Paths and tables in the folder that executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -20,3 +20,10 @@ def scratch(spark: SparkSession, tag: str) -> str:
     fs.mkdirs(p)
     fs.deleteOnExit(p)
     return f"{path}/t"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df written to a fresh path and read back: computed once, and the same whichever executor is lost."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
