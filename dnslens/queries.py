@@ -13,7 +13,7 @@ from dnslens import schema as S
 from dnslens.functions import formats, payloads
 from dnslens.functions.ip import networks
 from dnslens.operators import filters, lookup, metrics, normalize, pairing, predicates, privacy, score, state
-from dnslens.plans import pipeline, sinks
+from dnslens.plans import capture_sinks, pipeline, sinks
 from dnslens.sources import capture, decode, records
 from dnslens.streaming import stateful, tracking
 
@@ -167,67 +167,49 @@ _add("update_operation", lambda d: normalize.fix_operation(d.withColumn("opcode"
 _add("explode_records", lambda d: normalize.explode_records(X.with_answers(d)), "SELECT msg_id, 'an' AS section, CAST(0 AS BIGINT) AS idx, name, rdatatype, class, ttl, rdata FROM answers", "answers")
 
 
-def _pcap(d: DataFrame) -> DataFrame:
-    """path, content: the log's packets as one capture file per stream and day."""
-    import struct
+#: Rows of the log in one capture file, about.
+_FILE_ROWS = 5000
 
-    import pandas as pd
 
-    def whole(t: pd.DataFrame) -> pd.DataFrame:
-        out = [b"\x4d\x3c\xb2\xa1" + struct.pack("<HHIIII", 2, 4, 0, 0, 1 << 16, 1)]
-        seqs: dict = {}
-        for r in t.sort_values("msg_id").itertuples():
-            body = bytes(r.payload)
-            ends = tuple(bytes(map(int, x.split("."))) for x in (r.src_ip, r.dst_ip))
-            if r.protocol == "TCP":
-                flow = (r.src_ip, r.src_port, r.dst_ip, r.dst_port)
-                body = len(body).to_bytes(2) + body
-                seq = seqs.get(flow, 1)
-                seqs[flow] = seq + len(body)
-                segment = struct.pack(">HHIIBBHHH", int(r.src_port), int(r.dst_port), seq, 0, 5 << 4, 16, 1024, 0, 0) + body
-            else:
-                segment = struct.pack(">HHHH", int(r.src_port), int(r.dst_port), 8 + len(body), 0) + body
-            packet = struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(segment), 0, 0, 64, 6 if r.protocol == "TCP" else 17, 0) + ends[0] + ends[1] + segment
-            frame = b"\0" * 12 + b"\x08\x00" + packet
-            out.append(struct.pack("<IIII", r.ts_ns // 10**9, r.ts_ns % 10**9, len(frame), len(frame)) + frame)
-        return pd.DataFrame({"path": [f"{t['identity'].iloc[0]}-{t['day'].iloc[0]}.pcap"], "content": [b"".join(out)]})
+def _files(d: DataFrame) -> int:
+    return max(2, d.count() // (3 * _FILE_ROWS))
 
-    rows = _ends(d).join(d.select("msg_id", "identity", "ts_ns", "protocol", F.expr("ts_ns div 86400000000000").alias("day")), "msg_id")
-    return rows.groupBy("identity", "day").applyInPandas(whole, "path string, content binary")
 
+def _capture(d: DataFrame) -> DataFrame:
+    """The log's messages by way of pcap files: one for each stream and hash of the flow, read in parts of 64 kB."""
+    folder = pipeline.scratch(d.sparkSession, "pcap")
+    rows = _ends(d).join(d.select("msg_id", "identity", "ts_ns", "protocol"), "msg_id")
+    flow = [F.concat_ws(":", f"{end}_ip", f"{end}_port") for end in ("src", "dst")]
+    capture_sinks.write_pcap(rows.withColumn("file", capture_sinks.by_flow("identity", flow, _files(d))), folder).collect()  # a row a file
+    found = capture.capture_files(d.sparkSession, folder, split_bytes=1 << 16)
+    return decode.decode_payload(found.withColumn("msg_id", F.col("ts_ns")).select("msg_id", "payload"))
 
-_add("capture_files", lambda d: decode.decode_payload(capture.messages(capture.packets(_pcap(d))).withColumn("msg_id", F.col("ts_ns")).select("msg_id", "payload")).groupBy("qr", "qname", "qtype", "malformed").agg(F.count("*").alias("n")), "SELECT dns_type = 'REPLY' AS qr, CASE WHEN malformed THEN '-' ELSE qname END AS qname, CASE WHEN malformed THEN '-' ELSE qtype END AS qtype, malformed, count(*) AS n FROM dns_log GROUP BY ALL")
+
+_add(
+    "capture_files",
+    lambda d: _capture(d).groupBy("qr", "qname", "qtype", "malformed").agg(F.count("*").alias("n")),
+    """SELECT dns_type = 'REPLY' AS qr, CASE WHEN malformed THEN '-' ELSE qname END AS qname, CASE WHEN malformed THEN '-' ELSE qtype END AS qtype, malformed,
+  count(*) AS n FROM dns_log GROUP BY ALL""",
+)
 
 
 def _frames(d: DataFrame) -> DataFrame:
-    """path, content: the log as frame-stream files of dnstap messages, one per stream and day."""
-    import pandas as pd
-
-    def varint(n: int) -> bytes:
-        out = b""
-        while n > 127:
-            out, n = out + bytes([n & 127 | 128]), n >> 7
-        return out + bytes([n])
-
-    field = lambda k, v: varint(k << 3) + varint(v) if isinstance(v, int) else varint(k << 3 | 2) + varint(len(v)) + v
-
-    def whole(t: pd.DataFrame) -> pd.DataFrame:
-        out = [b"\0\0\0\0\0\0\0\x04\0\0\0\x02"]
-        for r in t.itertuples():
-            query = r.dns_type == "QUERY"
-            at, body = (8, 10) if query else (12, 14)
-            nsec = varint((at + 1) << 3 | 5) + int(r.ts_ns % 10**9).to_bytes(4, "little")
-            m = field(1, 5 if query else 6) + field(4, bytes(map(int, r.query_ip.split(".")))) + field(6, int(r.query_port)) + field(at, int(r.ts_ns // 10**9)) + nsec + field(body, bytes(r.payload))
-            top = field(1, r.identity.encode()) + field(14, m) + field(15, 1)
-            out.append(len(top).to_bytes(4) + top)
-        out.append(b"\0\0\0\0\0\0\0\x04\0\0\0\x03")
-        return pd.DataFrame({"path": [f"{t['identity'].iloc[0]}-{t['day'].iloc[0]}.fstrm"], "content": [b"".join(out)]})
-
-    rows = X.payloads(d).join(d.select("msg_id", "identity", "ts_ns", "dns_type", "query_ip", "query_port", F.expr("ts_ns div 86400000000000").alias("day")), "msg_id")
-    return rows.groupBy("identity", "day").applyInPandas(whole, "path string, content binary")
-
-
-_add("fstrm_files", lambda d: capture.frames(_frames(d)).select("identity", F.col("query_address").alias("query_ip"), F.col("query_port").cast("string").alias("query_port"), F.when(F.col("type") == 5, F.col("query_time_sec") * 1_000_000_000 + F.col("query_time_nsec")).otherwise(F.col("response_time_sec") * 1_000_000_000 + F.col("response_time_nsec")).alias("ts_ns"), F.conv(F.hex(F.substring("payload", 1, 2)), 16, 10).cast("long").alias("dns_id")), "SELECT identity, query_ip, query_port, ts_ns, dns_id FROM dns_log")
+    """The log's messages by way of frame-stream files, read in parts of 64 kB."""
+    folder = pipeline.scratch(d.sparkSession, "fstrm")
+    rows = X.payloads(d).join(d.select("msg_id", "identity", "ts_ns", "dns_type", "query_ip", "query_port"), "msg_id")
+    capture_sinks.write_fstrm(rows.withColumn("file", capture_sinks.by_flow("identity", ["query_ip", "query_port"], _files(d))), folder).collect()  # a row a file
+    return capture.fstrm_files(d.sparkSession, folder, split_bytes=1 << 16)
+
+
+_add(
+    "fstrm_files",
+    lambda d: _frames(d).select(
+        "identity", F.col("query_address").alias("query_ip"), F.col("query_port").cast("string").alias("query_port"),
+        F.expr("CASE WHEN type = 5 THEN query_time_sec * 1000000000 + query_time_nsec ELSE response_time_sec * 1000000000 + response_time_nsec END").alias("ts_ns"),
+        F.conv(F.hex(F.substring("payload", 1, 2)), 16, 10).cast("long").alias("dns_id"),
+    ),
+    "SELECT identity, query_ip, query_port, ts_ns, dns_id FROM dns_log",
+)
 
 # filters and predicates
 _PATTERNS = [r"(mail|www)\d+\.", r"example\.com$"]

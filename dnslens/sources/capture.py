@@ -1,13 +1,16 @@
-"""Capture files: packets of pcap files and messages of frame-stream files, file by file.
+"""Capture files: packets of pcap files and messages of frame-stream files.
 
-Whole files come as rows (path, content) from Spark's binaryFile source, in batch or as a stream; each file is split in
-the task that reads it. IP fragments are put together there; TCP payloads that span packets by flow, in sequence order.
+Large files are read by byte range with the data source of `capture_source`; small ones may come whole as rows (path,
+content) from Spark's binaryFile source. Fragments of IP datagrams are put together by datagram, and TCP payloads that span
+packets by flow, in sequence order, wherever in the file their parts were read.
 """
 
 from __future__ import annotations
 
 import ipaddress
+import itertools
 import struct
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,63 +84,113 @@ def split_packets(content: bytes, port: int):
     if order is None:
         return
     end, scale = order
-    at, fragments = 24, Fragments()
+    at = 24
     while at + 16 <= len(content):
         sec, frac, size, _ = struct.unpack_from(f"{end}IIII", content, at)
         frame, at = content[at + 16 : at + 16 + size], at + 16 + size
-        ts = sec * 1_000_000_000 + frac * scale
-        found = _datagram(frame)
-        if found is None:
-            continue
-        proto, src, dst, rest, fragment = found
-        if fragment is not None:
-            ident, offset, more = fragment
-            rest = fragments.add((src, dst, proto, ident), offset, more, rest, ts)
-            if rest is None:
-                continue
-        ends = lambda a, b: (str(ipaddress.ip_address(src)), str(a), str(ipaddress.ip_address(dst)), str(b))
-        if proto == 17 and len(rest) >= 8:
-            sport, dport = struct.unpack_from(">HH", rest)
-            if port in (sport, dport):
-                yield ts, "UDP", *ends(sport, dport), 0, rest[8:], fragment is not None
-        elif proto == 6 and len(rest) >= 20:
-            sport, dport, seq = struct.unpack_from(">HHI", rest)
-            body = rest[(rest[12] >> 4) * 4 :]
-            if port in (sport, dport) and body:
-                yield ts, "TCP", *ends(sport, dport), seq, body, fragment is not None
+        if (found := packet(frame, sec * 1_000_000_000 + frac * scale, port)) is not None:
+            yield found
+
+
+def packet(frame: bytes, ts: int, port: int) -> tuple | None:
+    """A row of PACKETS (without path) of an Ethernet frame; None if it is of no concern. A fragment is a row of protocol FRAGMENT."""
+    found = _datagram(frame)
+    if found is None:
+        return None
+    proto, src, dst, rest, fragment = found
+    if fragment is not None:
+        ident, offset, more = fragment
+        return ts, "FRAGMENT", str(ipaddress.ip_address(src)), str(proto), str(ipaddress.ip_address(dst)), str(ident), offset << 1 | more, rest, True
+    return transport(proto, str(ipaddress.ip_address(src)), str(ipaddress.ip_address(dst)), rest, ts, port, False)
+
+
+def transport(proto: int, src: str, dst: str, rest: bytes, ts: int, port: int, fragmented: bool) -> tuple | None:
+    """A row of PACKETS (without path) of a whole datagram, if it is UDP or TCP of the port."""
+    if proto == 17 and len(rest) >= 8:
+        sport, dport = struct.unpack_from(">HH", rest)
+        if port in (sport, dport):
+            return ts, "UDP", src, str(sport), dst, str(dport), 0, rest[8:], fragmented
+    elif proto == 6 and len(rest) >= 20:
+        sport, dport, seq = struct.unpack_from(">HHI", rest)
+        body = rest[(rest[12] >> 4) * 4 :]
+        if port in (sport, dport) and body:
+            return ts, "TCP", src, str(sport), dst, str(dport), seq, body, fragmented
+    return None
+
+
+#: Packets in one record batch.
+ROWS = 4096
+_NAMES = [x.split()[0] for x in PACKETS.split(", ")]
+_KINDS = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary(), pa.bool_()]
+
+
+def packet_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of PACKETS in batches of ROWS."""
+    while some := list(itertools.islice(rows, ROWS)):
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*some, strict=True), _KINDS, strict=True)], names=_NAMES)
 
 
 def packets(files: DataFrame, port: int = 53) -> DataFrame:
-    names = [x.split()[0] for x in PACKETS.split(", ")]
-    kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary(), pa.bool_()]
+    """PACKETS of whole files (path, content)."""
 
     def run(batches):
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                cols = list(zip(*((path, *p) for p in split_packets(content or b"", port)), strict=True)) or [[]] * len(names)
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+                yield from packet_batches((path, *p) for p in split_packets(content or b"", port))
+
+    return defragmented(files.mapInArrow(run, PACKETS), port)
+
+
+def defragmented(rows: DataFrame, port: int = 53) -> DataFrame:
+    """PACKETS in which the parts of a datagram (rows of protocol FRAGMENT) became its packet, at the time of the part that completed it."""
+    datagram = ["path", "src_ip", "dst_ip", "src_port", "dst_port"]  # the ports hold protocol and id
+
+    def run(batches):
+        def whole():
+            at, open_parts = None, Fragments()
+            for b in batches:
+                for path, ts, _, src, proto, dst, ident, place, body, _ in zip(*(b.column(c).to_pylist() for c in _NAMES), strict=True):
+                    if (path, src, dst, proto, ident) != at:
+                        at, open_parts = (path, src, dst, proto, ident), Fragments()
+                    rest = open_parts.add(at, place >> 1, bool(place & 1), body, ts)
+                    if rest is not None and (found := transport(int(proto), src, dst, rest, ts, port, True)) is not None:
+                        yield path, *found
 
-    return files.mapInArrow(run, PACKETS)
+        yield from packet_batches(whole())
+
+    parts = rows.where("protocol = 'FRAGMENT'").repartition(*datagram).sortWithinPartitions(*datagram, "ts_ns", "seq")
+    return rows.where("protocol <> 'FRAGMENT'").unionByName(parts.mapInArrow(run, PACKETS))
 
 
 def messages(rows: DataFrame) -> DataFrame:
     """Packets as DNS messages: ts_ns, protocol, the ends, payload, tcp_reassembled, ip_defragmented.
 
-    Each TCP flow is read in sequence order. Bytes that were sent before are cut; after a gap the message that it broke is
-    given up, and the next segment is taken as the start of a message.
+    Each TCP flow is read in sequence order, which may pass 2 ** 32: a segment's place is that of the segment before it in
+    time plus the shorter way round. Bytes that were sent before are cut; after a gap the message that it broke is given up,
+    and the next segment is taken as the start of a message.
     """
     keep = ["path", "ts_ns", "protocol", "src_ip", "src_port", "dst_ip", "dst_port"]
     udp = rows.where("protocol = 'UDP'").select(*keep, F.col("body").alias("payload"), F.lit(False).alias("tcp_reassembled"), "ip_defragmented")
 
     ends = ["path", "src_ip", "src_port", "dst_ip", "dst_port"]
-    names = [x.split()[0] for x in PACKETS.split(", ")]
+
+    def unwrapped(batches):
+        # packets in flow and time order
+        at, place, last = None, 0, 0
+        for b in batches:
+            places = []
+            for *key, seq in zip(*(b.column(c).to_pylist() for c in (*ends, "seq")), strict=True):
+                place = seq if key != at else place + (seq - last + (1 << 31)) % (1 << 32) - (1 << 31)
+                at, last = key, seq
+                places.append(place)
+            yield b.set_column(_NAMES.index("seq"), "seq", pa.array(places, pa.int64()))
 
     def flows(batches):
         # packets in flow and sequence order: a task holds one message at a time
         at, expected, data, parts = None, 0, b"", False
         for b in batches:
             out = []
-            for r in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+            for r in zip(*(b.column(c).to_pylist() for c in _NAMES), strict=True):
                 path, ts, _, src, sport, dst, dport, seq, body, fragmented = r
                 if (path, src, sport, dst, dport) != at:
                     at, expected, data, parts = (path, src, sport, dst, dport), seq, b"", False
@@ -158,13 +211,18 @@ def messages(rows: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.binary(), pa.bool_(), pa.bool_()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[*keep, "payload", "tcp_reassembled", "ip_defragmented"])
 
-    tcp = rows.where("protocol = 'TCP'").repartition(*ends).sortWithinPartitions(*ends, "seq", "ts_ns").mapInArrow(flows, udp.schema)
+    timed = rows.where("protocol = 'TCP'").repartition(*ends).sortWithinPartitions(*ends, "ts_ns", "seq").mapInArrow(unwrapped, PACKETS)
+    tcp = timed.sortWithinPartitions(*ends, "seq", "ts_ns").mapInArrow(flows, udp.schema)
     return udp.unionByName(tcp)
 
 
-def capture_files(spark: SparkSession, folder: str, port: int = 53) -> DataFrame:
-    """The DNS messages of a folder of pcap files."""
-    return messages(packets(read_files(spark, folder), port))
+def capture_files(spark: SparkSession, folder: str, port: int = 53, split_bytes: int = 64 << 20) -> DataFrame:
+    """The DNS messages of a folder of pcap files, read in parts of about split_bytes."""
+    from dnslens.sources.capture_source import CaptureSource
+
+    spark.dataSource.register(CaptureSource)
+    rows = spark.read.format("dns_capture").options(path=folder, port=port, splitBytes=split_bytes).load()
+    return messages(defragmented(rows, port))
 
 
 def _fields(raw: bytes):
@@ -211,6 +269,23 @@ def split_frames(content: bytes):
         at += 4 + n
 
 
+def frame_row(path: str, raw: bytes) -> dict:
+    """A row of FRAMES of a dnstap message."""
+    top = dict(_fields(raw))
+    m = {_MESSAGE[k]: v for k, v in _fields(top.get(14, b"")) if k in _MESSAGE}
+    text = lambda a: str(ipaddress.ip_address(a)) if a else None
+    known = {k: m.get(k) for k in ("type", "query_port", "response_port", "query_time_sec", "response_time_sec")}
+    nsec = {k: int.from_bytes(m[k], "little") if k in m else None for k in ("query_time_nsec", "response_time_nsec")}
+    payload = m.get("query_message") if (m.get("type") or 0) % 2 else m.get("response_message")
+    return {"path": path, "identity": top.get(1, b"").decode("utf-8", "replace"), "version": top.get(2, b"").decode("utf-8", "replace"), **known, **nsec, "query_address": text(m.get("query_address")), "response_address": text(m.get("response_address")), "payload": payload}
+
+
+def frame_batches(found: Iterator[tuple[str, bytes]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of FRAMES in batches of ROWS."""
+    while some := list(itertools.islice(found, ROWS)):
+        yield pa.RecordBatch.from_pylist([frame_row(*f) for f in some], schema=schema)
+
+
 def frames(files: DataFrame) -> DataFrame:
     """One row per dnstap message of frame-stream files."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -218,23 +293,17 @@ def frames(files: DataFrame) -> DataFrame:
 
     schema = to_arrow_schema(StructType.fromDDL(FRAMES))
 
-    def row(path: str, raw: bytes) -> dict:
-        top = dict(_fields(raw))
-        m = {_MESSAGE[k]: v for k, v in _fields(top.get(14, b"")) if k in _MESSAGE}
-        text = lambda a: str(ipaddress.ip_address(a)) if a else None
-        known = {k: m.get(k) for k in ("type", "query_port", "response_port", "query_time_sec", "response_time_sec")}
-        nsec = {k: int.from_bytes(m[k], "little") if k in m else None for k in ("query_time_nsec", "response_time_nsec")}
-        payload = m.get("query_message") if (m.get("type") or 0) % 2 else m.get("response_message")
-        return {"path": path, "identity": top.get(1, b"").decode("utf-8", "replace"), "version": top.get(2, b"").decode("utf-8", "replace"), **known, **nsec, "query_address": text(m.get("query_address")), "response_address": text(m.get("response_address")), "payload": payload}
-
     def run(batches):
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pylist([row(path, f) for f in split_frames(content or b"")], schema=schema)
+                yield from frame_batches(((path, f) for f in split_frames(content or b"")), schema)
 
     return files.mapInArrow(run, StructType.fromDDL(FRAMES))
 
 
-def fstrm_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The dnstap messages of a folder of frame-stream files."""
-    return frames(read_files(spark, folder))
+def fstrm_files(spark: SparkSession, folder: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """The dnstap messages of a folder of frame-stream files, read in parts of about split_bytes."""
+    from dnslens.sources.capture_source import CaptureSource
+
+    spark.dataSource.register(CaptureSource)
+    return spark.read.format("dns_capture").options(path=folder, kind="fstrm", splitBytes=split_bytes).load()

@@ -378,3 +378,70 @@ def test_client_subnets_of_both_families(spark):
     df = spark.createDataFrame([(i, [(10, "1.1.1.1/8"), (8, t), (8, "9.9.9.9/8")]) for i, t in enumerate(texts)], "i int, options array<struct<code:int,data:string>>")
     got = [r[0] for r in df.orderBy("i").select(lookup.client_subnet(F.col("options"))).collect()]
     assert got == ["2001:db8::", "2001:db8::1", "10.0.0.0", "::ffff:1.2.3.4", "1:2:3:4:5:6:7:8", "::", *["9.9.9.9"] * 9]
+
+
+def _captured(spark, folder, split, **how):
+    from dnslens.sources import capture
+
+    rows = capture.capture_files(spark, str(folder), split_bytes=split, **how)
+    return sorted((r.path, r.ts_ns, r.protocol, r.src_ip, r.src_port, bytes(r.payload), r.tcp_reassembled, r.ip_defragmented) for r in rows.collect())
+
+
+def test_capture_files_are_cut_anywhere(spark, tmp_path):
+    """Cut into many parts, a file gives what one read gives: also where bodies look like record heads, and a datagram's parts fall apart."""
+    import random
+    import struct
+
+    rng, frames = random.Random(3), []
+    lure = struct.pack("<IIII", 5, 0, 60, 60) + bytes(60)  # a plausible record inside a body
+    for k in range(400):
+        body = rng.choice([rng.randbytes(rng.randrange(12, 300)), lure * rng.randrange(1, 20), bytes(rng.randrange(12, 2000))])
+        udp = struct.pack(">HHHH", 4000 + k, 53, 8 + len(body), 0) + body
+        if k % 7 == 0:
+            frames += [_v4(k, 0x2000, udp[:8]), _v4(k, 1, udp[8:])]
+        elif k % 5 == 0:
+            frames.append(_v4(k, 0, struct.pack(">HHIIBBHHH", 4000 + k, 53, 1, 0, 5 << 4, 16, 1024, 0, 0) + len(body).to_bytes(2) + body, 6))
+        else:
+            frames.append(_v4(k, 0, udp))
+    (tmp_path / "a.pcap").write_bytes(_pcap(*frames))
+    (tmp_path / "b.pcap").write_bytes(_pcap(*frames[:3]) + b"cut off")
+    (tmp_path / "c.pcap").write_bytes(b"no capture")
+    whole = _captured(spark, tmp_path, 1 << 30)
+    assert len([r for r in whole if r[0].endswith("a.pcap")]) == 400
+    assert _captured(spark, tmp_path, (tmp_path / "a.pcap").stat().st_size // 8) == whole == _captured(spark, tmp_path, 999)
+
+
+def test_sequence_numbers_wrap(spark):
+    """A flow goes on past the end of the sequence numbers, and segments may come out of order and twice there."""
+    import struct
+
+    tcp = lambda seq, body: _v4(1, 0, struct.pack(">HHIIBBHHH", 4000, 53, seq % (1 << 32), 0, 5 << 4, 16, 1024, 0, 0) + body, 6)
+    body = b"".join(len(m).to_bytes(2) + m for m in (b"a" * 40, b"b" * 50, b"c" * 60))
+    start, cuts = (1 << 32) - 70, [0, 30, 60, 90, 120, len(body)]
+    parts = [tcp(start + a, body[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    want = sorted([(b"a" * 40, True, False), (b"b" * 50, True, False), (b"c" * 60, True, False)])
+    assert _messages(spark, *parts) == want
+    assert _messages(spark, parts[0], parts[2], parts[1], parts[2], parts[4], parts[3]) == want
+
+
+def test_capture_stream_reads_new_files_once(spark, tmp_path):
+    import os
+    import struct
+
+    from dnslens.sources import capture_source
+
+    spark.dataSource.register(capture_source.CaptureSource)
+    (tmp_path / "in").mkdir()
+    frame = lambda port: _v4(1, 0, struct.pack(">HHHH", port, 53, 20, 0) + bytes(12))
+    seen = []
+
+    def run():
+        stream = spark.readStream.format("dns_capture").options(path=f"{tmp_path}/in", splitBytes=64).load()
+        stream.writeStream.option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).foreachBatch(lambda df, _: seen.extend(r.src_port for r in df.collect())).start().awaitTermination()
+
+    for k, name in enumerate(("b", "a", "c")):
+        (tmp_path / "in" / name).write_bytes(_pcap(*(frame(1000 * (k + 1) + i) for i in range(5))))
+        os.utime(tmp_path / "in" / name, ns=(10**18 + k, 10**18 + k))
+        if k != 1:
+            run()
+    assert sorted(map(int, seen)) == [1000 * (k + 1) + i for k in range(3) for i in range(5)]
