@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dnslens.functions.ip import in_networks
+from dnslens.operators.patterns import matching_names
 from dnslens.operators.running import sums_before
 
 
@@ -75,10 +76,9 @@ def drop_domain_regex(df: DataFrame, patterns: list[str], dropped: bool = False)
     return _side(df, ~F.col("qname").rlike(any_of(patterns)), dropped)
 
 
-def regex_list_join(df: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Rows whose qname matches a pattern of a table: a nested loop against the pattern list."""
-    p = patterns.select(F.col(patterns.columns[0]).alias("__pattern"))
-    return df.join(p, F.expr("qname rlike __pattern"), "left_semi")
+def regex_list_join(df: DataFrame, patterns: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose qname matches (left_semi) or doesn't match (left_anti) a pattern of a table, by way of different names (see `patterns`)."""
+    return df.join(matching_names(df.select("qname").where("qname IS NOT NULL").distinct(), patterns), "qname", how).select(*df.columns)
 
 
 def downsample(df: DataFrame, n: int, mode: str = "drop_nth", by: tuple[str, ...] = ("identity",), order: tuple[str, ...] = ("ts_ns", "msg_id")) -> DataFrame:

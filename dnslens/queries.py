@@ -12,10 +12,10 @@ from dnslens import fixtures as X
 from dnslens import schema as S
 from dnslens.functions import formats, payloads
 from dnslens.functions.ip import networks
-from dnslens.operators import filters, lookup, metrics, normalize, pairing, predicates, privacy, score, state
-from dnslens.plans import capture_sinks, pipeline, sinks
+from dnslens.operators import filters, lookup, metrics, normalize, pairing, predicates, privacy, rollups, score, state
+from dnslens.plans import capture_sinks, pipeline, shared, sinks
 from dnslens.sources import capture, decode, records
-from dnslens.streaming import stateful, tracking
+from dnslens.streaming import branches, stateful, tracking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -347,6 +347,8 @@ _add(
 )
 _add("ip_range_lookup", lambda d: lookup.ip_range_lookup(d, "query_ip", X.geo_ranges(d.sparkSession)).select("msg_id", "cidr"), f"SELECT msg_id, arg_max(cidr, bits) AS cidr FROM dns_log LEFT JOIN geo ON ({_v4('query_ip')}) BETWEEN lo AND hi GROUP BY msg_id", "geo")
 _add("list_semi_join", lambda d: filters.keep_fqdn(d, d.sparkSession.createDataFrame([(n,) for n in _NAMES], "name string")).select("msg_id", "qname"), f"SELECT msg_id, qname FROM dns_log WHERE qname IN {_NAMES_SQL}")
+_many = lambda d: d.sparkSession.range(3000).selectExpr("concat('^(click|view)', id, '[.]shop') AS pattern").unionByName(d.sparkSession.createDataFrame([("(a|b)$",), ("[0-9]{2}.user",)], "pattern string"))
+_add("regex_list_many", lambda d: filters.regex_list_join(d, _many(d)).select("msg_id", "qname"), r"SELECT msg_id, qname FROM dns_log WHERE regexp_matches(qname, '^(click|view)[0-9]+[.]shop') OR regexp_matches(qname, '(a|b)$|[0-9]{2}.user')")
 _add("regex_list_join", lambda d: filters.regex_list_join(d, d.sparkSession.createDataFrame([(p,) for p in _PATTERNS], "pattern string")).select("msg_id", "qname"), f"SELECT msg_id, qname FROM dns_log WHERE {_PATTERN_SQL}")
 _add("client_domain_search", lambda d: lookup.search(d, "192.0.1.2"), "SELECT qname AS key, count(*) AS hit FROM dns_log WHERE query_ip = '192.0.1.2' GROUP BY 1 UNION ALL SELECT query_ip, count(*) FROM dns_log WHERE qname = '192.0.1.2' AND NOT EXISTS (SELECT 1 FROM dns_log WHERE query_ip = '192.0.1.2') GROUP BY 1")
 _span = lambda d: d.withColumns({"message_id": F.concat(F.lit("m"), F.expr("msg_id div 2").cast("string")), "initial_request_id": F.concat(F.lit("m"), (F.expr("msg_id div 2") - 3).cast("string")), "operation": F.when(F.expr("msg_id div 2") % 3 == 0, F.replace("operation", F.lit("CLIENT"), F.lit("RESOLVER"))).otherwise(F.col("operation"))})
@@ -465,6 +467,45 @@ _add("metrics_stream", lambda d: _once(d, stateful.metrics, "complete"), "SELECT
 _add("reduce_stream", lambda d: _once(X.repeated(d).unionByName(stateful.closing_row(X.repeated(d))), tracking.reduce_traffic).where("msg_id >= 0").select(*_red), f"SELECT {_REDUCED} FROM reduced_repeats", "reduced_repeats")
 
 
+def _rolled_up(d: DataFrame, by_stream: bool = False) -> DataFrame:
+    """Minutes of sketches, stored, combined to days of all streams; close: the estimate is within 2 % of the exact count."""
+    what = (["identity"], ["qname", "query_ip"], ["qname"])
+    if by_stream:
+        minutes = _once(d.unionByName(stateful.closing_row(d)), lambda s: rollups.rollup(s, *what))
+        minutes = minutes.where(F.col("start") * 1_000_000_000 <= d.agg(F.max("ts_ns")).first()[0])
+    else:
+        minutes = shared.stored(rollups.rollup(d, *what), "minutes")
+    days = rollups.estimates(rollups.combine(minutes, [], 86400))
+    exact = d.groupBy((F.expr("ts_ns div 86400000000000") * 86400).alias("start")).agg(F.count_distinct("qname").alias("names"), F.count_distinct("query_ip").alias("clients"))
+    close = lambda est, n: F.abs(F.col(est) - F.col(n)) <= F.col(n) * 0.02 + 1
+    counts = F.array_join(F.transform("top_qname", lambda x: x["count"].cast("string")), ",")
+    return days.join(exact, "start").select("start", "messages", "bytes", "names", "clients", (close("uniq_qname", "names") & close("uniq_query_ip", "clients")).alias("close"), counts.alias("top_counts"))
+
+
+_ROLLUP = """
+SELECT start, messages, bytes, names, clients, true AS close, top_counts
+FROM (SELECT ts_ns // 86400000000000 * 86400 AS start, count(*) AS messages, CAST(sum(length) AS BIGINT) AS bytes,
+    count(DISTINCT qname) AS names, count(DISTINCT query_ip) AS clients FROM dns_log GROUP BY 1)
+JOIN (SELECT start, string_agg(n, ',' ORDER BY n DESC) AS top_counts
+  FROM (SELECT ts_ns // 86400000000000 * 86400 AS start, count(*) AS n, row_number() OVER (PARTITION BY ts_ns // 86400000000000 ORDER BY count(*) DESC) AS r
+    FROM dns_log GROUP BY ts_ns // 86400000000000, qname) WHERE r <= 10 GROUP BY start) USING (start)"""
+_add("rollup_sketches", _rolled_up, _ROLLUP)
+_add("rollup_stream", lambda d: _rolled_up(d, by_stream=True), _ROLLUP)
+
+
+def _branched(d: DataFrame) -> DataFrame:
+    """The log's stream in one pass to three sinks: forwarded rows, dropped rows, and names in lower case."""
+    spark, folder = d.sparkSession, pipeline.scratch(d.sparkSession, "branches")
+    keep = F.col("rcode") == "NOERROR"
+    steps = {"forwarded": lambda x: pipeline.routes(x, keep)[0].select("msg_id", "qname"), "dropped": lambda x: pipeline.routes(x, keep)[1].select("msg_id", "qname"), "lower": lambda x: normalize.qname_lowercase(x).select("msg_id", "qname")}
+    writer = branches.write_branches(_stream(d), steps, folder)
+    writer.option("checkpointLocation", pipeline.scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return pipeline.fan_in(*(branches.read_branch(spark, folder, n, "msg_id long, qname string").withColumn("route", F.lit(n)) for n in steps))
+
+
+_add("route_fanout_stream", _branched, "SELECT msg_id, qname, CASE WHEN rcode = 'NOERROR' THEN 'forwarded' ELSE 'dropped' END AS route FROM dns_log UNION ALL SELECT msg_id, lower(qname), 'lower' FROM dns_log")
+
+
 def _two_runs(d: DataFrame) -> DataFrame:
     """New names of the log in two runs; the second starts from what the first one knew."""
     middle, spark = d.agg(F.percentile_approx("ts_ns", 0.5)).first()[0], d.sparkSession
