@@ -49,6 +49,10 @@ BOILER_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted reader related replies reply respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget".split()
 )
 MAIN_WORDS = frozenset("article content entry main post story".split())
+#: Words that tell even above and at an article what it is: a comment, a teaser or an advert.
+STRONG_WORDS = frozenset("ad ads advert advertisement advertising comment comments promo promoted reader related replies reply respond sponsor sponsored".split())
+#: Leaves that belong to the text around them, however short.
+NEAR = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Pairs of items that are aligned by comparing all; longer rows are first cut where both have an item once.
 PAIRS = 250_000
 #: Tasks' wrappers of one host are merged in so many groups first.
@@ -69,7 +73,7 @@ def tokens(page: str):
             if m["close"]:
                 yield "close", name, ""
             else:
-                marks = [re.sub(r"\d+", "", next(x for x in a[1:] if x or x == a[-1])) for a in _ATTR.findall(m["attrs"])] if m["attrs"] else []
+                marks = [re.sub(r"\d+", "", next((x for x in a[1:] if x), "")) for a in _ATTR.findall(m["attrs"])] if m["attrs"] else []
                 yield "open", name, ".".join([name, *marks])
 
 
@@ -330,7 +334,17 @@ class Wrapper:
 
     def content(self) -> list[str]:
         """The addresses of the expression's slots that are content."""
-        return [a for a, repeated in text_slots(self.items).items() if a in self.slots and self._is_content(_place(a), repeated, self.slots[a])]
+        slots = {a: repeated for a, repeated in text_slots(self.items).items() if a in self.slots}
+        found = {a for a, repeated in slots.items() if self._is_content(_place(a), repeated, self.slots[a])}
+        around = {a.split(">")[0] for a in found}
+        return [a for a in slots if a in found or a.split(">")[0] in around and self._is_near(a, self.slots[a])]
+
+    @staticmethod
+    def _is_near(address: str, x: list) -> bool:
+        """A heading or paragraph, however short, in a container that has content; not if it is the same on several pages."""
+        pages, _, words, linked, same = x
+        leaf = address.split(">")[1].split(".")[0]
+        return leaf in NEAR and not _place(address) and linked < 0.5 * words and not (len(pages) >= DISTINCT and same is not None)
 
     @staticmethod
     def _is_content(place: str, repeated: bool, x: list) -> bool:
@@ -343,11 +357,15 @@ class Wrapper:
 @functools.lru_cache(maxsize=100_000)
 def _place(address: str) -> str:
     """boiler, main, or nothing that its containers tell."""
-    found = ""
-    for symbol in address.replace(">", "/").split("/"):
+    found, symbols = "", [s for s in address.replace(">", "/").split("/") if s]
+    last = max((i for i, s in enumerate(symbols) if s.split(".")[0] in MAIN_TAGS), default=-1)
+    for i, symbol in enumerate(symbols):
         name, *marks = symbol.split(".")
+        if name in ("html", "body"):
+            continue
         words = {w for mark in marks for w in re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", mark).lower())}
-        if name in BOILER_TAGS or words & BOILER_WORDS or name == "header" and not found:
+        telling = words & (STRONG_WORDS if i <= last else BOILER_WORDS)
+        if name in BOILER_TAGS or telling or name == "header" and not found:
             return "boiler"
         if name in MAIN_TAGS or words & MAIN_WORDS:
             found = "main"

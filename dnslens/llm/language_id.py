@@ -1,8 +1,8 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy, with calibrated rejection.
 
 A text is the mean of the embeddings of its character 2-, 3- and 4-grams (lower case, white space runs as one space),
-hashed to a fixed number of rows. Training rows are a bounded sample, at most about `per_language` of each language;
-every text is scored as a whole. A temperature, fitted on a part of the sample that training doesn't see, calibrates the
+hashed to a fixed number of rows. Training rows are a bounded sample, at most `per_language` texts of each language
+and SAMPLE_BYTES in all; every text is scored as a whole. A temperature, fitted on a part of the sample that training doesn't see, calibrates the
 scores, and the rejection threshold is SLACK times the score that all but `reject_share` of that part reach.
 
 `und` (score 0) if the text is null or has no letter. With no labelled rows every text is `und`. Of equal scores the language
@@ -17,12 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dnslens.llm.common import texts_of
 
 BUCKETS, WIDTH, UNKNOWN = 1 << 15, 16, "und"
+#: Languages that are learned at most, and bytes of the texts that they are learned from (and one text more for each).
+LANGUAGES, SAMPLE_BYTES = 1000, 128 << 20
 #: Characters in work at once.
 PART = 1 << 18
 #: A text is rejected under this share of the score that nearly all calibration texts reach.
@@ -118,16 +120,23 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
     return LanguageModel(languages, weights.astype(np.float32), bias, temperature, threshold)
 
 
-def labelled_sample(docs: DataFrame, per_language: int = 1500, where: Column | None = None) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled texts: of each language a share of its rows, by a hash of the text, that makes about per_language.
+def labelled_sample(docs: DataFrame, per_language: int = 1500, where: Column | None = None, most: int = LANGUAGES, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
+    """A bounded sample of labelled texts: of each language those with the least hashes, about per_language different ones.
 
-    Every value that labelled rows hold is learned; the sample grows with their number.
+    Shares are of a language's different texts, so copies crowd none out. `most` languages are learned (those with the most
+    different texts; the model has 128 KB for each), and of each as many texts as its part of sample_bytes holds, but at least one.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = (rows if where is None else rows.where(where)).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share"))
-    u = F.shiftrightunsigned(F.xxhash64("text", F.lit(3)), 11) / F.lit(float(1 << 53))
-    got = rows.join(F.broadcast(share), "lang").where(u < F.col("share")).select("lang", "text").distinct().toArrow()  # all copies of a text are chosen or none: once is enough
+    h = F.xxhash64("text", F.lit(3))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(h, 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(most)  # at most `most` rows
+    share = counts.select("lang", F.least(F.lit(1.0), 1.1 * per_language / F.col("n")).alias("share"))
+    u = F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
+    few = rows.join(F.broadcast(share), "lang").where(u < F.col("share")).select("lang", "text").distinct()
+    before = Window.partitionBy("lang").orderBy(h, "text").rowsBetween(Window.unboundedPreceding, -1)
+    few = few.withColumns({"size": F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)), "place": F.count("*").over(before)})
+    room = sample_bytes // max(1, counts.count())
+    got = few.where((F.col("size") < room) & (F.col("place") < per_language)).select("lang", "text").toArrow()
     order = sorted(zip(got.column("text").to_pylist(), got.column("lang").to_pylist(), strict=True))
     return [x[0] for x in order], [x[1] for x in order]
 

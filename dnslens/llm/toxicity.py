@@ -160,7 +160,7 @@ def _threshold(z: np.ndarray, y: np.ndarray, prevalence: float) -> float:
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, where: Column | None = None) -> tuple[list[str], list[int], float]:
     """A bounded sample of labelled texts: of each class a share of its rows, by a hash, that makes about per_class.
 
-    The chosen ids (bounded as well) are what the documents are read by.
+    The chosen ids (bounded as well) are what the documents are read by; of texts that share an id one is taken.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     known = known if where is None else known.where(where)
@@ -170,7 +170,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, where: C
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 11) / F.lit(float(1 << 53))
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))))
     chosen = known.where(u < share[F.col("toxic")]).distinct()
-    got = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic").where("text is not null").distinct().toArrow()
+    found = texts_of(docs).where("text is not null").join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = one.select("text", "toxic").distinct().toArrow()
     order = sorted(zip(got.column("text").to_pylist(), got.column("toxic").to_pylist(), strict=True))
     return [x[0] for x in order], [x[1] for x in order], counts[1] / (counts[0] + counts[1])
 

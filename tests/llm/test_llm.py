@@ -415,7 +415,27 @@ def test_repeated_words_and_items(spark, monkeypatch):
     words, first = decontaminate.plain_words(*decontaminate.text_buffer(pa.array(["x " * 500, "y"]), lower=True))
     assert {(d, i) for d, i, *_ in index.hits(words, first)} == {(0, 0), (0, 1), (1, 2)}
     df = spark.createDataFrame([(1, "a b c d")] * 2, "doc_id long, text string")
-    assert [tuple(r)[:2] for r in decontaminate.leaks(df, spark.createDataFrame([(7, "a b c"), (7, "a b c")], "item_id long, text string")).collect()] == [(1, 7)] * 4
+    rows = decontaminate.leaks(df, spark.createDataFrame([(7, "a b c"), (7, "a b c")], "item_id long, text string")).collect()
+    assert sorted((r.kind, r.doc_id, r.item_id) for r in rows) == [("document", 1, 7), ("document", 1, 7), ("item", 1, 7)]
+
+
+def linked(rows):
+    """All pairs that have a passage in common."""
+    docs, items = defaultdict(set), defaultdict(set)
+    for r in rows:
+        (docs if r.kind == "document" else items)[r.passage].add(r.doc_id if r.kind == "document" else r.item_id)
+    return {(d, i) for p in docs for d in docs[p] for i in items[p]}
+
+
+def test_leaks_of_a_shared_sentence_are_no_pairs(spark):
+    """300 documents and 300 items with one sentence in common: a row for each of them, and no link lost."""
+    prompt = " ".join(f"prompt{k}" for k in range(14))
+    docs = spark.createDataFrame([(d, f"d{d} before {prompt} after{d} d{d}") for d in range(300)] + [(999, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"i{i} here {prompt} there{i} i{i}") for i in range(300)], "item_id long, text string")
+    rows = decontaminate.leaks(docs, items).collect()
+    assert len(rows) <= 600 and linked(rows) == {(d, i) for d in range(300) for i in range(300)}
+    assert all(r.n_words == 14 and r.similarity == 1.0 for r in rows)
+    assert [r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()] == [999]
 
 
 def test_decontamination(spark):
@@ -435,9 +455,10 @@ def test_decontamination(spark):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = {(d, i) for d, t in docs for i, x in items if x and brute_leak(t, x)}
     for block in (20_000, 2):
-        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench, block_items=block).collect()} == want
-    left = decontaminate.drop_leaks(df, bench)
-    assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+        rows = decontaminate.leaks(df, bench, block_items=block).collect()
+        assert linked(rows) == want and {(r.doc_id, r.item_id) for r in rows} <= want
+        left = decontaminate.drop_leaks(df, bench, block)
+        assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
 def test_language_id(spark, sf):
@@ -689,3 +710,84 @@ def test_prefix_pairs_find_every_similar_pair(spark):
     assert len(similar) > 100 and similar <= found and all(a % 11 != b % 11 for a, b in found)
     assert len(found) < len(sets) ** 2 / 4
     assert N._prefix_pairs(rows, "row", chosen.where("false"), 0.8).count() == 0
+
+
+def test_no_language_is_lost_to_copies(spark):
+    """Eight languages of equal size, some of which are copies of a few texts: all are learned, and the sample keeps its bounds."""
+    rows = [(f"l{k}", f"{chr(97 + k) * 3} word{j % (3 if k % 2 else 3000)} {chr(97 + k)}") for k in range(8) for j in range(3000)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    texts, labels = language_id.labelled_sample(df, 100)
+    assert set(labels) == {f"l{k}" for k in range(8)} and max(Counter(labels).values()) == 100 and Counter(labels)["l1"] == 3
+    texts, labels = language_id.labelled_sample(df, 100, sample_bytes=8 * 200)
+    assert set(labels) == {f"l{k}" for k in range(8)} and sum(map(len, texts)) < 8 * 250
+    assert len(set(language_id.labelled_sample(df, 100, most=5)[1])) == 5
+    big = df.limit(0).unionByName(spark.createDataFrame([("x", "long " * 1000)], "lang string, text string"))
+    assert language_id.labelled_sample(big, 100, sample_bytes=10)[1] == ["x"]
+
+
+def test_toxic_sample_of_repeated_ids(spark):
+    """Many texts under one labelled id make one row of the sample."""
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    texts, toxic, _ = toxicity.labelled_sample(docs, labels, 100)
+    assert len(texts) == 2 and sorted(toxic) == [0, 1]
+
+
+def _texts(spark, *pages):
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_wrapper.extract(df).orderBy("page_id").collect()]
+
+
+def test_words_above_an_article_do_not_hide_it(spark):
+    page = lambda k, body="single right-sidebar", art="share-enabled": f"<html class='nav'><body class=\"{body}\"><div class='has-sidebar'><article class=\"{art}\"><h1>Storm {k}</h1><p>Words of the story number {k} are these here.</p><div class='share'>Share it now on all of these</div></article></div><div class='comments'><article class='comment'><p>A reader wrote number {k} of the many comments.</p></article></div></body></html>"
+    want = [f"Storm {k}\nWords of the story number {k} are these here." for k in range(4)]
+    assert _texts(spark, *(page(k) for k in range(4))) == want
+    assert _texts(spark, *(page(k, art="post") for k in range(4))) == want
+
+
+def test_single_quotes_are_quotes(spark):
+    for q in "'\"":
+        page = lambda k: f"<body><ul class={q}menu{q}><li>Go to the home page of number {k} now</ul><p>Words of the story number {k} are these here, all of them."
+        assert _texts(spark, *(page(k) for k in range(4))) == [f"Words of the story number {k} are these here, all of them." for k in range(4)]
+
+
+def test_short_headings_and_paragraphs_stay(spark):
+    """Outside article and main: a heading or paragraph of few words beside long ones."""
+    page = lambda k: f"<body><div id='x'><h1>Storm {k}</h1><p>Words of the story number {k} are these here, all of them.</p><p>So it{k} is.</p></div>"
+    assert _texts(spark, *(page(k) for k in range(4))) == [f"Storm {k}\nWords of the story number {k} are these here, all of them.\nSo it{k} is." for k in range(4)]
+
+
+def test_op7_of_all_documents(spark, sf, docs):
+    """The query against the library, document after document."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model, start, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, []
+    for d in sorted(docs):
+        ids = [*model.encode(docs[d].text or "", add_special_tokens=False).ids, 2]
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, queries.op7_bit_planes(spark, sf).collect())) == want
+
+
+def test_pipeline_run_on_odd_rows(spark, sf, tmp_path):
+    """The whole run over nulls, empty, repeated and copied rows, and over no rows: every kept document's ids are in the pieces."""
+    import corpus_pipeline as P
+
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    some = base.orderBy("doc_id").limit(60)
+    odd_rows = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (1, None, None, None, None), (9001, "12 34", "en", "s", 5)], base.schema)
+    for name, table in (("odd", some.unionByName(some.limit(20)).unionByName(odd_rows)), ("none", base.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+        rows = P.run(spark, folder).collect()
+        if name == "none":
+            assert rows == []
+            continue
+        found = {r.doc_id for r in rows}
+        assert found <= {r.doc_id for r in some.collect()} and len(found) > 30  # what has no letters was rejected
+        size = Counter()
+        for r in rows:
+            size[r.doc_id] += r.length
+        assert all(size[r.doc_id] == r.doc_tokens for r in rows)  # of repeated rows one was kept
