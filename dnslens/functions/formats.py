@@ -114,10 +114,19 @@ def _json_value(c: Column) -> Column:
 
 
 def _numbered(key: str, column: Column, fields: tuple[str, ...]) -> Column:
-    """The members `key.0.field` of a list of records; `key` is - if it has none. Numbers sort as text, as all keys do."""
-    member = lambda r, i, f: F.concat(F.lit(f'"{key}.'), i.cast("string"), F.lit(f'.{f}":'), _json_value(F.coalesce(r[f].cast("string"), F.lit("-")) if f not in ("ttl", "code") else r[f]))
-    one = lambda r, i: F.struct(F.concat(i.cast("string"), F.lit(".")).alias("at"), F.concat_ws(",", *(member(r, i, f) for f in fields)).alias("text"))
-    return _or_none(key, column, F.array_join(F.transform(F.array_sort(F.transform(column, one)), lambda e: e["text"]), ","))
+    """The members `key.0.field` of a list of records; `key` is - if it has none. Numbers sort as text, as all keys do.
+
+    Records without characters that JSON escapes are put together as they are.
+    """
+    number = lambda f: f in ("ttl", "code")
+    text = lambda r, f: F.coalesce(r[f].cast("string"), F.lit("-"))
+    head = lambda i, f: F.concat(F.lit(f'"{key}.'), i.cast("string"), F.lit(f'.{f}":'))
+    odd = lambda r: F.concat(*(text(r, f) for f in fields if not number(f))).rlike(r'["\\\x00-\x1f\x7f-\x{9f}]')
+    plain = lambda r, i: F.concat_ws(",", *(F.concat(head(i, f), r[f].cast("string")) if number(f) else F.concat(head(i, f), F.lit('"'), text(r, f), F.lit('"')) for f in fields))
+    careful = lambda r, i: F.concat_ws(",", *(F.concat(head(i, f), _json_value(r[f] if number(f) else text(r, f))) for f in fields))
+    one = lambda r, i: F.struct(F.concat(i.cast("string"), F.lit(".")).alias("at"), F.when(odd(r), careful(r, i)).otherwise(plain(r, i)).alias("text"))
+    made = F.transform(column, one)
+    return _or_none(key, column, F.array_join(F.transform(F.when(F.size(column) > 10, F.array_sort(made)).otherwise(made), lambda e: e["text"]), ","))
 
 
 def _or_none(key: str, column: Column, text: Column) -> Column:

@@ -62,13 +62,17 @@ def _text(c: Column) -> Column:
 
 
 def _numbered(key: str, column: str, fields: tuple[str, ...]) -> Column:
-    """A map of `key.0.field` to text for a list of records; of `key` to - if it has none."""
+    """Entries `key.0.field` of a list of records; `key` with - if it has none."""
     entry = lambda r, i: F.array(*(F.struct(F.concat(F.lit(f"{key}."), i.cast("string"), F.lit(f".{f}")).alias("key"), _text(r[f]).alias("value")) for f in fields))
-    return F.when(F.coalesce(F.size(column), F.lit(0)) > 0, F.map_from_entries(F.flatten(F.transform(column, entry)))).otherwise(F.create_map(F.lit(key), F.lit("-")))
+    return F.when(F.coalesce(F.size(column), F.lit(0)) > 0, F.flatten(F.transform(column, entry))).otherwise(_unset(key))
 
 
-def flat_map(df: DataFrame) -> Column:
-    """The record of a flat row as a map of dotted keys to text; records, options and tags get numbered keys."""
+def _unset(key: str) -> Column:
+    return F.array(F.struct(F.lit(key).alias("key"), F.lit("-").alias("value")))
+
+
+def _flat_parts(df: DataFrame) -> tuple[dict[str, Column], list[Column]]:
+    """The flat view: the keys that every row has, and arrays of the entries whose keys have numbers."""
     from dnslens.functions.text import number_text, rfc3339
 
     pairs = {k: _text(S.value(df, k)) for k in S.FLAT_UNSET if k not in S.LISTS}
@@ -79,18 +83,66 @@ def flat_map(df: DataFrame) -> Column:
     pairs |= {f"{name}.{k}": _text(F.col(c)) for name, fields in more.items() for k, c in fields.items()}
     lists = {key: S.list_column(df, key) for key in S.LISTS}
     pairs |= {key: F.lit("-") for key, column in lists.items() if column is None}
-    maps = [F.create_map(*(x for k, v in sorted(pairs.items()) for x in (F.lit(k), v)))]
-    maps += [_numbered(key, column, S.list_fields(key)) for key, column in lists.items() if column]
+    entries = [_numbered(key, column, S.list_fields(key)) for key, column in lists.items() if column]
     if tags:
         tag = lambda t, i: F.struct(F.concat(F.lit("atags.tags."), i.cast("string")).alias("key"), t.alias("value"))
-        none = F.create_map(F.lit("atags.tags"), F.lit("-"))
-        maps.append(F.when(F.coalesce(F.size("tags"), F.lit(0)) > 0, F.map_from_entries(F.transform("tags", tag))).otherwise(none))
-    return F.map_concat(*maps) if len(maps) > 1 else maps[0]
+        entries.append(F.when(F.coalesce(F.size("tags"), F.lit(0)) > 0, F.transform("tags", tag)).otherwise(_unset("atags.tags")))
+    return pairs, entries
+
+
+def _flat_map(pairs: dict[str, Column], entries: list[Column]) -> Column:
+    """One map, whose keys are checked once."""
+    keys, values = F.array(*map(F.lit, sorted(pairs))), F.array(*(pairs[k] for k in sorted(pairs)))
+    get = lambda field: [F.transform(e, lambda x: x[field]) for e in entries]
+    return F.map_from_arrays(F.concat(keys, *get("key")), F.concat(values, *get("value")))
 
 
-def flatten(df: DataFrame) -> DataFrame:
-    """msg_id, flat."""
-    return df.select("msg_id", flat_map(df).alias("flat"))
+def flat_map(df: DataFrame) -> Column:
+    """The record of a flat row as a map of dotted keys to text; records, options and tags get numbered keys."""
+    return _flat_map(*_flat_parts(df))
+
+
+def flatten(df: DataFrame, remove: list[str] | None = None, rename: list[tuple[str, str]] | None = None) -> DataFrame:
+    """msg_id, flat. remove and rename are rules as in relabel_remove and relabel_rename, in this order.
+
+    Given here, rules are matched with the keys that every row has when the plan is built; only numbered keys are matched row by row.
+    """
+    pairs, entries = _flat_parts(df)
+    if not remove and not rename:
+        return df.select("msg_id", _flat_map(pairs, entries).alias("flat"))
+    rows = df.withColumn("__entries", F.concat(*entries) if entries else F.array().cast("array<struct<key:string,value:string>>"))
+    entry = F.col("__entries")
+    java = df.sparkSession._jvm.java.util.regex.Pattern  # what rlike matches by
+    for pattern in remove or []:
+        rule = java.compile(pattern)
+        pairs = {k: v for k, v in pairs.items() if not rule.matcher(k).find()}
+        rows = rows.withColumn("__entries", F.filter("__entries", _not_like(pattern)))
+    for number, (pattern, name) in enumerate(rename or []):
+        rule = java.compile(pattern)
+        mine = [k for k in sorted(pairs) if rule.matcher(k).find()]
+        hits = f"__hits{number}"
+        rows = rows.withColumn(hits, F.filter("__entries", _key_like(pattern)))
+        own = F.array(*(F.struct(F.lit(k).alias("key"), pairs[k].alias("value")) for k in mine))
+        both = F.transform(F.array_sort(F.concat(own, hits) if mine else F.col(hits)), lambda e: e["value"])
+        plain = pairs[mine[0]] if len(mine) == 1 else F.concat(F.lit("["), F.concat_ws(",", *(pairs[k] for k in mine)), F.lit("]"))
+        found = F.size(hits) > 0
+        joined = F.when(found, F.when(F.size(both) == 1, F.get(both, 0)).otherwise(F.concat(F.lit("["), F.array_join(both, ","), F.lit("]"))))
+        old = pairs.get(name)
+        pairs = {k: v for k, v in pairs.items() if k not in mine}
+        rest = F.filter("__entries", _not_like(pattern, name))
+        if mine:
+            pairs[name] = joined.otherwise(plain)
+            rows = rows.withColumn("__entries", rest)
+        elif old is not None:
+            pairs[name] = joined.otherwise(old)
+            rows = rows.withColumn("__entries", F.when(found, rest).otherwise(entry))
+        else:
+            rows = rows.withColumn("__entries", F.when(found, F.concat(rest, F.array(F.struct(F.lit(name).alias("key"), joined.alias("value"))))).otherwise(entry))
+    return rows.select("msg_id", _flat_map(pairs, [entry]).alias("flat"))
+
+
+def _not_like(pattern: str, name: str | None = None):
+    return lambda e: ~e["key"].rlike(pattern) & (F.lit(True) if name is None else e["key"] != name)
 
 
 def _key_like(pattern: str):

@@ -54,6 +54,9 @@ def suspicious(df: DataFrame, config: SuspiciousConfig | None = None) -> DataFra
     return out.withColumn("suspicious_score", functools.reduce(operator.add, (F.col(f"suspicious_{k}").cast("int") for k in FLAGS)).cast("double"))
 
 
+CONSONANT = r"[\p{Ll}&&[^aeiouy]]"
+
+
 def _count(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{pattern}]", "")).cast("long")
 
@@ -62,11 +65,10 @@ def ml_features(df: DataFrame) -> DataFrame:
     """The name and traffic features. Lengths are bytes, classes are characters; an empty name has every ratio 1."""
     q = F.col("qname")
     n = F.octet_length(q).cast("long")
-    chars = F.filter(F.split(q, ""), lambda c: c != "")
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    entropy = F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
-    pairs = F.when(F.length(q) > 1, F.transform(F.sequence(F.lit(1), F.length(q) - 1), lambda i: F.lower(q).substr(i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    runs = lambda p: F.size(F.filter(pairs, lambda x: x.rlike(p))).cast("long")
+    # how often each different character occurs, once a name; its share is of bytes
+    counts = F.transform(F.array_distinct(F.filter(F.split(q, ""), lambda c: c != "")), lambda c: (F.length(q) - F.length(F.replace(q, c, F.lit("")))) / n)
+    entropy = F.aggregate(counts, F.lit(0.0), lambda a, share: a - share * F.log2(share))
+    pairs = lambda one, two: F.regexp_count(F.lower(q), F.lit(f"{one}(?={two})")).cast("long")  # noqa: E731; a match ends before its second character, so that pairs may overlap
     digits, lowers, uppers, specials = _count(q, "0-9"), _count(q, r"\p{Ll}"), _count(q, r"\p{Lu}"), _count(q, r".\-_=")
     others = n - digits - lowers - uppers - specials
     ratio = lambda x: F.when(n == 0, F.lit(1.0)).otherwise(x / n)
@@ -76,6 +78,6 @@ def ml_features(df: DataFrame) -> DataFrame:
         "ml_entropy": entropy, "ml_length": n, "ml_digits": digits, "ml_lowers": lowers, "ml_uppers": uppers, "ml_specials": specials, "ml_others": others,
         "ml_labels": F.size(F.split(q, r"\.")).cast("long"),
         "ml_ratio_digits": ratio(digits), "ml_ratio_letters": ratio(lowers + uppers), "ml_ratio_specials": ratio(specials), "ml_ratio_others": ratio(others),
-        "ml_consecutive_chars": runs(r"^(.)\1$"), "ml_consecutive_vowels": runs(r"^([aeiouy])\1$"), "ml_consecutive_digits": runs(r"^[0-9]{2}$"), "ml_consecutive_consonants": runs(r"^[\p{Ll}&&[^aeiouy]]{2}$"),
+        "ml_consecutive_chars": pairs("(.)", r"\1"), "ml_consecutive_vowels": pairs("([aeiouy])", r"\1"), "ml_consecutive_digits": pairs("[0-9]", "[0-9]"), "ml_consecutive_consonants": pairs(CONSONANT, CONSONANT),
         "ml_size": size.cast("long"), "ml_occurrences": occurrences.cast("long"), "ml_uncommon_qtype": (~F.col("qtype").isin(*ML_QTYPES)).cast("long"),
     })

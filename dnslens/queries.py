@@ -308,14 +308,15 @@ UNION ALL SELECT msg_id, '{key}', '-' FROM rich WHERE len({column}) = 0"""
 _pairs_of = lambda flat: flat.select("msg_id", F.explode_outer("flat").alias("key", "value"))  # noqa: E731; explode would have the optimizer ask for the size of a second map
 _FLAT_ALL = " UNION ALL ".join([f"SELECT msg_id, {_pairs} FROM rich", *(_list_pairs(k, c) for k, c in _LISTS.items())])
 _add("flatten", lambda d: _pairs_of(normalize.flatten(X.with_records(d))), _FLAT_ALL, "rich")
+_RENAMES = [(r"^dns\.q(name|type)$", "question"), (r"^dns\.rcode$", "code")]
 _add(
     "relabel_rename",
-    lambda d: _pairs_of(normalize.relabel_rename(normalize.flatten(X.with_records(d)), [(r"^dns\.q(name|type)$", "question"), (r"^dns\.rcode$", "code")])),
+    lambda d: _pairs_of(normalize.flatten(X.with_records(d), rename=_RENAMES)),
     f"""SELECT msg_id, CASE key WHEN 'dns.rcode' THEN 'code' ELSE key END AS key, value FROM ({_FLAT_ALL}) WHERE key NOT IN ('dns.qname', 'dns.qtype')
 UNION ALL SELECT msg_id, 'question', '[' || qname || ',' || qtype || ']' FROM dns_log""",
     "rich",
 )
-_add("relabel_remove", lambda d: _pairs_of(normalize.relabel_remove(normalize.flatten(X.with_records(d)), [r"^dns\.", "policy"])), f"SELECT msg_id, key, value FROM ({_FLAT_ALL}) WHERE NOT regexp_matches(key, '^dns\\.|policy')", "rich")
+_add("relabel_remove", lambda d: _pairs_of(normalize.flatten(X.with_records(d), remove=[r"^dns\.", "policy"])), f"SELECT msg_id, key, value FROM ({_FLAT_ALL}) WHERE NOT regexp_matches(key, '^dns\\.|policy')", "rich")
 _GEO_KEYS = ", ".join(f"struct_pack(key := 'geoip.{k}', value := {c})" for k, c in S.SECTIONS["geoip"].items())
 _add(
     "flatten_sections",

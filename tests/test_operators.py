@@ -445,3 +445,33 @@ def test_capture_stream_reads_new_files_once(spark, tmp_path):
         if k != 1:
             run()
     assert sorted(map(int, seen)) == [1000 * (k + 1) + i for k in range(3) for i in range(5)]
+
+
+def test_rules_of_flatten_equal_rules_on_its_map(spark):
+    """Rules matched when the plan is built give what rules on the finished map give, numbered keys and clashing names included."""
+    d = normalize.add_tags(X.with_records(X.dns_log(spark, "/root/testdata/sf0.001")).limit(300), ["edge", "v4"])
+    removals = [["^dns\\.flags", "an\\.0\\.(ttl|class)"], ["tags"], []]
+    renames = [
+        [("^dns\\.q(name|type)$", "question"), ("question|rcode$", "all")],
+        [("\\.rdata$", "answers"), ("^answers$", "dns.qname")],
+        [("an\\.1\\.name", "second"), ("second|first", "third"), ("nothing at all", "x")],
+        [("tags", "dns.rcode"), ("edns\\.options", "options")],
+        [("^network\\.", "dns.resource-records.an.0.name")],
+    ]
+    for remove in removals:
+        for rename in renames:
+            want = normalize.relabel_rename(normalize.relabel_remove(normalize.flatten(d), remove), rename)
+            got = normalize.flatten(d, remove, rename)
+            rows = [{r.msg_id: r.flat for r in x.collect()} for x in (got, want)]
+            assert rows[0] == rows[1], (remove, rename)
+
+
+def test_flat_json_is_json_whatever_a_record_holds(spark):
+    import json
+
+    text = 'a "b" \\ \n \x01 \x7f é 日 </x>'
+    d = log(spark, {"qname": text}).withColumn("answers", F.array_repeat(F.struct(F.lit(text).alias("name"), F.lit("A").alias("rdatatype"), F.lit("IN").alias("class"), F.lit(5).alias("ttl"), F.lit(None).cast("string").alias("rdata")), 12))
+    line = formats.to_flat_json(d).first().line
+    made = json.loads(line)
+    assert list(made) == sorted(made) and made["dns.qname"] == made["dns.resource-records.an.11.name"] == text and made["dns.ancount"] == 12
+    assert made["dns.resource-records.an.3.ttl"] == 5 and made["dns.resource-records.an.3.rdata"] == "-" and made["edns.options"] == "-"
