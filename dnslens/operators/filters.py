@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dnslens.functions.ip import in_networks
+from dnslens.functions.ip import in_networks, networks
+from dnslens.operators.lookup import ip_in_set
 from dnslens.operators.patterns import matching_names
 from dnslens.operators.running import sums_before
 
+#: Networks up to which a list is part of a condition.
+FEW = 100
+
 
 def split(df: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
     """The kept and the dropped rows; an unknown condition drops."""
@@ -32,12 +36,20 @@ def drop_rcodes(df: DataFrame, rcodes: list[str], dropped: bool = False) -> Data
     return _side(df, ~F.col("rcode").isin(rcodes), dropped)
 
 
+def _by_client(df: DataFrame, cidrs: list[str], inside: bool) -> DataFrame:
+    """Rows whose client is (or isn't) in a list of networks: a short list is a condition, a longer one a join by prefix."""
+    if len(cidrs) <= FEW:
+        found = in_networks(F.col("query_ip"), cidrs)
+        return df.where(found if inside else ~found)
+    return ip_in_set(df, "query_ip", networks(df.sparkSession, cidrs), "left_semi" if inside else "left_anti")
+
+
 def keep_query_ip(df: DataFrame, cidrs: list[str], dropped: bool = False) -> DataFrame:
-    return _side(df, in_networks(F.col("query_ip"), cidrs), dropped)
+    return _by_client(df, cidrs, not dropped)
 
 
 def drop_query_ip(df: DataFrame, cidrs: list[str], dropped: bool = False) -> DataFrame:
-    return _side(df, ~in_networks(F.col("query_ip"), cidrs), dropped)
+    return _by_client(df, cidrs, dropped)
 
 
 def keep_rdata_ip(df: DataFrame, cidrs: list[str], dropped: bool = False) -> DataFrame:

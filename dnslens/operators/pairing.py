@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("query_ip", "query_port", "dns_id")
+#: Parts of a key of rows that can't pair.
+SALTS = 4096
 
 
 def _pairable(df: DataFrame):
@@ -20,13 +22,15 @@ def measure_latency(df: DataFrame, timeout: float = 2.0, key: tuple[str, ...] =
     """latency: of a reply the seconds since the query just before it in its key, if inside the timeout; else 0.
 
     A later query of the key overwrites an earlier one, and a reply uses its query up: the row before a reply decides.
-    Rows that can't pair form keys of their own, so they are between no query and its reply.
+    Rows that can't pair form keys of their own, so they are between no query and its reply; these are salted, as a client
+    without ports may have any number of them.
     """
     ok = _pairable(df)
-    w = Window.partitionBy(*key, "__ok").orderBy("ts_ns", "msg_id")
+    w = Window.partitionBy(*key, "__ok", "__salt").orderBy("ts_ns", "msg_id")
     gap = F.col("ts_ns") - F.lag("ts_ns").over(w)
     paired = F.col("__ok") & (F.col("dns_type") == "REPLY") & (F.lag("dns_type").over(w) == "QUERY") & (gap < int(timeout * 1e9))
-    return df.withColumn("__ok", ok).withColumn("latency", F.when(paired, gap / 1e9).otherwise(0.0)).drop("__ok")
+    salt = F.when(ok, F.lit(-1)).otherwise(F.pmod(F.xxhash64("msg_id"), F.lit(SALTS)).cast("int"))
+    return df.withColumns({"__ok": ok, "__salt": salt}).withColumn("latency", F.when(paired, gap / 1e9).otherwise(0.0)).drop("__ok", "__salt")
 
 
 def unanswered(df: DataFrame, timeout: float = 2.0, key: tuple[str, ...] = KEY) -> DataFrame:

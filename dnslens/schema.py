@@ -66,6 +66,7 @@ OPERATION_CODES = {
     "DNSQueryType": "Q",
     "DNSResponseType": "R",
 }
+# Short names of types and families, and the operations of PowerDNS message types.
 TYPE_CODES = {"QUERY": "Q", "REPLY": "R"}
 FAMILY_CODES = {"INET6": "6", "INET": "4", "IPv6": "6", "IPv4": "4"}
 #: Short response codes; NOTIMP and its other spelling both mean 4.

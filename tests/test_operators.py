@@ -475,3 +475,14 @@ def test_flat_json_is_json_whatever_a_record_holds(spark):
     made = json.loads(line)
     assert list(made) == sorted(made) and made["dns.qname"] == made["dns.resource-records.an.11.name"] == text and made["dns.ancount"] == 12
     assert made["dns.resource-records.an.3.ttl"] == 5 and made["dns.resource-records.an.3.rdata"] == "-" and made["edns.options"] == "-"
+
+
+def test_long_lists_of_networks_are_joined(spark):
+    """The same rows by a condition and by a join, kept or dropped, with addresses that are none."""
+    d = log(spark, *({"query_ip": ip} for ip in ("10.0.7.1", "10.9.0.1", "2001:db8::1", "x", None)))
+    few = ["10.0.7.0/24", "2001:db8::/64"]
+    many = [*few, *(f"172.16.{k}.0/24" for k in range(150))]
+    for rule in (filters.keep_query_ip, filters.drop_query_ip):
+        for dropped in (False, True):
+            assert ids(rule(d, many, dropped)) == ids(rule(d, few, dropped))
+    assert ids(filters.keep_query_ip(d, many)) == [0, 2]
