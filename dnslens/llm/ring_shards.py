@@ -5,8 +5,9 @@ clockwise. A shard takes at most its capacity: the documents of an arc (in hash
 go on clockwise to the next virtual node whose shard has. Capacities add up to the number of documents and differ by at
 most one, so counts do too. The plan is made from the row count of each arc (shards x vnodes numbers, whatever the data).
 
-Null text has size 8 and crc32 0; a null doc_id hashes by its text; repeated rows are separate rows; an empty table gives
-an empty result.
+Null text has size 8 and crc32 0; a null doc_id hashes by its text; repeated rows are separate rows. Documents of one hash
+rank by doc_id, digest and size; rows that are equal in all of these are one another's like. Texts are read whole but once,
+for their size and digest, however long; other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -791,3 +791,34 @@ def test_pipeline_run_on_odd_rows(spark, sf, tmp_path):
         for r in rows:
             size[r.doc_id] += r.length
         assert all(size[r.doc_id] == r.doc_tokens for r in rows)  # of repeated rows one was kept
+
+
+def test_op8_ring_by_brute_force(spark, sf, docs):
+    """Every document walks the ring by itself: first those that find room at home, arc by arc, then the overflow clockwise."""
+    shards, nodes = 24, ring_shards.ring(24, 128)
+    hashed = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.xxhash64(F.col("doc_id").cast("long")).alias("h")).collect()
+    homes = defaultdict(list)
+    for r in hashed:
+        place = (r.h % (1 << 64)) >> 32
+        arc = next((k for k, (p, _) in enumerate(nodes) if p >= place), 0)
+        homes[arc].append((r.h, r.doc_id))
+    room = [len(hashed) // shards + (s < len(hashed) % shards) for s in range(shards)]
+    used, want, waiting = [0] * shards, {}, []
+
+    def settle(doc, s):
+        want[doc] = (s, used[s])
+        used[s] += 1
+
+    for arc in range(len(nodes)):
+        for _, doc in sorted(homes[arc]):
+            if used[nodes[arc][1]] < room[nodes[arc][1]]:
+                settle(doc, nodes[arc][1])
+            else:
+                waiting.append((arc, doc))
+    for arc, doc in waiting:
+        while used[nodes[arc % len(nodes)][1]] >= room[nodes[arc % len(nodes)][1]]:
+            arc += 1
+        settle(doc, nodes[arc % len(nodes)][1])
+    rows = queries.op8_ring_shards(spark, sf).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in rows} == want and len(rows) == len(docs)
+    assert all((r.size, r.text_crc32) == (len((docs[r.doc_id].text or "").encode()) + 8, zlib.crc32((docs[r.doc_id].text or "").encode())) for r in rows)
