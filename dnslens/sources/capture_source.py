@@ -4,7 +4,8 @@
     spark.read.format("dns_capture").options(path=folder, kind="pcap", splitBytes=64 << 20).load()
 
 A part begins at the first record head at or after its first byte, and ends with the record that begins before its last. A
-head is found by its plausibility and that of the CHAIN records after it (fewer at the end of the file). Files are opened by
+head is found by its plausibility, by what its record holds (an IP packet that fits its frame, a message whose fields end where
+it ends), and by the plausibility of the CHAIN records after it (fewer at the end of the file). Files are opened by
 pyarrow, so their store must be one that it knows. As a stream, a file is read once, when it appears in the folder: files are
 taken in the order of their times of change and paths, and the last of them is the offset.
 """
@@ -26,6 +27,8 @@ from dnslens.sources import capture
 
 #: Records that must follow in a row before bytes count as a head; the longest record; bytes read at once.
 CHAIN, LONGEST, READ = 16, 1 << 20, 4 << 20
+#: Tags of the fields of a dnstap frame: identity, version, extra, message (with a size) and type (a number).
+TAGS = (10, 18, 26, 114, 120)
 
 
 @dataclass
@@ -75,6 +78,16 @@ class _Pcap:
         near = abs(sec - self.since) < 10 * 366 * 86400
         return 16 + size if near and frac < self.limit and 14 <= size <= min(whole, LONGEST) else None
 
+    @staticmethod
+    def holds(head: bytes, body: bytes) -> bool:
+        """Whether a frame's IP packet fits into it; other frames can't be told."""
+        kind = body[12:14]
+        if kind == b"\x08\x00":
+            return len(body) >= 34 and body[14] >> 4 == 4 and 20 <= int.from_bytes(body[16:18]) <= len(body) - 14
+        if kind == b"\x86\xdd":
+            return len(body) >= 54 and body[14] >> 4 == 6 and int.from_bytes(body[18:20]) <= len(body) - 54
+        return True
+
     def row(self, head: bytes, body: bytes, port: int) -> tuple | None:
         sec, frac, _, _ = struct.unpack(f"{self.end}IIII", head)
         return capture.packet(body, sec * 1_000_000_000 + frac * self.scale, port)
@@ -93,8 +106,29 @@ class _Fstrm:
         n, next_ = struct.unpack(">II", head)
         if n == 0:
             return 8 + next_ if 4 <= next_ <= 512 else None
-        tag = head[4]  # the first field of a message: identity, version, extra, message or type
-        return 4 + n if 2 <= n <= LONGEST and tag in (10, 18, 26, 114, 120) else None
+        return 4 + n if 4 <= n <= LONGEST and head[4] in TAGS else None
+
+    @staticmethod
+    def holds(head: bytes, body: bytes) -> bool:
+        """Whether a message's fields are those of dnstap and end where it ends."""
+        if head[:4] == b"\0\0\0\0":
+            return len(body) == int.from_bytes(head[4:])
+        raw, at = head[4:] + body, 0
+        while at < len(raw):
+            tag, size, shift = raw[at], 0, 0
+            at += 1
+            if tag not in TAGS:
+                return False
+            while True:  # a varint: the value itself, or the size of what follows
+                if at >= len(raw) or shift > 63:
+                    return False
+                byte, at = raw[at], at + 1
+                size, shift = size | (byte & 127) << shift, shift + 7
+                if byte < 128:
+                    break
+            if tag & 7 == 2:
+                at += size
+        return at == len(raw)
 
     def row(self, head: bytes, body: bytes, port: int) -> bytes | None:
         return None if head[:4] == b"\0\0\0\0" else head[4:] + body
@@ -109,6 +143,8 @@ def _synced(data: _Bytes, kind: _Pcap | _Fstrm, at: int, size: int) -> int:
             length = kind.length(head) if len(head) == kind.head else None
             if length is None or place + length > size:
                 break
+            if place == at and not kind.holds(head, data.file.read_at(length - kind.head, place + kind.head)):
+                break
             place, left = place + length, left - 1
         if not left or place == size:
             return at

@@ -486,3 +486,28 @@ def test_long_lists_of_networks_are_joined(spark):
         for dropped in (False, True):
             assert ids(rule(d, many, dropped)) == ids(rule(d, few, dropped))
     assert ids(filters.keep_query_ip(d, many)) == [0, 2]
+
+
+def test_frame_streams_are_cut_anywhere(spark, tmp_path):
+    """Numbers in messages look like heads that jump over many frames; every cut gives the frames of one read."""
+    import random
+    import struct
+
+    from dnslens.sources import capture, capture_source
+
+    rng = random.Random(8)
+    lures = [struct.pack(">I", n) + bytes([t]) for n in range(60, 4000, 7) for t in capture_source.TAGS]
+    out = [b"\0\0\0\0\0\0\0\x04\0\0\0\x02"]
+    for _ in range(300):
+        payload = b"".join(rng.choice(lures) for _ in range(rng.randrange(1, 12)))
+        message = b"\x08\x05\x52" + bytes([len(payload)]) + payload
+        frame = b"\x0a\x03ns1\x72" + bytes([len(message)]) + message + b"\x78\x01"
+        out.append(len(frame).to_bytes(4) + frame)
+    out.append(b"\0\0\0\0\0\0\0\x04\0\0\0\x03")
+    raw, path = b"".join(out), tmp_path / "a.fstrm"
+    path.write_bytes(raw)
+    want = list(capture.split_frames(raw))
+    for split in (len(raw), 4096, 1000, 101):
+        parts = [capture_source.Part(str(path), lo, min(lo + split, len(raw)), len(raw)) for lo in range(0, len(raw), split)]
+        assert [f for p in parts for f in capture_source.records(p, "fstrm", 53)] == want
+    assert capture.fstrm_files(spark, str(tmp_path), 1000).count() == 300
