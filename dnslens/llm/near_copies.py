@@ -10,7 +10,8 @@ its component; heads change from turn to turn and by kinds of keys (HEADS, then
 with the entries of buckets, not with their square: a large group of near copies is a few stars, joined by later turns. When no
 more than MANY pairs of different components an entry are left, or after TURNS, pairs of different components meet once more:
 in buckets with up to MANY such pairs an entry directly, all nodes of larger buckets by `_prefix_pairs`, which loses none. So no
-candidate pair stays unchecked unless its ends are linked.
+candidate pair stays unchecked unless its ends are linked. The texts of nodes that share a bucket are compressed and shuffled once,
+and go to the pairs in that form.
 
 Lower case, words split at white space; a text under five words is one shingle, null and empty texts are one set. Two sets
 or shingles with one 64-bit hash would be taken as equal. Rows are told apart by number, so repeated and null doc_ids, and
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +32,11 @@ from dnslens.llm.simhash import components, covering_masks
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 TURNS, HEADS, MANY = 3, 4, 4
-#: Of the nodes that _prefix_pairs takes, so many with about SAMPLED shingles tell which shingles are common: in COMMON of them
-#: or more. This decides an order and so the work, never a result.
-SAMPLED, COMMON = 1 << 22, 8
+#: Which shingles of the nodes that _prefix_pairs takes are common is told by counts of all of them in so many cells; shingles
+#: that share a cell count as one another. This decides an order and so the work, never a result.
+CELLS = 1 << 20
+#: Shingles of the sets that a task keeps for its next pairs.
+RECENT = 1 << 22
 _MASKS = np.array(covering_masks(), np.uint64)
 KEYS = BANDS + len(_MASKS)
 _FACTORS = np.random.default_rng(11).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,57 +91,96 @@ def prints(rows: DataFrame, row: str) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, row_id long, node long, size long, keys array<long>")
 
 
-def _sets(rows: DataFrame, row: str, chosen: DataFrame) -> DataFrame:
-    """node, hashes (its set) of the chosen rows: row_id, node."""
+def _bodies(rows: DataFrame, row: str, chosen: DataFrame) -> DataFrame:
+    """chosen (node, row_id, size) without row_id and with body: the text, compressed before it is sent."""
 
     def run(batches):
+        packer = zstandard.ZstdCompressor(1)
         for b in batches:
-            sets = list(shingle_sets(b.column("text")))
-            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int64))
-            values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.record_batch([b.column("node"), pa.LargeListArray.from_arrays(ends, pa.array(values.view(np.int64))).cast(pa.list_(pa.int64()))], names=["node", "hashes"])
+            bodies = [packer.compress(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column("text")]
+            yield pa.record_batch([b.column("row_id"), pa.array(bodies, pa.binary())], names=["row_id", "body"])
 
-    texts = rows.select(F.col(row).alias("row_id"), F.col("text").cast("string").alias("text")).join(chosen, "row_id")
-    return texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>")
+    texts = rows.select(F.col(row).alias("row_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "row_id long, body binary").join(chosen, "row_id").select("node", "size", "body")
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: the pairs that are similar enough."""
-    x, y = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("a", "x"), ("b", "y")))
-    both, n = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    near = F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")) - 1e-9
-    return pairs.join(x, "a").join(y, "b").where(near).where(both >= similarity * (n - both) - 1e-9).select("a", "b")
+def _unpacked(bodies: pa.Array):
+    """The shingle set of each compressed text."""
+    opener = zstandard.ZstdDecompressor()
+    for body in bodies:
+        yield next(shingle_sets(pa.array([opener.decompress(body.as_buffer().to_pybytes()).decode("utf-8", "replace")], pa.string())))
 
 
-def _prefix_pairs(rows: DataFrame, row: str, chosen: DataFrame, similarity: float) -> DataFrame:
-    """a, b: pairs of different components among the chosen nodes (node, root, row_id, size), all that are similar among them.
+def _of_like_size(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs whose sets could be similar by their sizes."""
+    x, y = (bodies.select(F.col("node").alias(n), F.col("size").alias(m)) for n, m in (("a", "n"), ("b", "m")))
+    return pairs.join(x, "a").join(y, "b").where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9).select("a", "b")
+
+
+def _checked(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs that are similar enough. Texts go to the pairs, not their sets, which are several times as large."""
+
+    def run(batches):
+        recent: dict[int, np.ndarray] = {}
+        held = 0
+        for batch in batches:
+            good = []
+            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                for node, body in ((a, x), (b, y)):
+                    if node not in recent:
+                        if held > RECENT:
+                            recent = {k: v for k, v in recent.items() if k in (a, b)}
+                            held = sum(map(len, recent.values()))
+                        recent[node] = next(_unpacked([body]))
+                        held += len(recent[node])
+                n, both = len(recent[a]) + len(recent[b]), len(np.intersect1d(recent[a], recent[b], assume_unique=True))
+                good.append(both >= similarity * (n - both) - 1e-9)
+            mask = pa.array(good, pa.bool_())
+            yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    x, y = (bodies.select(F.col("node").alias(n), F.col("body").alias(h)) for n, h in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _cell_counts(bodies: DataFrame) -> np.ndarray:
+    """How many shingles of all these sets fall in each of CELLS cells: at most CELLS numbers, whatever the input."""
+
+    def run(batches):
+        counts = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for h in _unpacked(b.column("body")):
+                np.add.at(counts, (h % np.uint64(CELLS)).astype(np.int64), 1)
+        cells = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(cells.astype(np.int32)), pa.array(counts[cells])], names=["cell", "n"])
+
+    found = bodies.select("body").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def _prefix_pairs(large: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs of different components among the large nodes (node, root), all that are similar among them.
 
     Sets are put in one order, common shingles last. Similar sets of n and m shingles share similarity / (1 + similarity) of
     n + m, so the first one that they share leaves at least as many from there on in both: only leading shingles can be it, and
     nodes that have nothing but common shingles in common never meet.
     """
-    spark = rows.sparkSession
-    total = chosen.agg(F.sum("size")).first()[0] or 0
-    sample = chosen.where(F.pmod(F.xxhash64("node"), F.lit(-(-total // SAMPLED) or 1)) == 0).select("row_id", "node")
-    seen = _sets(rows, row, sample).select(F.explode("hashes").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).toArrow()
-    known, counts = seen["shingle"].to_numpy().view(np.uint64), seen["n"].to_numpy()
-    table = spark.sparkContext.broadcast((np.append(known[np.argsort(known)], ~np.uint64(0)), np.append(counts[np.argsort(known)], 0)))
+    mine = store(large.join(bodies, "node"), "large")
+    table = large.sparkSession.sparkContext.broadcast(_cell_counts(mine))
 
     def run(batches):
-        known, counts = table.value
         for b in batches:
             leading = []
-            for h in shingle_sets(b.column("text")):
-                at = np.searchsorted(known[:-1], h)
-                order = np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")
+            for h in _unpacked(b.column("body")):
+                order = np.argsort(table.value[(h % np.uint64(CELLS)).astype(np.int64)], kind="stable")
                 leading.append(h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]])
             ends = np.cumsum([0, *map(len, leading)]).astype(np.int32)
             values = np.concatenate(leading) if leading else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
             yield pa.record_batch([*(b.column(c) for c in ("node", "root", "size")), lists], names=["node", "root", "size", "leading"])
 
-    texts = rows.select(F.col(row).alias("row_id"), F.col("text").cast("string").alias("text")).join(chosen, "row_id")
-    heads = texts.select("node", "root", "size", "text").mapInArrow(run, "node long, root long, size long, leading array<long>")
+    heads = mine.select("node", "root", "size", "body").mapInArrow(run, "node long, root long, size long, leading array<long>")
     heads = store(heads.select("node", "root", "size", F.posexplode("leading").alias("at", "shingle")), "leading")
     shared = heads.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
     heads = heads.join(shared, "shingle", "left_semi").withColumn("rest", F.col("size") - F.col("at"))
@@ -152,6 +195,7 @@ def near_groups(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> Da
     nodes = store(found.groupBy("node").agg(F.min_by(F.struct("row_id", "size", "keys"), "row_id").alias("r")).select("node", "r.*"), "nodes")
     entries = nodes.select("node", F.explode("keys").alias("key"))
     entries = store(entries.join(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"), "entries")
+    bodies = store(_bodies(rows, row, nodes.select("node", "row_id", "size").join(entries.select("node").distinct(), "node", "left_semi")), "bodies")
     links = roots = None
     last = False
     for turn in range(TURNS + 1):
@@ -165,16 +209,13 @@ def near_groups(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> Da
             mixed = known.join(kinds.where(apart > 0).select("key", (apart > MANY * F.col("n")).alias("large")), "key")
             one, other = (mixed.where("not large").select("key", F.col("node").alias(x), F.col("root").alias(r)) for x, r in (("a", "p"), ("b", "q")))
             pairs = one.join(other, "key").where("a < b and p <> q").select("a", "b")
-            large = store(mixed.where("large").select("node", "root").distinct().join(nodes.select("node", "row_id", "size"), "node"), "large")
-            pairs = pairs.unionByName(_prefix_pairs(rows, row, large, similarity)).distinct()
+            pairs = pairs.unionByName(_prefix_pairs(mixed.where("large").select("node", "root").distinct(), bodies, similarity)).distinct()
         else:
             heads = known.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.pmod("key", F.lit(HEADS << 2 * min(turn, 2))), F.lit(turn))).alias("h"))
             met = known.join(heads, "key").groupBy(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).agg(F.first("root").alias("p"), F.first("h.root").alias("q"))
             pairs = met.where("p <> q").select("a", "b")
-        pairs = store(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = _sets(rows, row, nodes.select("node", "row_id").join(ends, "node", "left_semi"))
-        good = store(_checked(pairs, sets, similarity), "links")
+        pairs = store(_of_like_size(pairs, bodies, similarity), "pairs")
+        good = store(_checked(pairs, bodies, similarity), "links")
         if good.take(1):
             links = good if links is None else links.unionByName(good)
             roots = components(links)

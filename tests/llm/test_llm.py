@@ -706,10 +706,15 @@ def test_prefix_pairs_find_every_similar_pair(spark):
     sets = [set(s.view(np.int64).tolist()) for s in N.shingle_sets(pa.array(["", "a b", *texts]))]
     chosen = spark.createDataFrame([(i, i % 11, i, len(s)) for i, s in enumerate(sets)], "node long, root long, row_id long, size long")
     similar = {(a, b) for b in range(len(sets)) for a in range(b) if a % 11 != b % 11 and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
-    found = {(r.a, r.b) for r in N._prefix_pairs(rows, "row", chosen, 0.8).collect()}
+    bodies, large = N._bodies(rows, "row", chosen.drop("root")).cache(), chosen.select("node", "root")
+    found = {(r.a, r.b) for r in N._prefix_pairs(large, bodies, 0.8).collect()}
     assert len(similar) > 100 and similar <= found and all(a % 11 != b % 11 for a, b in found)
     assert len(found) < len(sets) ** 2 / 4
-    assert N._prefix_pairs(rows, "row", chosen.where("false"), 0.8).count() == 0
+    pairs = spark.createDataFrame(sorted(found), "a long, b long")
+    assert {(r.a, r.b) for r in N._checked(N._of_like_size(pairs, bodies, 0.8), bodies, 0.8).collect()} == similar
+    counts = N._cell_counts(bodies)
+    assert len(counts) == N.CELLS and counts.sum() == sum(map(len, sets))
+    assert N._prefix_pairs(large.where("false"), bodies, 0.8).count() == 0
 
 
 def test_no_language_is_lost_to_copies(spark):
