@@ -36,7 +36,7 @@ TURNS, HEADS, MANY = 3, 4, 4
 #: that share a cell count as one another. This decides an order and so the work, never a result.
 CELLS = 1 << 20
 #: Shingles of the sets that a task keeps for its next pairs.
-RECENT = 1 << 22
+RECENT = 1 << 19
 _MASKS = np.array(covering_masks(), np.uint64)
 KEYS = BANDS + len(_MASKS)
 _FACTORS = np.random.default_rng(11).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
