@@ -15,7 +15,7 @@ from dnslens.functions.ip import networks
 from dnslens.operators import filters, lookup, metrics, normalize, pairing, predicates, privacy, rollups, score, state
 from dnslens.plans import capture_sinks, pipeline, shared, sinks
 from dnslens.sources import capture, decode, records
-from dnslens.streaming import branches, stateful, tracking
+from dnslens.streaming import branches, spans, stateful, tracking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -465,6 +465,31 @@ _once = lambda d, f, mode="append": stateful.run_once(f(_stream(d)), pipeline.sc
 _add("latency_stream", lambda d: _once(d, stateful.measure_latency).withColumn("latency", F.round("latency", 9)), "SELECT msg_id, round(latency, 9) AS latency FROM lat WHERE latency > 0", "lat")
 _add("unanswered_stream", lambda d: _once(d.unionByName(stateful.closing_row(d)), stateful.unanswered).where("msg_id >= 0"), "SELECT msg_id FROM full_log WHERE rcode = 'TIMEOUT'", "full")
 _add("metrics_stream", lambda d: _once(d, stateful.metrics, "complete"), "SELECT ts_ns // 60000000000 * 60 AS start, identity, count(*) AS messages, CAST(sum(length) AS BIGINT) AS bytes FROM dns_log GROUP BY ALL")
+
+
+def _spans_stream(d: DataFrame) -> DataFrame:
+    """Spans of a stream: each third exchange is a resolver's, asked for by the exchange before it."""
+    asked = _span(d).withColumns({"initial_request_id": F.concat(F.lit("m"), (F.expr("msg_id div 2") - 1).cast("string")), "identity": F.lit("ns")})
+    last = stateful.closing_row(asked).withColumns({"message_id": F.lit("last"), "operation": F.lit("CLIENT_QUERY")})
+    return _once(asked.unionByName(last), spans.trace_spans).where("span_id <> 'last'")
+
+
+_add(
+    "trace_spans_stream",
+    _spans_stream,
+    """, m AS (SELECT *, msg_id // 2 AS e, CASE WHEN (msg_id // 2) % 3 = 0 THEN replace(operation, 'CLIENT', 'RESOLVER') ELSE operation END AS op FROM dns_log),
+k AS (SELECT *, CASE WHEN op LIKE 'CLIENT%' THEN e ELSE e - 1 END AS root FROM m),
+g AS (SELECT *, coalesce(ts_ns - lag(ts_ns) OVER (PARTITION BY root ORDER BY ts_ns) >= 120000000000, false) AS is_new FROM k),
+s AS (SELECT *, sum(CAST(is_new AS INT)) OVER (PARTITION BY root ORDER BY ts_ns) AS part FROM g),
+p AS (SELECT DISTINCT root, part FROM s WHERE op = 'CLIENT_QUERY'),
+r AS (SELECT root, part, e, min(ts_ns) AS ts_ns, arg_min(rcode, ts_ns) AS rcode FROM s WHERE dns_type = 'REPLY' GROUP BY ALL),
+q AS (SELECT s.*, CASE WHEN s.op <> 'CLIENT_QUERY' THEN p.root END AS parent, r.ts_ns AS end_ns, r.rcode AS reply
+  FROM s LEFT JOIN p USING (root, part)
+  LEFT JOIN r ON r.root = s.root AND r.part = s.part AND r.e = s.e AND r.ts_ns >= s.ts_ns AND r.ts_ns < s.ts_ns + 120000000000 WHERE s.dns_type = 'QUERY')
+SELECT 'ns' AS identity, sha1('m' || coalesce(parent, e)) AS trace_id, 'm' || e AS span_id, 'm' || parent AS parent_id, op AS operation, qname, ts_ns AS start_ns, end_ns,
+  CASE WHEN end_ns IS NULL THEN 'timeout' WHEN reply <> 'NOERROR' THEN reply ELSE '' END AS error FROM q""",
+)
+ORACLE_SQL["trace_spans_stream"] = ORACLE_SQL["trace_spans_stream"].replace(") , m AS", "), m AS")
 _add("reduce_stream", lambda d: _once(X.repeated(d).unionByName(stateful.closing_row(X.repeated(d))), tracking.reduce_traffic).where("msg_id >= 0").select(*_red), f"SELECT {_REDUCED} FROM reduced_repeats", "reduced_repeats")
 
 
