@@ -511,3 +511,28 @@ def test_frame_streams_are_cut_anywhere(spark, tmp_path):
         parts = [capture_source.Part(str(path), lo, min(lo + split, len(raw)), len(raw)) for lo in range(0, len(raw), split)]
         assert [f for p in parts for f in capture_source.records(p, "fstrm", 53)] == want
     assert capture.fstrm_files(spark, str(tmp_path), 1000).count() == 300
+
+
+def test_captures_are_cut_anywhere(tmp_path):
+    """Bytes of messages look like heads whose length leads to a true head far away; every cut gives the packets of one read."""
+    import struct
+
+    from dnslens.sources import capture, capture_source
+
+    def record(k, payload):
+        frame = _v4(k, 0, struct.pack(">HHHH", 1024 + k, 53, 8 + len(payload), 0) + payload)
+        return struct.pack("<IIII", 1_700_000_000, k, len(frame), len(frame)) + frame
+
+    plain = len(record(0, bytes(40)))
+    lure = lambda far: struct.pack("<IIII", 1_700_000_001, 5, far, far)
+    payloads = [bytes(8) + lure(16 + 200 * plain) + bytes(16) if k % 3 == 0 else bytes(40) for k in range(900)]
+    # the length from a lure's end (16 bytes before a frame's) to the head of a record 200 further on
+    raw = struct.pack("<IHHIIII", 0xA1B23C4D, 2, 4, 0, 0, 1 << 16, 1) + b"".join(record(k, p) for k, p in enumerate(payloads))
+    raw += record(900, bytes(40))[:30]  # cut off
+    path = tmp_path / "a.pcap"
+    path.write_bytes(raw)
+    want = list(capture.split_packets(raw[:-30], 53))
+    assert len(want) == 900
+    for split in (len(raw), 5000, 1000, 101):
+        parts = [capture_source.Part(str(path), lo, min(lo + split, len(raw)), len(raw)) for lo in range(0, len(raw), split)]
+        assert [r for p in parts for r in capture_source.records(p, "pcap", 53)] == want
