@@ -97,3 +97,21 @@ def test_reorder_flushes_by_time(spark):
     df = spark.createDataFrame([(1, 10, 1 * S), (2, 5, 29 * S), (3, 1, 31 * S)], "msg_id long, sec long, ts_ns long").withColumns({"timestamp": F.timestamp_seconds("sec"), "identity": F.lit("s")})
     got = state.flushed(df, "identity", 30.0, 100)
     assert sorted((r.flush, r.part, r.position, r.msg_id) for r in got.collect()) == [(0, 0, 1, 2), (0, 0, 2, 1), (1, 0, 1, 3)]
+
+
+def test_streams_keep_one_state_a_bucket(spark, tmp_path):
+    """Many keys cost a few calls into the state store, not one each; replies, timeouts and columns with nulls come out as in batch."""
+    from dnslens.operators import pairing
+    from dnslens.streaming import buckets
+
+    big = (1 << 60) + 1
+    rows = [(i, 1000 * S + i * S // 100, "192.0.2.1", str(1024 + i // 2), 5, "QUERY" if i % 2 == 0 else "REPLY", False, None if i % 4 else big) for i in range(0, 400) if i % 10 != 9]
+    log = spark.createDataFrame(rows, "msg_id long, ts_ns long, query_ip string, query_port string, dns_id long, dns_type string, malformed boolean, length long")
+    stream = stream_of(spark, f"{tmp_path}/in", log.unionByName(stateful.closing_row(log)))
+    out = stateful.run_once(stateful.unanswered(stream), f"{tmp_path}/run").where("msg_id >= 0")
+    want = pairing.unanswered(log.withColumn("rcode", F.lit("-"))).where("rcode = 'TIMEOUT'")
+    assert sorted(r.msg_id for r in out.collect()) == sorted(r.msg_id for r in want.collect()) == [i for i in range(0, 400, 2) if (i + 1) % 10 == 9]
+    state = spark.read.format("statestore").option("stateVarName", "held").load(f"{tmp_path}/run/checkpoint")
+    assert set(state.select("key.*").columns) == {"bucket"} and state.count() <= buckets.BUCKETS
+    row = log.select(buckets.packed(*log.columns).alias("x"), "length")
+    assert row.where(~buckets.unpacked("x", log.schema)["length"].eqNullSafe(F.col("length"))).count() == 0
