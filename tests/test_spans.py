@@ -34,3 +34,12 @@ def test_stream_of_spans_equals_batch(spark, tmp_path):
     found = sorted(map(tuple, got.collect()), key=str)
     assert found == sorted(map(tuple, want.collect()), key=str)
     assert len({r[8] for r in found}) == 4 and any(r[3] for r in found) and len(found) == log.where(F.col("operation").endswith("QUERY")).count()
+
+
+def test_traces_of_a_bucket_share_a_state():
+    """What is open stays in the bucket's dict under its trace, and leaves as a timeout when the trace is due."""
+    traces, states = spans._Traces(120 * S), {}
+    row = lambda at, kind, trace, rcode=None: (at, f"CLIENT_{kind}", "ns", trace, trace, None, f"q{trace}", rcode)
+    out = list(traces.take(states, [row(S, "QUERY", "a"), row(S, "QUERY", "b"), row(2 * S, "RESPONSE", "a", "NOERROR")]))
+    assert [(r[1], r[-1]) for r in out] == [("a", "")] and set(states) == {("ns", "a"), ("ns", "b")}
+    assert [(r[1], r[-1]) for r in traces._ended(states, 121_000)] == [("b", "timeout")] and set(states) == {("ns", "a")}
