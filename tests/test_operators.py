@@ -536,3 +536,38 @@ def test_captures_are_cut_anywhere(tmp_path):
     for split in (len(raw), 5000, 1000, 101):
         parts = [capture_source.Part(str(path), lo, min(lo + split, len(raw)), len(raw)) for lo in range(0, len(raw), split)]
         assert [r for p in parts for r in capture_source.records(p, "pcap", 53)] == want
+
+
+def test_sections_are_exploded_in_one_pass(spark):
+    """Rows are read, and packets decoded, once for all sections, and null and empty lists have no records."""
+    record = "array<struct<name:string,rdatatype:string,class:string,ttl:long,rdata:string>>"
+    one = [("a", "A", "IN", 1, "192.0.2.1")]
+    df = spark.createDataFrame([(1, one, None, one * 2), (2, [], one, None), (3, None, None, [])], f"msg_id long, an {record}, ns {record}, ar {record}")
+    out = normalize.explode_records(df, {"an": "an", "ns": "ns", "ar": "ar"})
+    assert sorted((r.msg_id, r.section, r.idx) for r in out.collect()) == [(1, "an", 0), (1, "ar", 0), (1, "ar", 1), (2, "ns", 0)]
+    plan = normalize.explode_records(decode.decode_payload(spark.range(1).selectExpr("id AS msg_id", "binary('') AS payload")), {"an": "an", "ns": "ns", "ar": "ar"})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_packets_of_a_batch_are_decoded_alike(spark):
+    """What a task remembers of questions and options changes no packet; columns are kept; short and null payloads are malformed."""
+    made = [X.encode_message(i, i % 2 == 0, 0, (False, True), f"n{i % 3}.example", 1, (60, bytes(4)) if i % 2 == 0 else None, i % 5 == 0) for i in range(40)]
+    made += [made[1][:12] + b"\0OPTx", made[1][:10] + b"\0\1\0OPTx" + b"\0\0\x29\0\0\0\0\0\0\0\1x", b"", None, made[2][:11]]
+    df = spark.createDataFrame([(i, p, i * 2) for i, p in enumerate(made)], "msg_id long, payload binary, twice long")
+    got = {r.msg_id: r.asDict(True) for r in decode.decode_payload(df.coalesce(1), keep=("twice",)).collect()}
+    assert len(got) == len(made)
+    for i, p in enumerate(made):
+        assert got[i] == {"msg_id": i, **decode.decode(p or b""), "twice": i * 2}
+    assert [got[i]["malformed"] for i in range(42, 45)] == [True] * 3 and got[1]["options"][0]["data"] == "1.58.30.0/24" and got[2]["an"][0]["rdata"] == "0.0.0.0"
+
+
+def test_packets_are_made_without_python(spark):
+    """The log's packets by expressions are those of encode_message."""
+    log = X.dns_log(spark, "/root/testdata/sf0.001")
+    types, codes = {v: k for k, v in S.RDATATYPES.items()}, {v: k for k, v in S.RCODES.items()}
+    made = X.payloads(log, keep=("qname",))
+    assert "MapInArrow" not in made._jdf.queryExecution().optimizedPlan().toString() and made.columns == ["msg_id", "payload", "qname"]
+    packets = {r.msg_id: r.payload for r in made.collect()}
+    for r in X.with_answers(log).collect():
+        answer = (r.answers[0].ttl, bytes(map(int, r.answers[0].rdata.split(".")))) if r.answers else None
+        assert packets[r.msg_id] == X.encode_message(r.dns_id, r.dns_type == "REPLY", codes.get(r.rcode, 0), (r.flag_aa, r.flag_rd), r.qname, types[r.qtype], answer, r.malformed)
