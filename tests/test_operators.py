@@ -571,3 +571,11 @@ def test_packets_are_made_without_python(spark):
     for r in X.with_answers(log).collect():
         answer = (r.answers[0].ttl, bytes(map(int, r.answers[0].rdata.split(".")))) if r.answers else None
         assert packets[r.msg_id] == X.encode_message(r.dns_id, r.dns_type == "REPLY", codes.get(r.rcode, 0), (r.flag_aa, r.flag_rd), r.qname, types[r.qtype], answer, r.malformed)
+
+
+def test_decoded_packets_keep_their_rows(spark, sf):
+    """What packets say meets the log's other columns without a join."""
+    from dnslens import queries as Q
+
+    plan = Q.QUERIES["decoded_flat_json"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
