@@ -579,3 +579,17 @@ def test_decoded_packets_keep_their_rows(spark, sf):
 
     plan = Q.QUERIES["decoded_flat_json"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_only_labels_that_a_rule_reads_are_made(spark):
+    """Of the flat view's fields those that no rule reads aren't made; rules see what they saw of the whole view."""
+    from dnslens.functions import payloads
+
+    log = X.with_records(X.dns_log(spark, "/root/testdata/sf0.001")).limit(40)
+    named = [{"source_labels": ["__dns_rcode"], "target_label": "rcode"}, {"action": "dropequal", "source_labels": ["rcode"], "target_label": "__dns_qtype"}]
+    assert {k for r in log.select(payloads._hidden(log, named).alias("m")).collect() for k in r.m} == {"__dns_rcode", "__dns_qtype"}
+    whole = F.transform_keys(normalize.flat_map(log), lambda k, v: F.concat(F.lit("__"), F.replace(k, F.lit("."), F.lit("_"))))
+    for rules in (named, [{"action": "labelmap", "regex": "__dns_(q.*|resource-records_an_0_.*)"}], [{"source_labels": ["__edns_options_0_name"], "target_label": "option"}], [{"target_label": "a", "replacement": "b"}, {"action": "labelkeep", "regex": "a|job"}]):
+        made = [F.map_filter(payloads.relabel(F.map_concat(F.create_map(F.lit("job"), F.lit("j")), m), rules), lambda k, v: ~k.startswith("__")) for m in (payloads._hidden(log, rules), whole)]
+        rows = log.select(*(x.alias(n) for n, x in zip("xy", made, strict=True))).collect()
+        assert rows and all(r.x == r.y for r in rows)
