@@ -6,7 +6,7 @@ buckets also take MinHash keys: BANDS of ROWS least values, in none of which a p
 (1 - 0.8^4)^20 = 3 in 100,000, and a closer pair with less. Every candidate link is checked on the whole sets.
 
 Documents with one set are one node. In each turn every node is compared with a head of each of its buckets that isn't yet in
-its component; heads change from turn to turn and by kinds of keys (HEADS, then four times as many a turn). A turn's work grows
+its component and has a set of like size; heads change from turn to turn and by kinds of keys (HEADS, then four times as many a turn). A turn's work grows
 with the entries of buckets, not with their square: a large group of near copies is a few stars, joined by later turns. When no
 more than MANY pairs of different components an entry are left, or after TURNS, pairs of different components meet once more:
 in buckets with up to MANY such pairs an entry directly, all nodes of larger buckets by `_prefix_pairs`, which loses none. So no
@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnslens.llm.common import gram_hashes, mix, numbered, slices, store, text_buffer, without_rows, word_hashes, word_spans
@@ -111,10 +111,22 @@ def _unpacked(bodies: pa.Array):
         yield next(shingle_sets(pa.array([opener.decompress(body.as_buffer().to_pybytes()).decode("utf-8", "replace")], pa.string())))
 
 
+def _alike(n: str, m: str, similarity: float) -> Column:
+    """Whether sets of n and m shingles could be similar by their sizes."""
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+
 def _of_like_size(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
-    """a, b: the pairs whose sets could be similar by their sizes."""
+    """a, b: the pairs of any origin whose sets could be similar by their sizes."""
     x, y = (bodies.select(F.col("node").alias(n), F.col("size").alias(m)) for n, m in (("a", "n"), ("b", "m")))
-    return pairs.join(x, "a").join(y, "b").where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").where(_alike("n", "m", similarity)).select("a", "b")
+
+
+def _met(known: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """a, b: each node (node, size, key, root) with a head of each of its buckets that isn't in its component and is of like size."""
+    heads = known.groupBy("key").agg(F.min_by(F.struct("node", "root", "size"), F.xxhash64("node", F.pmod("key", F.lit(HEADS << 2 * min(turn, 2))), F.lit(turn))).alias("h"))
+    met = known.join(heads, "key").where("root <> h.root").where(_alike("size", "h.size", similarity))
+    return met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
 
 
 def _checked(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
@@ -186,20 +198,20 @@ def _prefix_pairs(large: DataFrame, bodies: DataFrame, similarity: float) -> Dat
     heads = heads.join(shared, "shingle", "left_semi").withColumn("rest", F.col("size") - F.col("at"))
     one, other = (heads.select("shingle", F.col("node").alias(x), F.col("root").alias(r), F.col("size").alias(n), F.col("rest").alias(k)) for x, r, n, k in (("a", "p", "n", "i"), ("b", "q", "m", "j")))
     enough = F.least("i", "j") >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6
-    return one.join(other, "shingle").where("a < b and p <> q").where(enough).select("a", "b")
+    return one.join(other, "shingle").where("a < b and p <> q").where(enough & _alike("n", "m", similarity)).select("a", "b")
 
 
 def near_groups(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> DataFrame:
     """One row per numbered row: doc_id, row_id, component (a node)."""
     found = store(prints(rows, row), "shingles")
     nodes = store(found.groupBy("node").agg(F.min_by(F.struct("row_id", "size", "keys"), "row_id").alias("r")).select("node", "r.*"), "nodes")
-    entries = nodes.select("node", F.explode("keys").alias("key"))
+    entries = nodes.select("node", "size", F.explode("keys").alias("key"))
     entries = store(entries.join(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"), "entries")
     bodies = store(_bodies(rows, row, nodes.select("node", "row_id", "size").join(entries.select("node").distinct(), "node", "left_semi")), "bodies")
     links = roots = None
     last = False
     for turn in range(TURNS + 1):
-        known = entries.withColumn("root", F.col("node")) if roots is None else entries.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+        known = entries.withColumn("root", F.col("node")) if roots is None else entries.join(roots, "node", "left").select("node", "size", "key", F.coalesce("root", "node").alias("root"))
         if turn:
             kinds = known.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
             left, n = kinds.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
@@ -207,14 +219,12 @@ def near_groups(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> Da
         if last:
             apart = (F.col("n") * F.col("n") - F.col("own")) / 2
             mixed = known.join(kinds.where(apart > 0).select("key", (apart > MANY * F.col("n")).alias("large")), "key")
-            one, other = (mixed.where("not large").select("key", F.col("node").alias(x), F.col("root").alias(r)) for x, r in (("a", "p"), ("b", "q")))
-            pairs = one.join(other, "key").where("a < b and p <> q").select("a", "b")
+            one, other = (mixed.where("not large").select("key", F.col("node").alias(x), F.col("root").alias(r), F.col("size").alias(n)) for x, r, n in (("a", "p", "n"), ("b", "q", "m")))
+            pairs = one.join(other, "key").where("a < b and p <> q").where(_alike("n", "m", similarity)).select("a", "b")
             pairs = pairs.unionByName(_prefix_pairs(mixed.where("large").select("node", "root").distinct(), bodies, similarity)).distinct()
         else:
-            heads = known.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.pmod("key", F.lit(HEADS << 2 * min(turn, 2))), F.lit(turn))).alias("h"))
-            met = known.join(heads, "key").groupBy(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).agg(F.first("root").alias("p"), F.first("h.root").alias("q"))
-            pairs = met.where("p <> q").select("a", "b")
-        pairs = store(_of_like_size(pairs, bodies, similarity), "pairs")
+            pairs = _met(known, turn, similarity)
+        pairs = store(pairs, "pairs")
         good = store(_checked(pairs, bodies, similarity), "links")
         if good.take(1):
             links = good if links is None else links.unionByName(good)

@@ -717,6 +717,17 @@ def test_prefix_pairs_find_every_similar_pair(spark):
     assert N._prefix_pairs(large.where("false"), bodies, 0.8).count() == 0
 
 
+def test_heads_meet_nodes_of_like_size_only(spark):
+    from dnslens.llm import near_copies as N
+
+    rows = [(i, size, key, i % 3) for i, size in enumerate([10, 11, 12, 100, 101, 10, 0, 90]) for key in range(6)]
+    known = spark.createDataFrame(rows, "node long, size long, key long, root long")
+    sizes, found = {r[0]: r[1] for r in rows}, set()
+    for turn in range(3):
+        found |= {(r.a, r.b) for r in N._met(known, turn, 0.8).collect()}
+    assert found and all(a < b and a % 3 != b % 3 and min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]) for a, b in found)
+
+
 def test_no_language_is_lost_to_copies(spark):
     """Eight languages of equal size, some of which are copies of a few texts: all are learned, and the sample keeps its bounds."""
     rows = [(f"l{k}", f"{chr(97 + k) * 3} word{j % (3 if k % 2 else 3000)} {chr(97 + k)}") for k in range(8) for j in range(3000)]
