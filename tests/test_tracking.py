@@ -47,6 +47,30 @@ def test_repeats_across_a_tick_are_one(spark):
     assert state.reduce_traffic(spark.createDataFrame([], SCHEMA), ("key",)).count() == 0
 
 
+def test_repeats_are_folded_in_one_pass_unless_long(spark, monkeypatch):
+    """Runs of rows over the ends of chunks, gaps of just a tick, null keys, times and lengths, and keys that fill all ticks."""
+    rng, step, rows = random.Random(4), 1000, []
+    span = step * state.CHUNK
+    for k in range(60):
+        key = f"k{k}" if k else None
+        for edge in (-1, 0, 1, 3):
+            width, n = (150 * step, 4000) if k % 20 == 19 else (rng.randrange(step, 40 * step), rng.randrange(1, 80))
+            rows += [(key, edge * span + rng.randrange(-width, width) // (500 if k % 4 else 1) * (500 if k % 4 else 1)) for _ in range(n)]
+        rows += [(key, None)] * (k % 3)
+    rows = [(i, t, key, 1, None if i % 7 == 0 else i % 90) for i, (key, t) in enumerate(rows)]
+    df, seen, real = spark.createDataFrame(rows, SCHEMA).repartition(5), [], state._followed
+    monkeypatch.setattr(state, "_followed", lambda part, *more: seen.append({r.key for r in part.select("key").distinct().collect()}) or real(part, *more))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = state.reduce_traffic(df, ("key", "other"), step / 1e9).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.msg_id, r.occurrences, r.cumulative_length or 0) for r in got) == folded([(i, -10 * span if t is None else t, key, 1, n or 0) for i, t, key, _, n in rows], step)
+    assert seen == [{f"k{k}" for k in range(60) if k % 20 == 19}]  # the others aren't followed from interval to interval
+    assert state.reduce_traffic(df.where("false"), ("key", "other"), step / 1e9).count() == 0
+    assert state.reduce_traffic(df.where("ts_ns is null"), ("key", "other"), step / 1e9).count() == sum(1 for k in range(60) if k % 3)
+
+
 def stream_of(spark, path, df):
     stateful.in_time_order(df, path)
     return stateful.with_time(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path))
