@@ -43,3 +43,9 @@ def test_streams_take_files_in_time_order(spark, sf, tmp_path):
     reader = stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
     reader.foreachBatch(lambda df, k: seen.append(tuple(df.selectExpr("min(ts_ns)", "max(ts_ns)").first()))).start().awaitTermination()
     assert len(seen) == 6 and all(a[1] <= b[0] for a, b in zip(seen, seen[1:], strict=False))
+
+
+def test_sinks_write_compressed_files(spark, sf):
+    for mode in ("text", "flat-json"):
+        files = Q._written(mode)(Q.X.with_records(Q.X.dns_log(spark, sf))).inputFiles()
+        assert files and all(f.endswith(".gz") for f in files)
