@@ -45,6 +45,13 @@ def test_streams_take_files_in_time_order(spark, sf, tmp_path):
     assert len(seen) == 6 and all(a[1] <= b[0] for a, b in zip(seen, seen[1:], strict=False))
 
 
+def test_stream_files_hold_only_what_the_stream_reads(spark, sf):
+    log = Q.X.dns_log(spark, sf)
+    stream = Q._stream(log, ("identity", "length"))
+    assert stream.columns == ["ts_ns", "msg_id", "identity", "length", "ts"]
+    assert Q._stream(log).columns == [*log.columns, "ts"]
+
+
 def test_sinks_write_compressed_files(spark, sf):
     for mode in ("text", "flat-json"):
         files = Q._written(mode)(Q.X.with_records(Q.X.dns_log(spark, sf))).inputFiles()
