@@ -12,6 +12,7 @@ result; very long texts are read in parts that overlap, so none of their subword
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,6 +76,27 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(-1, keepdims=True)
 
 
+class _Runs:
+    """Runs of words as buckets and their shares, in two growing arrays: thousands of small ones would stay with the driver."""
+
+    def __init__(self):
+        self.buckets, self.shares, self.ends, self.labels, self.whole = array("H"), array("f"), [0], [], []
+
+    def add(self, buckets: np.ndarray, shares: np.ndarray, label: int, whole: bool) -> None:
+        self.buckets.frombytes(buckets.astype(np.uint16).tobytes())
+        self.shares.frombytes(shares.tobytes())
+        self.ends.append(len(self.buckets))
+        self.labels.append(label)
+        self.whole.append(whole)
+
+    def __len__(self) -> int:
+        return len(self.labels)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.ends[i], self.ends[i + 1])
+        return np.frombuffer(self.buckets, np.uint16)[at], np.frombuffer(self.shares, np.float32)[at]
+
+
 def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5, reject_share: float = 0.001, seed: int = 1) -> LanguageModel:
     """Fits embeddings and softmax by SGD over whole texts and short runs of their words; then temperature and threshold."""
     languages = sorted(set(labels))
@@ -82,7 +104,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     number = {x: i for i, x in enumerate(languages)}
-    rows, held = [], []
+    rows, held = _Runs(), _Runs()
     for i, (t, label) in enumerate(zip(texts, labels, strict=True)):
         if not any(map(str.isalpha, t)):
             continue
@@ -92,13 +114,13 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
             runs.append(" ".join(words[at : at + n]))
         for run in runs:
             b, c = np.unique(subwords(run), return_counts=True)
-            (held if i % 8 == 0 else rows).append((b, (c / c.sum()).astype(np.float32), number[label], run is t))
+            (held if i % 8 == 0 else rows).add(b, (c / c.sum()).astype(np.float32), number[label], run is t)
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     matrix, bias = rng.normal(0, 0.3, (WIDTH, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
     steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            b, share, y, _ = rows[i]
+            (b, share), y = rows[i], rows.labels[i]
             now = rate * (1 - done / steps)
             done += 1
             hidden = share @ table[b]
@@ -110,12 +132,12 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
             table[b] -= now * 20 * share[:, None] * back
     weights = table @ matrix
     held = held or rows
-    z = np.array([share @ weights[b] + bias for b, share, _, _ in held])
-    y = np.array([r[2] for r in held])
+    z = np.array([share @ weights[b] + bias for b, share in map(held.__getitem__, range(len(held)))])
+    y = np.array(held.labels)
     losses = [(-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean(), t) for t in np.geomspace(0.05, 20, 60)] if len(y) else [(0.0, 1.0)]
     temperature = float(min(losses)[1])
     right = _softmax(z / temperature) if len(y) else np.zeros((0, len(languages)))
-    best = right.max(1)[(right.argmax(1) == y) & np.array([r[3] for r in held], bool)] if len(y) else np.zeros(0)
+    best = right.max(1)[(right.argmax(1) == y) & np.array(held.whole, bool)] if len(y) else np.zeros(0)
     threshold = float(min(0.5, SLACK * np.quantile(best, reject_share))) if len(best) else 0.0
     return LanguageModel(languages, weights.astype(np.float32), bias, temperature, threshold)
 

@@ -394,6 +394,29 @@ def test_leaks_with_every_change_allowed(spark):
     assert {r.doc_id for r in decontaminate.leaks(df, bench).collect()} == {d for d, _ in docs}
 
 
+def test_component_rounds_are_few_stages(spark):
+    """Each of the driver's stages keeps memory there: a round of the stars has three shuffles and no broadcast."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
+    spark.sparkContext.setJobGroup("rounds", "stars")
+    try:
+        got = {r.node: r.root for r in simhash.components(edges).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100}
+    tracker = spark.sparkContext.statusTracker()
+    ran = {s for j in tracker.getJobIdsForGroup("rounds") for s in tracker.getJobInfo(j).stageIds if (i := tracker.getStageInfo(s)) and i.numCompletedTasks}
+    assert len(ran) <= 60
+
+
+def test_language_training_keeps_no_array_a_text(spark):
+    """Arrays of its own for each text would stay with the driver after training."""
+    runs = language_id._Runs()
+    for i in range(3):
+        runs.add(np.arange(i, i + 4, dtype=np.uint32), np.full(4, 0.25, np.float32), i, True)
+    assert [runs[i][0].tolist() for i in range(3)] == [[0, 1, 2, 3], [1, 2, 3, 4], [2, 3, 4, 5]]
+    assert runs[2][1].tolist() == [0.25] * 4 and len(runs) == 3 and len(runs.buckets) == 12
+
+
 def test_every_fifth_word_changed(spark):
     item = [f"w{i}" for i in range(40)]
     text = " ".join("x" if i % 5 == 4 else w for i, w in enumerate(item))
